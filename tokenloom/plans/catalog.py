@@ -10,7 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from tokenloom.functions import text as T
+from tokenloom.operators import corpus as C
 from tokenloom.operators import ledger
+from tokenloom.operators import references as R
 from tokenloom.plans import domain
 
 # Parameters of the registered queries (also used by plans/oracle.py).
@@ -36,9 +41,62 @@ def usage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.usage_by_source(domain.usage(spark, sf_dir))
 
 
+def doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.fingerprints(domain.corpus(spark, sf_dir))
+
+
+def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corp = C.with_path_parts(domain.corpus(spark, sf_dir))
+    return (corp.filter(C.indexable("path") & (F.col("status") == "ok"))
+            .select("project", "path", "name", "ext", F.sha2("path", 256).alias("doc_id"),
+                    F.length("content").cast("bigint").alias("n_chars")))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.token_counts(domain.corpus(spark, sf_dir))
+
+
+def strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.comment_stripped(domain.corpus(spark, sf_dir))
+
+
+def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = domain.read_table(spark, sf_dir, "conversations")
+    return (conv.groupBy("conv_id", "role")
+            .agg(F.sum(T.token_estimate("text")).cast("bigint").alias("tokens"),
+                 F.count(F.lit(1)).alias("turns")))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = R.line_table(domain.corpus(spark, sf_dir))
+    syms = domain.symbol_queries(spark, sf_dir)
+    return R.match_lines(lines, syms), syms
+
+
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reference_lines(_matches(spark, sf_dir)[0])
+
+
+def reference_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, syms = _matches(spark, sf_dir)
+    return R.capped_result(m, syms)
+
+
+def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.per_file(_matches(spark, sf_dir)[0])
+
+
 QUERIES: dict[str, Query] = {
     "budget_status_daily": budget_status_daily,
     "budget_admission": budget_admission,
     "budget_severity": budget_severity,
     "usage_by_source": usage_by_source,
+    "doc_fingerprints": doc_fingerprints,
+    "indexable_files": indexable_files,
+    "token_counts": token_counts,
+    "strip_comments": strip_comments,
+    "conversation_tokens": conversation_tokens,
+    "reference_lines": reference_lines,
+    "reference_capped": reference_capped,
+    "multi_symbol_references": multi_symbol_references,
 }

@@ -25,3 +25,39 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("source"),
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"),
     ))
+
+
+# Folder and suffix a document is filed under (by doc_id), so the path predicates have
+# excluded, hidden, non-indexable and binary cases to act on.
+CORPUS_DIRS = ["src", "lib", "docs", "node_modules", ".cache", "build", "pkg"]
+CORPUS_EXTS = [".py", ".md", ".txt", ".js", ".ts", ".tsx", ".jsx", ".PY", ".png"]
+
+
+def corpus_path(doc_id, source, lang):
+    d = F.element_at(F.array(*[F.lit(x) for x in CORPUS_DIRS]),
+                     (F.pmod(doc_id, F.lit(len(CORPUS_DIRS))) + 1).cast("int"))
+    e = F.element_at(F.array(*[F.lit(x) for x in CORPUS_EXTS]),
+                     (F.pmod(doc_id, F.lit(len(CORPUS_EXTS))) + 1).cast("int"))
+    return F.concat_ws("/", source, lang, d, F.concat(F.lit("doc"), doc_id.cast("string"), e))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> corpus(project, path, content, status): one file per document."""
+    from tokenloom.functions import text as T
+
+    docs = read_table(spark, sf_dir, "documents")
+    content = T.normalize_newlines("text")
+    return docs.select(
+        F.col("doc_id").alias("src_id"),
+        F.col("source").alias("project"),
+        corpus_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("path"),
+        content.alias("content"),
+        F.when(F.col("text").isNull(), "undecodable").otherwise("ok").alias("status"),
+    )
+
+
+def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark -> symbol queries: the first word of five or more word characters."""
+    b = read_table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"),
+                    F.regexp_extract("text", r"\w{5,}", 0).alias("symbol"))

@@ -87,3 +87,156 @@ SELECT strftime(day, '%Y-%m-%d') AS day, source,
 FROM rec
 GROUP BY ROLLUP (strftime(day, '%Y-%m-%d'), source)
 """
+
+# --- corpus --------------------------------------------------------------------------------
+SPACE = (r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+         r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+BREAKS = r"[\x{000A}\x{000B}\x{000C}\x{001C}\x{001D}\x{001E}\x{0085}\x{2028}\x{2029}]"
+PRETOKEN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
+
+
+def splitlines(x: str) -> str:
+    """Python splitlines() of an LF-normalised text, as a DuckDB list."""
+    parts = f"string_split_regex({x}, '{BREAKS}')"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = '' THEN []::VARCHAR[] "
+            f"WHEN {parts}[-1] = '' THEN {parts}[1:len({parts}) - 1] ELSE {parts} END)")
+
+
+def tokens(x: str) -> str:
+    return f"CAST(COALESCE(len(regexp_extract_all({x}, '{PRETOKEN}')), 0) AS BIGINT)"
+
+
+CORPUS_CTE = r"""
+corpus AS (
+  SELECT doc_id AS src_id,
+         source AS project,
+         source || '/' || lang || '/'
+           || ['src', 'lib', 'docs', 'node_modules', '.cache', 'build', 'pkg'][doc_id % 7 + 1]
+           || '/doc' || CAST(doc_id AS VARCHAR)
+           || ['.py', '.md', '.txt', '.js', '.ts', '.tsx', '.jsx', '.PY', '.png'][doc_id % 9 + 1] AS path,
+         regexp_replace(text, '\r\n?', chr(10), 'g') AS content,
+         CASE WHEN text IS NULL THEN 'undecodable' ELSE 'ok' END AS status
+  FROM documents
+)
+"""
+
+ORACLE_SQL["doc_fingerprints"] = f"""
+WITH {CORPUS_CTE}
+SELECT path, sha256(path) AS doc_id, sha256(content) AS content_sha,
+       CAST(len({splitlines('content')}) AS BIGINT) AS n_lines,
+       CAST(length(content) AS BIGINT) AS n_chars
+FROM corpus
+"""
+
+ORACLE_SQL["indexable_files"] = f"""
+WITH {CORPUS_CTE},
+parts AS (
+  SELECT *, string_split(path, '/') AS p FROM corpus
+),
+named AS (
+  SELECT *, p[-1] AS name, p[1:len(p) - 1] AS dirs,
+         lower(regexp_extract(p[-1], '(?s)^.+(\\.[^./]+)$', 1)) AS ext
+  FROM parts
+)
+SELECT project, path, name, ext, sha256(path) AS doc_id, CAST(length(content) AS BIGINT) AS n_chars
+FROM named
+WHERE status = 'ok'
+  AND ext IN ('.py', '.js', '.ts', '.jsx', '.tsx', '.md', '.txt')
+  AND name NOT IN ('node_modules', '.git', '__pycache__', 'venv', '.env')
+  AND NOT list_has_any(dirs, ['node_modules', '.git', '__pycache__', 'venv', '.env'])
+  AND len(list_filter(dirs, lambda d: starts_with(d, '.'))) = 0
+"""
+
+ORACLE_SQL["token_counts"] = f"""
+WITH {CORPUS_CTE}
+SELECT path, CASE WHEN status = 'ok' THEN {tokens('content')} ELSE CAST(0 AS BIGINT) END AS tokens
+FROM corpus
+"""
+
+
+ORACLE_SQL["strip_comments"] = f"""
+WITH {CORPUS_CTE},
+s AS (
+  SELECT path,
+         array_to_string(list_filter({splitlines("regexp_replace(content, '#[^\\n]*', '', 'g')")},
+                                     lambda l: regexp_matches(l, '[^{SPACE}]')), chr(10)) AS text
+  FROM corpus
+)
+SELECT path, text, {tokens('text')} AS tokens FROM s
+"""
+
+ORACLE_SQL["conversation_tokens"] = f"""
+SELECT conv_id, role, CAST(SUM({tokens('text')}) AS BIGINT) AS tokens, COUNT(*) AS turns
+FROM conversations GROUP BY conv_id, role
+"""
+
+# --- reference search ----------------------------------------------------------------------
+
+
+def py_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+
+
+def display(x: str) -> str:
+    s = py_strip(x)
+    return f"(CASE WHEN length({s}) > 120 THEN substring({s}, 1, 117) || '...' ELSE {s} END)"
+
+
+REF_CTE = f"""
+{CORPUS_CTE.strip()},
+scanned AS (
+  SELECT path, {splitlines('content')} AS l FROM corpus
+  WHERE NOT list_has_any(string_split(path, '/'),
+                         ['.git', 'node_modules', '__pycache__', 'venv', '.venv', 'dist', 'build'])
+    AND lower(regexp_extract(string_split(path, '/')[-1], '(?s)^.+(\\.[^./]+)$', 1)) NOT IN
+        ('.sqlite', '.db', '.pyc', '.png', '.jpg', '.exe', '.dll', '.zip', '.tar', '.gz')
+),
+lines AS (
+  SELECT path, CAST(generate_subscripts(l, 1) AS INTEGER) AS n, unnest(l) AS line FROM scanned
+),
+syms AS (
+  SELECT item_id AS query_id, regexp_extract(text, '\\w{{5,}}', 0) AS symbol FROM benchmark
+),
+m AS (
+  SELECT s.query_id, s.symbol, l.path, l.n, l.line
+  FROM lines l JOIN syms s ON s.symbol <> '' AND contains(l.line, s.symbol)
+)
+"""
+
+ORACLE_SQL["reference_lines"] = f"""
+WITH {REF_CTE}
+SELECT query_id, path, n, {display('line')} AS display FROM m
+"""
+
+ORACLE_SQL["multi_symbol_references"] = f"""
+WITH {REF_CTE}
+SELECT query_id, path, COUNT(*) AS n_matches, CAST(min(n) AS INTEGER) AS first_line,
+       CAST(max(n) AS INTEGER) AS last_line,
+       CAST(SUM({tokens("printf('  Line %d: %s', n, " + display('line') + ")")}) AS BIGINT) AS tokens
+FROM m GROUP BY query_id, path
+"""
+
+ORACLE_SQL["reference_capped"] = f"""
+WITH {REF_CTE},
+files AS (SELECT query_id, path, COUNT(*) AS c FROM m GROUP BY query_id, path),
+runs AS (
+  SELECT *, COALESCE(SUM(c + 1) OVER (PARTITION BY query_id ORDER BY path
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excl
+  FROM files
+),
+kept AS (SELECT *, excl + c + 1 AS incl FROM runs WHERE excl <= 100),
+rows_out AS (
+  SELECT query_id, excl + 1 AS seq, 'File: ' || path AS text FROM kept
+  UNION ALL
+  SELECT m.query_id, k.excl + 1 + row_number() OVER (PARTITION BY m.query_id, m.path ORDER BY m.n) AS seq,
+         printf('  Line %d: %s', m.n, {display('m.line')}) AS text
+  FROM m JOIN kept k ON m.query_id = k.query_id AND m.path = k.path
+  UNION ALL
+  SELECT query_id, max(incl) + 1 AS seq, '... [Too many results, truncated] ...' AS text
+  FROM kept GROUP BY query_id HAVING max(incl) > 100
+  UNION ALL
+  SELECT query_id, 1 AS seq, printf('No references found for ''%s''.', symbol) AS text
+  FROM syms WHERE symbol <> '' AND query_id NOT IN (SELECT query_id FROM files)
+)
+SELECT query_id, CAST(seq AS BIGINT) AS seq, text, {tokens('text')} AS tokens FROM rows_out
+"""
