@@ -16,6 +16,8 @@ from tokenloom.functions import text as T
 from tokenloom.operators import corpus as C
 from tokenloom.operators import ledger
 from tokenloom.operators import references as R
+from tokenloom.operators import changes as CH
+from tokenloom.operators import vectors as V
 from tokenloom.plans import domain
 
 # Parameters of the registered queries (also used by plans/oracle.py).
@@ -86,6 +88,43 @@ def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.per_file(_matches(spark, sf_dir)[0])
 
 
+INDEX_COLS = ["project", "doc_id", "path", F.sha2("content", 256).alias("content_sha"),
+              F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"),
+              F.col("embedding").isNotNull().alias("has_embedding")]
+
+
+def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = domain.vectors(spark, sf_dir)
+    q = V.centroids(vec.withColumn("_all", F.lit(0)), "_all").first()
+    return V.knn_single(vec, list(q["embedding"]), V.DEFAULT_K)
+
+
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = domain.vectors(spark, sf_dir)
+    queries = V.centroids(vec, "label").withColumnRenamed("label", "query_id")
+    return V.knn_batch(vec, queries, V.DEFAULT_K)
+
+
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir)).select(*INDEX_COLS)
+
+
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir))
+    gone = (CH.latest_change(domain.changes(spark, sf_dir)).filter(F.col("op") == "deleted")
+            .select(F.sha2("path", 256).alias("doc_id")))
+    return V.delete(idx, gone).select(*INDEX_COLS)
+
+
+def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = CH.latest_change(domain.changes(spark, sf_dir))
+    return last.select("path", "op", "seq", F.sha2("content", 256).alias("content_sha"))
+
+
+def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CH.sync_index(domain.vectors(spark, sf_dir), domain.changes(spark, sf_dir)).select(*INDEX_COLS)
+
+
 QUERIES: dict[str, Query] = {
     "budget_status_daily": budget_status_daily,
     "budget_admission": budget_admission,
@@ -99,4 +138,10 @@ QUERIES: dict[str, Query] = {
     "reference_lines": reference_lines,
     "reference_capped": reference_capped,
     "multi_symbol_references": multi_symbol_references,
+    "knn_single": knn_single,
+    "knn_batch": knn_batch,
+    "index_upsert": index_upsert,
+    "index_delete": index_delete,
+    "latest_change": latest_change,
+    "index_sync": index_sync,
 }

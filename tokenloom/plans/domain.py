@@ -61,3 +61,52 @@ def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read_table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"),
                     F.regexp_extract("text", r"\w{5,}", 0).alias("symbol"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings -> vector index rows; a vector carries its document's path and text when the
+    corpus has a document with the same id (``vec_id = doc_id``), else it has no path."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    docs = corpus(spark, sf_dir).select("src_id", "project", "path", "content")
+    j = emb.join(docs, emb["vec_id"] == docs["src_id"], "left")
+    key = F.coalesce(F.col("path"), F.concat(F.lit("vec/"), F.col("vec_id").cast("string")))
+    return j.select(
+        F.coalesce(F.col("project"), F.lit("global")).alias("project"),
+        F.sha2(key, 256).alias("doc_id"),
+        "path", "content", "embedding", "label",
+    )
+
+
+def index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index job's batch: every indexable, readable corpus file, with its vector if any."""
+    from tokenloom.operators import corpus as C
+
+    corp = corpus(spark, sf_dir).filter(C.indexable("path") & (F.col("status") == "ok"))
+    emb = read_table(spark, sf_dir, "embeddings")
+    j = corp.join(emb, corp["src_id"] == emb["vec_id"], "left")
+    return j.select("project", F.sha2("path", 256).alias("doc_id"), "path", "content", "embedding", "label")
+
+
+# Change-feed operation per event type.
+CHANGE_OPS = {"signup": "created", "error": "deleted"}   # every other type is 'modified'
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> change feed over corpus paths: each event touches the file of document
+    ``user_id``; created/modified rows carry a new revision of its text."""
+    from tokenloom.functions import text as T
+
+    ev = read_table(spark, sf_dir, "events")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    j = ev.join(docs, ev["user_id"] == docs["doc_id"], "inner")
+    op = F.lit("modified")
+    for t, o in CHANGE_OPS.items():
+        op = F.when(F.col("event_type") == t, F.lit(o)).otherwise(op)
+    content = F.concat(T.normalize_newlines("text"), F.lit("\n# rev "), F.col("event_id").cast("string"))
+    return j.select(
+        corpus_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("path"),
+        op.alias("op"),
+        F.when(op != "deleted", content).alias("content"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"),
+    )

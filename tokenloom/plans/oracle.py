@@ -240,3 +240,124 @@ rows_out AS (
 )
 SELECT query_id, CAST(seq AS BIGINT) AS seq, text, {tokens('text')} AS tokens FROM rows_out
 """
+
+# --- vector index and change feed ------------------------------------------------------------
+VEC_CTE = f"""
+{CORPUS_CTE.strip()},
+vec AS (
+  SELECT COALESCE(c.project, 'global') AS project,
+         sha256(COALESCE(c.path, 'vec/' || CAST(e.vec_id AS VARCHAR))) AS doc_id,
+         c.path, c.content, e.embedding, e.label
+  FROM embeddings e LEFT JOIN corpus c ON c.src_id = e.vec_id
+),
+batch AS (
+  SELECT c.project, sha256(c.path) AS doc_id, c.path, c.content, e.embedding, e.label
+  FROM corpus c LEFT JOIN embeddings e ON c.src_id = e.vec_id
+  WHERE c.status = 'ok'
+    AND lower(regexp_extract(string_split(c.path, '/')[-1], '(?s)^.+(\\.[^./]+)$', 1))
+        IN ('.py', '.js', '.ts', '.jsx', '.tsx', '.md', '.txt')
+    AND string_split(c.path, '/')[-1] NOT IN ('node_modules', '.git', '__pycache__', 'venv', '.env')
+    AND NOT list_has_any(string_split(c.path, '/')[1:-2], ['node_modules', '.git', '__pycache__', 'venv', '.env'])
+    AND len(list_filter(string_split(c.path, '/')[1:-2], lambda d: starts_with(d, '.'))) = 0
+),
+upserted AS (
+  SELECT * FROM vec WHERE doc_id NOT IN (SELECT doc_id FROM batch)
+  UNION ALL
+  SELECT * FROM batch
+),
+changes AS (
+  SELECT d.source || '/' || d.lang || '/'
+           || ['src', 'lib', 'docs', 'node_modules', '.cache', 'build', 'pkg'][d.doc_id % 7 + 1]
+           || '/doc' || CAST(d.doc_id AS VARCHAR)
+           || ['.py', '.md', '.txt', '.js', '.ts', '.tsx', '.jsx', '.PY', '.png'][d.doc_id % 9 + 1] AS path,
+         CASE ev.event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS op,
+         CASE WHEN ev.event_type <> 'error'
+              THEN regexp_replace(d.text, '\\r\\n?', chr(10), 'g') || chr(10) || '# rev ' || CAST(ev.event_id AS VARCHAR)
+         END AS content,
+         CAST(ev.ts AS TIMESTAMP) AS ts,
+         ev.event_id AS seq
+  FROM events ev JOIN documents d ON ev.user_id = d.doc_id
+),
+last_change AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS rn FROM changes
+  ) WHERE rn = 1
+)
+"""
+
+INDEX_OUT = ("project, doc_id, path, sha256(content) AS content_sha, CAST(COALESCE(label, -1) AS INTEGER) AS label, "
+             "embedding IS NOT NULL AS has_embedding")
+
+CENTROID = """
+SELECT g AS query_id, list(m ORDER BY i) AS qv FROM (
+  SELECT g, i, avg(CAST(x AS DOUBLE)) AS m FROM (
+    SELECT {key} AS g, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM vec
+  ) GROUP BY g, i
+) GROUP BY g
+"""
+
+L2SQ = "list_sum(list_transform(generate_series(1, len(v.embedding)), lambda j: (v.embedding[j] - q.qv[j]) * (v.embedding[j] - q.qv[j])))"
+
+ORACLE_SQL["knn_single"] = f"""
+WITH {VEC_CTE},
+q AS ({CENTROID.format(key="(label * 0)")})
+SELECT doc_id, path, round(d, 6) AS distance FROM (
+  SELECT v.doc_id, v.path, {L2SQ} AS d FROM vec v, q
+) ORDER BY d, doc_id LIMIT 5
+"""
+
+ORACLE_SQL["knn_batch"] = f"""
+WITH {VEC_CTE},
+q AS ({CENTROID.format(key="label")}),
+d AS (SELECT q.query_id, v.doc_id, v.path, {L2SQ} AS d FROM vec v, q)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, path, round(d, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM d)
+WHERE rank <= 5
+"""
+
+ORACLE_SQL["index_upsert"] = f"""
+WITH {VEC_CTE}
+SELECT {INDEX_OUT} FROM upserted
+"""
+
+ORACLE_SQL["index_delete"] = f"""
+WITH {VEC_CTE}
+SELECT {INDEX_OUT} FROM upserted
+WHERE doc_id NOT IN (SELECT sha256(path) FROM last_change WHERE op = 'deleted')
+"""
+
+ORACLE_SQL["latest_change"] = f"""
+WITH {VEC_CTE}
+SELECT path, op, seq, sha256(content) AS content_sha FROM last_change
+"""
+
+ORACLE_SQL["index_sync"] = f"""
+WITH {VEC_CTE},
+valid AS (
+  SELECT * FROM changes
+  WHERE lower(regexp_extract(string_split(path, '/')[-1], '(?s)^.+(\\.[^./]+)$', 1))
+        IN ('.py', '.js', '.ts', '.jsx', '.tsx', '.md', '.txt')
+    AND len(list_filter(string_split(path, '/'),
+            lambda p: (p IN ('node_modules', '.git', '__pycache__', 'venv', '.env') OR starts_with(p, '.'))
+                      AND p <> 'workspace' AND p <> '.')) = 0
+),
+lastv AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, seq DESC) AS rn FROM valid
+  ) WHERE rn = 1
+),
+ups AS (SELECT sha256(path) AS doc_id, path, content FROM lastv WHERE op <> 'deleted'),
+dels AS (SELECT sha256(path) AS doc_id FROM lastv WHERE op = 'deleted'),
+changed AS (
+  SELECT COALESCE(v.project, regexp_extract(u.path, '^([^/]*)', 1)) AS project, u.doc_id, u.path, u.content,
+         v.embedding, v.label
+  FROM ups u LEFT JOIN vec v ON u.doc_id = v.doc_id
+  WHERE v.content IS NULL OR sha256(v.content) <> sha256(u.content)
+),
+merged AS (
+  SELECT * FROM vec WHERE doc_id NOT IN (SELECT doc_id FROM changed)
+  UNION ALL
+  SELECT * FROM changed
+)
+SELECT {INDEX_OUT} FROM merged WHERE doc_id NOT IN (SELECT doc_id FROM dels)
+"""
