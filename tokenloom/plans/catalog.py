@@ -18,6 +18,8 @@ from tokenloom.operators import ledger
 from tokenloom.operators import references as R
 from tokenloom.operators import changes as CH
 from tokenloom.operators import vectors as V
+from tokenloom.operators import tree as TR
+from tokenloom.operators import config as CF
 from tokenloom.plans import domain
 
 # Parameters of the registered queries (also used by plans/oracle.py).
@@ -125,6 +127,27 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CH.sync_index(domain.vectors(spark, sf_dir), domain.changes(spark, sf_dir)).select(*INDEX_COLS)
 
 
+TREE_ROOT = "site"
+
+
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = TR.with_last_flag(TR.nodes(domain.page_paths(spark, sf_dir).select("path", "is_dir")))
+    return nodes.select("path", "depth", "name", "is_dir", "is_last")
+
+
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TR.listing(domain.page_paths(spark, sf_dir).select("path", "is_dir"), TREE_ROOT)
+
+
+def project_root_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = domain.page_paths(spark, sf_dir).filter(~F.col("is_dir")).select("path").distinct()
+    return CF.project_roots(files, domain.markers(spark, sf_dir))
+
+
+def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CF.merge_layers(domain.project_layers(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "budget_status_daily": budget_status_daily,
     "budget_admission": budget_admission,
@@ -144,4 +167,8 @@ QUERIES: dict[str, Query] = {
     "index_delete": index_delete,
     "latest_change": latest_change,
     "index_sync": index_sync,
+    "tree_nodes": tree_nodes,
+    "tree_listing": tree_listing,
+    "project_root_join": project_root_join,
+    "config_merge": config_merge,
 }

@@ -110,3 +110,35 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
     )
+
+
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages.url -> path table: scheme, query and fragment removed; a trailing '/' marks a
+    directory. Also returns the scheme and whether a query string was present."""
+    p = read_table(spark, sf_dir, "pages")
+    m = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://([^?#]*)", 2)
+    return p.select(
+        F.regexp_replace(m, "/+$", "").alias("path"),
+        m.endswith("/").alias("is_dir"),
+        F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"),
+        F.col("url").contains("?").alias("has_query"),
+    ).filter(F.col("path") != "")
+
+
+def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marker table derived from pages: an https host is a git checkout; the language folder
+    (host/lang) of a page with a query string holds a project marker."""
+    pp = page_paths(spark, sf_dir)
+    parts = F.split("path", "/")
+    git = pp.filter((F.col("scheme") == "https")).select(F.element_at(parts, 1).alias("dir"),
+                                                          F.lit("git").alias("kind"))
+    proj = pp.filter(F.col("has_query") & (F.size(parts) >= 3)).select(
+        F.array_join(F.slice(parts, 1, 2), "/").alias("dir"), F.lit("project").alias("kind"))
+    return git.unionByName(proj).distinct()
+
+
+def project_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events.props -> one project config text per project: the latest write wins."""
+    ev = read_table(spark, sf_dir, "events")
+    latest = ev.groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("json"))
+    return latest.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"), "json")

@@ -361,3 +361,114 @@ merged AS (
 )
 SELECT {INDEX_OUT} FROM merged WHERE doc_id NOT IN (SELECT doc_id FROM dels)
 """
+
+# --- tree, project roots, config ---------------------------------------------------------------
+PAGES_CTE = r"""
+pp AS (
+  SELECT * FROM (
+    SELECT regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^?#]*)', 2), '/+$', '') AS path,
+           ends_with(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^?#]*)', 2), '/') AS is_dir,
+           lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+           contains(url, '?') AS has_query
+    FROM pages
+  ) WHERE path <> ''
+),
+ex AS (SELECT string_split(path, '/') AS p, len(string_split(path, '/')) AS n, is_dir AS leaf_dir FROM pp),
+nd AS (
+  SELECT array_to_string(p[1:k], '/') AS path, p[1:k] AS parts, CAST(k AS INTEGER) AS depth,
+         (k < n OR leaf_dir) AS is_dir
+  FROM (SELECT p, n, leaf_dir, unnest(generate_series(1, n)) AS k FROM ex)
+),
+node AS (SELECT path, first(parts) AS parts, first(depth) AS depth, bool_or(is_dir) AS is_dir FROM nd GROUP BY path),
+kept AS (
+  SELECT * FROM node
+  WHERE NOT list_has_any(CASE WHEN is_dir THEN parts ELSE parts[1:depth - 1] END,
+        ['.git', 'node_modules', '__pycache__', 'venv', '.venv', 'env', '.env', 'dist', 'build',
+         'coverage', '.pytest_cache', '.idea', '.vscode'])
+),
+keyed AS (
+  SELECT *, parts[-1] AS name,
+         CASE WHEN depth > 1 THEN array_to_string(parts[1:depth - 1], '/') ELSE '' END AS parent,
+         {'is_file': NOT is_dir, 'lname': lower(parts[-1]), 'name': parts[-1]} AS key
+  FROM kept
+),
+flag AS (
+  SELECT k.*, k.key = m.mk AS is_last
+  FROM keyed k JOIN (SELECT parent, max(key) AS mk FROM keyed GROUP BY parent) m ON k.parent = m.parent
+),
+anc AS (
+  SELECT path, depth, k, array_to_string(parts[1:k], '/') AS anc
+  FROM (SELECT path, depth, parts, unnest(generate_series(1, depth)) AS k FROM flag)
+),
+rend AS (
+  SELECT a.path,
+         COALESCE(string_agg(CASE WHEN f.is_last THEN '    ' ELSE '│   ' END, '' ORDER BY a.k)
+                  FILTER (WHERE a.k < a.depth), '')
+           || max(CASE WHEN a.k = a.depth THEN (CASE WHEN f.is_last THEN '└── ' ELSE '├── ' END) || f.name END) AS line,
+         list(f.key ORDER BY a.k) AS sort_key
+  FROM anc a JOIN flag f ON f.path = a.anc
+  GROUP BY a.path
+)
+"""
+
+ORACLE_SQL["tree_nodes"] = f"""
+WITH {PAGES_CTE}
+SELECT path, depth, name, is_dir, is_last FROM flag
+"""
+
+ORACLE_SQL["tree_listing"] = f"""
+WITH {PAGES_CTE}
+SELECT CAST(0 AS BIGINT) AS line_no, 'site/' AS line
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY sort_key) AS BIGINT) AS line_no, line FROM rend
+"""
+
+ORACLE_SQL["project_root_join"] = f"""
+WITH {PAGES_CTE},
+files AS (SELECT DISTINCT path FROM pp WHERE NOT is_dir),
+mk AS (
+  SELECT DISTINCT dir, kind FROM (
+    SELECT string_split(path, '/')[1] AS dir, 'git' AS kind FROM pp WHERE scheme = 'https'
+    UNION ALL
+    SELECT array_to_string(string_split(path, '/')[1:2], '/') AS dir, 'project' AS kind
+    FROM pp WHERE has_query AND len(string_split(path, '/')) >= 3
+  )
+),
+fd AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files),
+an AS (
+  SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS anc
+  FROM (SELECT dir, unnest(generate_series(1, len(string_split(dir, '/')))) AS k
+        FROM (SELECT DISTINCT dir FROM fd WHERE dir <> ''))
+),
+best AS (
+  SELECT dir, anc AS root FROM (
+    SELECT a.dir, a.anc, row_number() OVER (PARTITION BY a.dir ORDER BY (m.kind = 'project') DESC, length(a.anc) DESC) AS rn
+    FROM an a JOIN mk m ON m.dir = a.anc
+  ) WHERE rn = 1
+)
+SELECT fd.path, b.root, COALESCE(b.root, 'global') AS project FROM fd LEFT JOIN best b ON fd.dir = b.dir
+"""
+
+ORACLE_SQL["config_merge"] = r"""
+WITH pl AS (
+  SELECT 'p' || CAST(user_id AS VARCHAR) AS project, props AS json FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
+  ) WHERE rn = 1
+),
+pkv AS (
+  SELECT project, key, json_extract_string(json, '$."' || key || '"') AS value, 2 AS layer
+  FROM (SELECT project, json, unnest(json_keys(json)) AS key FROM pl WHERE json_valid(json))
+),
+d AS (
+  SELECT * FROM (VALUES ('daily_limit', '200000'),
+                        ('exclude_patterns', '["node_modules",".git","__pycache__","venv",".env"]')) t(key, value)
+),
+dkv AS (
+  SELECT pl.project, d.key, d.value, 0 AS layer FROM pl CROSS JOIN d
+  WHERE NOT EXISTS (SELECT 1 FROM pkv WHERE pkv.project = pl.project AND pkv.key = d.key)
+),
+allkv AS (SELECT * FROM pkv UNION ALL SELECT * FROM dkv)
+SELECT a.project, a.key, a.value, CAST(a.layer AS INTEGER) AS layer,
+       (pl.json IS NOT NULL AND NOT json_valid(pl.json)) AS bad_layer
+FROM allkv a JOIN pl ON a.project = pl.project
+"""
