@@ -20,6 +20,8 @@ from tokenloom.operators import changes as CH
 from tokenloom.operators import vectors as V
 from tokenloom.operators import tree as TR
 from tokenloom.operators import config as CF
+from tokenloom.operators import outline as O
+from tokenloom.plans import code_corpus as CC
 from tokenloom.plans import domain
 
 # Parameters of the registered queries (also used by plans/oracle.py).
@@ -148,6 +150,37 @@ def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CF.merge_layers(domain.project_layers(spark, sf_dir))
 
 
+def outline_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = CC.code_files(spark, sf_dir)
+    return O.python_outline(files.filter(F.col("path").endswith(".py")))
+
+
+def outline_js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.functions import paths as P
+
+    files = CC.code_files(spark, sf_dir)
+    return O.js_outline(files.filter(P.brace_lang("path").isNotNull()))
+
+
+def function_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.function_blocks(CC.code_files(spark, sf_dir), CC.block_requests(spark, sf_dir))
+
+
+def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokenloom.functions import paths as P
+
+    files = CC.code_files(spark, sf_dir)
+    view = O.reduced_view(files)
+    raw = files.select("path", T.token_estimate("content").alias("raw_tokens"),
+                       F.lower(P.suffix(P.name("path"))).alias("ext"))
+    j = raw.join(view, "path")
+    return (j.groupBy("ext", "stage")
+            .agg(F.count(F.lit(1)).alias("files"),
+                 F.sum("raw_tokens").cast("bigint").alias("raw_tokens"),
+                 F.sum("tokens").cast("bigint").alias("reduced_tokens"))
+            .withColumn("ratio", F.col("reduced_tokens") / F.col("raw_tokens")))
+
+
 QUERIES: dict[str, Query] = {
     "budget_status_daily": budget_status_daily,
     "budget_admission": budget_admission,
@@ -171,4 +204,8 @@ QUERIES: dict[str, Query] = {
     "tree_listing": tree_listing,
     "project_root_join": project_root_join,
     "config_merge": config_merge,
+    "outline_python": outline_python,
+    "outline_js": outline_js,
+    "function_blocks": function_blocks,
+    "reduction_report": reduction_report,
 }

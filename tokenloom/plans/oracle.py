@@ -472,3 +472,109 @@ SELECT a.project, a.key, a.value, CAST(a.layer AS INTEGER) AS layer,
        (pl.json IS NOT NULL AND NOT json_valid(pl.json)) AS bad_layer
 FROM allkv a JOIN pl ON a.project = pl.project
 """
+
+# --- synthetic code corpus: outlines and blocks in closed form ---------------------------------
+from tokenloom.plans import code_corpus as _CC  # noqa: E402  (template text = input derivation)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_SQL_SLOTS = {
+    "K": "CAST(p_partkey AS VARCHAR)",
+    "S": "CAST(p_size AS VARCHAR)",
+    "NAME": "replace(p_name, ' ', '_')",
+    "TYPE": "lower(p_type)",
+    "CENTS": "CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS VARCHAR)",
+    "DEC": ("(CASE p_partkey % 3 WHEN 0 THEN " + _q(_CC.DEC_PROPERTY) + " WHEN 1 THEN "
+            + _q("    @cache(\n        maxsize=") + " || CAST(p_size AS VARCHAR) || " + _q(")\n") + " ELSE '' END)"),
+    "NEST": "(CASE WHEN p_partkey % 4 = 0 THEN " + _q(_CC.NEST) + " ELSE '' END)",
+}
+
+
+def _render_sql(template: str) -> str:
+    return "(" + " || ".join(_q(t) if kind == "lit" else _SQL_SLOTS[t] for kind, t in _CC.tokens_of(template)) + ")"
+
+
+NL = "chr(10)"
+K = "CAST(p_partkey AS VARCHAR)"
+BRAND = "lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'))"
+PY_PATH = f"('code/' || {BRAND} || '/part_' || {K} || '.py')"
+JS_PATH = f"('web/' || {BRAND} || '/part' || {K} || CASE WHEN p_partkey % 2 = 1 THEN '.ts' ELSE '.js' END)"
+MSG = "printf('# Function ''%s'' could not be extracted accurately. Use raw read or check name.', {})"
+
+PY_OUTLINE = (f"('def make_' || {K} || '(size=' || CAST(p_size AS VARCHAR) || '): ...' || {NL}"
+              f" || 'class Part' || {K} || '(object): ...' || {NL}"
+              f" || 'def __init__(self, size): ...' || {NL}"
+              f" || (CASE p_partkey % 3 WHEN 0 THEN '@property' || {NL}"
+              f"      WHEN 1 THEN '@cache(' || {NL} || 'maxsize=' || CAST(p_size AS VARCHAR) || ')' || {NL} ELSE '' END)"
+              f" || 'def price(self, ...' || {NL}"
+              f" || 'async def fetch(self): return ' || {K} || ' ...' || {NL}"
+              f" || 'def big_' || {K} || '(): ...')")
+
+JS_OUTLINE = (f"('export function price' || {K} || '(qty) {{ ...' || {NL}"
+              f" || 'class Part' || {K} || ' extends Base {{ ...' || {NL}"
+              f" || 'constructor(size) {{ ...' || {NL}"
+              f" || 'async load(id) {{ ...' || {NL}"
+              f" || 'get label() {{ return \"' || replace(p_name, ' ', '_') || '\"; }} ...' || {NL}"
+              f" || 'export const make' || {K} || ' = (size) => new Part' || {K} || '(size); ...' || {NL}"
+              f" || 'items.forEach((item) => {{ ...')")
+
+CENTS = "CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS VARCHAR)"
+PY_PRICE_BLOCK = (f"((CASE p_partkey % 3 WHEN 0 THEN '    @property' || {NL}"
+                  f"   WHEN 1 THEN '    @cache(' || {NL} || '        maxsize=' || CAST(p_size AS VARCHAR) || ')' || {NL}"
+                  f"   ELSE '' END)"
+                  f" || '    def price(self,' || {NL} || '              qty=1):' || {NL}"
+                  f" || (CASE WHEN p_partkey % 4 = 0 THEN '        def helper(x):' || {NL} || '            return x' || {NL}"
+                  f"     ELSE '' END)"
+                  f" || '        return qty * ' || {CENTS})")
+PY_HELPER_BLOCK = f"('        def helper(x):' || {NL} || '            return x')"
+JS_LOAD_BLOCK = (f"('async load(id) {{' || {NL} || '    const url = `/parts/${{id}}?q={{`;' || {NL}"
+                 f" || '    return fetch(url);' || {NL} || '  }}')")
+JS_PRICE_BLOCK = (f"('function price' || {K} || '(qty) {{' || {NL} || '  const inner = (x) => x * 2;' || {NL}"
+                  f" || '  return qty * ' || {CENTS} || ';' || {NL} || '}}')")
+
+ORACLE_SQL["outline_python"] = f"""
+SELECT path, text, {tokens('text')} AS tokens
+FROM (SELECT {PY_PATH} AS path, {PY_OUTLINE} AS text FROM part)
+"""
+
+ORACLE_SQL["outline_js"] = f"""
+SELECT path, text, {tokens('text')} AS tokens
+FROM (SELECT {JS_PATH} AS path, {JS_OUTLINE} AS text FROM part)
+"""
+
+ORACLE_SQL["function_blocks"] = f"""
+WITH r AS (
+  SELECT {PY_PATH} AS path, 'price' AS name, {PY_PRICE_BLOCK} AS block FROM part
+  UNION ALL
+  SELECT {PY_PATH}, 'helper', CASE WHEN p_partkey % 4 = 0 THEN {PY_HELPER_BLOCK} END FROM part
+  UNION ALL
+  SELECT {PY_PATH}, 'Part' || {K}, NULL FROM part
+  UNION ALL
+  SELECT {JS_PATH}, 'load', {JS_LOAD_BLOCK} FROM part
+  UNION ALL
+  SELECT {JS_PATH}, 'price' || {K}, {JS_PRICE_BLOCK} FROM part
+  UNION ALL
+  SELECT {JS_PATH}, 'missing', NULL FROM part
+)
+SELECT path, name, COALESCE(block, {MSG.format('name')}) AS text,
+       CASE WHEN block IS NOT NULL THEN {tokens('block')} ELSE CAST(0 AS BIGINT) END AS tokens,
+       block IS NOT NULL AS found
+FROM r
+"""
+
+ORACLE_SQL["reduction_report"] = f"""
+WITH f AS (
+  SELECT '.py' AS ext, 'py_outline' AS stage, {tokens(_render_sql(_CC.PY_TEMPLATE))} AS raw_tokens,
+         {tokens(PY_OUTLINE)} AS reduced FROM part
+  UNION ALL
+  SELECT CASE WHEN p_partkey % 2 = 1 THEN '.ts' ELSE '.js' END, 'js_outline',
+         {tokens(_render_sql(_CC.JS_TEMPLATE))}, {tokens(JS_OUTLINE)} FROM part
+)
+SELECT ext, stage, COUNT(*) AS files, CAST(SUM(raw_tokens) AS BIGINT) AS raw_tokens,
+       CAST(SUM(reduced) AS BIGINT) AS reduced_tokens,
+       SUM(reduced) / SUM(raw_tokens) AS ratio
+FROM f GROUP BY ext, stage
+"""
