@@ -92,9 +92,10 @@ def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.per_file(_matches(spark, sf_dir)[0])
 
 
-INDEX_COLS = ["project", "doc_id", "path", F.sha2("content", 256).alias("content_sha"),
-              F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"),
-              F.col("embedding").isNotNull().alias("has_embedding")]
+def index_cols() -> list:
+    return ["project", "doc_id", "path", F.sha2("content", 256).alias("content_sha"),
+            F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"),
+            F.col("embedding").isNotNull().alias("has_embedding")]
 
 
 def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,14 +111,14 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir)).select(*INDEX_COLS)
+    return V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir)).select(*index_cols())
 
 
 def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir))
     gone = (CH.latest_change(domain.changes(spark, sf_dir)).filter(F.col("op") == "deleted")
             .select(F.sha2("path", 256).alias("doc_id")))
-    return V.delete(idx, gone).select(*INDEX_COLS)
+    return V.delete(idx, gone).select(*index_cols())
 
 
 def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,7 @@ def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CH.sync_index(domain.vectors(spark, sf_dir), domain.changes(spark, sf_dir)).select(*INDEX_COLS)
+    return CH.sync_index(domain.vectors(spark, sf_dir), domain.changes(spark, sf_dir)).select(*index_cols())
 
 
 TREE_ROOT = "site"
