@@ -10,22 +10,30 @@ from tokenloom.operators import vectors as V
 
 
 def latest_change(changes: DataFrame) -> DataFrame:
-    """The last change of each path by (ts, seq) — an aggregate with map-side combine, so a
-    path with a huge history never needs its whole history in one task."""
-    cols = [c for c in changes.columns if c != "path"]
-    agg = changes.groupBy("path").agg(
-        F.max_by(F.struct(*cols), F.struct("ts", "seq")).alias("_r"))
-    return agg.select("path", "_r.*")
+    """The last change of each path by (ts, seq).
+
+    Two hash aggregates with map-side combine (latest ts, then the largest seq at that ts), each
+    followed by a left-semi join, so a path with a huge history never needs its history in one
+    task. Run it on change keys and attach texts afterwards to keep texts out of the shuffles.
+    """
+    last_ts = changes.groupBy("path").agg(F.max("ts").alias("ts"))
+    at_last = changes.join(last_ts, ["path", "ts"], "left_semi")
+    win = at_last.groupBy("path").agg(F.max("seq").alias("seq"))
+    return at_last.join(win, ["path", "seq"], "left_semi")
 
 
 def sync_index(current: DataFrame, changes: DataFrame, root_name: str = "workspace",
-               excludes=None) -> DataFrame:
+               excludes=None, attach=None) -> DataFrame:
     """Apply a change feed to the index: created/modified -> upsert of the latest text,
     deleted -> delete. Paths failing the watcher predicate are ignored; a change whose text
-    equals the indexed text is a no-op. Vectors of kept keys stay, new keys have none."""
+    equals the indexed text is a no-op. Vectors of kept keys stay, new keys have none.
+    ``attach`` adds ``content`` to change keys after the latest change is chosen."""
     kw = {} if excludes is None else {"excludes": excludes}
     valid = changes.filter(C.watch_valid("path", root_name, **kw))
-    last = latest_change(valid).withColumn("doc_id", F.sha2("path", 256))
+    last = latest_change(valid)
+    if attach is not None:          # texts joined only to the winning rows
+        last = attach(last)
+    last = last.withColumn("doc_id", F.sha2("path", 256))
     dels = last.filter(F.col("op") == "deleted").select("doc_id")
     ups = last.filter(F.col("op") != "deleted")
     cur = current.alias("cur")

@@ -94,6 +94,7 @@ def line_frame(code: DataFrame, pattern: str, comment_prefixes) -> DataFrame:
     lines = lines.withColumn("depth_after", (F.col("depth_before") + F.col("delta")).cast("int"))
     prev_m = F.lag("m").over(w)
     nonblank = F.col("m").rlike(r"[^\s]")
+    nb_n = F.when(nonblank, F.col("n"))
     cont = F.col("m").startswith(CONT_MARK)
     backslash = F.coalesce(prev_m.rlike(r"\\\s*$"), F.lit(False))
     return lines.select(
@@ -101,6 +102,8 @@ def line_frame(code: DataFrame, pattern: str, comment_prefixes) -> DataFrame:
         nonblank.alias("nonblank"),
         (nonblank & ~cont & (F.col("depth_before") <= 0) & ~backslash).alias("is_stmt"),
         F.length(F.regexp_extract("m", r"^[ \t]*", 0)).cast("int").alias("indent"),
+        F.max(nb_n).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("nb_before"),
+        F.max(nb_n).over(Window.partitionBy("path")).alias("nb_last"),
     )
 
 
@@ -115,7 +118,7 @@ def python_symbols(code: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = line_frame(code, PY_MASK, ("#",))
     stmt = lines.filter("is_stmt").select(
-        "path", "n", "m", "indent",
+        "path", "n", "m", "o", "indent", "nb_before", "nb_last",
         F.regexp_extract("m", PY_DEF, 1).alias("kind_raw"),
         F.regexp_extract("m", PY_DEF, 2).alias("name"),
         F.col("m").rlike(PY_DECORATOR).alias("is_dec"))
@@ -129,31 +132,28 @@ def python_symbols(code: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(prev_dec, F.last("_run", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)))
          .otherwise(F.col("n"))))
 
-    # Block boundary: the next statement line at or left of the definition's indentation.
+    # Block boundary: the next statement line at or left of the definition's indentation. The
+    # block ends at the last non-blank line before it (carried on the boundary row), or at the
+    # file's last non-blank line when there is no boundary.
     levels = stmt.filter(F.col("kind").isNotNull()).groupBy("path").agg(F.collect_set("indent").alias("levels"))
     per_level = stmt.join(levels, "path").select(
-        "path", "n", "indent", "kind",
+        "path", "n", "indent", "kind", "nb_before",
         F.explode(F.filter("levels", lambda lv: lv >= F.col("indent"))).alias("lv"))
     wl = Window.partitionBy("path", "lv").orderBy("n")
-    bounds = per_level.withColumn("boundary", F.lead("n").over(wl)) \
-        .filter(F.col("kind").isNotNull() & (F.col("lv") == F.col("indent"))).select("path", "n", "boundary")
+    bounds = (per_level.withColumn("boundary", F.lead("n").over(wl))
+              .withColumn("end_before_boundary", F.lead("nb_before").over(wl))
+              .filter(F.col("kind").isNotNull() & (F.col("lv") == F.col("indent")))
+              .select("path", "n", "boundary", "end_before_boundary"))
 
     defs = stmt.filter(F.col("kind").isNotNull()).join(bounds, ["path", "n"])
     wd = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.when(F.col("kind") != "class", F.coalesce("boundary", F.lit(_BIG)))).over(wd)
     defs = defs.withColumn("in_function", F.coalesce(reach > F.col("n"), F.lit(False)))
-
-    # Block end: last non-blank (masked) line before the boundary, or before the end of file.
-    last_nb = lines.select("path", "n", F.max(F.when(F.col("nonblank"), F.col("n"))).over(
-        Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)).alias("nb_before"))
-    file_last = lines.groupBy("path").agg(F.max(F.when(F.col("nonblank"), F.col("n"))).alias("nb_last"))
-    defs = (defs.join(last_nb.withColumnRenamed("n", "boundary"), ["path", "boundary"], "left")
-                .join(file_last, "path", "left")
-                .withColumn("end_line", F.when(F.col("boundary").isNull(), F.col("nb_last"))
-                            .otherwise(F.col("nb_before")).cast("int")))
+    defs = defs.withColumn("end_line", F.when(F.col("boundary").isNull(), F.col("nb_last"))
+                           .otherwise(F.col("end_before_boundary")).cast("int"))
     symbols = defs.select("path", "kind", "name", F.col("n").alias("def_line"),
                           F.col("start_line").cast("int").alias("start_line"), "end_line", "indent",
-                          "in_function")
+                          "in_function", F.col("o").alias("def_text"))
     return symbols, lines
 
 
@@ -174,8 +174,8 @@ def python_outline(code: DataFrame) -> DataFrame:
     its decorator lines; files without definitions give an empty outline."""
     syms, lines = python_symbols(code)
     kept = syms.filter(~F.col("in_function"))
-    sig = kept.join(lines.select("path", F.col("n").alias("def_line"), "o"), ["path", "def_line"]).select(
-        "path", F.col("def_line").alias("n"), F.concat(T.py_strip("o"), F.lit(SIG_SUFFIX)).alias("text"))
+    sig = kept.select("path", F.col("def_line").alias("n"),
+                      F.concat(T.py_strip("def_text"), F.lit(SIG_SUFFIX)).alias("text"))
     decs = kept.filter(F.col("start_line") < F.col("def_line")).select(
         "path", "start_line", (F.col("def_line") - 1).alias("last"))
     dec_lines = _lines_in_range(decs, lines, "start_line", "last").select("path", "n", T.py_strip("o").alias("text"))

@@ -116,18 +116,19 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir))
-    gone = (CH.latest_change(domain.changes(spark, sf_dir)).filter(F.col("op") == "deleted")
+    gone = (CH.latest_change(domain.change_keys(spark, sf_dir)).filter(F.col("op") == "deleted")
             .select(F.sha2("path", 256).alias("doc_id")))
     return V.delete(idx, gone).select(*index_cols())
 
 
 def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = CH.latest_change(domain.changes(spark, sf_dir))
+    last = domain.change_texts(spark, sf_dir)(CH.latest_change(domain.change_keys(spark, sf_dir)))
     return last.select("path", "op", "seq", F.sha2("content", 256).alias("content_sha"))
 
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CH.sync_index(domain.vectors(spark, sf_dir), domain.changes(spark, sf_dir)).select(*index_cols())
+    return CH.sync_index(domain.vectors(spark, sf_dir), domain.change_keys(spark, sf_dir),
+                         attach=domain.change_texts(spark, sf_dir)).select(*index_cols())
 
 
 TREE_ROOT = "site"

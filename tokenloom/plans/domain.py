@@ -45,7 +45,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> corpus(project, path, content, status): one file per document."""
     from tokenloom.functions import text as T
 
-    docs = read_table(spark, sf_dir, "documents")
+    from tokenloom.session import spread
+
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     content = T.normalize_newlines("text")
     return docs.select(
         F.col("doc_id").alias("src_id"),
@@ -91,54 +93,38 @@ def index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGE_OPS = {"signup": "created", "error": "deleted"}   # every other type is 'modified'
 
 
-def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> change feed over corpus paths: each event touches the file of document
-    ``user_id``; created/modified rows carry a new revision of its text."""
-    from tokenloom.functions import text as T
-
+def change_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> change feed without texts: (path, op, ts, seq, _doc). Each event touches the
+    file of document ``user_id``; created/modified rows get a new revision of its text."""
     ev = read_table(spark, sf_dir, "events")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    j = ev.join(docs, ev["user_id"] == docs["doc_id"], "inner")
+    meta = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    j = ev.join(meta, ev["user_id"] == meta["doc_id"], "inner")
     op = F.lit("modified")
     for t, o in CHANGE_OPS.items():
         op = F.when(F.col("event_type") == t, F.lit(o)).otherwise(op)
-    content = F.concat(T.normalize_newlines("text"), F.lit("\n# rev "), F.col("event_id").cast("string"))
     return j.select(
         corpus_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("path"),
         op.alias("op"),
-        F.when(op != "deleted", content).alias("content"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
+        F.col("doc_id").alias("_doc"),
     )
 
 
-def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages.url -> path table: scheme, query and fragment removed; a trailing '/' marks a
-    directory. Also returns the scheme and whether a query string was present."""
-    p = read_table(spark, sf_dir, "pages")
-    m = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://([^?#]*)", 2)
-    return p.select(
-        F.regexp_replace(m, "/+$", "").alias("path"),
-        m.endswith("/").alias("is_dir"),
-        F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)).alias("scheme"),
-        F.col("url").contains("?").alias("has_query"),
-    ).filter(F.col("path") != "")
-
-
-def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marker table derived from pages: an https host is a git checkout; the language folder
-    (host/lang) of a page with a query string holds a project marker."""
-    pp = page_paths(spark, sf_dir)
-    parts = F.split("path", "/")
-    git = pp.filter((F.col("scheme") == "https")).select(F.element_at(parts, 1).alias("dir"),
-                                                          F.lit("git").alias("kind"))
-    proj = pp.filter(F.col("has_query") & (F.size(parts) >= 3)).select(
-        F.array_join(F.slice(parts, 1, 2), "/").alias("dir"), F.lit("project").alias("kind"))
-    return git.unionByName(proj).distinct()
-
-
-def project_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events.props -> one project config text per project: the latest write wins."""
-    ev = read_table(spark, sf_dir, "events")
-    latest = ev.groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("json"))
-    return latest.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"), "json")
+def change_texts(spark: SparkSession, sf_dir: str):
+    """A function attaching ``content`` to change keys (after the rows have been chosen, so
+    only surviving rows carry a text)."""
+    from tokenloom.functions import text as T
+
+    def attach(keys: DataFrame) -> DataFrame:
+        text = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), "text")
+        content = F.concat(T.normalize_newlines("text"), F.lit("\n# rev "), F.col("seq").cast("string"))
+        return keys.join(text, "_doc", "inner").select(
+            "path", "op", F.when(F.col("op") != "deleted", content).alias("content"), "ts", "seq")
+
+    return attach
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full change feed (path, op, content, ts, seq)."""
+    return change_texts(spark, sf_dir)(change_keys(spark, sf_dir))

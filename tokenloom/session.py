@@ -59,3 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tokenloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def spread(df, *keys):
+    """Hash-spread a frame whose scan produced fewer partitions than the cluster has cores.
+
+    A single large parquet file with one row group gives one scan task; CPU-heavy per-row work
+    (regex, line matching) would then run on one core. On a cluster scan the split count is
+    already far above the core count and this is a no-op (no extra shuffle).
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys) if keys else df.repartition(n)
