@@ -183,6 +183,29 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("ratio", F.col("reduced_tokens") / F.col("raw_tokens")))
 
 
+RETRIEVAL_K = 7    # asked for; clamped to 5 like the search tool
+
+
+def knn_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full retrieval: top-k per query (k clamped) -> the hit's current reduced view (or a
+    shortened snippet for hits without a path) -> tokens per hit and per query."""
+    from pyspark.sql import Window
+
+    vec = domain.vectors(spark, sf_dir)
+    queries = V.centroids(vec, "label").withColumnRenamed("label", "query_id")
+    hits = V.knn_batch(vec, queries, V.clamp_k(RETRIEVAL_K))
+    corp = domain.corpus(spark, sf_dir)
+    hit_files = corp.join(hits.select("path").distinct(), "path", "left_semi")
+    view = O.reduced_view(hit_files)
+    snip = vec.select("doc_id", T.snippet("content", "path").alias("_snip"))
+    j = hits.join(view, "path", "left").join(snip, "doc_id", "left")
+    text = F.when(F.col("path").isNotNull(), F.col("text")).otherwise(F.col("_snip"))
+    tokens = F.when(F.col("path").isNotNull(), F.col("tokens")).otherwise(F.lit(0)).cast("bigint")
+    out = j.select("query_id", "rank", "doc_id", "path", F.coalesce("stage", F.lit("snippet")).alias("stage"),
+                   F.sha2(text, 256).alias("content_sha"), tokens.alias("tokens"))
+    return out.withColumn("query_tokens", F.sum("tokens").over(Window.partitionBy("query_id")).cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     "budget_status_daily": budget_status_daily,
     "budget_admission": budget_admission,
@@ -210,4 +233,5 @@ QUERIES: dict[str, Query] = {
     "outline_js": outline_js,
     "function_blocks": function_blocks,
     "reduction_report": reduction_report,
+    "knn_retrieval": knn_retrieval,
 }

@@ -578,3 +578,33 @@ SELECT ext, stage, COUNT(*) AS files, CAST(SUM(raw_tokens) AS BIGINT) AS raw_tok
        SUM(reduced) / SUM(raw_tokens) AS ratio
 FROM f GROUP BY ext, stage
 """
+
+# Full retrieval: the reduced view of a prose file is its comment-strip view, except that a
+# '.py' file (no definitions in prose) has the empty outline.
+ORACLE_SQL["knn_retrieval"] = f"""
+WITH {VEC_CTE},
+q AS ({CENTROID.format(key="label")}),
+d AS (SELECT q.query_id, v.doc_id, v.path, v.content, {L2SQ} AS d FROM vec v, q),
+top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM d)
+  WHERE rank <= 5
+),
+v AS (
+  SELECT t.*,
+         CASE WHEN t.path IS NULL THEN 'snippet'
+              WHEN ends_with(t.path, '.py') THEN 'py_outline' ELSE 'stripped' END AS stage,
+         CASE WHEN t.path IS NULL THEN (CASE WHEN length(t.content) > 500
+                                             THEN substring(t.content, 1, 500) || chr(10) || '...[Content Truncated]'
+                                             ELSE t.content END)
+              WHEN ends_with(t.path, '.py') THEN ''
+              ELSE array_to_string(list_filter({splitlines("regexp_replace(t.content, '#[^\\n]*', '', 'g')")},
+                                   lambda l: regexp_matches(l, '[^{SPACE}]')), chr(10)) END AS text
+  FROM top t
+)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, path, stage,
+       sha256(text) AS content_sha,
+       CASE WHEN path IS NULL THEN CAST(0 AS BIGINT) ELSE {tokens('text')} END AS tokens,
+       CAST(SUM(CASE WHEN path IS NULL THEN CAST(0 AS BIGINT) ELSE {tokens('text')} END)
+            OVER (PARTITION BY query_id) AS BIGINT) AS query_tokens
+FROM v
+"""
