@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tokenloom.sources.tables import TABLES
 from tools.oracle_check import _norm
 
-NAMES = sorted(E.queries())
+NAMES = sorted(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,9 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    from tokenloom.plans import catalog, oracle
+
+    assert set(oracle.ORACLE_SQL) == set(catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
