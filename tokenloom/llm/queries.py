@@ -7,9 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import url_filter
+from tokenloom.llm import fingerprints, url_filter
 from tokenloom.llm.common import table
 
+# ---- operator 2 ---------------------------------------------------------------------------------
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("fp", fingerprints.fingerprint(F.col("text")))
+    rows = fingerprints.with_next(docs, ["text", "fp"])
+    rows = rows.select("doc_id", "text", "fp", F.col("next.fp").alias("next_fp"),
+                       fingerprints.edited(F.col("text"), F.col("next.text")).alias("edited"))
+    rows = rows.withColumn("edited_fp", fingerprints.fingerprint(F.col("edited")))
+    return rows.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fp")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+
+
 # ---- operator 6 ---------------------------------------------------------------------------------
 
 # The rules the query is asked to apply.
@@ -50,6 +67,7 @@ FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fingerprints": op2_fingerprints,
     "op6_url_filter": op6_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
