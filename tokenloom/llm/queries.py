@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import fingerprints, url_filter
-from tokenloom.llm.common import table
+from tokenloom.llm import fingerprints, language, quality, url_filter
+from tokenloom.llm.common import fold, table
 
 # ---- operator 2 ---------------------------------------------------------------------------------
 
@@ -27,6 +27,15 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
+# ---- operator 5 ---------------------------------------------------------------------------------
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.fit(docs.where(fold("doc_id", 4) != 2))
+    docs = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
+    return language.predict(docs, prototypes, keep=("doc_id", "held_out"))
+
+
 # ---- operator 6 ---------------------------------------------------------------------------------
 
 # The rules the query is asked to apply.
@@ -66,9 +75,21 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
+# ---- operator 7 ---------------------------------------------------------------------------------
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    docs = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text")
+    return quality.score(docs, field).select("doc_id", "held_out", "score",
+                                             F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
+    "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
+    "op7_quality": op7_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
