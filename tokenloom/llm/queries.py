@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import fingerprints, language, quality, url_filter
+from tokenloom.llm import fingerprints, language, quality, suffix_dedup, url_filter
 from tokenloom.llm.common import fold, table
 
+# ---- operator 1 ---------------------------------------------------------------------------------
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 # ---- operator 2 ---------------------------------------------------------------------------------
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +93,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
