@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import fingerprints, language, quality, suffix_dedup, url_filter
+from tokenloom.llm import decontaminate, fingerprints, language, quality, suffix_dedup, url_filter
 from tokenloom.llm.common import fold, table
 
 # ---- operator 1 ---------------------------------------------------------------------------------
@@ -92,12 +92,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+# ---- operator 10 --------------------------------------------------------------------------------
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, r: a + (r["last"] - r["first"]))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
