@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import decontaminate, fingerprints, language, quality, suffix_dedup, url_filter
+from tokenloom.llm import decontaminate, fingerprints, jaccard_join, language, quality, suffix_dedup, url_filter
 from tokenloom.llm.common import fold, table
 
 # ---- operator 1 ---------------------------------------------------------------------------------
@@ -92,6 +92,32 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+# ---- operator 8 ---------------------------------------------------------------------------------
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_shingles", "n_copies", "n_links", "n_text_links")
+
+
+OP8_SQL = """
+WITH RECURSIVE
+w AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '\\s+') if x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM w),
+c AS (SELECT min(doc_id) AS c, count(*) AS copies, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+e AS (SELECT c, copies, len(s) AS n, unnest(s) AS g FROM c),
+p AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS an, any_value(b.n) AS bn, any_value(b.copies) AS copies, count(*) AS k
+      FROM e a JOIN e b ON a.g = b.g AND a.c <> b.c GROUP BY a.c, b.c),
+l AS (SELECT a, b, copies FROM p WHERE k >= 0.8 * (an + bn - k) - 1e-9),
+r(a, b) AS (SELECT c, c FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a AS c, min(b) AS class_id FROM r GROUP BY a),
+n AS (SELECT a AS c, count(*) AS t, sum(copies) AS d FROM l GROUP BY a)
+SELECT s.doc_id, coalesce(g.class_id, s.doc_id) AS class_id, len(s.s) AS n_shingles, coalesce(c.copies, 1) AS n_copies,
+       coalesce(n.d, 0) + coalesce(c.copies, 1) - 1 AS n_links, coalesce(n.t, 0) AS n_text_links
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN g ON g.c = c.c LEFT JOIN n ON n.c = c.c
+"""
+
+
 # ---- operator 10 --------------------------------------------------------------------------------
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +135,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
