@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import decontaminate, fingerprints, jaccard_join, language, quality, suffix_dedup, url_filter
+from tokenloom.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, quality, suffix_dedup, url_filter
 from tokenloom.llm.common import fold, table
 
 # ---- operator 1 ---------------------------------------------------------------------------------
@@ -34,6 +34,37 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
+# ---- operator 3 ---------------------------------------------------------------------------------
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"),
+                      F.size("removed_runs").cast("bigint").alias("n_runs"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP3_CTE = f"""
+raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+al AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM raw),
+l AS (SELECT doc_id, line, line_no, len([x for x in regexp_split_to_array(line, '\\s+') if x <> '']) AS w FROM al),
+q AS (SELECT doc_id, line, line_no, w, row_number() OVER d AS i, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3,
+             lead(w, 1) OVER d AS w2, lead(w, 2) OVER d AS w3 FROM l WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line_no)),
+n AS (SELECT doc_id, i, line_no, CASE WHEN w >= {line_dedup.MIN_WORDS} THEN 1 WHEN w + w2 >= {line_dedup.MIN_WORDS} THEN 2 WHEN l3 IS NOT NULL THEN 3 END AS need, line, l2, l3 FROM q),
+f AS (SELECT doc_id, i, need, row_number() OVER (PARTITION BY need, line, CASE WHEN need > 1 THEN l2 END, CASE WHEN need > 2 THEN l3 END ORDER BY doc_id, i) AS nth
+      FROM n WHERE need IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(need)) AS k FROM f WHERE nth > 1)),
+isl AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM g),
+runs AS (SELECT isl.doc_id, grp, min(line_no) AS lo, max(line_no) AS hi FROM isl JOIN n ON n.doc_id = isl.doc_id AND n.i = isl.i GROUP BY isl.doc_id, grp),
+gone AS (SELECT DISTINCT al.doc_id, al.line_no FROM al JOIN runs ON runs.doc_id = al.doc_id AND al.line_no BETWEEN lo AND hi),
+kept AS (SELECT al.doc_id, string_agg(al.line, chr(10) ORDER BY al.line_no) AS kept FROM al ANTI JOIN gone ON gone.doc_id = al.doc_id AND gone.line_no = al.line_no GROUP BY al.doc_id)
+"""
+OP3_SQL = f"""
+WITH {OP3_CTE}
+SELECT raw.doc_id, len(ls) AS n_lines, coalesce(r.gone, 0) AS n_removed, coalesce(r.runs, 0) AS n_runs, sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM raw LEFT JOIN kept ON kept.doc_id = raw.doc_id
+LEFT JOIN (SELECT doc_id, sum(hi - lo + 1) AS gone, count(*) AS runs FROM runs GROUP BY doc_id) r ON r.doc_id = raw.doc_id
+"""
+
+
 # ---- operator 5 ---------------------------------------------------------------------------------
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +163,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
+    "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
@@ -139,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op6_url_filter": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
 }
