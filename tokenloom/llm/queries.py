@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, quality, suffix_dedup, url_filter
+from tokenloom.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, mixing, quality, suffix_dedup, url_filter, warc
 from tokenloom.llm.common import fold, table
 
 # ---- operator 1 ---------------------------------------------------------------------------------
@@ -65,6 +65,23 @@ LEFT JOIN (SELECT doc_id, sum(hi - lo + 1) AS gone, count(*) AS runs FROM runs G
 """
 
 
+# ---- operator 4 ---------------------------------------------------------------------------------
+
+# Domains of the labelled table, and the share of tokens that each is to have.
+MIX_TARGETS = {"good": 0.90, "toxic": 0.02, "low": 0.08}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """labels -> (doc_id, domain); rows without a quality are not labelled."""
+    return labels.where("quality is not null").select(
+        "doc_id", F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").otherwise("good").alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return out.select("doc_id", "n_tokens", "domain", *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(sorted(MIX_TARGETS))], "rate")
+
+
 # ---- operator 5 ---------------------------------------------------------------------------------
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +166,12 @@ FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN g ON g.c = c.c LEFT JOIN n
 """
 
 
+# ---- operator 9 ---------------------------------------------------------------------------------
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 # ---- operator 10 --------------------------------------------------------------------------------
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +187,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_quality": op7_quality,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
