@@ -267,3 +267,30 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, text_col: st
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"),
         F.coalesce(F.col("docs") + F.col("copies") - 1, F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"))
+
+
+def dedup(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every group of linked texts: the one with the smallest id (null ids last,
+    ties by the hash of the text). Rows without shingles stay."""
+    links = materialize(join(docs, threshold, text_col=text_col).where("group_key is not null")
+                        .select("group_key", "doc_id", "t1", "t2"), "joined")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
+    first = materialize(links.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "firsts")
+    judged = links.join(first, "group_key").select("doc_id", "t1", "t2", (place == F.col("first")).alias("stays"))
+    judged = materialize(judged.groupBy("doc_id", "t1", "t2").agg(F.max("stays").alias("stays")), "copies")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(judged.select("t1"), "t1", LOG2_BLOCKS))
+
+    @F.pandas_udf("boolean")
+    def listed(block, key):
+        import pandas as pd
+        return pd.Series(bloom.probe(shared.value, block.to_numpy(), key.to_numpy()))
+
+    body = F.coalesce(text_col, F.lit(""))
+    keyed = docs.withColumns({"_t1": F.xxhash64(body), "_t2": F.xxhash64(F.lit(7), body)}).withColumn("_b", bloom.block_of("_t1", LOG2_BLOCKS))
+    hit = listed("_b", "_t1")
+    d = judged.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_j1"), F.col("t2").alias("_j2"), F.col("stays").alias("_stays"))
+    near = keyed.where(hit).drop("_b")
+    near = near.join(d, near["doc_id"].eqNullSafe(d["_id"]) & (near["_t1"] == d["_j1"]) & (near["_t2"] == d["_j2"]), "left")
+    near = materialize(near.where("_stays is null or _stays"), "near")
+    once = near.where("_stays").dropDuplicates(["doc_id", "_t1", "_t2"])         # repeated rows of the one that stays
+    return keyed.where(~hit).select(*docs.columns).unionByName(near.where("_stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))

@@ -6,7 +6,8 @@ rate * tokens * posterior, match target totals in the least-squares sense: proje
 started at rate 1, on sum_k (T_k - t_k)^2 / N_k, where N_k are the expected tokens at rate 1.
 
 * Classifier: Bernoulli naive Bayes on the presence of the words that tell domains apart best, at most
-  FEATURES of them, each with a likelihood ratio (against the same share in all domains) of at least GAIN nats.
+  FEATURES of them, each with a likelihood ratio (against the same share in all domains) of at least GAIN nats
+  and RATIO times as frequent in one domain's documents as in the others'.
   It learns from at most MAX_LABELLED labelled rows (smallest hash of their id).
 * In the metric that weighs a document by its tokens the step is rate_d - sum_k p_dk (T_k - t_k) / N_k, and the
   step length 1 is safe whatever the data (the matrix of the quadratic form has spectral radius 1).
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import let, materialize, words
 
 FEATURES = 1_000
-GAIN = 15.0
+GAIN = 12.0
+RATIO = 4.0
 MAX_LABELLED = 20_000
 MIN_DOCS = 5
 ITERATIONS = 60
@@ -62,7 +64,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], text_col: st
         if k:
             gain = gain + F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.ln(F.col(f"c{i}") * (total / k) / F.col("c"))).otherwise(0.0)
     share = [(F.col(f"c{i}") + 0.5) / (k + 1.0) for i, k in enumerate(n)]
-    best = counts.withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "word").limit(n_features)
+    ratio = [(F.col(f"c{i}") / max(k, 1)) / ((F.col("c") - F.col(f"c{i}") + 0.5) / (total - k + 1.0)) for i, k in enumerate(n)]
+    best = counts.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.greatest(*ratio, F.lit(0.0)) >= RATIO)).orderBy(F.desc("gain"), "word").limit(n_features)
     model = materialize(best.select("word", F.array(*[F.ln(q / (1 - q)) for q in share]).alias("w"),
                                     F.array(*[F.ln(1 - q) for q in share]).alias("absent")), "features")
     absent = model.agg(*[F.sum(F.col("absent")[i]).alias(f"a{i}") for i in range(len(domains))]).first()
