@@ -88,9 +88,10 @@ def likeness(a: Column, b: Column) -> Column:
             .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(est))
 
 
-def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", per_range: int = 20_000) -> DataFrame:
-    """Every row with ``next`` = struct of ``cols`` of the row that follows by descending id (nulls
-    last, ties by the hash of ``cols``); the first row follows the last.
+def with_next(docs: DataFrame, cols: list[str], derived: dict[str, Column], id_col: str = "doc_id",
+              per_range: int = 20_000) -> DataFrame:
+    """Every row with the ``derived`` columns and with ``next`` = struct of ``cols`` and these of the row
+    that follows by descending id (nulls last, ties by the hash of ``cols``); the first row follows the last.
 
     Ids are cut into ranges of about ``per_range`` rows by quantiles and by width inside a quantile,
     and each range is ordered by itself. The first row of every following range joins the range in
@@ -118,9 +119,9 @@ def with_next(docs: DataFrame, cols: list[str], id_col: str = "doc_id", per_rang
     tops = materialize(tops.withColumnRenamed("_cell", "_to"), "tops")
     extra = (keyed.join(tops, "_key").withColumn("_cell", F.col("_to")).drop("_to")
              .withColumn("_extra", F.lit(True)))
-    rows = keyed.withColumn("_extra", F.lit(False)).unionByName(extra)
+    rows = keyed.withColumn("_extra", F.lit(False)).unionByName(extra).withColumns(derived)
     w = Window.partitionBy("_cell").orderBy("_extra", F.col("_key").desc(), "_tie")
-    return (rows.withColumn("next", F.lead(F.struct(*cols)).over(w)).where(~F.col("_extra"))
+    return (rows.withColumn("next", F.lead(F.struct(*cols, *derived)).over(w)).where(~F.col("_extra"))
             .drop("_key", "_cell", "_tie", "_extra"))
 
 

@@ -21,8 +21,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("fp", fingerprints.fingerprint(F.col("text")))
-    rows = fingerprints.with_next(docs, ["text", "fp"])
+    rows = fingerprints.with_next(docs, ["text"], {"fp": fingerprints.fingerprint(F.col("text"))})
     rows = rows.select("doc_id", "text", "fp", F.col("next.fp").alias("next_fp"),
                        fingerprints.edited(F.col("text"), F.col("next.text")).alias("edited"))
     rows = rows.withColumn("edited_fp", fingerprints.fingerprint(F.col("edited")))
