@@ -108,7 +108,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
         "text is not null and lang is not null")
     sums = (src.mapInArrow(partial, "lang string, dim int, value double")
             .groupBy("lang", "dim").agg(F.sum("value").alias("value"))).toPandas()     # DIMS rows a language
-    return {lang: g.sort_values("dim")["value"].to_numpy() for lang, g in sums.groupby("lang")}
+    out = {lang: g.sort_values("dim")["value"].to_numpy() for lang, g in sums.groupby("lang")}
+    return {lang: v for lang, v in out.items() if v.any()}
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text",

@@ -1,16 +1,16 @@
 """Operator 4: mixing sources to target weights (DataFrame functions only).
 
 A classifier learned from a labelled table gives every document a posterior over domains. Documents then get
-nonnegative rates (expected copies) so that the expected tokens of each domain, the sum over documents of
-rate * tokens * posterior, match target totals in the least-squares sense: projected gradient descent,
-started at rate 1, on sum_k (T_k - t_k)^2 / N_k, where N_k are the expected tokens at rate 1.
+nonnegative rates (expected copies) so that the expected tokens T_k of each domain, the sum over documents of
+rate * tokens * posterior, match target totals t_k in the least-squares sense: projected gradient descent,
+started at rate 1, on (T - t)' A^-1 (T - t), where A_kl is the sum of tokens * p_k * p_l.
 
 * Classifier: Bernoulli naive Bayes on the presence of the words that tell domains apart best, at most
   FEATURES of them, each with a likelihood ratio (against the same share in all domains) of at least GAIN nats
   and RATIO times as frequent in one domain's documents as in the others'.
   It learns from at most MAX_LABELLED labelled rows (smallest hash of their id).
-* In the metric that weighs a document by its tokens the step is rate_d - sum_k p_dk (T_k - t_k) / N_k, and the
-  step length 1 is safe whatever the data (the matrix of the quadratic form has spectral radius 1).
+* In the metric that weighs a document by its tokens the step is rate_d - p_d' A^-1 (T - t), and the step
+  length 1 is safe whatever the data (the matrix of the quadratic form is a projection, with eigenvalues 0 and 1).
   An iteration is one aggregate of K sums; the driver holds K numbers. Rates are a fold over the last
   iterations' K numbers and are written to the shared folder every CHAIN iterations.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,13 +95,16 @@ def rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -
     """
     K, base, pending, log_ = len(targets), materialize(rows.withColumn("rate", F.lit(1.0)), "rates"), [], []
     n = F.col("n_tokens")
-    first = base.agg(F.sum(n).alias("all"), *[F.sum(n * F.col("p")[k]).alias(f"n{k}") for k in range(K)]).first()
-    everything, expected = float(first["all"] or 0), [float(first[f"n{k}"] or 0) for k in range(K)]
-    live = [k for k in range(K) if expected[k] > 0]
+    first = base.agg(F.sum(n).alias("all"), *[F.sum(n * F.col("p")[k] * F.col("p")[j]).alias(f"a{k}_{j}")
+                                              for k in range(K) for j in range(k, K)]).first()
+    everything = float(first["all"] or 0)
+    gram = np.array([[float(first[f"a{min(k, j)}_{max(k, j)}"] or 0) for j in range(K)] for k in range(K)])
+    live = [k for k in range(K) if gram[k, k] > 0]
     scale = sum(targets[k] for k in live)
     if not everything or scale <= 0:
         return base, log_
     goal = {k: targets[k] / scale * everything for k in live}
+    inverse = np.linalg.pinv(gram[np.ix_(live, live)], hermitian=True)          # K by K numbers
 
     def current() -> Column:
         r = F.col("rate")
@@ -114,7 +118,7 @@ def rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -
         log_.append({k: float(got[f"t{k}"]) for k in live})
         if max(abs(x) for x in off.values()) <= TOLERANCE * everything:
             break
-        pending.append({k: off[k] / expected[k] for k in live})
+        pending.append(dict(zip(live, (inverse @ [off[k] for k in live]).tolist(), strict=True)))
         if len(pending) == CHAIN:
             base, pending = materialize(base.withColumn("rate", current()), "rates"), []
     return base.withColumn("rate", current()), log_
