@@ -38,6 +38,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` (also for use inside lambdas)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_newlines(c) -> Column:
     """Universal-newline read: CRLF and lone CR become LF (text-mode file read)."""
     return F.regexp_replace(_c(c), r"\r\n?", "\n")

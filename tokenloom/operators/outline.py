@@ -1,21 +1,24 @@
-"""Outlines and definition blocks as corpus-wide line-table jobs.
-
-No parser runs here. Each file is masked (comments removed, literals replaced by filler with
-their line breaks kept), exploded into a line table, and the structure is recovered with
-per-file window functions: running bracket depth, statement starts, ``lead`` per indentation
-or nesting level for block ends, running maxima for "inside a function". All windows are
-partitioned by ``path``, so one task holds at most one file's lines; every step is a
-built-in expression inside generated code.
-
-Known limits (documented): syntax errors are not detected (a file is outlined as seen);
-JS/TS regex literals are recognised heuristically; a ``{`` alone on the line after a head,
-an arrow on the line after ``=``, nested template literals and parameter lists with
-parentheses are not followed; two definitions on one line give one row.
+"""Outlines and definition blocks of source files, as folds over arrays inside each row.
+
+No parser runs here and nothing is shuffled: a file is one row, and everything is built from functions
+on its text. The text is masked first (comments become blanks, literals become filler, every character keeps
+its place), then cut into lines (Python) or into heads, brackets and separators (JS/TS) by one regular
+expression, and one fold over that list tracks bracket depth and the definition that covers the
+current place. Only requests for single blocks are joined with their files.
+
+Rules by language are a table (``LANGUAGES``), so another brace or indentation language needs its patterns only.
+
+Known limits: syntax errors are not followed, but a file whose brackets do not balance is flagged
+(``balanced``); JS/TS regex literals are recognised heuristically; parentheses are followed five levels deep
+inside a head, type arguments three; a return type with braces, nested template literals and function
+types with an arrow inside a declarator's annotation are not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import paths as P
@@ -27,299 +30,339 @@ from tokenloom.functions import text as T
 SIG_SUFFIX = " ..."
 NOT_EXTRACTED = "# Function '%s' could not be extracted accurately. Use raw read or check name."
 UNREADABLE_PREFIX = "# could not read file: "
-CONT_MARK = "\u0001"      # put after each line break inside a literal: "line starts in a literal"
+# ---------------------------------------------------------------------------------------
+
+INNER_BREAK = "\u0001"       # a line break inside a literal
 
 PY_MASK = (r'#[^\n]*'
            r'|(?:\b[rRbBuUfF]{1,2})?(?:"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
            r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
            r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
            r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+')")
-PY_DEF = r"^\s*(class|def|async\s+def)\s+([A-Za-z_]\w*)"
-PY_DECORATOR = r"^\s*@"
+PY_DEF = r"^\s*(class|def|async\s+def)\s+([\p{L}_][\p{L}\p{N}_]*)"
 
 JS_MASK = (r"//[^\n]*|/\*[\s\S]*?\*/"
            r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
            r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
            r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
            r"|(?<=[=(,:!&|?{};]\s{0,3})/(?![*/])(?:[^/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])+/[a-z]*")
-JS_FUNCTION = r"^(\s*(?:export\s+(?:default\s+)?)?)((?:async\s+)?function\s+([\w$]+))"
-JS_CLASS = r"^\s*(?:export\s+(?:default\s+)?)?class\s+([\w$]+)"
-JS_DECLARATOR = r"^(\s*(?:export\s+)?(?:const|let|var)\s+)([\w$]+)"
-JS_ARROW_DECL = r"^[^=]*=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::[^=]+)?=>"
-JS_METHOD = (r"^(\s*)((?:(?:static|async|get|set|public|private|protected|readonly|override)\s+|\*\s*)*"
-             r"(?!(?:if|for|while|switch|catch|with|function|return)\b)([\w$]+)\s*\([^()]*\)\s*(?::[^{]+)?\{)")
-OPEN_BRACKETS = r"[\(\[\{]"
-CLOSE_BRACKETS = r"[\)\]\}]"
-# ---------------------------------------------------------------------------------------
 
-_BIG = 1 << 30
-
-
-def mask(content, pattern: str, comment_prefixes=("#",)) -> Column:
-    """Comments -> '' (block comments keep their line breaks), literals -> 'x' filler with
-    their line breaks kept and each following line marked, so line numbers survive."""
-    content = F.col(content) if isinstance(content, str) else content
-    parts = F.split(content, pattern, -1)
-    lits = F.regexp_extract_all(content, F.lit(pattern), 0)
-
-    def one(lit):
-        is_line_comment = F.lit(False)
-        for p in comment_prefixes:
-            if p in ("#", "//"):
-                is_line_comment = is_line_comment | lit.startswith(p)
-        is_block_comment = lit.startswith("/*") if "/*" in comment_prefixes else F.lit(False)
-        filler = F.regexp_replace(F.regexp_replace(lit, r"[^\n]", "x"), "\n", "\n" + CONT_MARK)
-        blank_block = F.regexp_replace(lit, r"[^\n]", " ")
-        return (F.when(is_line_comment, F.lit(""))
-                .when(is_block_comment, blank_block)
-                .otherwise(filler))
-
-    tail = F.zip_with(F.transform(lits, one), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-                      lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
-
-
-def line_frame(code: DataFrame, pattern: str, comment_prefixes) -> DataFrame:
-    """(path, n, m, o, delta, depth_before, depth_after, is_stmt, indent, nonblank)."""
-    masked = mask("content", pattern, comment_prefixes)
-    z = F.arrays_zip(F.split(masked, "\n", -1).alias("m"), F.split(F.col("content"), "\n", -1).alias("o"))
-    lines = code.select("path", F.posexplode(z).alias("pos", "z")).select(
-        "path", (F.col("pos") + 1).cast("int").alias("n"),
-        F.coalesce(F.col("z.m"), F.lit("")).alias("m"), F.coalesce(F.col("z.o"), F.lit("")).alias("o"))
-    w = Window.partitionBy("path").orderBy("n")
-    delta = (F.regexp_count("m", F.lit(OPEN_BRACKETS)) - F.regexp_count("m", F.lit(CLOSE_BRACKETS))).cast("int")
-    lines = lines.withColumn("delta", delta)
-    lines = lines.withColumn("depth_before", F.coalesce(F.sum("delta").over(
-        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    lines = lines.withColumn("depth_after", (F.col("depth_before") + F.col("delta")).cast("int"))
-    prev_m = F.lag("m").over(w)
-    nonblank = F.col("m").rlike(r"[^\s]")
-    nb_n = F.when(nonblank, F.col("n"))
-    cont = F.col("m").startswith(CONT_MARK)
-    backslash = F.coalesce(prev_m.rlike(r"\\\s*$"), F.lit(False))
-    return lines.select(
-        "*",
-        nonblank.alias("nonblank"),
-        (nonblank & ~cont & (F.col("depth_before") <= 0) & ~backslash).alias("is_stmt"),
-        F.length(F.regexp_extract("m", r"^[ \t]*", 0)).cast("int").alias("indent"),
-        F.max(nb_n).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("nb_before"),
-        F.max(nb_n).over(Window.partitionBy("path")).alias("nb_last"),
-    )
 
+def _nested(open_: str, close: str, levels: int, stop: str = "") -> str:
+    """A bracketed text with the same brackets nested up to ``levels`` deep."""
+    plain = rf"[^{open_}{close}{stop}]"
+    out = rf"\{open_}{plain}*+\{close}"
+    for _ in range(levels - 1):
+        out = rf"\{open_}(?:{plain}++|{out})*+\{close}"
+    return out
+
+
+_PARENS = _nested("(", ")", 6)
+_TYPES = rf"(?:\s*{_nested('<', '>', 3, '(){};')})?"
+_NAME = r"#?[\w$]+"
+_STATEMENT = r"(?<![=(,:?&|!+\-*/%<>.\w$\[]\s{0,20})"            # not inside an expression
+_MEMBER = r"(?<=[{};,\n][ \t]{0,99})"                            # begins a member or a statement
+_ARROW = rf"(?:async\s*+)?(?:(?:{_nested('<', '>', 3, '(){};')}\s*)?{_PARENS}(?:\s*:[^=(){{}};,]++)?|(?<![\w$])[\w$]++)\s*+=>\s*+\{{?"
+_KEYWORDS = r"(?!(?:if|for|while|switch|catch|with|function|return|do|else|await|typeof|new|super)\b)"
+_MODIFIERS = r"(?:(?:static|async|get|set|public|private|protected|readonly|override|accessor)\s+|\*\s*)*"
+# kind -> pattern; the order decides. A head may span lines.
+JS_HEADS = {
+    "function": rf"(?=export|async|function){_STATEMENT}(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+{_NAME}{_TYPES}\s*{_PARENS}(?:\s*:[^{{;=]++)?\s*\{{",
+    "class": rf"(?=export|class){_STATEMENT}(?:export\s+(?:default\s+)?)?class\s+{_NAME}[^{{;]*+\{{",
+    "interface": rf"(?=export|declare|interface){_STATEMENT}(?:export\s+(?:default\s+)?)?(?:declare\s+)?interface\s+{_NAME}[^{{;]*+\{{",
+    "type": rf"(?=export|type){_STATEMENT}(?:export\s+)?type\s+{_NAME}{_TYPES}\s*=(?:[^;{{}}()\n]++|{_PARENS})*+",
+    "arrow_declarator": rf"(?=export|const|let|var)(?<![\w$.])(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*(?::[^=;]++)?=\s*{_ARROW}",
+    "declarator": rf"(?=const|let|var)(?<![\w$.])(?:const|let|var)\s+(?:{_NAME})?",
+    "method": rf"(?=[\w$#*])(?<![\w$#.]){_MEMBER}{_MODIFIERS}{_KEYWORDS}{_NAME}{_TYPES}\s*{_PARENS}(?:\s*:[^{{}};=]++)?\s*\{{",
+    "arrow": _ARROW,
+}
+JS_NAME = {
+    "function": rf"\bfunction\s+({_NAME})",
+    "arrow_declarator": rf"\b(?:const|let|var)\s+({_NAME})",
+    "declarator": rf"^(?:const|let|var)\s+({_NAME})",
+    "method": rf"^{_MODIFIERS}({_NAME})",
+}
+# what stands before a node in its head: an export, the word that opens a declaration
+JS_BEFORE = {
+    "function": r"^export\s+(?:default\s+)?",
+    "arrow_declarator": r"^(?:export\s+)?(?:const|let|var)\s+",
+    "declarator": r"^(?:const|let|var)\s+",
+}
+# a line end that ends a statement: nothing is left open before it and a new statement begins after it
+_LINE_END = r"(?=[ \t\n])(?<![-=>,(+*/&|?:\[{.<\s])[ \t]*+\n(?=\s*[\w$@\[{])"
+JS_EVENT = "|".join([*JS_HEADS.values(), r"[(\[{]", r"[)\]}]", "[;,]", _LINE_END])
+OPENING, CLOSING = r"[\(\[\{]", r"[\)\]\}]"
+
+
+@dataclass(frozen=True)
+class Language:
+    mask: str                     # comments and literals
+    line_comment: str
+    block_comment: str | None
+    block: str                    # 'indent' or 'brace'
+
+
+PYTHON = Language(PY_MASK, "#", None, "indent")
+JAVASCRIPT = Language(JS_MASK, "//", "/*", "brace")
+LANGUAGES = {".py": PYTHON, ".js": JAVASCRIPT, ".jsx": JAVASCRIPT, ".ts": JAVASCRIPT, ".tsx": JAVASCRIPT}
+
+
+def mask(content: Column, lang: Language) -> Column:
+    """The text with comments blanked and literals filled, character for character."""
+    lits = F.regexp_extract_all(content, F.lit(lang.mask), 0)
+
+    def one(lit: Column) -> Column:
+        filler = F.translate(F.regexp_replace(lit, r"[^\n]", "x"), "\n", INNER_BREAK)
+        out = F.when(lit.startswith(lang.line_comment), F.repeat(F.lit(" "), F.length(lit)))
+        if lang.block_comment:
+            out = out.when(lit.startswith(lang.block_comment), F.regexp_replace(lit, r"[^\n]", " "))
+        return out.otherwise(filler)
+
+    def whole(parts: Column) -> Column:
+        rest = F.zip_with(F.transform(lits, one), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+                          lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.concat(parts[0], F.array_join(rest, ""))
+
+    return T.let(F.split(content, lang.mask, -1), whole)
+
+
+def _delta(s: Column) -> Column:
+    return (F.regexp_count(s, F.lit(OPENING)) - F.regexp_count(s, F.lit(CLOSING))).cast("int")
 
-# ------------------------------------------------------------------------------- Python
 
+# ------------------------------------------------------------------------------- Python
 
-def python_symbols(code: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, lines) for Python files.
 
-    symbols: path, kind, name, def_line, start_line (first decorator), end_line, indent,
-    in_function.
-    """
-    lines = line_frame(code, PY_MASK, ("#",))
-    stmt = lines.filter("is_stmt").select(
-        "path", "n", "m", "o", "indent", "nb_before", "nb_last",
-        F.regexp_extract("m", PY_DEF, 1).alias("kind_raw"),
-        F.regexp_extract("m", PY_DEF, 2).alias("name"),
-        F.col("m").rlike(PY_DECORATOR).alias("is_dec"))
-    stmt = stmt.withColumn("kind", F.when(F.col("kind_raw") == "", None)
-                           .otherwise(F.regexp_replace("kind_raw", r"\s+", " ")))
-    ws = Window.partitionBy("path").orderBy("n")
-    prev_dec = F.coalesce(F.lag("is_dec").over(ws), F.lit(False))
-    stmt = stmt.withColumn("_run", F.when(F.col("is_dec") & ~prev_dec, F.col("n")))
-    stmt = stmt.withColumn("start_line", F.when(
-        F.col("kind").isNotNull(),
-        F.when(prev_dec, F.last("_run", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1)))
-         .otherwise(F.col("n"))))
-
-    # Block boundary: the next statement line at or left of the definition's indentation. The
-    # block ends at the last non-blank line before it (carried on the boundary row), or at the
-    # file's last non-blank line when there is no boundary.
-    levels = stmt.filter(F.col("kind").isNotNull()).groupBy("path").agg(F.collect_set("indent").alias("levels"))
-    per_level = stmt.join(levels, "path").select(
-        "path", "n", "indent", "kind", "nb_before",
-        F.explode(F.filter("levels", lambda lv: lv >= F.col("indent"))).alias("lv"))
-    wl = Window.partitionBy("path", "lv").orderBy("n")
-    bounds = (per_level.withColumn("boundary", F.lead("n").over(wl))
-              .withColumn("end_before_boundary", F.lead("nb_before").over(wl))
-              .filter(F.col("kind").isNotNull() & (F.col("lv") == F.col("indent")))
-              .select("path", "n", "boundary", "end_before_boundary"))
-
-    defs = stmt.filter(F.col("kind").isNotNull()).join(bounds, ["path", "n"])
-    wd = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(F.col("kind") != "class", F.coalesce("boundary", F.lit(_BIG)))).over(wd)
-    defs = defs.withColumn("in_function", F.coalesce(reach > F.col("n"), F.lit(False)))
-    defs = defs.withColumn("end_line", F.when(F.col("boundary").isNull(), F.col("nb_last"))
-                           .otherwise(F.col("end_before_boundary")).cast("int"))
-    symbols = defs.select("path", "kind", "name", F.col("n").alias("def_line"),
-                          F.col("start_line").cast("int").alias("start_line"), "end_line", "indent",
-                          "in_function", F.col("o").alias("def_text"))
-    return symbols, lines
-
-
-def _lines_in_range(ranges: DataFrame, lines: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Rows of ``lines`` whose number lies in [lo, hi] of each range row (equi-join on the
-    exploded line numbers — linear in output, no range join)."""
-    ex = ranges.withColumn("n", F.explode(F.sequence(F.col(lo), F.col(hi))))
-    return ex.join(lines.select("path", "n", "o"), ["path", "n"])
-
-
-def _collect_text(rows: DataFrame, keys, order_cols) -> DataFrame:
-    s = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col("text").alias("text"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(s, lambda x: x["text"]), "\n").alias("text"))
+def _py_lines(content: Column) -> Column:
+    """One struct a line: what the fold needs of it, computed once."""
+    def of(masked: Column) -> Column:
+        breaks = F.regexp_extract_all(masked, F.lit(f"[\n{INNER_BREAK}]"), 0)
+        return T.let(breaks, lambda br: F.transform(F.split(masked, f"[\n{INNER_BREAK}]", -1), lambda m, i: F.struct(
+            i.alias("i"), (~m.rlike(r"\S")).alias("blank"),
+            F.when(i > 0, F.get(br, i - 1) == INNER_BREAK).otherwise(False).alias("inside"),
+            _delta(m).alias("delta"), m.rlike(r"\\\s*$").alias("goes_on"),
+            F.length(F.regexp_extract(m, r"^[ \t]*", 0)).alias("indent"),
+            F.regexp_extract(m, PY_DEF, 1).alias("kind"), F.regexp_extract(m, PY_DEF, 2).alias("name"),
+            m.rlike(r"^\s*@").alias("at"))))
+    return T.let(mask(content, PYTHON), of)
+
+
+def _py_statement(acc: Column, s: Column) -> Column:
+    """The line begins a statement: not blank, not in a literal, a bracket or a continued line."""
+    return ~s["blank"] & ~s["inside"] & (acc["depth"] <= 0) & ~acc["goes_on"]
+
+
+def _py_decorated(acc: Column, s: Column, begins: Column) -> Column:
+    """First line of the decorators above the next definition, -1 without any."""
+    return (F.when(begins & s["at"], F.when(acc["first"] >= 0, acc["first"]).otherwise(s["i"]))
+            .when(begins, F.lit(-1)).otherwise(acc["first"]))
+
+
+def _py_rows(lines: Column) -> Column:
+    """(i, signature) of every outline line, and the bracket depth at the end of the file."""
+    def step(acc: Column, s: Column) -> Column:
+        begins = _py_statement(acc, s)
+        cover = F.when(begins & (s["indent"] <= acc["cover"]), F.lit(-1)).otherwise(acc["cover"])
+        kept = begins & (s["kind"] != "") & (cover < 0)
+        own = F.struct(s["i"].alias("i"), F.lit(True).alias("signature"))
+        above = F.when((acc["first"] >= 0), F.transform(F.sequence(acc["first"], s["i"] - 1), lambda i: F.struct(
+            i.alias("i"), F.lit(False).alias("signature")))).otherwise(F.array().cast("array<struct<i:int,signature:boolean>>"))
+        return F.struct((acc["depth"] + s["delta"]).alias("depth"), s["goes_on"].alias("goes_on"),
+                        F.when(kept & (s["kind"] != "class"), s["indent"]).otherwise(cover).alias("cover"),
+                        _py_decorated(acc, s, begins).alias("first"),
+                        F.when(kept, F.concat(acc["rows"], above, F.array(own))).otherwise(acc["rows"]).alias("rows"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("goes_on"), F.lit(-1).alias("cover"), F.lit(-1).alias("first"),
+                    F.array().cast("array<struct<i:int,signature:boolean>>").alias("rows"))
+    return F.aggregate(lines, zero, step, lambda acc: F.struct(acc["rows"].alias("rows"), (acc["depth"] == 0).alias("balanced")))
+
+
+def _text(content: Column, rows: Column) -> Column:
+    """Outline text: the named lines, stripped, signatures marked."""
+    return T.let(F.split(content, "\n", -1), lambda o: F.array_join(F.transform(rows, lambda r: F.concat(
+        T.py_strip(o[r["i"]]), F.when(r["signature"], F.lit(SIG_SUFFIX)).otherwise(F.lit("")))), "\n"))
+
+
+def _py_span(lines: Column, name: Column) -> Column:
+    """(start, end) lines of the last function of that name, start -1 without one."""
+    def step(acc: Column, s: Column) -> Column:
+        begins = _py_statement(acc, s)
+        match = begins & (s["kind"] != "") & (s["kind"] != "class") & (s["name"] == name)
+        closes = begins & (acc["start"] >= 0) & (acc["end"] < 0) & (s["indent"] <= acc["indent"])
+        return F.struct(
+            (acc["depth"] + s["delta"]).alias("depth"), s["goes_on"].alias("goes_on"), _py_decorated(acc, s, begins).alias("first"),
+            F.when(match, F.when(acc["first"] >= 0, acc["first"]).otherwise(s["i"])).otherwise(acc["start"]).alias("start"),
+            F.when(match, s["indent"]).otherwise(acc["indent"]).alias("indent"),
+            F.when(match, F.lit(-1)).when(closes, acc["full"]).otherwise(acc["end"]).alias("end"),
+            F.when(s["blank"] & ~s["inside"], acc["full"]).otherwise(s["i"]).alias("full"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("goes_on"), F.lit(-1).alias("first"), F.lit(-1).alias("start"),
+                    F.lit(0).alias("indent"), F.lit(-1).alias("end"), F.lit(-1).alias("full"))
+    return F.aggregate(lines, zero, step, lambda acc: F.struct(
+        acc["start"].alias("start"), F.when(acc["end"] < 0, acc["full"]).otherwise(acc["end"]).alias("end")))
 
 
 def python_outline(code: DataFrame) -> DataFrame:
-    """(path, text, tokens) — signature lines of definitions not inside a function, each with
-    its decorator lines; files without definitions give an empty outline."""
-    syms, lines = python_symbols(code)
-    kept = syms.filter(~F.col("in_function"))
-    sig = kept.select("path", F.col("def_line").alias("n"),
-                      F.concat(T.py_strip("def_text"), F.lit(SIG_SUFFIX)).alias("text"))
-    decs = kept.filter(F.col("start_line") < F.col("def_line")).select(
-        "path", "start_line", (F.col("def_line") - 1).alias("last"))
-    dec_lines = _lines_in_range(decs, lines, "start_line", "last").select("path", "n", T.py_strip("o").alias("text"))
-    out = _collect_text(sig.unionByName(dec_lines), ["path"], ["n"])
-    files = code.select("path")
-    res = files.join(out, "path", "left").select("path", F.coalesce("text", F.lit("")).alias("text"))
-    return res.select("path", "text", T.token_estimate("text").alias("tokens"))
+    """(path, text, tokens, balanced): signature lines of definitions not inside a function, each with
+    its decorator lines; a file without definitions has an empty outline."""
+    res = code.select("path", "content", _py_rows(_py_lines(F.col("content"))).alias("o"))
+    res = res.select("path", _text(F.col("content"), F.col("o.rows")).alias("text"), F.col("o.balanced").alias("balanced"))
+    return res.select("path", "text", T.token_estimate("text").alias("tokens"), "balanced")
+
+
+def _asked(code: DataFrame, requests: DataFrame) -> DataFrame:
+    """Files with the names that are asked of them: texts travel once, before anything is derived."""
+    return code.select("path", "content").join(requests.groupBy("path").agg(F.collect_set("name").alias("names")), "path")
 
 
 def python_blocks(code: DataFrame, requests: DataFrame) -> DataFrame:
-    """(path, name, text) for requested function names — last match in pre-order wins;
-    classes never match; decorators are included."""
-    syms, lines = python_symbols(code)
-    fns = syms.filter(F.col("kind") != "class")
-    best = (fns.join(requests.select("path", "name").distinct(), ["path", "name"])
-               .groupBy("path", "name")
-               .agg(F.max_by(F.struct("start_line", "end_line"), F.col("def_line")).alias("b"))
-               .select("path", "name", "b.start_line", "b.end_line"))
-    rows = _lines_in_range(best, lines, "start_line", "end_line").select("path", "name", "n", F.col("o").alias("text"))
-    return _collect_text(rows, ["path", "name"], ["n"])
+    """(path, name, text) for requested function names: the last match in file order; classes never
+    match; decorators are included."""
+    got = _asked(code, requests).select("path", "content", "names", _py_lines(F.col("content")).alias("l"))
+    got = got.select("path", "content", "l", F.explode("names").alias("name")).select(
+        "path", "name", "content", F.explode(F.filter(F.array(_py_span(F.col("l"), F.col("name"))), lambda s: s["start"] >= 0)).alias("s"))
+    return got.select("path", "name", F.array_join(F.slice(
+        F.split("content", "\n", -1), F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), "\n").alias("text"))
 
 
 # ------------------------------------------------------------------------------- JS / TS
 
 
-def js_symbols(code: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates, lines) for brace-language files.
-
-    candidates: path, n, kind, name, level, end_line, covered, emitted, start_col.
-    """
-    lines = line_frame(code, JS_MASK, ("//", "/*"))
-    m = F.col("m")
-    fn = m.rlike(JS_FUNCTION)
-    cls = m.rlike(JS_CLASS)
-    decl = m.rlike(JS_DECLARATOR)
-    meth = m.rlike(JS_METHOD)
-    arrow = m.contains("=>")
-    kind = (F.when(fn, "function").when(cls, "class").when(decl, "declarator")
-            .when(meth, "method").when(arrow, "arrow"))
-    name = (F.when(fn, F.regexp_extract(m, JS_FUNCTION, 3)).when(cls, F.regexp_extract(m, JS_CLASS, 1))
-            .when(decl, F.regexp_extract(m, JS_DECLARATOR, 2)).when(meth, F.regexp_extract(m, JS_METHOD, 3)))
-    start_col = (F.when(fn, F.length(F.regexp_extract(m, JS_FUNCTION, 1)))
-                 .when(decl, F.length(F.regexp_extract(m, JS_DECLARATOR, 1)))
-                 .otherwise(F.length(F.regexp_extract(m, r"^\s*", 0))))
-    cand = lines.select("path", "n", "m", "o", F.col("depth_before").alias("level"), kind.alias("kind"),
-                        name.alias("name"), start_col.cast("int").alias("start_col"),
-                        (decl & m.rlike(JS_ARROW_DECL)).alias("arrow_decl")).filter(F.col("kind").isNotNull())
-
-    # Span end: first line at or after the candidate whose depth after it is <= its level.
-    levels = cand.groupBy("path").agg(F.collect_set("level").alias("levels"))
-    per_level = lines.select("path", "n", "depth_after").join(levels, "path") \
-        .select("path", "n", "depth_after", F.explode("levels").alias("lv"))
-    wdesc = Window.partitionBy("path", "lv").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ends = per_level.withColumn("end_line", F.last(F.when(F.col("depth_after") <= F.col("lv"), F.col("n")),
-                                                   ignorenulls=True).over(wdesc)) \
-        .select("path", "n", F.col("lv").alias("level"), "end_line")
-    cand = cand.join(ends, ["path", "n", "level"], "left")
-    wc = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(F.col("kind") != "class", F.coalesce("end_line", F.lit(_BIG)))).over(wc)
-    cand = cand.withColumn("covered", F.coalesce(reach >= F.col("n"), F.lit(False)))
-    cand = cand.withColumn("emitted", ~F.col("covered") & ((F.col("kind") != "declarator") | F.col("arrow_decl")))
-    return cand, lines
+def _js_events(content: Column) -> Column:
+    """Heads, brackets and separators in order, with kind, name, line breaks and characters."""
+    def of(masked: Column) -> Column:
+        def one(e: Column, before: Column) -> Column:
+            kind = F.when(e.rlike(r"^[(\[{]$"), "open").when(e.rlike(r"^[)\]}]$"), "close").when(e.rlike(r"^[;,]$"), "sep") \
+                .when(e.rlike(r"^[ \t]*\n$"), "sep")
+            for k, p in JS_HEADS.items():
+                # a head is told by its own words; what stood before it was checked when it was cut out
+                kind = kind.when(e.rlike("^(?:" + p.replace(_STATEMENT, "").replace(_MEMBER, "") + ")$"), k)
+            name, lead = F.lit(""), F.lit(0)
+            return F.struct(kind.alias("kind"), e.alias("text"), _delta(e).alias("delta"), e.endswith("{").alias("braced"),
+                            F.regexp_count(before, F.lit(f"[\n{INNER_BREAK}]")).cast("int").alias("breaks"),
+                            F.regexp_count(e, F.lit(f"[\n{INNER_BREAK}]")).cast("int").alias("own_breaks"),
+                            F.length(before).alias("gap"), F.length(e).alias("size"), name.alias("name"), lead.alias("lead"))
+        parts = F.split(masked, JS_EVENT, -1)
+        events = F.regexp_extract_all(masked, F.lit(JS_EVENT), 0)
+        return F.zip_with(events, F.slice(parts, 1, F.size(parts) - 1), one)
+    return T.let(mask(content, JAVASCRIPT), of)
+
+
+def _js_named(events: Column) -> Column:
+    """Events with the name of the node and the length of what stands before it in its head."""
+    def one(e: Column) -> Column:
+        name, lead = F.lit(""), F.lit(0)
+        for k, p in JS_NAME.items():
+            name = F.when(e["kind"] == k, F.regexp_extract(e["text"], p, 1)).otherwise(name)
+        for k, p in JS_BEFORE.items():
+            lead = F.when(e["kind"] == k, F.length(F.regexp_extract(e["text"], p, 0))).otherwise(lead)
+        return e.withField("name", name).withField("lead", lead)
+    return F.transform(events, one)
+
+
+def _js_over(acc: Column, e: Column, level: str, braced: str) -> Column:
+    """The node open at ``level`` ends with this event: its brace closes, or without one the expression
+    ends at a separator or at the bracket around it."""
+    after = acc["depth"] + e["delta"]
+    return F.when(acc[braced], (e["kind"] == "close") & (after <= acc[level])).otherwise(
+        ((e["kind"] == "sep") & (acc["depth"] <= acc[level])) | ((e["kind"] == "close") & (after < acc[level])))
+
+
+_HEADS = ["function", "class", "interface", "type", "arrow_declarator", "declarator", "method", "arrow"]
+_SHOWN = ["function", "class", "arrow_declarator", "method", "arrow"]
+
+
+def _js_rows(events: Column) -> Column:
+    """(i, signature) of every outline line; every head but a class covers what lies inside it."""
+    def step(acc: Column, e: Column) -> Column:
+        line = acc["line"] + e["breaks"]
+        over = (acc["cover"] >= 0) & _js_over(acc, e, "cover", "braced")
+        cover = F.when(over, F.lit(-1)).otherwise(acc["cover"])
+        head = e["kind"].isin(_HEADS) & (cover < 0)
+        hides = head & ~e["kind"].isin("class", "type")
+        return F.struct(
+            (line + e["own_breaks"]).alias("line"), (acc["depth"] + e["delta"]).alias("depth"),
+            F.when(hides, acc["depth"]).otherwise(cover).alias("cover"), F.when(hides, e["braced"]).otherwise(acc["braced"]).alias("braced"),
+            F.when(head & e["kind"].isin(_SHOWN), F.concat(acc["rows"], F.array(F.struct(line.alias("i"), F.lit(True).alias("signature")))))
+             .otherwise(acc["rows"]).alias("rows"))
+
+    zero = F.struct(F.lit(0).alias("line"), F.lit(0).alias("depth"), F.lit(-1).alias("cover"), F.lit(False).alias("braced"),
+                    F.array().cast("array<struct<i:int,signature:boolean>>").alias("rows"))
+    return F.aggregate(events, zero, step, lambda acc: F.struct(acc["rows"].alias("rows"), (acc["depth"] == 0).alias("balanced")))
+
+
+def _js_span(events: Column, name: Column) -> Column:
+    """(start, end) characters of the first function, method or declarator of that name, start -1 without one."""
+    def step(acc: Column, e: Column) -> Column:
+        at = acc["at"] + e["gap"]
+        match = (acc["start"] < 0) & e["kind"].isin(*JS_NAME) & (e["name"] == name)
+        over = (acc["start"] >= 0) & (acc["end"] < 0) & _js_over(acc, e, "level", "braced")
+        return F.struct(
+            (at + e["size"]).alias("at"), (acc["depth"] + e["delta"]).alias("depth"),
+            F.when(match, at + e["lead"]).otherwise(acc["start"]).alias("start"), F.when(match, acc["depth"]).otherwise(acc["level"]).alias("level"),
+            F.when(match, e["braced"]).otherwise(acc["braced"]).alias("braced"),
+            F.when(over, F.when(acc["braced"], at + 1).otherwise(at)).otherwise(acc["end"]).alias("end"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("start"), F.lit(0).alias("level"),
+                    F.lit(False).alias("braced"), F.lit(-1).alias("end"))
+    return F.aggregate(events, zero, step, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
 
 
 def js_outline(code: DataFrame) -> DataFrame:
-    """(path, text, tokens) — one line per kept definition in line order; files with no
-    definition get NULL text (the chain falls through to the next view)."""
-    cand, _ = js_symbols(code)
-    rows = cand.filter("emitted").select("path", "n", F.concat(T.py_strip("o"), F.lit(SIG_SUFFIX)).alias("text"))
-    out = _collect_text(rows, ["path"], ["n"])
-    return out.select("path", "text", T.token_estimate("text").alias("tokens"))
+    """(path, text, tokens, balanced): one line per kept definition in file order; files without a
+    definition are left out (the chain goes on to the next view)."""
+    found = T.let(_js_rows(_js_events(F.col("content"))), lambda o: F.when(F.size(o["rows"]) > 0, F.array(F.struct(
+        _text(F.col("content"), o["rows"]).alias("text"), o["balanced"].alias("balanced")))))
+    res = code.select("path", F.explode(found).alias("o")).select("path", "o.text", "o.balanced")   # a filter would run it twice
+    return res.select("path", "text", T.token_estimate("text").alias("tokens"), "balanced")
 
 
 def js_blocks(code: DataFrame, requests: DataFrame) -> DataFrame:
-    """(path, name, text) — first match in pre-order; the exact slice from the definition's
-    column to the bracket closing it."""
-    cand, lines = js_symbols(code)
-    named = cand.filter(F.col("kind").isin("function", "method", "declarator") & F.col("name").isNotNull())
-    best = (named.join(requests.select("path", "name").distinct(), ["path", "name"])
-                 .groupBy("path", "name")
-                 .agg(F.min_by(F.struct("n", "end_line", "level", "start_col"), F.col("n")).alias("b"))
-                 .select("path", "name", F.col("b.n").alias("start_line"), F.col("b.end_line").alias("end_line"),
-                         F.col("b.level").alias("level"), F.col("b.start_col").alias("start_col")))
-    best = best.withColumn("end_line", F.coalesce("end_line", F.col("start_line")))
-    ex = best.withColumn("n", F.explode(F.sequence("start_line", "end_line")))
-    rows = ex.join(lines.select("path", "n", "o", "m", "depth_before"), ["path", "n"])
-    chars = F.split(F.col("m"), "", -1)
-    closing = F.aggregate(
-        chars, F.struct(F.col("depth_before").alias("d"), F.lit(0).alias("i"), F.lit(-1).alias("at")),
-        lambda acc, ch: F.struct(
-            (acc["d"] + F.when(ch.rlike(OPEN_BRACKETS), 1).when(ch.rlike(CLOSE_BRACKETS), -1).otherwise(0))
-            .alias("d"),
-            (acc["i"] + 1).alias("i"),
-            F.when((acc["at"] < 0) & (acc["i"] >= F.when(F.col("n") == F.col("start_line"), F.col("start_col"))
-                                      .otherwise(0))
-                   & ch.rlike(CLOSE_BRACKETS)
-                   & ((acc["d"] - 1) <= F.col("level")), acc["i"] + 1).otherwise(acc["at"]).alias("at")))
-    cut_end = F.when(F.col("n") == F.col("end_line"),
-                     F.when(closing["at"] > 0, closing["at"]).otherwise(F.length("o"))).otherwise(F.length("o"))
-    cut_start = F.when(F.col("n") == F.col("start_line"), F.col("start_col")).otherwise(F.lit(0))
-    text = F.substring(F.col("o"), cut_start + 1, cut_end - cut_start)
-    return _collect_text(rows.select("path", "name", "n", text.alias("text")), ["path", "name"], ["n"])
+    """(path, name, text): first match in file order, from the definition's first character to the
+    bracket that closes it or to the end of its expression."""
+    got = _asked(code, requests).select("path", "content", "names", _js_named(_js_events(F.col("content"))).alias("e"))
+    got = got.select("path", "content", "e", F.explode("names").alias("name")).select(
+        "path", "name", "content", F.explode(F.filter(F.array(_js_span(F.col("e"), F.col("name"))), lambda s: s["start"] >= 0)).alias("s"))
+    end = F.when(F.col("s.end") < 0, F.length("content")).otherwise(F.col("s.end"))
+    return got.select("path", "name", F.rtrim(F.substring(F.col("content"), F.col("s.start") + 1, end - F.col("s.start"))).alias("text"))
 
 
 # ------------------------------------------------------------------------------- chains
 
 
-def reduced_view(corpus: DataFrame) -> DataFrame:
-    """(path, text, tokens, stage): JS/TS outline -> Python outline -> comment strip -> raw.
+def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text, tokens, stage, balanced) and the ``keep`` columns: JS/TS outline -> Python outline ->
+    comment strip.
 
-    Unreadable files give the sentinel text with 0 tokens. Each stage runs only on the files
-    it applies to; the results meet in left joins on ``path``.
+    One projection per row, no join. Unreadable files give the sentinel text with 0 tokens.
+    ``token_count`` is the token function (a Column function of a text column).
     """
-    ok = corpus.filter(F.col("status") == "ok").select("path", "content")
-    brace = ok.filter(P.brace_lang("path").isNotNull())
-    py = ok.filter(P.is_python("path"))
-    js_o = js_outline(brace).select("path", F.col("text").alias("js_text"), F.col("tokens").alias("js_tokens"))
-    py_o = python_outline(py).select("path", F.col("text").alias("py_text"), F.col("tokens").alias("py_tokens"))
-    stripped = T.strip_hash_comments("content")
-    base = corpus.select("path", "status", "content").join(js_o, "path", "left").join(py_o, "path", "left")
-    stage = (F.when(F.col("status") != "ok", "unreadable").when(F.col("js_text").isNotNull(), "js_outline")
-             .when(F.col("py_text").isNotNull(), "py_outline").otherwise("stripped"))
-    text = (F.when(F.col("status") != "ok", F.concat(F.lit(UNREADABLE_PREFIX), F.col("status")))
-            .when(F.col("js_text").isNotNull(), F.col("js_text"))
-            .when(F.col("py_text").isNotNull(), F.col("py_text")).otherwise(stripped))
-    tokens = (F.when(F.col("status") != "ok", F.lit(0).cast("bigint"))
-              .when(F.col("js_text").isNotNull(), F.col("js_tokens"))
-              .when(F.col("py_text").isNotNull(), F.col("py_tokens"))
-              .otherwise(T.token_estimate(stripped)))
-    return base.select("path", text.alias("text"), tokens.alias("tokens"), stage.alias("stage"))
-
-
-def function_blocks(corpus: DataFrame, requests: DataFrame) -> DataFrame:
-    """(path, name, text, tokens, found): JS/TS block -> Python block -> message with 0 tokens."""
+    content = F.col("content")
+    ok = F.col("status") == "ok"
+    none = F.struct(F.array().cast("array<struct<i:int,signature:boolean>>").alias("rows"), F.lit(True).alias("balanced"))
+    views = corpus.select(
+        "path", *keep, "status", "content", P.is_python("path").alias("_py"),
+        F.when(ok & P.brace_lang("path").isNotNull(), _js_rows(_js_events(content)))
+         .when(ok & P.is_python("path"), _py_rows(_py_lines(content))).otherwise(none).alias("o"))
+    stage = (F.when(~ok, "unreadable").when(F.col("_py"), "py_outline")
+             .when(F.size("o.rows") > 0, "js_outline").otherwise("stripped"))
+    views = views.select("path", *keep, "status", "content", "o", stage.alias("stage"))
+    text = (F.when(F.col("stage") == "unreadable", F.concat(F.lit(UNREADABLE_PREFIX), F.col("status")))
+            .when(F.col("stage") == "stripped", T.strip_hash_comments("content"))
+            .otherwise(_text(content, F.col("o.rows"))))
+    views = views.select("path", *keep, text.alias("text"), "stage", F.col("o.balanced").alias("balanced"))
+    return views.select("path", *keep, "text", F.when(F.col("stage") == "unreadable", F.lit(0).cast("bigint"))
+                        .otherwise(token_count("text")).alias("tokens"), "stage", "balanced")
+
+
+def function_blocks(corpus: DataFrame, requests: DataFrame, token_count=T.token_estimate) -> DataFrame:
+    """(path, name, text, tokens, found): JS/TS block or Python block, else a message with 0 tokens."""
     ok = corpus.filter(F.col("status") == "ok").select("path", "content")
     req = requests.select("path", "name").distinct()
-    brace_req = req.filter(P.brace_lang("path").isNotNull())
-    py_req = req.filter(P.is_python("path"))
-    jb = js_blocks(ok.join(brace_req.select("path").distinct(), "path", "left_semi"), brace_req) \
-        .withColumnRenamed("text", "js_text")
-    pb = python_blocks(ok.join(py_req.select("path").distinct(), "path", "left_semi"), py_req) \
-        .withColumnRenamed("text", "py_text")
-    out = req.join(jb, ["path", "name"], "left").join(pb, ["path", "name"], "left")
-    block = F.coalesce("js_text", "py_text")
+    js = js_blocks(ok.filter(P.brace_lang("path").isNotNull()), req.filter(P.brace_lang("path").isNotNull()))
+    py = python_blocks(ok.filter(P.is_python("path")), req.filter(P.is_python("path")))
+    out = req.join(js.unionByName(py).withColumnRenamed("text", "block"), ["path", "name"], "left")
+    block = F.col("block")
     text = F.coalesce(block, F.format_string(NOT_EXTRACTED, F.col("name")))
-    tokens = F.when(block.isNotNull(), T.token_estimate(block)).otherwise(F.lit(0)).cast("bigint")
+    tokens = F.when(block.isNotNull(), token_count(block)).otherwise(F.lit(0)).cast("bigint")
     return out.select("path", "name", text.alias("text"), tokens.alias("tokens"), block.isNotNull().alias("found"))

@@ -171,11 +171,9 @@ def function_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokenloom.functions import paths as P
 
-    files = CC.code_files(spark, sf_dir)
-    view = O.reduced_view(files)
-    raw = files.select("path", T.token_estimate("content").alias("raw_tokens"),
-                       F.lower(P.suffix(P.name("path"))).alias("ext"))
-    j = raw.join(view, "path")
+    files = CC.code_files(spark, sf_dir).withColumns({
+        "raw_tokens": T.token_estimate("content"), "ext": F.lower(P.suffix(P.name("path")))})
+    j = O.reduced_view(files, keep=("raw_tokens", "ext"))
     return (j.groupBy("ext", "stage")
             .agg(F.count(F.lit(1)).alias("files"),
                  F.sum("raw_tokens").cast("bigint").alias("raw_tokens"),

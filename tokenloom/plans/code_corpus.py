@@ -78,6 +78,21 @@ items.forEach((item) => {
   console.log(item);
 });
 function* gen{K}() { yield 1; }
+export const Card{K} = ({
+  size,
+}) => {
+  return [size].map((x) => x + {S});
+};
+abstract class Shape{K} { area(): number { return {S}; } }
+class Box{K}<T> {
+  put(
+    item: T,
+    times = limit({S}),
+  ): void { this.items.push(item); }
+  id<U>(x: U): U { return x; }
+}
+const one{K} = () => 1; const two{K} = (a = (2)) => a;
+type Fn{K} = (x: number) => void;
 '''
 
 DEC_PROPERTY = "    @property\n"
@@ -146,5 +161,6 @@ def block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("part_key").cast("string")
     names = F.when(F.col("path").endswith(".py"),
                    F.array(F.lit("price"), F.lit("helper"), F.concat(F.lit("Part"), k))) \
-             .otherwise(F.array(F.lit("load"), F.concat(F.lit("price"), k), F.lit("missing")))
+             .otherwise(F.array(F.lit("load"), F.concat(F.lit("price"), k), F.lit("missing"), F.lit("put"),
+                           F.concat(F.lit("Card"), k), F.concat(F.lit("two"), k)))
     return files.select("path", F.explode(names).alias("name"))

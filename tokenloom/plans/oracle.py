@@ -519,7 +519,12 @@ JS_OUTLINE = (f"('export function price' || {K} || '(qty) {{ ...' || {NL}"
               f" || 'async load(id) {{ ...' || {NL}"
               f" || 'get label() {{ return \"' || replace(p_name, ' ', '_') || '\"; }} ...' || {NL}"
               f" || 'export const make' || {K} || ' = (size) => new Part' || {K} || '(size); ...' || {NL}"
-              f" || 'items.forEach((item) => {{ ...')")
+              f" || 'items.forEach((item) => {{ ...' || {NL}"
+              f" || 'export const Card' || {K} || ' = ({{ ...' || {NL}"
+              f" || 'abstract class Shape' || {K} || ' {{ area(): number {{ return ' || CAST(p_size AS VARCHAR) || '; }} }} ...' || {NL}"
+              f" || 'class Box' || {K} || '<T> {{ ...' || {NL} || 'put( ...' || {NL} || 'id<U>(x: U): U {{ return x; }} ...' || {NL}"
+              f" || 'const one' || {K} || ' = () => 1; const two' || {K} || ' = (a = (2)) => a; ...' || {NL}"
+              f" || 'const one' || {K} || ' = () => 1; const two' || {K} || ' = (a = (2)) => a; ...')")
 
 CENTS = "CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS VARCHAR)"
 PY_PRICE_BLOCK = (f"((CASE p_partkey % 3 WHEN 0 THEN '    @property' || {NL}"
@@ -535,13 +540,18 @@ JS_LOAD_BLOCK = (f"('async load(id) {{' || {NL} || '    const url = `/parts/${{i
 JS_PRICE_BLOCK = (f"('function price' || {K} || '(qty) {{' || {NL} || '  const inner = (x) => x * 2;' || {NL}"
                   f" || '  return qty * ' || {CENTS} || ';' || {NL} || '}}')")
 
+JS_PUT_BLOCK = (f"('put(' || {NL} || '    item: T,' || {NL} || '    times = limit(' || CAST(p_size AS VARCHAR) || '),' || {NL}"
+                f" || '  ): void {{ this.items.push(item); }}')")
+JS_CARD_BLOCK = (f"('Card' || {K} || ' = ({{' || {NL} || '  size,' || {NL} || '}}) => {{' || {NL}"
+                 f" || '  return [size].map((x) => x + ' || CAST(p_size AS VARCHAR) || ');' || {NL} || '}}')")
+
 ORACLE_SQL["outline_python"] = f"""
-SELECT path, text, {tokens('text')} AS tokens
+SELECT path, text, {tokens('text')} AS tokens, true AS balanced
 FROM (SELECT {PY_PATH} AS path, {PY_OUTLINE} AS text FROM part)
 """
 
 ORACLE_SQL["outline_js"] = f"""
-SELECT path, text, {tokens('text')} AS tokens
+SELECT path, text, {tokens('text')} AS tokens, true AS balanced
 FROM (SELECT {JS_PATH} AS path, {JS_OUTLINE} AS text FROM part)
 """
 
@@ -558,6 +568,12 @@ WITH r AS (
   SELECT {JS_PATH}, 'price' || {K}, {JS_PRICE_BLOCK} FROM part
   UNION ALL
   SELECT {JS_PATH}, 'missing', NULL FROM part
+  UNION ALL
+  SELECT {JS_PATH}, 'put', {JS_PUT_BLOCK} FROM part
+  UNION ALL
+  SELECT {JS_PATH}, 'Card' || {K}, {JS_CARD_BLOCK} FROM part
+  UNION ALL
+  SELECT {JS_PATH}, 'two' || {K}, 'two' || {K} || ' = (a = (2)) => a' FROM part
 )
 SELECT path, name, COALESCE(block, {MSG.format('name')}) AS text,
        CASE WHEN block IS NOT NULL THEN {tokens('block')} ELSE CAST(0 AS BIGINT) END AS tokens,
