@@ -10,18 +10,18 @@ at 100 TB cannot be shuffled. The ranks here are kept for a sparse set of suffix
 * Anchors. For every position p whose string lies in its text, m(p) is the position in
   [p, p + W) whose GRAM-byte hash is smallest (leftmost on ties). Equal strings choose equal places,
   so two equal strings meet at a pair of anchors. About one byte in W / 2 is an anchor.
-* Round 1. Spark deals (anchor, rank) pairs out by rank, the fingerprint of the H = length - W + 1 bytes
-  behind the anchor, which all strings of the anchor share. Anchors with a unique rank are done.
-* Round 2. The prefix grows to all strings of an anchor at once. Anchors that agree in this longer rank
-  cover all of their strings; one of them goes on for its class, and so does every anchor that
-  agrees with no other.
-* Round 3. For those, positions themselves are ranked by (rank of the first H bytes, rank at the
-  offset that completes ``length``), as one 128-bit fingerprint; a rank held twice is a match.
-
-A rank is a fingerprint, so equal ranks need no renumbering between rounds; rounds 2 and 3 use 128 bits.
+* A block is a run of positions with one anchor, at most ``size`` of them. All its strings share
+  length - size + 1 bytes; the fingerprint of these is the block's first rank. The fingerprint of all
+  bytes that its strings cover is its second.
+* A round deals blocks out by rank. A block with a unique first rank is done: nothing of it occurs
+  elsewhere. Blocks with equal second ranks cover all of their strings; one of them goes on for its class
+  where a block with the same first rank is still open, and so does that one. The next round cuts
+  them smaller, so that the ranked prefix grows (209, 385 and 400 bytes) until it passes ``length``.
+
+A rank is a fingerprint, so equal ranks need no renumbering between rounds; second ranks have 128 bits.
 Ranks are counted with map-side aggregation, and the counts are materialised before they are joined
-back, so that a rank that a third of all texts hold is split between tasks. Texts are only moved
-where a Bloom filter says that something of them matched.
+back, so that a rank that a third of all texts hold is split between tasks. Blocks with unique ranks, and texts
+in which nothing matched, are held back by Bloom filters of fixed size before anything is shuffled.
 
 Defined results: a null text is empty; nothing is removed from texts shorter than ``length``; rows
 that repeat (also with the same id) are texts of their own and copies of each other; null ids are
@@ -46,7 +46,7 @@ LENGTH = 400
 GRAM = 24
 PIECE = 1 << 20                 # bytes looked at together
 LOCAL = np.uint64((1 << 24) - 1)
-LOG2_BLOCKS = 16
+SIZES = (16, 1)                 # block sizes after the first round
 
 
 def window(length: int) -> int:
@@ -73,7 +73,7 @@ def _pieces(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 
 
 def _anchors(data: np.ndarray, off: np.ndarray, length: int, one: Rolling, two: Rolling) -> Iterator[tuple]:
-    """(row, lo, hi, round-1 rank, two halves of the round-2 rank) arrays; lo..hi are start positions."""
+    """(row, lo, hi, anchor, first rank, two halves of the second rank) arrays; lo..hi are start positions."""
     w = window(length)
     core = length - w + 1
     for i, j, s, e in _pieces(off):
@@ -101,7 +101,7 @@ def _anchors(data: np.ndarray, off: np.ndarray, length: int, one: Rolling, two:
         at = m[np.concatenate(([0], cut))]
         row = np.searchsorted(off[i:j + 1] - s, lo, side="right") - 1 + i
         shape = mix(((at - lo).astype(np.uint64) << np.uint64(32)) | (hi - lo).astype(np.uint64))
-        yield (row, lo + s - off[row], hi + s - off[row], one.span(at, at + core),
+        yield (row, lo + s - off[row], hi + s - off[row], at + s - off[row], one.span(at, at + core),
                one.span(lo, hi + length) ^ shape, two.span(lo, hi + length) ^ shape)
 
 
@@ -109,86 +109,103 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _schema(texts: DataFrame) -> T.StructType:
+    return T.StructType([texts.schema["doc_id"], texts.schema["th"]]
+                        + [T.StructField(c, T.IntegerType()) for c in ("lo", "hi", "at")] + [T.StructField("need", T.BooleanType())]
+                        + [T.StructField(c, T.LongType()) for c in ("c", "f1", "f2")])
+
+
+def _batch(b: pa.RecordBatch, names: list[str], row: np.ndarray, ints: tuple, need: np.ndarray, ranks: tuple) -> pa.RecordBatch:
+    idx = pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [b.column("doc_id").take(idx), b.column("th").take(idx), *(pa.array(x.astype(np.int32)) for x in ints),
+         pa.array(need), *(_signed(x) for x in ranks)], names=names)
+
+
 def anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Round 0: (doc_id, th, lo, hi, c, f1, f2) for every anchor of ``texts`` (doc_id, th, bytes)."""
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["th"]]
-                          + [T.StructField(c, T.IntegerType()) for c in ("lo", "hi")]
-                          + [T.StructField(c, T.LongType()) for c in ("c", "f1", "f2")])
+    """The first blocks of ``texts`` (doc_id, th, bytes): one for every anchor."""
+    schema = _schema(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(1, PIECE + length), Rolling(2, PIECE + length)
         for b in batches:
             data, off = spans_of(b.column("bytes"))
-            for row, lo, hi, c, f1, f2 in _anchors(data, off, length, one, two):
-                idx = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(idx), b.column("th").take(idx), pa.array(lo.astype(np.int32)),
-                     pa.array(hi.astype(np.int32)), _signed(c), _signed(f1), _signed(f2)], names=schema.names)
+            for row, lo, hi, at, c, f1, f2 in _anchors(data, off, length, one, two):
+                yield _batch(b, schema.names, row, (lo, hi, at), np.ones(len(row), bool), (c, f1, f2))
 
     return texts.mapInArrow(run, schema)
 
 
-def _strings(texts: DataFrame, length: int) -> DataFrame:
-    """Round 3 ranks: (doc_id, th, p, need, k1, k2) of every position of the listed anchors."""
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["th"], T.StructField("p", T.IntegerType()),
-                           T.StructField("need", T.BooleanType()),
-                           T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+def blocks(texts: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
+    """The blocks of ``texts`` (doc_id, th, bytes, parts) cut to at most ``size`` positions."""
+    schema = _schema(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(3, PIECE), Rolling(4, PIECE)
+        one, two = Rolling(1, PIECE), Rolling(2, PIECE)
         for b in batches:
             data, off = spans_of(b.column("bytes"))
             parts = b.column("parts")
-            flat, at = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
-            at = at - at[0]
-            lo_all, hi_all, need_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            held, size = [], 0
+            flat, begin = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+            begin = begin - begin[0]
+            lo_all, hi_all, at_all, need_all = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            held, n = [], 0
             for r in range(b.num_rows):
-                order = np.argsort(lo_all[at[r]:at[r + 1]], kind="stable") + at[r]
-                lo, hi, need = lo_all[order].astype(np.int64), hi_all[order].astype(np.int64), need_all[order]
-                k = 0
-                while k < len(lo):
-                    z = int(np.searchsorted(lo, lo[k] + PIECE // 2, side="left"))
-                    z = max(z, k + 1)
+                order = np.argsort(lo_all[begin[r]:begin[r + 1]], kind="stable") + begin[r]
+                lo, hi, at = (x[order].astype(np.int64) for x in (lo_all, hi_all, at_all))
+                need, k = need_all[order], 0
+                while k < len(lo):                         # parts that lie near each other
+                    z = max(k + 1, int(np.searchsorted(lo, lo[k] + PIECE // 2, side="left")))
                     base = int(lo[k])
                     d = data[off[r] + base:off[r] + int(hi[k:z].max()) + length]
                     one.load(d)
                     two.load(d)
-                    cnt = hi[k:z] - lo[k:z] + 1
-                    p = np.repeat(lo[k:z] - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt) + np.arange(cnt.sum())
-                    q = p - base
-                    held.append((np.full(len(p), r), p.astype(np.int32), np.repeat(need[k:z], cnt),
-                                 one.span(q, q + length), two.span(q, q + length)))
-                    size += len(p)
+                    near, far = (at[k:z] - hi[k:z]) // size, (at[k:z] - lo[k:z]) // size
+                    count = far - near + 1
+                    src = np.repeat(np.arange(k, z), count)
+                    cell = np.repeat(near - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                    last = at[src] - cell * size                    # the block's positions, before they are clipped
+                    a, e = np.maximum(lo[src], last - size + 1), np.minimum(hi[src], last)
+                    shape = mix(((at[src] - a).astype(np.uint64) << np.uint64(32)) | (e - a).astype(np.uint64))
+                    rank = one.span(last - base, last - size + 1 + length - base) ^ mix((at[src] - last).astype(np.uint64))
+                    held.append((np.full(len(a), r), a, e, at[src], need[src], rank, one.span(a - base, e - base + length) ^ shape,
+                                 two.span(a - base, e - base + length) ^ shape))
+                    n += len(a)
                     k = z
-                    if size > 100_000:
+                    if n > 100_000:
                         yield pack(b, held)
-                        held, size = [], 0
+                        held, n = [], 0
             if held:
                 yield pack(b, held)
 
     def pack(b: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-        row, p, need, k1, k2 = (np.concatenate(x) for x in zip(*held, strict=True))
-        idx = pa.array(row)
-        return pa.RecordBatch.from_arrays([b.column("doc_id").take(idx), b.column("th").take(idx), pa.array(p),
-                                           pa.array(need), _signed(k1), _signed(k2)], names=schema.names)
+        row, lo, hi, at, need, c, f1, f2 = (np.concatenate(x) for x in zip(*held, strict=True))
+        return _batch(b, schema.names, row, (lo, hi, at), need, (c, f1, f2))
 
     return texts.mapInArrow(run, schema)
 
 
-def _touched(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts that may have a row in ``keys``, the others): a filter of fixed size, no shuffle."""
-    keyed = keys.select("doc_id", "th").distinct().select(F.xxhash64("doc_id", "th").alias("key"))
-    shared = texts.sparkSession.sparkContext.broadcast(bloom.build(keyed, "key", LOG2_BLOCKS))
+def _round(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(blocks covered as a whole, blocks to cut further) of one round's ranked blocks."""
+    rows = materialize(rows, f"blocks{name}")
+    held = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n > 1 and need")
+    held = materialize(held.select("c"), f"ranks{name}")
+    left = materialize(rows.where(bloom.native(held, "c")(F.col("c"))).withColumn("tag", F.xxhash64("doc_id", "th", "lo")), f"left{name}")
+    classes = materialize(left.groupBy("c", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("first"),
+                                                            F.max("need").alias("need")), f"classes{name}")
+    open_ = materialize(classes.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("need") & (F.col("n") == 1)).alias("open"))
+                        .where("k > 1 and open").select("c", "open"), f"open{name}")
+    classes = materialize(classes.join(open_, "c", "left").where("need and n > 1 or open").drop("need"), f"judged{name}")
+    judged = materialize(left.join(classes, ["c", "f1", "f2"]).select(
+        "doc_id", "th", "lo", "hi", "at", (F.col("need") & (F.col("n") > 1)).alias("copy"), (F.col("need") & (F.col("n") == 1)).alias("need"),
+        (F.col("open").isNotNull() & ((F.col("n") == 1) | (F.col("tag") == F.col("first")))).alias("further")), f"round{name}")
+    return judged.where("copy"), judged.where("further")
 
-    @F.pandas_udf("boolean")
-    def listed(block, key):
-        import pandas as pd
-        return pd.Series(bloom.probe(shared.value, block.to_numpy(), key.to_numpy()))
 
-    texts = texts.withColumn("_key", F.xxhash64("doc_id", "th")).withColumn("_block", bloom.block_of("_key", LOG2_BLOCKS))
-    hit = listed("_block", "_key")
-    return (texts.where(hit).drop("_key", "_block"), texts.where(~hit).drop("_key", "_block"))
+def _touched(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts that may have a row in ``keys``, the others): a filter of fixed size, no shuffle."""
+    texts = texts.withColumn("_key", F.xxhash64("doc_id", "th"))
+    hit = bloom.native(keys.select(F.xxhash64("doc_id", "th").alias("key")), "key")(F.col("_key"))
+    return texts.where(hit).drop("_key"), texts.where(~hit).drop("_key")
 
 
 def _same_text(texts: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
@@ -198,31 +215,14 @@ def _same_text(texts: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
 
 def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, th, lo, end): byte ranges (not merged) covered by strings that occur twice."""
-    all_anchors = materialize(anchors(texts, length), "anchors")
-    # round 1: ranks of the H bytes behind an anchor
-    shared = materialize(all_anchors.groupBy("c")
-                         .agg(F.count(F.lit(1)).alias("n"),
-                              ((F.min("f1") != F.max("f1")) | (F.min("f2") != F.max("f2"))).alias("several"))
-                         .where("n > 1").select("c", "several"), "ranks1")
-    left = materialize(all_anchors.join(shared, "c").withColumn("tag", F.xxhash64("doc_id", "th", "lo")), "survivors1")
-    # round 2: ranks of everything an anchor's strings cover
-    classes = materialize(left.groupBy("c", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("first")), "ranks2")
-    judged = materialize(
-        left.join(classes, ["c", "f1", "f2"])
-        .select("doc_id", "th", "lo", "hi", (F.col("n") > 1).alias("copy"),
-                (F.col("several") & ((F.col("n") == 1) | (F.col("tag") == F.col("first")))).alias("further"))
-        , "survivors2")
-    whole = judged.where("copy").select("doc_id", "th", "lo", (F.col("hi") + length).alias("end"))
-    # round 3: single positions of what is left
-    parts = materialize(judged.where("further").groupBy("doc_id", "th").agg(
-        F.collect_list(F.struct("lo", "hi", (~F.col("copy")).alias("need"))).alias("parts")), "parts")
-    touched, _ = _touched(texts, parts)
-    ranks = materialize(_strings(_same_text(touched, parts, "inner"), length), "strings")
-    twice = materialize(ranks.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
-                        .where("n > 1 and need").select("k1", "k2"), "ranks3")
-    single = ranks.where("need").join(twice, ["k1", "k2"]).select("doc_id", "th", F.col("p").alias("lo"),
-                                                                  (F.col("p") + length).alias("end"))
-    return whole.unionByName(single)
+    covered, further = _round(anchors(texts, length), "0")
+    for k, size in enumerate(SIZES, 1):
+        parts = materialize(further.groupBy("doc_id", "th").agg(
+            F.collect_list(F.struct("lo", "hi", "at", "need")).alias("parts")), f"parts{k}")
+        touched, _ = _touched(texts, parts)
+        more, further = _round(blocks(_same_text(touched, parts, "inner"), size, length), str(k))
+        covered = covered.unionByName(more)
+    return covered.select("doc_id", "th", "lo", (F.col("hi") + length).alias("end"))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text", with_kept: bool = False) -> DataFrame:
