@@ -31,15 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bloom
-from tokenloom.llm.common import materialize, mix, shingle_hashes
+from tokenloom.llm.common import chunks, materialize, mix, shingle_hashes, spans_of
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-CELL = 1 << 20                    # shingles of a block
-LOG2_BLOCKS = 16
+CELL = 1 << 17                    # shingles of a block
 _ELEMENTS = 1 << 18               # shingles whose MinHash values are computed together
 
 
@@ -56,14 +55,19 @@ def _least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every row, concatenated, and their offsets."""
+def _hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all rows and the rows' offsets."""
     off = col.offsets.to_numpy().astype(np.int64)
     h = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(col) else np.zeros(0, np.uint64)
-    off = off - off[0]
-    sets = [np.unique(h[off[i]:off[i + 1]]) for i in range(len(col))]
-    size = np.array([len(s) for s in sets], np.int64)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate(([0], np.cumsum(size)))
+    return h, off - off[0]
+
+
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """Band keys of MinHash values: one 64-bit number for every ROWS values."""
+    out = np.zeros((len(sig), BANDS), np.uint64)
+    for k in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS].astype(np.uint64) + np.uint64(k + 1))
+    return out
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -77,24 +81,22 @@ def signatures(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, off = _sets(b.column("sh"))
-            n = np.diff(off)
-            full = np.flatnonzero(n > 0)
+            h, off = _hashes(b.column("sh"))
+            n = np.zeros(b.num_rows, np.int64)
             sig = np.zeros((b.num_rows, HASHES), np.uint32)
             key = np.zeros((b.num_rows, 2), np.uint64)
-            i = 0
-            while i < len(full):
-                j = max(i + 1, int(np.searchsorted(off[full], off[full[i]] + _ELEMENTS)))
-                rows, base = full[i:j], int(off[full[i]])
-                x, at = h[base:int(off[full[j - 1] + 1])], (off[full[i:j]] - base)
+            for i, j in chunks(off, _ELEMENTS):
+                sets = [np.unique(h[off[r]:off[r + 1]]) for r in range(i, j)]
+                n[i:j] = [len(x) for x in sets]
+                rows = np.flatnonzero(n[i:j] > 0) + i
+                if not len(rows):
+                    continue
+                x, at = np.concatenate(sets), np.concatenate(([0], np.cumsum(n[rows])[:-1]))
                 key[rows, 0] = np.add.reduceat(mix(x), at)
                 key[rows, 1] = np.add.reduceat(mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                 for k in range(HASHES):
                     sig[rows, k] = np.minimum.reduceat(x * mul[k] + add[k], at) >> np.uint64(32)
-                i = j
-            band = np.zeros((b.num_rows, BANDS), np.uint64)
-            for k in range(ROWS):
-                band = mix(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS][:, :BANDS].astype(np.uint64) + np.uint64(k + 1))
+            band = _bands(sig)
             empty = n == 0
             key_col = pa.array([None if e else k.tobytes() for e, k in zip(empty, key, strict=True)], pa.binary())
             sig_col = pa.array([None if e else s.tobytes() for e, s in zip(empty, sig, strict=True)], pa.binary())
@@ -110,7 +112,7 @@ def _compare(rows: list[dict], same_block: bool, least: list[int], threshold: fl
     m = len(rows)
     band = rows[0]["band"]
     sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(m, HASHES)
-    keys = np.array([r["bands"] for r in rows], np.int64)
+    keys = _bands(sig)
     copies = np.array([r["copies"] for r in rows], np.int64)
     block = np.array([r["block"] for r in rows])
     size = np.array([len(r["set"]) for r in rows], np.int64)
@@ -177,12 +179,13 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
                                                       "docs": pa.array(d, pa.int64()), "root": pa.array(r, pa.binary())})
 
         for b in batches:
-            h, off = _sets(b.column("sh"))
-            names = ["band", "bucket", "x", "y", "block", "key", "sig", "bands", "copies"]
+            h, off = _hashes(b.column("sh"))
+            data, cut = spans_of(b.column("sig"))
+            names = ["band", "bucket", "x", "y", "block", "key", "copies"]
             cols = [b.column(c).to_pylist() for c in names]
             for i, vals in enumerate(zip(*cols, strict=True)):
                 row = dict(zip(names, vals, strict=True))
-                row["set"] = h[off[i]:off[i + 1]]
+                row["set"], row["sig"] = np.unique(h[off[i]:off[i + 1]]), data[cut[i]:cut[i + 1]].tobytes()
                 this = (row["band"], row["bucket"], row["x"], row["y"])
                 if this != cell:
                     yield from out(held)
@@ -215,7 +218,6 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, t1, t2 (hashes of its text), n_shingles, class_id (smallest
     id of its group of linked texts), n_copies (rows of its shingle set), n_links, n_text_links."""
-    spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce(text_col, F.lit("")).alias("body"))
     texts = texts.select("doc_id", F.xxhash64("body").alias("t1"), F.xxhash64(F.lit(7), "body").alias("t2"), "body")
     rows = materialize(signatures(texts.select("doc_id", "t1", "t2", shingle_hashes(F.col("body"), k).alias("sh"))), "signatures")
@@ -233,18 +235,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = 5, text_col: st
     members = materialize(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
 
     wanted = materialize(classes.join(members.select("key").distinct(), "key", "left_semi")
-                         .select("key", "copies", "sig", "bands", "t.t1", "t.t2"), "wanted")
-    shared = spark.sparkContext.broadcast(bloom.build(wanted.select("t1"), "t1", LOG2_BLOCKS))     # fixed size
-
-    @F.pandas_udf("boolean")
-    def listed(block, key):
-        import pandas as pd
-        return pd.Series(bloom.probe(shared.value, block.to_numpy(), key.to_numpy()))
-
-    bodies = texts.withColumn("_b", bloom.block_of("t1", LOG2_BLOCKS)).where(listed("_b", "t1"))
+                         .select("key", "copies", "sig", "t.t1", "t.t2"), "wanted")
+    bodies = texts.where(bloom.native(wanted, "t1")(F.col("t1")))                 # a filter of fixed size
     bodies = bodies.groupBy("t1", "t2").agg(F.first("body").alias("body"))
     sets = materialize(bodies.join(wanted, ["t1", "t2"]).select(
-        "key", "copies", "sig", "bands", shingle_hashes(F.col("body"), k).alias("sh")), "sets")
+        "key", "copies", "sig", shingle_hashes(F.col("body"), k).alias("sh")), "sets")
     cells = members.select("key", "band", "bucket", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("key", "band", "bucket", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     cells = (cells.join(sets, "key").repartition("band", "bucket", "x", "y")
@@ -278,18 +273,11 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text")
     first = materialize(links.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "firsts")
     judged = links.join(first, "group_key").select("doc_id", "t1", "t2", (place == F.col("first")).alias("stays"))
     judged = materialize(judged.groupBy("doc_id", "t1", "t2").agg(F.max("stays").alias("stays")), "copies")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(judged.select("t1"), "t1", LOG2_BLOCKS))
-
-    @F.pandas_udf("boolean")
-    def listed(block, key):
-        import pandas as pd
-        return pd.Series(bloom.probe(shared.value, block.to_numpy(), key.to_numpy()))
-
     body = F.coalesce(text_col, F.lit(""))
-    keyed = docs.withColumns({"_t1": F.xxhash64(body), "_t2": F.xxhash64(F.lit(7), body)}).withColumn("_b", bloom.block_of("_t1", LOG2_BLOCKS))
-    hit = listed("_b", "_t1")
+    keyed = docs.withColumns({"_t1": F.xxhash64(body), "_t2": F.xxhash64(F.lit(7), body)})
+    hit = bloom.native(judged, "t1")(F.col("_t1"))
     d = judged.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_j1"), F.col("t2").alias("_j2"), F.col("stays").alias("_stays"))
-    near = keyed.where(hit).drop("_b")
+    near = keyed.where(hit)
     near = near.join(d, near["doc_id"].eqNullSafe(d["_id"]) & (near["_t1"] == d["_j1"]) & (near["_t2"] == d["_j2"]), "left")
     near = materialize(near.where("_stays is null or _stays"), "near")
     once = near.where("_stays").dropDuplicates(["doc_id", "_t1", "_t2"])         # repeated rows of the one that stays
