@@ -8,6 +8,7 @@ sys.path.insert(0, ROOT)
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
+SF1 = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")

@@ -54,3 +54,45 @@ def test_severity_bands(spark):
     df = spark.createDataFrame([(75, 100), (76, 100), (91, 100), (5, 0)], "u long, l long")
     got = [r[0] for r in df.select(ledger.severity(F.col("u"), F.col("l"))).collect()]
     assert got == ["green", "yellow", "red", "green"]
+
+
+def test_limits_on_one_shared_total(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(3)
+    own = {"a": 0, "b": 120, "c": 300, "d": 900, "e": 10**9}
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=7 * i), rng.choice([-3, 0, 5, 20, 60]), rng.choice("abcdef"), rng.choice(["x", "map"])) for i in range(500)]
+    df = ledger.as_usage(spark.createDataFrame(rows, "event_id long, ts timestamp, tokens long, project string, source string"))
+    limits = spark.createDataFrame([(k, v) for k, v in own.items()], "project string, daily_limit long")
+    got = {r.event_id: (r.used_before, r.admitted) for r in
+           ledger.admission_shared(df, limits, default_limit=450, exempt_sources=["map"]).collect()}
+    used = {}
+    for i, ts, n, p, src in rows:
+        u = used.get(ts.date(), 0)
+        ok = src == "map" or u < own.get(p, 450)
+        assert got[i] == (u, ok), i
+        if ok and src != "map" and n > 0:
+            used[ts.date()] = u + n
+
+
+def test_status_as_of_now_and_a_past_moment(spark):
+    df = ledger.as_usage(spark.sql("select 1L as event_id, timestamp'2024-01-02 10:00:00' as ts, 30L as tokens, 'p' as project union all "
+                                   "select 2L, timestamp'2024-01-02 12:00:00', 50L, 'q'"))
+    r = ledger.status_as_of(df, F.lit("2024-01-02 11:00:00").cast("timestamp"), 40, ["project"]).orderBy("project").collect()
+    assert [(x.project, x.tokens_used, x.remaining, x.blocked) for x in r] == [("p", 30, 10, False), ("q", 0, 40, False)]
+    now = ledger.status_as_of(df).collect()
+    assert len(now) == 1 and now[0].tokens_used == 0 and now[0].remaining == 200_000
+    assert ledger.status_as_of(df.limit(0)).first().tokens_used == 0
+
+
+def test_limits_table_needs_a_scope(spark):
+    import pytest
+
+    usage = domain.usage(spark, SF001)
+    limits = spark.createDataFrame([("p1", 50)], "project string, daily_limit long")
+    with pytest.raises(ValueError, match="scope"):
+        ledger.budget_status(usage, limits)
+    st = {(r.project, r.daily_limit) for r in ledger.budget_status(usage, limits, ["project"]).collect()}
+    assert ("p1", 50) in st and ("p2", 200_000) in st

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from conftest import SF001
+from conftest import SF001, SF1
 import __spark_entry__ as E
 from tokenloom.sources.tables import TABLES
 from tools.oracle_check import _norm
@@ -34,6 +34,20 @@ def test_query_matches_oracle(spark, con, name):
     assert _norm(got) == _norm(want)
 
 
+# cheap queries, also at a size where shuffles have several partitions and range bounds are sampled
+LARGER = ["tree_listing", "tree_nodes", "project_root_join", "config_merge", "latest_change", "index_sync", "index_upsert", "budget_admission",
+          "budget_limits", "budget_status_as_of", "knn_batch", "knn_index_l2sq", "outline_python", "usage_by_source"]
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_matches_oracle_at_a_larger_size(spark, name):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF1}/{t}.parquet')")
+    got, want = E.queries()[name](spark, SF1).toPandas(), c.execute(E.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and _norm(got) == _norm(want)
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0

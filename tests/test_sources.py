@@ -21,6 +21,13 @@ def _tree():
         "docs/.note.txt": b"hidden file is kept\n",
         "img/logo.png": b"\x89PNG",
         "README.md": b"# Title\ntext\n",
+        "pkg/__init__.py": b"",
+        "pkg/_priv.py": b"p = 1\n",
+        "_lib/b.py": b"b = 1\n",
+        "pages/[id].tsx": b"const a = 1;\n",
+        "pages/i.tsx": b"const i = 1;\n",
+        "pages/a b.py": b"ab = 1\n",
+        "pages/100%20.py": b"c = 1\n",
     }
     for rel, data in entries.items():
         p = os.path.join(d, rel)
@@ -34,8 +41,13 @@ def test_tree_scan_two_pass(spark):
     root = _tree()
     df = files.read_tree(spark, root, keep=C.indexable)
     got = {r.path: (r.status, r.content) for r in df.collect()}
-    # Spark's file listing skips names starting with '.' or '_' (hidden files are not scanned).
-    assert set(got) == {"src/app.py", "src/bad.py", "README.md"}
+    assert set(got) == {"src/app.py", "src/bad.py", "README.md", "docs/.note.txt", "pkg/__init__.py", "pkg/_priv.py", "_lib/b.py",
+                        "pages/[id].tsx", "pages/i.tsx", "pages/a b.py", "pages/100%20.py"}
+    assert got["pages/[id].tsx"][1] == "const a = 1;\n" and got["pages/i.tsx"][1] == "const i = 1;\n"
+    by_uri = files.read_tree(spark, "file://" + root, keep=C.indexable)
+    assert {r.path for r in by_uri.select("path").collect()} == set(got)
+    pruned = files.list_tree(spark, root, enter=lambda p: ~p.startswith("pages"))
+    assert pruned.filter(F.col("path").startswith("pages/")).count() == 0 and pruned.count() == 10
     assert got["src/app.py"] == ("ok", "def f():\n    return 1\n")
     assert got["src/bad.py"][0] == "undecodable"
     lossy = {r.path: r.content for r in files.read_tree(spark, root, keep=C.search_scannable, lossy=True).collect()}
@@ -51,8 +63,44 @@ def test_ledger_append_and_day_pruning(spark):
     assert back.count() == usage.filter(F.col("tokens") > 0).count()
     day = back.select(F.min("day")).first()[0].isoformat()
     one = ledger_store.read(spark, os.path.join(root, "usage"), day)
-    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString() or one.count() > 0
+    assert "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
     assert one.select("day").distinct().count() == 1
     st = {r.day: r.tokens_used for r in ledger.budget_status(back, fill_days=False).collect()}
     want = {r.day: r.tokens_used for r in ledger.budget_status(usage, fill_days=False).collect()}
     assert st == want
+
+
+def test_ledger_written_before_source_existed(spark):
+    root = tempfile.mkdtemp(prefix="tl-ledger-", dir="/tmp")
+    spark.sql("select 1L as event_id, timestamp'2024-01-01 10:00:00' as ts, 5L as tokens, 'p' as path, date'2024-01-01' as day") \
+        .write.partitionBy("day").parquet(os.path.join(root, "usage"))
+    r = ledger_store.read(spark, os.path.join(root, "usage")).first()
+    assert r.source == "unknown" and r.tokens == 5
+
+
+def test_submitted_master_is_kept():
+    import subprocess
+    import sys
+
+    code = "from tokenloom.session import get_session; s = get_session(); print('MASTER', s.sparkContext.master, s.conf.get('spark.driver.memory'))"
+    script = os.path.join(tempfile.mkdtemp(prefix="tl-submit-", dir="/tmp"), "job.py")
+    with open(script, "w") as fh:
+        fh.write(code)
+    import pyspark
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([os.path.join(os.path.dirname(pyspark.__file__), "bin", "spark-submit"), "--master", "local[2]", "--driver-memory", "2g",
+                          "--conf", "spark.ui.enabled=false", script], capture_output=True, text=True, timeout=180,
+                         env=os.environ | {"PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": os.path.dirname(pyspark.__file__)})
+    assert "MASTER local[2] 2g" in out.stdout, out.stderr[-500:]
+
+
+def test_index_modes_and_count(spark):
+    scan = spark.createDataFrame([("a.py", "x = 1", "ok"), ("b.py", None, "undecodable"), ("c.png", "", "ok")],
+                                 "path string, content string, status string")
+    old = C.index_rows(spark.createDataFrame([("a.py", "old", "ok"), ("gone.py", "z", "ok")], "path string, content string, status string"))
+    embed = lambda c: F.array(F.length(c).cast("float"))
+    up = {r.path: (r.content, r.embedding) for r in C.index_files(old, scan, embed=embed).collect()}
+    assert up == {"a.py": ("x = 1", [5.0]), "gone.py": ("z", None)}
+    assert {r.path for r in C.index_files(old, scan, mode="sync").collect()} == {"a.py"}
+    assert tuple(C.indexed_count(scan).first()) == (1, 1, 1)

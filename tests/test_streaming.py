@@ -13,8 +13,6 @@ from tokenloom.streaming import jobs as S
 
 def _split_by_time(df, d, n=3, col="ts"):
     """Write ``df`` as n parquet folders ordered in time (one micro-batch each)."""
-    q = df.approxQuantile(F.unix_micros(col).alias("u")._jc.toString() and "u", [i / n for i in range(1, n)], 0) \
-        if False else None
     rows = df.withColumn("_u", F.unix_micros(col))
     bounds = rows.approxQuantile("_u", [i / n for i in range(1, n)], 0.0)
     edges = [None] + bounds + [None]
@@ -44,12 +42,13 @@ def test_index_sync_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="tl-sync-", dir="/tmp")
     base = domain.vectors(spark, SF001)
     ch = domain.changes(spark, SF001)
-    S.write_version(base, os.path.join(d, "index"), 0)
+    S.write_version(base.select("project", "doc_id", "path", "content", "embedding", "label"), os.path.join(d, "index"), 0)
     _stage_files(_split_by_time(ch, os.path.join(d, "split")), os.path.join(d, "changes"))
     q = S.start_index_sync(spark, os.path.join(d, "changes"), os.path.join(d, "index"),
                            os.path.join(d, "ckpt"), trigger_once=True, max_files=1)
     q.awaitTermination(300)
     final = S.read_version(spark, os.path.join(d, "index"), 3)
+    assert S._versions(spark, os.path.join(d, "index"), 3) != S._versions(spark, os.path.join(d, "index"), 0)
     want = CH.sync_index(base, ch)
     key = lambda df: sorted((r.doc_id, r.h) for r in df.select("doc_id", F.sha2("content", 256).alias("h")).collect())
     assert key(final) == key(want)
@@ -69,14 +68,27 @@ def test_daily_usage_stream_equals_batch(spark):
     assert got == want
 
 
+def test_index_store_keeps_names_and_untouched_buckets(spark):
+    d = tempfile.mkdtemp(prefix="tl-store-", dir="/tmp")
+    rows = spark.createDataFrame([("007", f"k{i}", f"p{i}", "t", [1.0], 1) for i in range(50)], S.INDEX_SCHEMA)
+    S.write_version(rows, d, 0, buckets=8)
+    some = rows.where(S._bucket("doc_id", 8) == 3).withColumn("content", F.lit("new"))
+    S.write_version(some, d, 1, buckets=8, touched=[3])
+    got = S.read_version(spark, d, 1).collect()
+    assert len(got) == 50 and {r.project for r in got} == {"007"} and sum(r.content == "new" for r in got) == some.count()
+    assert sorted(os.listdir(os.path.join(d, "data", "v000000001")))[-1] == "bucket=3"
+
+
 def test_admission_stream_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="tl-adm-", dir="/tmp")
     usage = domain.usage(spark, SF001).drop("day")
     _stage_files(_split_by_time(usage, os.path.join(d, "split")), os.path.join(d, "in"))
     stream = spark.readStream.schema(S.USAGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
-    q = (S.admission_stream(stream, 1500).writeStream.outputMode("append").format("memory")
-         .queryName("admission_t").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = {r.event_id: r.admitted for r in spark.sql("SELECT event_id, admitted FROM admission_t").collect()}
-    want = {r.event_id: r.admitted for r in ledger.admission(domain.usage(spark, SF001), 1500).collect()}
-    assert got == want
+    for scope, limit, exempt in (((), 1500, ()), (("project",), 120, ("click",))):
+        out = os.path.join(d, f"out{len(scope)}")
+        q = S.start_admission(stream, out, out + "-totals", out + "-ckpt", limit, scope, exempt, trigger_once=True)
+        q.awaitTermination(300)
+        got = {r.event_id: (r.used_before, r.admitted) for r in spark.read.parquet(out).collect()}
+        want = {r.event_id: (r.used_before, r.admitted) for r in
+                ledger.admission(domain.usage(spark, SF001), limit, scope, exempt_sources=exempt).collect()}
+        assert got == want and len(got) == 1000

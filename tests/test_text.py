@@ -1,7 +1,5 @@
 """Column helpers against the Python string semantics they reproduce."""
 
-import re
-
 import pytest
 
 from tokenloom.functions import paths as P
@@ -14,13 +12,10 @@ SAMPLES = [
 ]
 
 
-def _strip_comments(s):
-    return "\n".join(x for x in re.sub(r"#.*$", "", s, flags=re.MULTILINE).splitlines() if x.strip())
-
-
-def _display(line):
-    d = line.strip()
-    return d[:117] + "..." if len(d) > 120 else d
+# the comment-strip view of each sample
+STRIPPED = [
+    "", "a", "a", "a\nb", "", "x\ny\nz", "p\nq\nr\ns", "tail", "code = 1  \nend ", "", "text", "　 wide  ", " \x1f x ", "s = '",
+]
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +23,7 @@ def rows(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "i int, s string")
     return {r.i: r for r in df.select(
         "i", T.split_lines("s").alias("lines"), T.py_strip("s").alias("strip"),
-        T.strip_hash_comments("s").alias("nocomment"), T.shorten_display("s").alias("disp")).collect()}
+        T.strip_hash_comments("s").alias("nocomment")).collect()}
 
 
 def test_splitlines(rows):
@@ -42,15 +37,20 @@ def test_strip(rows):
 
 
 def test_comment_strip(rows):
-    for i, s in enumerate(SAMPLES):
-        assert rows[i].nocomment == _strip_comments(s), repr(s)
+    assert [rows[i].nocomment for i in range(len(SAMPLES))] == STRIPPED
 
 
 def test_display_cut(spark):
-    cases = ["x" * 120, "y" * 121, "  " + "z" * 130 + "  "]
-    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "s string")
-           .select(T.shorten_display("s")).collect()]
-    assert got == [_display(c) for c in cases]
+    df = spark.createDataFrame([("x" * 120,), ("y" * 121,)], "s string")
+    assert [r[0] for r in df.select(T.display_line("s", T.DISPLAY_MAX)).collect()] == ["x" * 120, "y" * 117 + "..."]
+    assert [r[0] for r in df.select(T.display_line("s")).collect()] == ["x" * 120, "y" * 121]
+
+
+def test_snippet(spark):
+    df = spark.createDataFrame([("x" * 501, None), ("x" * 501, "p"), ("x" * 500, None)], "c string, p string")
+    assert [r[0] for r in df.select(T.snippet("c", "p", T.SNIPPET_MAX)).collect()] == [
+        "x" * 500 + "\n...[Content Truncated]", "x" * 501, "x" * 500]
+    assert {r[0] for r in df.select(T.snippet("c", "p")).collect()} == {"x" * 501, "x" * 500}
 
 
 def test_suffix_and_lang(spark):

@@ -1,40 +1,47 @@
-"""Tree listing against a recursive walk over the same entries."""
+"""Tree listing: a literal listing, and its order at a size where partitions are sampled."""
+
+from pyspark.sql import functions as F
 
 from tokenloom.operators import tree as TR
-from tokenloom.functions.paths import TREE_IGNORE_DIRS
 
 PATHS = ["a/b/c.txt", "a/B.txt", "a/build/x.py", "build", "z/Zeta/q", "z/alpha", "m/", "a/b/D",
          "x/y/z/w.txt", "x/y/v/", "a/node_modules/k.js"]
 
-
-def walk(paths, root="site"):
-    tree = {}
-    for p in paths:
-        is_dir = p.endswith("/")
-        parts = [x for x in p.split("/") if x]
-        node = tree
-        for i, part in enumerate(parts):
-            last = i == len(parts) - 1
-            if last and not is_dir:
-                node.setdefault(part, None)
-            else:
-                node = node.setdefault(part, {}) if node.get(part) is not None else node.__setitem__(part, {}) or node[part]
-    out = [root + "/"]
-
-    def rec(node, prefix):
-        items = [(k, v) for k, v in node.items() if not (v is not None and k in TREE_IGNORE_DIRS)]
-        items.sort(key=lambda kv: (kv[1] is None, kv[0].lower(), kv[0]))
-        for i, (k, v) in enumerate(items):
-            last = i == len(items) - 1
-            out.append(prefix + ("└── " if last else "├── ") + k)
-            if v is not None:
-                rec(v, prefix + ("    " if last else "│   "))
-
-    rec(tree, "")
-    return out
-
-
-def test_listing_equals_walk(spark):
+LISTING = """site/
+├── a
+│   ├── b
+│   │   ├── c.txt
+│   │   └── D
+│   └── B.txt
+├── m
+├── x
+│   └── y
+│       ├── v
+│       └── z
+│           └── w.txt
+├── z
+│   ├── Zeta
+│   │   └── q
+│   └── alpha
+└── build"""
+
+
+def test_listing(spark):
     df = spark.createDataFrame([(p.rstrip("/"), p.endswith("/")) for p in PATHS], "path string, is_dir boolean")
     got = [r.line for r in TR.listing(df, "site").orderBy("line_no").collect()]
-    assert got == walk(PATHS)
+    assert got == LISTING.split("\n")
+
+
+def test_numbers_are_complete_on_many_paths(spark):
+    df = spark.range(60_000).select(
+        F.concat(F.lit("d"), F.pmod(F.xxhash64("id"), F.lit(40)).cast("string"), F.lit("/e"), (F.col("id") % 37).cast("string"),
+                 F.lit("/f"), F.col("id").cast("string")).alias("path"), F.lit(False).alias("is_dir"))
+    out = TR.listing(df, "site").cache()
+    n, distinct, top = out.agg(F.count("line_no"), F.countDistinct("line_no"), F.max("line_no")).first()
+    assert n == distinct == top + 1
+    assert n == 1 + 60_000 + 40 + df.select(F.regexp_extract("path", "^[^/]*/[^/]*", 0).alias("d")).distinct().count()
+    # one last child per folder: as many closing branches at depth one as there is one root
+    assert out.where(F.col("line").startswith(TR.LAST_BRANCH)).count() == 1
+    order = [r.line.split("── ")[-1] for r in out.where("line_no > 0").orderBy("line_no").where(F.col("line").rlike("^[├└]")).collect()]
+    assert order == sorted(order, key=str.lower)
+    out.unpersist()

@@ -43,4 +43,30 @@ def test_knn_single_k_larger_than_index(spark):
     assert len(out) == 3
     empty = V.knn_single(vec.filter(F.lit(False)), [0.0] * 64, 5).collect()
     assert empty == []
-    assert V.clamp_k(9) == 5
+
+
+def test_ties_and_rows_without_a_vector(spark, monkeypatch):
+    rows = [(f"k{i:03d}", None, [1.0, 0.0] if i < 200 else None if i < 210 else [float(i), 1.0]) for i in range(300)]
+    idx = spark.createDataFrame(rows, "doc_id string, path string, embedding array<float>")
+    qs = spark.createDataFrame([(i, [1.0, 0.0 if i < 5 else 0.5]) for i in range(9)] + [(99, None)], "query_id long, embedding array<float>")
+    monkeypatch.setattr(V, "INDEX_BLOCK", 40)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    for metric in V.METRICS:
+        got = {}
+        for r in V.knn_batch(idx, qs, 7, metric).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.distance))
+        single = [r.doc_id for r in V.knn_single(idx, [1.0, 0.0], 7, metric).collect()]
+        assert sorted(got) == list(range(9))
+        assert [i for _, i, _ in sorted(got[0])] == single
+        if metric != "ip":
+            assert single == [f"k{i:03d}" for i in range(7)]
+
+
+def test_repeated_key_needs_an_order(spark):
+    import pytest
+
+    cur = spark.createDataFrame([("a", "old", 0)], "doc_id string, content string, v int")
+    batch = spark.createDataFrame([("b", "one", 1), ("b", "two", 2)], "doc_id string, content string, v int")
+    assert {r.content for r in V.upsert(cur, batch, "v").collect()} == {"old", "two"}
+    with pytest.raises(Exception, match="repeated key"):
+        V.upsert(cur, batch).collect()

@@ -24,9 +24,8 @@ PY_LINE_BREAKS = r"[\x{000A}\x{000B}\x{000C}\x{001C}\x{001D}\x{001E}\x{0085}\x{2
 PRETOKEN_PATTERN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 # Comment rule of the comment-strip view: '#' to end of line, in every language.
 HASH_COMMENT = r"#[^\n]*"
-# Display line limits of the reference search.
+# Display line limit of the reference search (117 characters and the ellipsis).
 DISPLAY_MAX = 120
-DISPLAY_KEEP = 117
 DISPLAY_ELLIPSIS = "..."
 # Snippet limit for hits that carry no path.
 SNIPPET_MAX = 500
@@ -84,18 +83,23 @@ def strip_hash_comments(c) -> Column:
     return F.array_join(kept, "\n")
 
 
-def shorten_display(c) -> Column:
-    """Search display line: stripped, cut to 117 characters + '...' when above 120."""
-    s = py_strip(c)
-    return F.when(F.length(s) > DISPLAY_MAX,
-                  F.concat(F.substring(s, 1, DISPLAY_KEEP), F.lit(DISPLAY_ELLIPSIS))).otherwise(s)
+def display_line(c, limit: int | None = None) -> Column:
+    """A search result's line: whole, or with a ``limit`` (the search tool's is DISPLAY_MAX) cut to it,
+    the ellipsis included."""
+    s = _c(c)
+    if limit is None:
+        return s
+    return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - len(DISPLAY_ELLIPSIS)), F.lit(DISPLAY_ELLIPSIS))).otherwise(s)
 
 
-def snippet(content, path) -> Column:
-    """Hit content without a path: first 500 characters + truncation suffix."""
+def snippet(content, path, limit: int | None = None) -> Column:
+    """Content of a hit without a path: whole, or with a ``limit`` (the search tool's is SNIPPET_MAX) its
+    first characters and a suffix."""
     content = _c(content)
-    return F.when(_c(path).isNull() & (F.length(content) > SNIPPET_MAX),
-                  F.concat(F.substring(content, 1, SNIPPET_MAX), F.lit(SNIPPET_SUFFIX))).otherwise(content)
+    if limit is None:
+        return content
+    return F.when(_c(path).isNull() & (F.length(content) > limit),
+                  F.concat(F.substring(content, 1, limit), F.lit(SNIPPET_SUFFIX))).otherwise(content)
 
 
 def decode_utf8_strict(binary_col) -> tuple[Column, Column]:

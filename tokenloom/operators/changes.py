@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.operators import corpus as C
-from tokenloom.operators import vectors as V
 
 
 def latest_change(changes: DataFrame) -> DataFrame:
-    """The last change of each path by (ts, seq).
+    """The last change of each path by (ts, seq): one aggregate with map-side combine.
 
-    Two hash aggregates with map-side combine (latest ts, then the largest seq at that ts), each
-    followed by a left-semi join, so a path with a huge history never needs its history in one
-    task. Run it on change keys and attach texts afterwards to keep texts out of the shuffles.
+    A change without a time is older than any with one; it still counts where its path has no other.
+    Run it on change keys and attach texts afterwards to keep texts out of the shuffle.
     """
-    last_ts = changes.groupBy("path").agg(F.max("ts").alias("ts"))
-    at_last = changes.join(last_ts, ["path", "ts"], "left_semi")
-    win = at_last.groupBy("path").agg(F.max("seq").alias("seq"))
-    return at_last.join(win, ["path", "seq"], "left_semi")
+    cols = [c for c in changes.columns if c != "path"]
+    last = changes.groupBy("path").agg(F.max_by(F.struct(*cols), F.struct("ts", "seq")).alias("_r"))
+    return last.select("path", "_r.*").select(*changes.columns)
 
 
 def sync_index(current: DataFrame, changes: DataFrame, root_name: str = "workspace",
@@ -27,19 +24,19 @@ def sync_index(current: DataFrame, changes: DataFrame, root_name: str = "workspa
     """Apply a change feed to the index: created/modified -> upsert of the latest text,
     deleted -> delete. Paths failing the watcher predicate are ignored; a change whose text
     equals the indexed text is a no-op. Vectors of kept keys stay, new keys have none.
-    ``attach`` adds ``content`` to change keys after the latest change is chosen."""
+    ``attach`` adds ``content`` to change keys after the latest change is chosen.
+
+    One full outer join of the index with the winning changes decides every row.
+    """
     kw = {} if excludes is None else {"excludes": excludes}
-    valid = changes.filter(C.watch_valid("path", root_name, **kw))
-    last = latest_change(valid)
+    last = latest_change(changes.filter(C.watch_valid("path", root_name, **kw)))
     if attach is not None:          # texts joined only to the winning rows
         last = attach(last)
-    last = last.withColumn("doc_id", F.sha2("path", 256))
-    dels = last.filter(F.col("op") == "deleted").select("doc_id")
-    ups = last.filter(F.col("op") != "deleted")
-    cur = current.alias("cur")
-    changed = (ups.join(cur.select("doc_id", F.col("content").alias("_old"), "embedding", "label", "project"),
-                        "doc_id", "left")
-               .filter(F.col("_old").isNull() | (F.sha2("_old", 256) != F.sha2("content", 256))))
-    batch = changed.select(F.coalesce(F.col("project"), F.regexp_extract("path", r"^([^/]*)", 1)).alias("project"),
-                           "doc_id", "path", "content", "embedding", "label")
-    return V.delete(V.upsert(current, batch), dels)
+    new = last.select(F.sha2("path", 256).alias("doc_id"), F.col("path").alias("_path"), F.col("op").alias("_op"),
+                      F.col("content").alias("_content"))
+    j = current.join(new, "doc_id", "full_outer").filter("_op is null or _op <> 'deleted'")
+    written = F.col("_op").isNotNull() & (F.col("content").isNull() | (F.sha2("content", 256) != F.sha2("_content", 256)))
+    own = {"path": F.when(written, F.col("_path")).otherwise(F.col("path")),
+           "content": F.when(written, F.col("_content")).otherwise(F.col("content")),
+           "project": F.coalesce("project", F.regexp_extract("_path", r"^([^/]*)", 1))}
+    return j.select(*[own[c].alias(c) if c in own else F.col(c) for c in current.columns])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from tokenloom.functions import paths as P
 
@@ -38,9 +42,32 @@ def project_roots(files: DataFrame, markers: DataFrame) -> DataFrame:
     return out.select("path", "root", F.coalesce("root", F.lit(GLOBAL_PROJECT)).alias("project"))
 
 
-def _json_map(c: Column) -> Column:
-    """A JSON object as MAP<STRING,STRING>; malformed text gives NULL (the layer is skipped)."""
-    return F.from_json(c, "map<string,string>")
+@F.pandas_udf(TY.MapType(TY.StringType(), TY.StringType()))
+def _json_map(texts: pd.Series) -> pd.Series:
+    """A JSON object as key -> value text (strings as they are, all else as JSON). Of a repeated key the
+    last one counts; anything but one object, text after it included, gives NULL (the layer is skipped)."""
+    class Number(str):
+        pass
+
+    def text(v) -> str:
+        if isinstance(v, Number):
+            return str(v)
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{text(x)}" for k, x in v.items()) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(text(x) for x in v) + "]"
+        return json.dumps(v, ensure_ascii=False)
+
+    def one(s):
+        try:
+            d = json.loads(s, parse_int=Number, parse_float=Number)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        if not isinstance(d, dict):
+            return None
+        return {k: None if v is None else str(v) if isinstance(v, str) else text(v) for k, v in d.items()}
+
+    return texts.map(one, na_action="ignore")
 
 
 def _without_keys(m: Column, upper: Column) -> Column:
@@ -52,16 +79,17 @@ def merge_layers(project_layers: DataFrame, global_json: str | None = None,
     """``(project, key, value, layer)``: defaults < global < project, whole-key replacement.
 
     One row per project holds that project's layer text; the default and global layers are
-    small literal maps. Lower layers lose every key an upper layer defines (no deep merge),
+    small literal maps. Texts are parsed in Arrow batches. Lower layers lose every key an upper layer defines (no deep merge),
     so the merge is a per-row map operation — no shuffle. ``bad_layer`` marks a project whose
     text did not parse (it is then ignored, as the reference ignores malformed files).
     """
     defaults = DEFAULT_CONFIG if defaults is None else defaults
     d = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(v))]) if defaults \
         else F.create_map().cast("map<string,string>")
-    g = _json_map(F.lit(global_json)) if global_json else F.create_map().cast("map<string,string>")
-    g = F.coalesce(g, F.create_map().cast("map<string,string>"))
-    parsed = _json_map(F.col("json"))
+    project_layers = project_layers.select("project", "json", _json_map(F.col("json")).alias("_p"),
+                                           _json_map(F.lit(global_json).cast("string")).alias("_g"))
+    g = F.coalesce("_g", F.create_map().cast("map<string,string>"))
+    parsed = F.col("_p")
     pj = F.coalesce(parsed, F.create_map().cast("map<string,string>"))
     upper_g = F.map_concat(_without_keys(g, pj), pj)
     layered = F.map_concat(

@@ -74,9 +74,33 @@ def comment_stripped(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", s.alias("text"), T.token_estimate(s).alias("tokens"))
 
 
-def index_rows(corpus: DataFrame, project: Column | str | None = None) -> DataFrame:
-    """Rows ready for the vector index: readable files only (unreadable is never indexed)."""
+def index_rows(corpus: DataFrame, project: Column | str | None = None, embed=None) -> DataFrame:
+    """Rows ready for the vector index: readable files only (unreadable is never indexed).
+
+    ``embed`` (a Column function of the text column giving array<float>) fills the vectors; without it
+    a new key has none.
+    """
     df = corpus.filter(F.col("status") == "ok") if "status" in corpus.columns else corpus
     proj = F.col(project) if isinstance(project, str) else (project if project is not None else F.lit("global"))
+    vector = embed(F.col("content")) if embed is not None else F.lit(None).cast("array<float>")
     return df.select(proj.alias("project"), F.sha2("path", 256).alias("doc_id"), "path", "content",
-                     F.create_map(F.lit("path"), F.col("path")).alias("metadata"))
+                     F.create_map(F.lit("path"), F.col("path")).alias("metadata"), vector.alias("embedding"))
+
+
+def index_files(current: DataFrame, corpus: DataFrame, mode: str = "upsert", project: Column | str | None = None, embed=None) -> DataFrame:
+    """The index after a scan: readable, indexable files are written by key. ``mode="sync"`` also removes
+    keys of the index whose file the scan no longer has. A single file is a scan of one row."""
+    rows = index_rows(corpus.filter(indexable("path")), project, embed)
+    batch = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns])
+    if mode == "sync":
+        return batch
+    if mode != "upsert":
+        raise ValueError(f"unknown mode {mode!r}")
+    return current.join(batch.select("doc_id"), "doc_id", "left_anti").unionByName(batch)
+
+
+def indexed_count(corpus: DataFrame) -> DataFrame:
+    """How many files of a scan are indexed, and how many are left out by path or as unreadable."""
+    fits, ok = indexable("path"), F.col("status") == "ok"
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    return corpus.agg(n(fits & ok).alias("indexed"), n(fits & ~ok).alias("unreadable"), n(~fits).alias("skipped"))

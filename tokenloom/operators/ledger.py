@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.session import checkpoint_dir
+
 # ---------------------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------------------
@@ -58,7 +60,10 @@ def _limit_frame(usage: DataFrame, limit, scope: Sequence[str]) -> tuple[DataFra
     measured size of the limits side is under the broadcast threshold.
     """
     if isinstance(limit, DataFrame):
-        keyed = usage.join(limit.select(*scope, F.col("daily_limit").cast("bigint")), list(scope), "left")
+        if not scope:
+            raise ValueError("a limits table needs a scope to join on; for limits of projects on one shared total use admission_shared")
+        own = limit.groupBy(*scope).agg(F.min("daily_limit").cast("bigint").alias("daily_limit"))
+        keyed = usage.join(own, list(scope), "left")
         return keyed, F.coalesce(F.col("daily_limit"), F.lit(DEFAULT_DAILY_LIMIT).cast("bigint"))
     return usage, F.lit(int(limit)).cast("bigint")
 
@@ -109,8 +114,51 @@ def budget_status(usage: DataFrame, limit=DEFAULT_DAILY_LIMIT, scope: Sequence[s
     )
 
 
+def status_as_of(usage: DataFrame, as_of: Column | None = None, limit=DEFAULT_DAILY_LIMIT,
+                 scope: Sequence[str] = ()) -> DataFrame:
+    """What is left on the UTC day of ``as_of`` (default: now): rows of that day up to that moment count. A
+    scope of the ledger without such rows has 0 used; the global scope always has its row."""
+    scope = list(scope)
+    at = F.current_timestamp() if as_of is None else as_of.cast("timestamp")
+    today = (F.col("day") == F.to_date(at)) & (F.col("ts") <= at)
+    rec = usage.withColumn("_t", F.when(today & (F.col("tokens") > 0), F.col("tokens")))
+    daily = rec.groupBy(*scope).agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("tokens_used"))
+    daily, lim = _limit_frame(daily, limit, scope)
+    used = F.col("tokens_used").cast("bigint")
+    return daily.select(
+        *scope, F.date_format(at, "yyyy-MM-dd").alias("day"), used.alias("tokens_used"), lim.alias("daily_limit"),
+        F.greatest(F.lit(0).cast("bigint"), lim - used).alias("remaining"), percentage(used, lim).alias("percentage"),
+        (used >= lim).alias("blocked"), F.when(used >= lim, F.format_string(BLOCKED_MESSAGE, used, lim)).alias("message"),
+        severity(used, lim).alias("severity"))
+
+
+def _prefix_sums(rows: DataFrame, keys: list[str], amount: str, out: str, bucket_seconds: int) -> DataFrame:
+    """``out``: sum of ``amount`` over the earlier rows of the same keys in (ts, event_id) order.
+
+    Two levels, so that no single window partition holds a whole hot day: (1) totals per time bucket, a
+    partial/final hash aggregation; (2) exclusive running offsets over the small bucket table; (3) a running
+    sum inside each bucket, joined to its offset on the same keys (the join reuses the window's hash
+    partitioning for the large side).
+    """
+    base = rows.withColumn("_bucket", F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
+    buckets = base.groupBy(*keys, "_bucket").agg(F.sum(amount).alias("_bt"))
+    w_b = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select(*keys, "_bucket", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).cast("bigint").alias("_off"))
+    w_in = (Window.partitionBy(*keys, "_bucket").orderBy("ts", "event_id")
+            .rowsBetween(Window.unboundedPreceding, -1))
+    inner = base.withColumn("_in", F.coalesce(F.sum(amount).over(w_in), F.lit(0)).cast("bigint"))
+    return (inner.join(offsets, keys + ["_bucket"], "inner")
+            .withColumn(out, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_off", "_in", "_bucket"))
+
+
+def _counted(exempt_sources: Sequence[str]) -> tuple[Column, Column]:
+    """(tokens that count, the request is exempt): exempt sources are neither checked nor recorded."""
+    exempt = F.coalesce(F.col("source").isin(list(exempt_sources)), F.lit(False)) if exempt_sources else F.lit(False)
+    return F.when(exempt, F.lit(0)).otherwise(F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))).cast("bigint"), exempt
+
+
 def admission(requests: DataFrame, limit=5_000, scope: Sequence[str] = (),
-              bucket_seconds: int = 60) -> DataFrame:
+              bucket_seconds: int = 60, exempt_sources: Sequence[str] = (), carried: DataFrame | None = None) -> DataFrame:
     """Order-aware admission of requests against a daily limit.
 
     A request is admitted iff the tokens already recorded in its (scope, UTC day) are below
@@ -118,41 +166,73 @@ def admission(requests: DataFrame, limit=5_000, scope: Sequence[str] = (),
     with tokens <= 0 record nothing either. Because recorded totals never decrease, this is
     exactly ``exclusive prefix sum of greatest(tokens, 0) < limit`` in (ts, event_id) order.
 
-    The prefix sum is computed in two levels so that no single window partition holds a whole
-    hot day: (1) totals per time bucket — a partial/final hash aggregation; (2) exclusive
-    running offsets over the small bucket table; (3) a running sum inside each bucket,
-    partitioned by (scope, day, bucket) and joined to its offset on the same keys (the join
-    reuses the window's hash partitioning for the large side).
+    Sources in ``exempt_sources`` are neither checked nor recorded. ``carried`` (scope..., day, used) holds
+    totals recorded before these requests, as a stream carries them.
     """
     scope = list(scope)
     keys = scope + ["day"]
-    t = F.greatest(F.col("tokens"), F.lit(0)).cast("bigint")
-    base = requests.withColumn("_t", t).withColumn(
-        "_bucket", F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
-
-    buckets = base.groupBy(*keys, "_bucket").agg(F.sum("_t").alias("_bt"))
-    w_b = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select(*keys, "_bucket",
-                             F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).cast("bigint").alias("_off"))
-
-    w_in = (Window.partitionBy(*keys, "_bucket").orderBy("ts", "event_id")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    inner = base.withColumn("_in", F.coalesce(F.sum("_t").over(w_in), F.lit(0)).cast("bigint"))
-    joined = inner.join(offsets, keys + ["_bucket"], "inner")
+    t, exempt = _counted(exempt_sources)
+    joined = _prefix_sums(requests.withColumn("_t", t), keys, "_t", "_before", bucket_seconds)
+    if carried is not None:
+        joined = joined.join(carried.select(*keys, F.col("used").alias("_used")), keys, "left")
+        joined = joined.withColumn("_before", F.col("_before") + F.coalesce("_used", F.lit(0)))
     joined, lim = _limit_frame(joined, limit, scope)
-    used_before = (F.col("_off") + F.col("_in")).cast("bigint")
     return joined.select(
         "event_id", *scope,
         F.date_format("day", "yyyy-MM-dd").alias("day"),
         "tokens",
-        used_before.alias("used_before"),
+        F.col("_before").cast("bigint").alias("used_before"),
         lim.alias("daily_limit"),
-        (used_before < lim).alias("admitted"),
+        (exempt | (F.col("_before") < lim)).alias("admitted"),
     )
 
 
-def admitted_ledger(requests: DataFrame, limit=5_000, scope: Sequence[str] = ()) -> DataFrame:
-    """Ledger rows written by admitted requests with positive tokens."""
+def admission_shared(requests: DataFrame, limits: DataFrame, by: str = "project", default_limit: int = DEFAULT_DAILY_LIMIT,
+                     bucket_seconds: int = 60, exempt_sources: Sequence[str] = ()) -> DataFrame:
+    """Admission where every project has its own limit (``by``, daily_limit) on one shared daily total.
+
+    A request that a small limit blocks must not count against a larger one, so one prefix sum does not do.
+    The shared total never falls, so it passes the limits in ascending order: in round k only projects with
+    at least the k-th limit are still admitted, and a prefix sum over their requests from the point where the
+    (k-1)-th limit was passed finds where the k-th is. A request is admitted up to and including the
+    point at which its own limit is passed. There is one round per distinct limit.
+    """
+    own = limits.groupBy(by).agg(F.min("daily_limit").cast("bigint").alias("_own"))
+    t, exempt = _counted(exempt_sources)
+    rows = requests.withColumn("_t", t).withColumn("_exempt", exempt).join(own, by, "left") \
+        .withColumn("_lim", F.coalesce("_own", F.lit(default_limit).cast("bigint"))).drop("_own")
+    levels = sorted(r[0] for r in rows.select("_lim").distinct().collect())       # distinct limits
+    place = F.struct("ts", "event_id")
+    checkpoint_dir(rows.sparkSession)
+    # per day: where the last limit was passed and the total then; null place: from the day's start
+    state = rows.select("day").distinct().select("day", F.lit(None).cast(rows.select(place.alias("p")).schema["p"].dataType).alias("_at"),
+                                                 F.lit(0).cast("bigint").alias("_used"))
+    passed = None
+    for level in levels:
+        open_ = rows.where((F.col("_lim") >= level) & ~F.col("_exempt")).join(state, "day").where(F.col("_at").isNull() | (place > F.col("_at")))
+        sums = _prefix_sums(open_.withColumn("_place", place), ["day"], "_t", "_before", bucket_seconds)
+        total = F.col("_used") + F.col("_before") + F.col("_t")
+        hit = sums.where(total >= level).groupBy("day").agg(F.min(F.struct(F.col("_place").alias("at"), total.alias("used"))).alias("h"))
+        # a total that is already past this limit passes it at the same point; at a limit of 0 at the start
+        now = state.join(hit, "day", "left")
+        done = F.col("_used") >= level
+        state = now.select("day", F.when(done, F.col("_at")).otherwise(F.col("h.at")).alias("_at"),
+                           F.when(done, F.col("_used")).otherwise(F.col("h.used")).alias("_used"),
+                           (done | F.col("h").isNotNull()).alias("_passed")).where("_passed").drop("_passed").checkpoint()
+        here = state.select("day", F.lit(level).alias("_lim"), F.col("_at").alias("_end"), F.lit(True).alias("_ends"))
+        passed = here if passed is None else passed.unionByName(here)
+    rows = rows.join(passed, ["day", "_lim"], "left") if passed is not None else rows.withColumns({"_end": F.lit(None), "_ends": F.lit(None)})
+    rows = rows.withColumn("admitted", F.col("_exempt") | F.col("_ends").isNull() | F.coalesce(place <= F.col("_end"), F.lit(False)))
+    out = _prefix_sums(rows.withColumn("_a", F.when(F.col("admitted"), F.col("_t")).otherwise(F.lit(0).cast("bigint"))), ["day"], "_a", "used_before",
+                       bucket_seconds)
+    return out.select("event_id", by, F.date_format("day", "yyyy-MM-dd").alias("day"), "tokens", "used_before",
+                      F.col("_lim").alias("daily_limit"), "admitted")
+
+
+def admitted_ledger(requests: DataFrame, limit=5_000, scope: Sequence[str] = (), exempt_sources: Sequence[str] = ()) -> DataFrame:
+    """Ledger rows written by admitted requests with positive tokens (exempt sources write none)."""
+    if exempt_sources:
+        requests = requests.where(~F.col("source").isin(list(exempt_sources)))
     adm = admission(requests, limit, scope).filter("admitted AND tokens > 0").select("event_id")
     return requests.join(adm, "event_id", "left_semi")
 

@@ -3,7 +3,7 @@
 Every step is a set operation on the node table — no recursion on the driver and no window
 over a whole parent directory: the last child of each directory comes from a combinable
 ``max`` aggregate, prefixes from a join with the (depth-bounded) ancestor list, and line
-numbers from a range-partitioned global sort plus per-partition offsets.
+numbers from a range-partitioned global sort, stored once, plus per-partition offsets.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import paths as P
+from tokenloom.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------------------
 # Fixed values
@@ -82,21 +83,23 @@ def rendered(node: DataFrame) -> DataFrame:
 def global_row_number(df: DataFrame, order_col: str, out: str = "line_no", partitions: int | None = None) -> DataFrame:
     """1-based position in a total order without a single-partition window.
 
-    Range-partition and sort by the key, number rows inside each partition, then add the
-    row counts of all earlier partitions (a table with one row per partition).
+    The rows are range-partitioned, sorted and written once to the checkpoint folder: range bounds are
+    sampled, so a second computation could cut elsewhere. The stored partitions are then numbered, and
+    the row counts of all earlier ones are added (a table with one row per partition).
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col) \
-            .withColumn("_pid", F.spark_partition_id()) \
-            .withColumn("_mid", F.monotonically_increasing_id())
-    local = srt.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    fixed = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col).checkpoint(eager=True)
+    pid = F.spark_partition_id()
+    local = fixed.withColumn("_pid", pid).withColumn(
+        "_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select("_pid", F.sum("_cnt").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")   # one row per partition: bounded by n
             .withColumn(out, (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local") + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_local", "_off"))
+            .drop("_pid", "_local", "_off"))
 
 
 def listing(paths: DataFrame, root_name: str, ignore: Sequence[str] = P.TREE_IGNORE_DIRS) -> DataFrame:

@@ -2,9 +2,8 @@
 
 The index is a plain table ``vectors(project, doc_id, path, content, metadata, embedding)``
 keyed by ``doc_id = sha256(path)``. Upsert and delete are anti-joins (plus a union); search
-is exact. Many-query search ships the (size-checked) query matrix to every task and keeps a
-running top-k per query inside each task, so each partition emits at most
-``queries x k`` rows before the final top-k shuffle.
+is exact. Many-query search meets blocks of the index with blocks of the query table, and each pair
+returns its own top-k before the final one.
 """
 
 from __future__ import annotations
@@ -16,12 +15,12 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------------------
-MAX_K = 5                      # search results are clamped to 5
+MAX_K = 5                      # the search tool shows 5 (a label here: nothing is cut)
 DEFAULT_K = 5
 # ---------------------------------------------------------------------------------------
 
-# Bytes of query matrix shipped to tasks in one pass; larger query sets run in several passes.
-QUERY_BROADCAST_BYTES = 64 << 20
+# Rows of the index and of the query table that one task holds.
+INDEX_BLOCK, QUERY_BLOCK = 20_000, 2_000
 METRICS = ("l2sq", "cosine", "ip")
 
 
@@ -48,9 +47,13 @@ def distance(a, b, metric: str = "l2sq") -> Column:
 
 
 def dedupe_batch(batch: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One row per key: the last by ``order_col`` (a later write of a key wins)."""
+    """One row per key: the last by ``order_col`` (a later write of a key wins). Without an order the keys
+    have to be unique; a repeated one fails the job, so that no arbitrary version wins."""
     if order_col is None:
-        return batch.dropDuplicates(["doc_id"])
+        n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+        return (batch.withColumn("_n", n)
+                .filter(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(
+                    F.concat(F.lit("repeated key without order_col: "), F.col("doc_id"))).cast("boolean"))).drop("_n"))
     cols = [c for c in batch.columns if c != "doc_id"]
     latest = batch.groupBy("doc_id").agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
     return latest.select("doc_id", "_r.*").select(*batch.columns)
@@ -68,8 +71,10 @@ def delete(current: DataFrame, keys: DataFrame) -> DataFrame:
     return current.join(keys.select("doc_id"), "doc_id", "left_anti")
 
 
-def clamp_k(k: int, max_k: int = MAX_K) -> int:
-    return max(0, min(int(k), max_k))
+def searchable(index: DataFrame, dim: int | None = None) -> DataFrame:
+    """Rows that have a vector (of the query's dimension): an index may hold keys without one."""
+    ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    return index.filter(ok if dim is None else ok & (F.size("embedding") == dim))
 
 
 def knn_single(index: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str = "l2sq",
@@ -81,91 +86,73 @@ def knn_single(index: DataFrame, query: list[float], k: int = DEFAULT_K, metric:
     """
     q = F.array(*[F.lit(float(x)) for x in query])
     d = distance("embedding", q, metric)
-    return (index.select(*cols, d.alias("_d"))
+    return (searchable(index, len(query)).select(*cols, d.alias("_d"))
             .orderBy("_d", "doc_id").limit(k)
             .select(*cols, F.round("_d", 6).alias("distance")))
 
 
-def _topk_partition_fn(qids, qmat, k: int, metric: str):
-    """Per-partition top-k builder (self-contained: only numpy/pandas inside tasks)."""
+def _block_topk(k: int, metric: str):
+    """Top-k of one block of the index for one block of queries (numpy inside a task)."""
 
-    def run(batches):
+    def run(rows, asked):
         import numpy as np
         import pandas as pd
 
-        Q = np.asarray(qmat, dtype=np.float64)
-        qn2 = (Q * Q).sum(axis=1)
-        best_d = [np.empty(0) for _ in qids]
-        best_id = [np.empty(0, dtype=object) for _ in qids]
-        best_path = [np.empty(0, dtype=object) for _ in qids]
-        for pdf in batches:
-            if len(pdf) == 0:
+        out = []
+        asked = asked[[e is not None and len(e) > 0 for e in asked["embedding"]]]
+        dims = rows["embedding"].map(len).to_numpy(int) if len(rows) else np.zeros(0, int)
+        for dim in sorted({len(e) for e in asked["embedding"]}):
+            own = rows[dims == dim]
+            q = asked[[len(e) == dim for e in asked["embedding"]]]
+            if not len(own):
                 continue
-            X = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            ids = pdf["doc_id"].to_numpy(dtype=object)
-            pth = pdf["path"].to_numpy(dtype=object)
-            G = X @ Q.T
-            if metric == "l2sq":
-                D = (X * X).sum(axis=1)[:, None] - 2.0 * G + qn2[None, :]
-            elif metric == "ip":
-                D = 1.0 - G
-            else:
-                xn = np.sqrt((X * X).sum(axis=1))[:, None]
-                D = 1.0 - G / (xn * np.sqrt(qn2)[None, :])
-            m = min(k + 4, len(pdf))
-            for j in range(len(qids)):
-                col = D[:, j]
-                sel = np.argpartition(col, m - 1)[:m] if m < len(pdf) else np.arange(len(pdf))
-                if metric == "l2sq":  # exact recomputation for the few candidates
-                    diff = X[sel] - Q[j]
-                    dj = (diff * diff).sum(axis=1)
+            X, Q = np.stack(own["embedding"].to_numpy()).astype(float), np.stack(q["embedding"].to_numpy()).astype(float)
+            ids, pth = own["doc_id"].to_numpy(object), own["path"].to_numpy(object)
+            G, xn, qn = X @ Q.T, (X * X).sum(1), (Q * Q).sum(1)
+            for j, qid in enumerate(q["query_id"].to_numpy()):
+                if metric == "l2sq":
+                    col = xn - 2.0 * G[:, j] + qn[j]
+                elif metric == "ip":
+                    col = 1.0 - G[:, j]
                 else:
-                    dj = col[sel]
-                cd = np.concatenate([best_d[j], dj])
-                ci = np.concatenate([best_id[j], ids[sel]])
-                cp = np.concatenate([best_path[j], pth[sel]])
-                order = np.lexsort((ci.astype(str), cd))[:k + 4]
-                best_d[j], best_id[j], best_path[j] = cd[order], ci[order], cp[order]
-        rows = []
-        for j, qid in enumerate(qids):
-            for d, i, p in zip(best_d[j], best_id[j], best_path[j]):
-                rows.append((qid, i, p, float(d)))
-        yield pd.DataFrame(rows, columns=["query_id", "doc_id", "path", "_d"])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        col = 1.0 - G[:, j] / (np.sqrt(xn) * np.sqrt(qn[j]))
+                if len(col) > k:       # everything up to the k-th distance, with room for rounding: ties stay
+                    kth = np.partition(np.where(np.isnan(col), np.inf, col), k - 1)[k - 1]
+                    sel = np.flatnonzero(~(col > kth + 1e-9 * (1 + abs(kth) + qn[j])))
+                else:
+                    sel = np.arange(len(col))
+                if metric == "l2sq":
+                    d = ((X[sel] - Q[j]) ** 2).sum(1)
+                else:
+                    d = col[sel]
+                d = np.round(d, 12)
+                for i in np.lexsort((ids[sel].astype(str), d))[:k]:
+                    out.append((qid, ids[sel[i]], pth[sel[i]], float(d[i])))
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "path", "_d"])
 
     return run
 
 
 def knn_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "l2sq") -> DataFrame:
-    """k nearest rows for every query: ``(query_id, rank, doc_id, path, distance)``.
+    """k nearest rows for every query: ``(query_id, rank, doc_id, path, distance)``, ties by doc_id.
 
-    The query side is counted first and shipped in passes of at most
-    ``QUERY_BROADCAST_BYTES``; each pass is one scan of the index in which every task keeps a
-    running top-(k+4) per query (numpy, Arrow batches) and emits only those rows. The final
-    top-k per query is a window-group limit over at most (tasks x (k+4)) rows per query.
+    Index and queries are cut into blocks by hash, and every pair of blocks meets in one task (a
+    cogroup), which returns its own top-k; so a task holds two blocks whatever the size of either
+    side, and nothing is collected. The index travels once per QUERY_BLOCK queries.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    first = queries.select("embedding").first()
-    if first is None:
-        return index.sparkSession.createDataFrame(
-            [], "query_id bigint, rank int, doc_id string, path string, distance double")
-    dim = len(first[0])
-    n_q = queries.count()
-    per_pass = max(1, QUERY_BROADCAST_BYTES // (8 * dim))
-    n_pass = (n_q + per_pass - 1) // per_pass
+    index = searchable(index).select("doc_id", "path", "embedding")
+    n_i = max(1, -(-index.count() // INDEX_BLOCK))
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = index.withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.lit(n_i)).cast("int")).withColumn("_q", every(n_q))
+    asked = (queries.select(F.col("query_id").cast("bigint"), "embedding")
+             .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_i", every(n_i)))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.StringType()),
                            T.StructField("path", T.StringType()), T.StructField("_d", T.DoubleType())])
-    parts = []
-    for p in range(n_pass):
-        chunk = queries if n_pass == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_pass)) == p)
-        qrows = chunk.select(F.col("query_id").cast("bigint"), "embedding").collect()  # bounded by the check
-        qids = [r[0] for r in qrows]
-        qmat = [list(r[1]) for r in qrows]
-        fn = _topk_partition_fn(qids, qmat, k, metric)
-        parts.append(index.select("doc_id", "path", "embedding").mapInPandas(fn, schema))
-    cand = parts[0]
-    for extra in parts[1:]:
-        cand = cand.unionByName(extra)
+    cand = rows.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInPandas(_block_topk(k, metric), schema)
     w = Window.partitionBy("query_id").orderBy("_d", "doc_id")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "doc_id", "path",

@@ -27,6 +27,10 @@ from tokenloom.plans import domain
 # Parameters of the registered queries (also used by plans/oracle.py).
 ADMISSION_LIMIT = 5_000          # global daily limit for the admission query
 PROJECT_LIMIT = 250              # per-project daily limit for the severity query
+AS_OF = "2024-01-15 12:00:00"    # moment of the status query
+EXEMPT_SOURCES = ["click"]       # sources that are neither checked nor recorded
+RETRIEVAL_LIMIT = 20_000         # daily limit of the admitted retrieval
+GLOBAL_CONFIG = '{"daily_limit": 150000, "theme": "dark"}'
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +51,17 @@ def usage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.usage_by_source(domain.usage(spark, sf_dir))
 
 
+def budget_status_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every project has left on the day of the ledger's noon of 2024-01-15."""
+    return ledger.status_as_of(domain.usage(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), PROJECT_LIMIT, scope=["project"])
+
+
+def budget_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admission with a limit per project on one shared daily total; reports of one source are exempt."""
+    return ledger.admission_shared(domain.usage(spark, sf_dir), domain.project_limits(spark, sf_dir),
+                                   default_limit=ADMISSION_LIMIT, exempt_sources=EXEMPT_SOURCES)
+
+
 def doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fingerprints(domain.corpus(spark, sf_dir))
 
@@ -85,13 +100,19 @@ def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, syms = _matches(spark, sf_dir)
-    return R.capped_result(m, syms)
+    return R.result_rows(m, syms, cap=R.RESULT_CAP, display_max=T.DISPLAY_MAX)
 
 
 def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.per_file(_matches(spark, sf_dir)[0])
 
 
+def reference_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-word form of the reference search, matches per file."""
+    lines = R.line_table(domain.corpus(spark, sf_dir))
+    return R.per_file(R.match_lines(lines, domain.symbol_queries(spark, sf_dir), word=True))
+
+
 def index_cols() -> list:
     return ["project", "doc_id", "path", F.sha2("content", 256).alias("content_sha"),
             F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"),
@@ -110,6 +131,19 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.knn_batch(vec, queries, V.DEFAULT_K)
 
 
+def _knn_index(metric: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        idx = domain.mirrored_index(spark, sf_dir)
+        asked = V.centroids(domain.vector_keys(spark, sf_dir), "label").withColumnRenamed("label", "query_id")
+        return V.knn_batch(idx, asked, V.DEFAULT_K, metric)
+    query.__doc__ = f"Top-k ({metric}) in an index with keys without a vector and with tied vectors."
+    return query
+
+
+def indexed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.indexed_count(domain.corpus(spark, sf_dir))
+
+
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.upsert(domain.vectors(spark, sf_dir), domain.index_batch(spark, sf_dir)).select(*index_cols())
 
@@ -149,7 +183,7 @@ def project_root_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CF.merge_layers(domain.project_layers(spark, sf_dir))
+    return CF.merge_layers(domain.project_layers(spark, sf_dir), global_json=GLOBAL_CONFIG)
 
 
 def outline_python(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,29 +215,40 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("ratio", F.col("reduced_tokens") / F.col("raw_tokens")))
 
 
-RETRIEVAL_K = 7    # asked for; clamped to 5 like the search tool
+RETRIEVAL_K = 7    # more than the search tool shows; within_max marks the hits it would
 
 
 def knn_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full retrieval: top-k per query (k clamped) -> the hit's current reduced view (or a
-    shortened snippet for hits without a path) -> tokens per hit and per query."""
+    """Full retrieval: top-k per query -> the hit's current reduced view (or its stored text for
+    hits without a path) -> tokens per hit and per query. Texts are fetched for the hits only."""
+    return _retrieval(spark, sf_dir)
+
+
+def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    vec = domain.vectors(spark, sf_dir)
+    vec = domain.vector_keys(spark, sf_dir)
     queries = V.centroids(vec, "label").withColumnRenamed("label", "query_id")
-    hits = V.knn_batch(vec, queries, V.clamp_k(RETRIEVAL_K))
-    corp = domain.corpus(spark, sf_dir)
-    hit_files = corp.join(hits.select("path").distinct(), "path", "left_semi")
-    view = O.reduced_view(hit_files)
-    snip = vec.select("doc_id", T.snippet("content", "path").alias("_snip"))
-    j = hits.join(view, "path", "left").join(snip, "doc_id", "left")
-    text = F.when(F.col("path").isNotNull(), F.col("text")).otherwise(F.col("_snip"))
-    tokens = F.when(F.col("path").isNotNull(), F.col("tokens")).otherwise(F.lit(0)).cast("bigint")
+    hits = V.knn_batch(vec, queries, RETRIEVAL_K)
+    files = domain.corpus(spark, sf_dir).join(hits.select("path").distinct(), "path", "left_semi")
+    j = hits.join(O.reduced_view(files).drop("balanced"), "path", "left")
+    found = F.col("path").isNotNull()
     out = j.select("query_id", "rank", "doc_id", "path", F.coalesce("stage", F.lit("snippet")).alias("stage"),
-                   F.sha2(text, 256).alias("content_sha"), tokens.alias("tokens"))
+                   F.sha2(F.when(found, F.col("text")), 256).alias("content_sha"),
+                   F.when(found, F.col("tokens")).otherwise(F.lit(0)).cast("bigint").alias("tokens"),
+                   (F.col("rank") <= V.MAX_K).alias("within_max"))
     return out.withColumn("query_tokens", F.sum("tokens").over(Window.partitionBy("query_id")).cast("bigint"))
 
 
+def retrieval_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of the retrieval requests (one per query, a minute apart) that the day's limit admits."""
+    asked = _retrieval(spark, sf_dir).groupBy("query_id").agg(F.max("query_tokens").alias("tokens"))
+    requests = ledger.as_usage(asked.select(
+        F.col("query_id").alias("event_id"), (F.lit("2024-03-01").cast("timestamp") + F.make_dt_interval(mins=F.col("query_id").cast("int"))).alias("ts"),
+        "tokens", F.lit("search").alias("source")))
+    return ledger.admitted_ledger(requests, RETRIEVAL_LIMIT).select("event_id", "tokens", "source", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 QUERIES: dict[str, Query] = {
     "budget_status_daily": budget_status_daily,
     "budget_admission": budget_admission,
@@ -232,4 +277,12 @@ QUERIES: dict[str, Query] = {
     "function_blocks": function_blocks,
     "reduction_report": reduction_report,
     "knn_retrieval": knn_retrieval,
+    "retrieval_admitted": retrieval_admitted,
+    "budget_status_as_of": budget_status_as_of,
+    "budget_limits": budget_limits,
+    "reference_words": reference_words,
+    "knn_index_l2sq": _knn_index("l2sq"),
+    "knn_index_cosine": _knn_index("cosine"),
+    "knn_index_ip": _knn_index("ip"),
+    "indexed_count": indexed_count,
 }

@@ -59,10 +59,22 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark -> symbol queries: the first word of five or more word characters."""
+    """benchmark -> symbol queries: every distinct word of five or more word characters; a symbol is
+    its own query id."""
     b = read_table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"),
-                    F.regexp_extract("text", r"\w{5,}", 0).alias("symbol"))
+    return (b.select(F.explode(F.regexp_extract_all("text", F.lit(r"\w{5,}"), 0)).alias("symbol")).distinct()
+            .select(F.col("symbol").alias("query_id"), "symbol"))
+
+
+def vector_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector index without texts: (project, doc_id, path, embedding, label)."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("project"), corpus_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("path"))
+    j = emb.join(docs, emb["vec_id"] == docs["doc_id"], "left")
+    key = F.coalesce(F.col("path"), F.concat(F.lit("vec/"), F.col("vec_id").cast("string")))
+    return j.select(F.coalesce(F.col("project"), F.lit("global")).alias("project"), F.sha2(key, 256).alias("doc_id"),
+                    "path", "embedding", "label")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +168,27 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events.props -> one project config text per project: the latest write wins."""
+    """events.props -> one project config text per project: the latest write wins. Every fifth project has
+    text after its object, every fifth repeats a key."""
     ev = read_table(spark, sf_dir, "events")
     latest = ev.groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("json"))
-    return latest.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"), "json")
+    own = (F.when(F.pmod("user_id", F.lit(5)) == 1, F.concat("json", F.lit(" trailing")))
+           .when(F.pmod("user_id", F.lit(5)) == 2, F.concat(F.lit('{"k": 0, "daily_limit": 1, '), F.expr("substr(json, 2)")))
+           .otherwise(F.col("json")))
+    return latest.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"), own.alias("json"))
+
+
+def project_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily limit for two of three projects (the others have the default)."""
+    users = read_table(spark, sf_dir, "events").select("user_id").distinct().where(F.pmod("user_id", F.lit(3)) > 0)
+    return users.select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project"),
+                        (F.pmod("user_id", F.lit(3)) * 1500 + 500).cast("bigint").alias("daily_limit"))
+
+
+def mirrored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after an upsert (some keys have no vector), and every vector once more under another
+    key, so that each distance occurs twice."""
+    from tokenloom.operators import vectors as V
+
+    idx = V.upsert(vectors(spark, sf_dir), index_batch(spark, sf_dir)).select("doc_id", "path", "embedding", "label")
+    return idx.unionByName(idx.select(F.sha2(F.concat("doc_id", F.lit("#2")), 256).alias("doc_id"), "path", "embedding", "label"))

@@ -6,7 +6,8 @@ the textbook (single-level, sequential-order) form of each rule.
 
 from __future__ import annotations
 
-from tokenloom.plans.catalog import ADMISSION_LIMIT, PROJECT_LIMIT
+from tokenloom.plans.catalog import (ADMISSION_LIMIT, AS_OF, EXEMPT_SOURCES, GLOBAL_CONFIG, PROJECT_LIMIT,
+                                     RETRIEVAL_LIMIT)
 
 USAGE_CTE = """
 usage AS (
@@ -88,6 +89,36 @@ FROM rec
 GROUP BY ROLLUP (strftime(day, '%Y-%m-%d'), source)
 """
 
+ORACLE_SQL["budget_status_as_of"] = f"""
+WITH {USAGE_CTE},
+s AS (SELECT DISTINCT project, DATE '{AS_OF[:10]}' AS day FROM usage),
+d AS (SELECT project, SUM(tokens) AS tokens_used FROM rec
+      WHERE day = DATE '{AS_OF[:10]}' AND ts <= TIMESTAMP '{AS_OF}' GROUP BY project)
+{_status_select('s.project,', str(PROJECT_LIMIT))}
+FROM s LEFT JOIN d ON s.project = d.project
+"""
+
+# one request after another: the shared total of a day grows by admitted requests only
+ORACLE_SQL["budget_limits"] = f"""
+WITH RECURSIVE {USAGE_CTE},
+q AS (
+  SELECT event_id, project, day, tokens, source = '{EXEMPT_SOURCES[0]}' AS exempt,
+         CASE CAST(substr(project, 2) AS BIGINT) % 3 WHEN 0 THEN {ADMISSION_LIMIT} ELSE (CAST(substr(project, 2) AS BIGINT) % 3) * 1500 + 500 END AS lim,
+         row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS rn
+  FROM usage
+),
+r AS (
+  SELECT day, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS used_before, CAST(NULL AS BOOLEAN) AS admitted
+  FROM q GROUP BY day
+  UNION ALL
+  SELECT q.day, q.rn, r.used + CASE WHEN NOT q.exempt AND r.used < q.lim THEN greatest(q.tokens, 0) ELSE 0 END,
+         q.event_id, r.used, q.exempt OR r.used < q.lim
+  FROM r JOIN q ON q.day = r.day AND q.rn = r.rn + 1
+)
+SELECT r.event_id, q.project, strftime(q.day, '%Y-%m-%d') AS day, q.tokens, r.used_before, CAST(q.lim AS BIGINT) AS daily_limit, r.admitted
+FROM r JOIN q ON q.event_id = r.event_id
+"""
+
 # --- corpus --------------------------------------------------------------------------------
 SPACE = (r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
          r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
@@ -147,6 +178,20 @@ WHERE status = 'ok'
   AND len(list_filter(dirs, lambda d: starts_with(d, '.'))) = 0
 """
 
+ORACLE_SQL["indexed_count"] = f"""
+WITH {CORPUS_CTE},
+f AS (
+  SELECT status, lower(regexp_extract(string_split(path, '/')[-1], '(?s)^.+(\\.[^./]+)$', 1)) IN ('.py', '.js', '.ts', '.jsx', '.tsx', '.md', '.txt')
+         AND string_split(path, '/')[-1] NOT IN ('node_modules', '.git', '__pycache__', 'venv', '.env')
+         AND NOT list_has_any(string_split(path, '/')[1:-2], ['node_modules', '.git', '__pycache__', 'venv', '.env'])
+         AND NOT regexp_matches('/' || array_to_string(string_split(path, '/')[1:-2], '/'), '/\\.') AS fits
+  FROM corpus
+)
+SELECT COUNT(*) FILTER (WHERE fits AND status = 'ok') AS indexed, COUNT(*) FILTER (WHERE fits AND status <> 'ok') AS unreadable,
+       COUNT(*) FILTER (WHERE NOT fits) AS skipped
+FROM f
+"""
+
 ORACLE_SQL["token_counts"] = f"""
 WITH {CORPUS_CTE}
 SELECT path, CASE WHEN status = 'ok' THEN {tokens('content')} ELSE CAST(0 AS BIGINT) END AS tokens
@@ -194,28 +239,34 @@ scanned AS (
 lines AS (
   SELECT path, CAST(generate_subscripts(l, 1) AS INTEGER) AS n, unnest(l) AS line FROM scanned
 ),
-syms AS (
-  SELECT item_id AS query_id, regexp_extract(text, '\\w{{5,}}', 0) AS symbol FROM benchmark
-),
+syms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\w{{5,}}')) AS symbol FROM benchmark),
 m AS (
-  SELECT s.query_id, s.symbol, l.path, l.n, l.line
-  FROM lines l JOIN syms s ON s.symbol <> '' AND contains(l.line, s.symbol)
+  SELECT s.symbol AS query_id, s.symbol, l.path, l.n, l.line
+  FROM lines l JOIN syms s ON contains(l.line, s.symbol)
 )
 """
 
 ORACLE_SQL["reference_lines"] = f"""
 WITH {REF_CTE}
-SELECT query_id, path, n, {display('line')} AS display FROM m
+SELECT query_id, path, n, {py_strip('line')} AS display, length({py_strip('line')}) > 120 AS is_long FROM m
 """
 
 ORACLE_SQL["multi_symbol_references"] = f"""
 WITH {REF_CTE}
 SELECT query_id, path, COUNT(*) AS n_matches, CAST(min(n) AS INTEGER) AS first_line,
        CAST(max(n) AS INTEGER) AS last_line,
-       CAST(SUM({tokens("printf('  Line %d: %s', n, " + display('line') + ")")}) AS BIGINT) AS tokens
+       CAST(SUM({tokens("printf('  Line %d: %s', n, " + py_strip('line') + ")")}) AS BIGINT) AS tokens
 FROM m GROUP BY query_id, path
 """
 
+ORACLE_SQL["reference_words"] = f"""
+WITH {REF_CTE}
+SELECT query_id, path, COUNT(*) AS n_matches, CAST(min(n) AS INTEGER) AS first_line,
+       CAST(max(n) AS INTEGER) AS last_line,
+       CAST(SUM({tokens("printf('  Line %d: %s', n, " + py_strip('line') + ")")}) AS BIGINT) AS tokens
+FROM m WHERE regexp_matches(line, '(^|\\W)' || symbol || '(\\W|$)') GROUP BY query_id, path
+"""
+
 ORACLE_SQL["reference_capped"] = f"""
 WITH {REF_CTE},
 files AS (SELECT query_id, path, COUNT(*) AS c FROM m GROUP BY query_id, path),
@@ -224,21 +275,19 @@ runs AS (
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS excl
   FROM files
 ),
-kept AS (SELECT *, excl + c + 1 AS incl FROM runs WHERE excl <= 100),
 rows_out AS (
-  SELECT query_id, excl + 1 AS seq, 'File: ' || path AS text FROM kept
+  SELECT query_id, path, 0 AS n, 'File: ' || path AS text, excl <= 100 AS within_cap FROM runs
   UNION ALL
-  SELECT m.query_id, k.excl + 1 + row_number() OVER (PARTITION BY m.query_id, m.path ORDER BY m.n) AS seq,
-         printf('  Line %d: %s', m.n, {display('m.line')}) AS text
-  FROM m JOIN kept k ON m.query_id = k.query_id AND m.path = k.path
+  SELECT m.query_id, m.path, m.n, printf('  Line %d: %s', m.n, {display('m.line')}) AS text, r.excl <= 100
+  FROM m JOIN runs r ON m.query_id = r.query_id AND m.path = r.path
   UNION ALL
-  SELECT query_id, max(incl) + 1 AS seq, '... [Too many results, truncated] ...' AS text
-  FROM kept GROUP BY query_id HAVING max(incl) > 100
+  SELECT query_id, NULL, 0, '... [Too many results, truncated] ...', true
+  FROM runs WHERE excl <= 100 GROUP BY query_id HAVING max(excl + c + 1) > 100
   UNION ALL
-  SELECT query_id, 1 AS seq, printf('No references found for ''%s''.', symbol) AS text
-  FROM syms WHERE symbol <> '' AND query_id NOT IN (SELECT query_id FROM files)
+  SELECT symbol, NULL, 0, printf('No references found for ''%s''.', symbol), true
+  FROM syms WHERE symbol NOT IN (SELECT query_id FROM files)
 )
-SELECT query_id, CAST(seq AS BIGINT) AS seq, text, {tokens('text')} AS tokens FROM rows_out
+SELECT query_id, path, CAST(n AS INTEGER) AS n, text, {tokens('text')} AS tokens, within_cap FROM rows_out
 """
 
 # --- vector index and change feed ------------------------------------------------------------
@@ -315,6 +364,25 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS
 WHERE rank <= 5
 """
 
+_DOT = "list_sum(list_transform(generate_series(1, len({a})), lambda j: CAST({a}[j] AS DOUBLE) * {b}[j]))"
+_METRICS = {
+    "l2sq": L2SQ,
+    "ip": "1.0 - " + _DOT.format(a="v.embedding", b="q.qv"),
+    "cosine": "1.0 - " + _DOT.format(a="v.embedding", b="q.qv") + " / (sqrt(" + _DOT.format(a="v.embedding", b="v.embedding")
+              + ") * sqrt(" + _DOT.format(a="q.qv", b="q.qv") + "))",
+}
+for _m, _d in _METRICS.items():
+    ORACLE_SQL[f"knn_index_{_m}"] = f"""
+WITH {VEC_CTE},
+q AS ({CENTROID.format(key="label")}),
+idx AS (SELECT doc_id, path, embedding FROM upserted WHERE embedding IS NOT NULL
+        UNION ALL SELECT sha256(doc_id || '#2'), path, embedding FROM upserted WHERE embedding IS NOT NULL),
+d AS (SELECT q.query_id, v.doc_id, v.path, round({_d}, 12) AS d FROM idx v, q)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, path, round(d, 6) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM d)
+WHERE rank <= 5
+"""
+
 ORACLE_SQL["index_upsert"] = f"""
 WITH {VEC_CTE}
 SELECT {INDEX_OUT} FROM upserted
@@ -451,7 +519,8 @@ SELECT fd.path, b.root, COALESCE(b.root, 'global') AS project FROM fd LEFT JOIN
 
 ORACLE_SQL["config_merge"] = r"""
 WITH pl AS (
-  SELECT 'p' || CAST(user_id AS VARCHAR) AS project, props AS json FROM (
+  SELECT 'p' || CAST(user_id AS VARCHAR) AS project,
+         CASE user_id % 5 WHEN 1 THEN props || ' trailing' WHEN 2 THEN '{"daily_limit": 1, ' || substr(props, 2) ELSE props END AS json FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
   ) WHERE rn = 1
 ),
@@ -463,11 +532,17 @@ d AS (
   SELECT * FROM (VALUES ('daily_limit', '200000'),
                         ('exclude_patterns', '["node_modules",".git","__pycache__","venv",".env"]')) t(key, value)
 ),
+g AS (SELECT key, json_extract_string('""" + GLOBAL_CONFIG + r"""', '$."' || key || '"') AS value
+      FROM (SELECT unnest(json_keys('""" + GLOBAL_CONFIG + r"""')) AS key)),
+gkv AS (
+  SELECT pl.project, g.key, g.value, 1 AS layer FROM pl CROSS JOIN g
+  WHERE NOT EXISTS (SELECT 1 FROM pkv WHERE pkv.project = pl.project AND pkv.key = g.key)
+),
 dkv AS (
   SELECT pl.project, d.key, d.value, 0 AS layer FROM pl CROSS JOIN d
-  WHERE NOT EXISTS (SELECT 1 FROM pkv WHERE pkv.project = pl.project AND pkv.key = d.key)
+  WHERE NOT EXISTS (SELECT 1 FROM pkv WHERE pkv.project = pl.project AND pkv.key = d.key) AND d.key NOT IN (SELECT key FROM g)
 ),
-allkv AS (SELECT * FROM pkv UNION ALL SELECT * FROM dkv)
+allkv AS (SELECT * FROM pkv UNION ALL SELECT * FROM gkv UNION ALL SELECT * FROM dkv)
 SELECT a.project, a.key, a.value, CAST(a.layer AS INTEGER) AS layer,
        (pl.json IS NOT NULL AND NOT json_valid(pl.json)) AS bad_layer
 FROM allkv a JOIN pl ON a.project = pl.project
@@ -603,24 +678,30 @@ q AS ({CENTROID.format(key="label")}),
 d AS (SELECT q.query_id, v.doc_id, v.path, v.content, {L2SQ} AS d FROM vec v, q),
 top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM d)
-  WHERE rank <= 5
+  WHERE rank <= 7
 ),
 v AS (
   SELECT t.*,
          CASE WHEN t.path IS NULL THEN 'snippet'
               WHEN ends_with(t.path, '.py') THEN 'py_outline' ELSE 'stripped' END AS stage,
-         CASE WHEN t.path IS NULL THEN (CASE WHEN length(t.content) > 500
-                                             THEN substring(t.content, 1, 500) || chr(10) || '...[Content Truncated]'
-                                             ELSE t.content END)
+         CASE WHEN t.path IS NULL THEN NULL
               WHEN ends_with(t.path, '.py') THEN ''
               ELSE array_to_string(list_filter({splitlines("regexp_replace(t.content, '#[^\\n]*', '', 'g')")},
                                    lambda l: regexp_matches(l, '[^{SPACE}]')), chr(10)) END AS text
   FROM top t
 )
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_id, path, stage,
-       sha256(text) AS content_sha,
+       sha256(text) AS content_sha, rank <= 5 AS within_max,
        CASE WHEN path IS NULL THEN CAST(0 AS BIGINT) ELSE {tokens('text')} END AS tokens,
        CAST(SUM(CASE WHEN path IS NULL THEN CAST(0 AS BIGINT) ELSE {tokens('text')} END)
             OVER (PARTITION BY query_id) AS BIGINT) AS query_tokens
 FROM v
 """
+
+_RETRIEVAL = ORACLE_SQL["knn_retrieval"].strip()
+ORACLE_SQL["retrieval_admitted"] = f"""
+WITH asked AS (SELECT query_id, max(query_tokens) AS tokens FROM ({_RETRIEVAL}) GROUP BY query_id),
+run AS (SELECT *, COALESCE(SUM(tokens) OVER (ORDER BY query_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM asked)
+SELECT query_id AS event_id, CAST(tokens AS BIGINT) AS tokens, 'search' AS source, '2024-03-01' AS day
+FROM run WHERE used < {RETRIEVAL_LIMIT} AND tokens > 0
+"""

@@ -1,11 +1,10 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction, the shared checkpoint folder and the input spread."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC days (the ledger's day is a UTC day), AQE for runtime
 # re-planning (broadcast conversion behind a measured size, skew-join splitting, partition
@@ -19,27 +18,26 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+# Number of partitions to deal a text table into before heavy work on each row. Unset (the default)
+# leaves the scan's own splits; a test or bench that reads one small file on many cores sets it.
+INPUT_PARTITIONS = "spark.tokenloom.inputPartitions"
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "tokenloom", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above.
 
-    ``master`` defaults to ``local[*]`` only when no master is configured (cluster submits
-    keep theirs).
+    Master and memory are the submission's business: they are set here only where the caller names a
+    master, as tests and the bench do.
     """
     b = SparkSession.builder.appName(app_name)
+    conf = dict(BASE_CONF)
     if master:
         b = b.master(master)
-    elif not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
-        b = b.master("local[*]")
-    conf = dict(BASE_CONF)
+        conf |= {"spark.driver.memory": "16g", "spark.driver.extraJavaOptions": "-Xss16m"}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
-    conf.setdefault("spark.driver.extraJavaOptions", "-Xss16m")
-    if extra:
-        conf.update(extra)
+    conf |= extra or {}
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -48,27 +46,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, registered for ``checkpoint()``.
 
-    On a cluster this is set by the deployment and only read here. When it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    A cluster has to name one; only a local master gets a scratch folder.
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         d = tempfile.mkdtemp(prefix="tokenloom-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
-def spread(df, *keys):
-    """Hash-spread a frame whose scan produced fewer partitions than the cluster has cores.
-
-    A single large parquet file with one row group gives one scan task; CPU-heavy per-row work
-    (regex, line matching) would then run on one core. On a cluster scan the split count is
-    already far above the core count and this is a no-op (no extra shuffle).
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows into the number of partitions that the session asks for (see INPUT_PARTITIONS)."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df

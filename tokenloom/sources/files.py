@@ -1,54 +1,95 @@
-"""File-tree sources: list a tree, then read only the files that pass the path filters."""
+"""File-tree sources: list a tree inside tasks, then read only the files that pass the path filters.
+
+Folders are listed level by level: the folders of a level are dealt out to tasks, each lists its own, and
+what they find is the next level. Files are opened by their exact names (nothing is taken for a pattern, names that
+begin with ``.`` or ``_`` included), through ``pyarrow.fs``, so any file system that it reaches by
+URI will do. The driver sees no path, only whether a level was empty.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.session import checkpoint_dir
 
+READ_ROWS = 32         # files whose bytes one output batch holds
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Relative paths of every regular file below ``root`` (contents are not read).
 
-    Selecting only ``path`` from the binaryFile source prunes the ``content`` column, so the
-    listing pass touches file metadata only.
-    """
-    root_uri = root.rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_uri)
-          .select("path", "length"))
-    # binaryFile reports URIs ("file:/..."); strip everything up to the root folder.
-    rel = F.regexp_replace("path", r"^.*?" + _re_escape(root_uri.split(":", 1)[-1]) + "/", "")
-    return df.select(rel.alias("path"), F.col("path").alias("uri"), "length")
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in root or root.startswith("file:"):
+        return pafs.FileSystem.from_uri(root if "://" in root else "file://" + root[len("file:"):])
+    return pafs.LocalFileSystem(), root
+
+
+def list_tree(spark: SparkSession, root: str, enter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, length) of every regular file below ``root``, paths relative to it. Folders for which
+    ``enter(path)`` is false are not listed."""
+    root = root.rstrip("/")
+    checkpoint_dir(spark)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(root)
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                at = f"{base}/{folder}" if folder else base
+                found = fs.get_file_info(pafs.FileSelector(at))
+                for i in range(0, len(found), 10_000):
+                    part = found[i:i + 10_000]
+                    yield pa.RecordBatch.from_pydict({
+                        "path": pa.array([f"{folder}/{f.base_name}" if folder else f.base_name for f in part], pa.string()),
+                        "is_dir": pa.array([f.type == pafs.FileType.Directory for f in part], pa.bool_()),
+                        "length": pa.array([f.size or 0 for f in part], pa.int64())})
+
+    level, files = spark.range(1).select(F.lit("").alias("path")), None
+    n = spark.sparkContext.defaultParallelism
+    while True:
+        found = level.repartition(n, "path").mapInArrow(look, "path string, is_dir boolean, length bigint").checkpoint()
+        here = found.filter("not is_dir").select("path", "length")
+        files = here if files is None else files.unionByName(here)
+        level = found.filter("is_dir").select("path")
+        if enter is not None:
+            level = level.filter(enter(F.col("path")))
+        if level.isEmpty():
+            return files
 
 
 def read_tree(spark: SparkSession, root: str, keep: Callable[[Column], Column] | None = None,
-              lossy: bool = False) -> DataFrame:
+              lossy: bool = False, enter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Scan a tree into ``(path, content, status, content_sha)``.
 
-    Two passes: the listing is filtered by ``keep(path)`` first; only surviving URIs are read,
-    so excluded directories never cost a byte of I/O. ``lossy`` drops undecodable bytes (the
-    reference-search reader); otherwise undecodable files get ``status='undecodable'``.
+    Two passes: the listing is filtered by ``keep(path)`` first, and only the files that pass are opened.
+    ``lossy`` drops undecodable bytes (the reference-search reader); otherwise undecodable files get
+    ``status='undecodable'``. A file that cannot be opened gets ``status='unreadable'``.
     """
-    listing = list_tree(spark, root)
+    root = root.rstrip("/")
+    listing = list_tree(spark, root, enter)
     if keep is not None:
         listing = listing.filter(keep(F.col("path")))
-    uris = [r.uri for r in listing.select("uri").toLocalIterator()]
-    if not uris:
-        return spark.createDataFrame([], "path string, content string, status string, content_sha string")
-    raw = spark.read.format("binaryFile").load(uris)
-    rel = F.regexp_replace("path", r"^.*?" + _re_escape(root.rstrip("/").split(":", 1)[-1]) + "/", "")
-    if lossy:
-        content, status = T.decode_utf8_lossy("content"), F.lit("ok")
-    else:
-        content, status = T.decode_utf8_strict("content")
-    return raw.select(rel.alias("path"), content.alias("content"), status.alias("status"),
-                      F.sha2("content", 256).alias("content_sha"))
-
 
-def _re_escape(s: str) -> str:
-    import re
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(root)
+        for b in batches:
+            names = b.column("path").to_pylist()
+            for i in range(0, len(names), READ_ROWS):
+                out: list[bytes | None] = []
+                for name in names[i:i + READ_ROWS]:
+                    try:
+                        with fs.open_input_stream(f"{base}/{name}", compression=None) as fh:
+                            out.append(fh.read())
+                    except OSError:
+                        out.append(None)
+                yield pa.RecordBatch.from_pydict({"path": pa.array(names[i:i + READ_ROWS], pa.string()), "raw": pa.array(out, pa.binary())})
 
-    return re.escape(s)
+    raw = listing.select("path").mapInArrow(read, "path string, raw binary")
+    if lossy:
+        content, status = T.decode_utf8_lossy("raw"), F.lit("ok")
+    else:
+        content, status = T.decode_utf8_strict("raw")
+    return raw.select("path", content.alias("content"), F.when(F.col("raw").isNull(), "unreadable").otherwise(status).alias("status"),
+                      F.sha2("raw", 256).alias("content_sha"))

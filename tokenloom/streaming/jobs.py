@@ -1,49 +1,73 @@
 """Structured Streaming forms of the index sync, daily usage and admission gate.
 
-* ``start_index_sync``: change rows -> ``foreachBatch`` applying the batch sync job; micro-batch
-  ``b`` reads index version ``b`` and writes version ``b + 1`` to the shared store, so a
-  replayed batch rewrites the same version (idempotent) and each version cuts lineage.
+* ``start_index_sync``: change rows -> ``foreachBatch`` applying the batch sync job to the buckets that a
+  micro-batch touches. A bucket's rows lie in an immutable folder per version, and a manifest of one row
+  per bucket says which version counts; batch ``b`` reads manifest ``b`` and writes manifest ``b + 1`` last, so a
+  replayed batch rewrites the same folders.
 * ``daily_usage_stream``: tumbling UTC-day totals with a one-day watermark.
-* ``admission_stream``: the order-aware gate with per-(scope, day) state kept by
-  ``applyInPandasWithState``; state expires once the watermark passes the end of the day.
+* ``start_admission``: the order-aware gate as ``foreachBatch``: the batch job's prefix sums on top of a small
+  table of totals per (scope, day), versioned like the index. No request is too late for a decision.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tokenloom.operators import changes as CH
+from tokenloom.operators import ledger
 
 CHANGE_SCHEMA = "path string, op string, content string, ts timestamp, seq bigint"
 USAGE_SCHEMA = "event_id bigint, ts timestamp, tokens bigint, path string, source string, project string"
+INDEX_SCHEMA = "project string, doc_id string, path string, content string, embedding array<float>, label int"
+BUCKETS = 64
 
 
 # ----------------------------------------------------------------------------- index store
 
 
-def version_dir(root: str, version: int) -> str:
-    return os.path.join(root, f"v={version:09d}")
+def _bucket(doc_id, n: int):
+    return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 
 
-def write_version(df: DataFrame, root: str, version: int) -> None:
-    """Write one immutable index version (partitioned by project); overwrite = replay-safe."""
-    df.write.mode("overwrite").partitionBy("project").parquet(version_dir(root, version))
+def _manifest(root: str, version: int) -> str:
+    return f"{root}/manifest/v{version:09d}"
 
 
-def read_version(spark: SparkSession, root: str, version: int, schema: str | None = None) -> DataFrame:
-    r = spark.read
-    if schema:
-        r = r.schema(schema)
-    return r.parquet(version_dir(root, version))
+def write_version(df: DataFrame, root: str, version: int, buckets: int = BUCKETS, touched: list[int] | None = None) -> None:
+    """Write the given buckets (default: all) of an index as ``version``; the others stay as they are."""
+    spark = df.sparkSession
+    own = list(range(buckets)) if touched is None else touched
+    rows = df.withColumn("bucket", _bucket("doc_id", buckets)).repartition(max(1, len(own)), "bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/v{version:09d}")
+    old = {} if touched is None else _versions(spark, root, version - 1)
+    now = {**old, **{b: version for b in own}}
+    spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(_manifest(root, version))
+
+
+def _versions(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(_manifest(root, version)).collect()}    # one row a bucket
+
+
+def read_version(spark: SparkSession, root: str, version: int, schema: str = INDEX_SCHEMA, buckets: list[int] | None = None) -> DataFrame:
+    """The index (or some of its buckets) as of a version. The schema is given, so names like ``007`` stay text."""
+    of = _versions(spark, root, version)
+    want = {}
+    for b, v in of.items():
+        if buckets is None or b in buckets:
+            want.setdefault(v, []).append(b)
+    out = spark.createDataFrame([], schema)
+    for v, own in sorted(want.items()):
+        part = spark.read.schema(schema + ", bucket int").parquet(f"{root}/data/v{v:09d}")
+        out = out.unionByName(part.where(F.col("bucket").isin(own)).drop("bucket"))      # only these folders are read
+    return out
 
 
 def start_index_sync(spark: SparkSession, changes_dir: str, index_root: str, checkpoint: str,
-                     root_name: str = "workspace", trigger_once: bool = False, max_files: int | None = None):
+                     root_name: str = "workspace", trigger_once: bool = False, max_files: int | None = None,
+                     schema: str = INDEX_SCHEMA, buckets: int = BUCKETS):
     """Keep the index at ``index_root`` in step with change files arriving in ``changes_dir``."""
     reader = spark.readStream.schema(CHANGE_SCHEMA)
     if max_files:
@@ -51,9 +75,10 @@ def start_index_sync(spark: SparkSession, changes_dir: str, index_root: str, che
     stream = reader.parquet(changes_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        cur = read_version(batch.sparkSession, index_root, batch_id)
-        nxt = CH.sync_index(cur, batch, root_name=root_name)
-        write_version(nxt, index_root, batch_id + 1)
+        own = batch.select(_bucket(F.sha2("path", 256), buckets).alias("b")).where("b is not null").distinct()
+        touched = sorted(r["b"] for r in own.collect())       # at most one row a bucket
+        cur = read_version(batch.sparkSession, index_root, batch_id, schema, touched)
+        write_version(CH.sync_index(cur, batch, root_name=root_name), index_root, batch_id + 1, buckets, touched)
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 second")
@@ -76,46 +101,26 @@ def daily_usage_stream(usage_stream: DataFrame, watermark: str = "1 day") -> Dat
 # ----------------------------------------------------------------------------- admission gate
 
 
-ADMISSION_OUT = "event_id long, day string, tokens long, used_before long, daily_limit long, admitted boolean"
-ADMISSION_STATE = "used long"
-
-
-def admission_stream(usage_stream: DataFrame, limit: int, scope: Sequence[str] = (),
-                     watermark: str = "1 day") -> DataFrame:
+def start_admission(usage_stream: DataFrame, out: str, totals: str, checkpoint: str, limit=ledger.DEFAULT_DAILY_LIMIT,
+                    scope: Sequence[str] = (), exempt_sources: Sequence[str] = (), trigger_once: bool = False):
     """Online admission: within a micro-batch rows are taken in (ts, event_id) order, across
-    micro-batches in arrival order. State per (scope..., day) is the day's running total of
-    requested tokens; because that total never falls, "running total before < limit" is the
-    same decision as "recorded total before < limit" (see ``operators.ledger.admission``)."""
+    micro-batches in arrival order. ``totals`` keeps requested tokens per (scope..., day); because that total
+    never falls, "running total before < limit" is the same decision as "recorded total before < limit"
+    (see ``operators.ledger.admission``). Decisions of batch ``b`` go to ``out/batch=b``."""
     scope = list(scope)
-    lim = int(limit)
-
-    def gate(key, pdfs, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames = list(pdfs)
-        if not frames:
-            return
-        used = state.get[0] if state.exists else 0
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"], kind="mergesort")
-        t = pdf["tokens"].astype("int64").to_numpy()
-        pos = np.maximum(t, 0)
-        before = used + np.concatenate([[0], np.cumsum(pos)[:-1]]).astype("int64")
-        state.update((int(used + pos.sum()),))
-        day_end_ms = int(pd.Timestamp(key[-1]).value // 1_000_000) + 86_400_000
-        state.setTimeoutTimestamp(day_end_ms)
-        yield pd.DataFrame({
-            "event_id": pdf["event_id"].astype("int64").to_numpy(),
-            "day": [str(key[-1])] * len(pdf),
-            "tokens": t,
-            "used_before": before,
-            "daily_limit": np.full(len(pdf), lim, dtype="int64"),
-            "admitted": before < lim,
-        })
-
-    keyed = usage_stream.withColumn("day", F.to_date("ts")).withWatermark("ts", watermark)
-    return keyed.groupBy(*scope, "day").applyInPandasWithState(
-        gate, ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    keys = scope + ["day"]
+    fields = ", ".join([*(f"{c} string" for c in scope), "day date", "used bigint"])
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = ledger.as_usage(batch)
+        old = spark.read.schema(fields).parquet(f"{totals}/v{batch_id:09d}") if batch_id else spark.createDataFrame([], fields)
+        ledger.admission(rows, limit, scope, exempt_sources=exempt_sources, carried=old).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        counted, _ = ledger._counted(exempt_sources)
+        new = rows.groupBy(*keys).agg(F.sum(counted).alias("used"))
+        old.unionByName(new).groupBy(*keys).agg(F.sum("used").cast("bigint").alias("used")) \
+            .write.mode("overwrite").parquet(f"{totals}/v{batch_id + 1:09d}")
+
+    w = usage_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 second")
+    return w.start()
