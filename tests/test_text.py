@@ -14,7 +14,7 @@ SAMPLES = [
 
 # the comment-strip view of each sample
 STRIPPED = [
-    "", "a", "a", "a\nb", "", "x\ny\nz", "p\nq\nr\ns", "tail", "code = 1  \nend ", "", "text", "　 wide  ", " \x1f x ", "s = '",
+    "", "a", "a", "a\nb", "", "x\ny\nz", "p\nq\nr\ns", "tail", "code = 1  \nend ", "", "text", "\u3000 wide \xa0", " \x1f x ", "s = '",
 ]
 
 
