@@ -107,15 +107,17 @@ CHANGE_OPS = {"signup": "created", "error": "deleted"}   # every other type is '
 
 def change_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> change feed without texts: (path, op, ts, seq, _doc). Each event touches the
-    file of document ``user_id``; created/modified rows get a new revision of its text."""
+    file of document ``user_id`` (a path under ``missing/`` where there is none, so that no change is
+    lost); created/modified rows get a new revision of its text."""
     ev = read_table(spark, sf_dir, "events")
     meta = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    j = ev.join(meta, ev["user_id"] == meta["doc_id"], "inner")
+    j = ev.join(meta, ev["user_id"] == meta["doc_id"], "left")
     op = F.lit("modified")
     for t, o in CHANGE_OPS.items():
         op = F.when(F.col("event_type") == t, F.lit(o)).otherwise(op)
     return j.select(
-        corpus_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("path"),
+        F.when(F.col("doc_id").isNull(), F.concat(F.lit("missing/"), F.col("user_id").cast("string")))
+         .otherwise(corpus_path(F.col("doc_id"), F.col("source"), F.col("lang"))).alias("path"),
         op.alias("op"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
@@ -131,7 +133,7 @@ def change_texts(spark: SparkSession, sf_dir: str):
     def attach(keys: DataFrame) -> DataFrame:
         text = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), "text")
         content = F.concat(T.normalize_newlines("text"), F.lit("\n# rev "), F.col("seq").cast("string"))
-        return keys.join(text, "_doc", "inner").select(
+        return keys.join(text, "_doc", "left").select(
             "path", "op", F.when(F.col("op") != "deleted", content).alias("content"), "ts", "seq")
 
     return attach

@@ -315,17 +315,17 @@ upserted AS (
   SELECT * FROM batch
 ),
 changes AS (
-  SELECT d.source || '/' || d.lang || '/'
+  SELECT CASE WHEN d.doc_id IS NULL THEN 'missing/' || CAST(ev.user_id AS VARCHAR) ELSE d.source || '/' || d.lang || '/'
            || ['src', 'lib', 'docs', 'node_modules', '.cache', 'build', 'pkg'][d.doc_id % 7 + 1]
            || '/doc' || CAST(d.doc_id AS VARCHAR)
-           || ['.py', '.md', '.txt', '.js', '.ts', '.tsx', '.jsx', '.PY', '.png'][d.doc_id % 9 + 1] AS path,
+           || ['.py', '.md', '.txt', '.js', '.ts', '.tsx', '.jsx', '.PY', '.png'][d.doc_id % 9 + 1] END AS path,
          CASE ev.event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS op,
          CASE WHEN ev.event_type <> 'error'
               THEN regexp_replace(d.text, '\\r\\n?', chr(10), 'g') || chr(10) || '# rev ' || CAST(ev.event_id AS VARCHAR)
          END AS content,
          CAST(ev.ts AS TIMESTAMP) AS ts,
          ev.event_id AS seq
-  FROM events ev JOIN documents d ON ev.user_id = d.doc_id
+  FROM events ev LEFT JOIN documents d ON ev.user_id = d.doc_id
 ),
 last_change AS (
   SELECT * EXCLUDE (rn) FROM (
