@@ -215,6 +215,12 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("ratio", F.col("reduced_tokens") / F.col("raw_tokens")))
 
 
+def corpus_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduced view of every file of the given corpus (prose: outlines are empty or fall through)."""
+    view = O.reduced_view(domain.corpus(spark, sf_dir))
+    return view.select("path", "stage", F.sha2("text", 256).alias("text_sha"), "tokens")
+
+
 RETRIEVAL_K = 7    # more than the search tool shows; within_max marks the hits it would
 
 
@@ -276,6 +282,7 @@ QUERIES: dict[str, Query] = {
     "outline_js": outline_js,
     "function_blocks": function_blocks,
     "reduction_report": reduction_report,
+    "corpus_views": corpus_views,
     "knn_retrieval": knn_retrieval,
     "retrieval_admitted": retrieval_admitted,
     "budget_status_as_of": budget_status_as_of,

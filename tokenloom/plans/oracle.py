@@ -705,3 +705,15 @@ run AS (SELECT *, COALESCE(SUM(tokens) OVER (ORDER BY query_id ROWS BETWEEN UNBO
 SELECT query_id AS event_id, CAST(tokens AS BIGINT) AS tokens, 'search' AS source, '2024-03-01' AS day
 FROM run WHERE used < {RETRIEVAL_LIMIT} AND tokens > 0
 """
+
+ORACLE_SQL["corpus_views"] = f"""
+WITH {CORPUS_CTE},
+v AS (
+  SELECT path, CASE WHEN status <> 'ok' THEN 'unreadable' WHEN ends_with(path, '.py') THEN 'py_outline' ELSE 'stripped' END AS stage,
+         CASE WHEN status <> 'ok' THEN '# could not read file: ' || status WHEN ends_with(path, '.py') THEN ''
+              ELSE array_to_string(list_filter({splitlines("regexp_replace(content, '#[^\\n]*', '', 'g')")},
+                                   lambda l: regexp_matches(l, '[^{SPACE}]')), chr(10)) END AS text
+  FROM corpus
+)
+SELECT path, stage, sha256(text) AS text_sha, CASE WHEN stage = 'unreadable' THEN CAST(0 AS BIGINT) ELSE {tokens('text')} END AS tokens FROM v
+"""
