@@ -4,7 +4,6 @@ import ast
 import glob
 import os
 
-import pytest
 
 from tokenloom.operators import outline as O
 
