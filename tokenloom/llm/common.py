@@ -70,6 +70,29 @@ def shingle_hashes(text: Column, k: int = 5) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
 
+def lean() -> None:
+    """Called first in a task: Arrow's memory goes back to the system when it is freed, since Spark keeps
+    its Python workers for later stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about ``limit`` bytes of ``column``: what a task returns
+    with its texts then travels in small pieces."""
+    for b in batches:
+        off = spans_of(b.column(column))[1] if b.num_rows else np.zeros(1, np.int64)
+        for i, j in chunks(off, limit):
+            yield b.slice(i, j - i)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of parts of a batch that hold about ``limit`` bytes each."""
+    col = batch.column(column)
+    off = spans_of(col)[1] if batch.num_rows else np.zeros(1, np.int64)
+    for i, j in chunks(off, limit):
+        yield i, col.slice(i, j - i).to_pylist()
+
+
 # ---- bytes of a batch of texts, as numpy sees them ------------------------------------------
 
 def spans_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import Rolling, chunks, spans_of
+from tokenloom.llm.common import Rolling, chunks, lean, parts, spans_of
 from tokenloom.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -136,8 +136,9 @@ def _pass(docs: DataFrame, ph: Phrases, text_col: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         ph, rolling = shared.value, Rolling(5, PIECE)
-        for b in batches:
+        for b in parts(batches, text_col):
             col = b.column(text_col).cast(pa.binary())
             data, off = spans_of(col)
             n_words = np.zeros(b.num_rows, np.int64)

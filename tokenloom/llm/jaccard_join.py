@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bloom
-from tokenloom.llm.common import chunks, materialize, mix, shingle_hashes, spans_of
+from tokenloom.llm.common import chunks, lean, materialize, mix, shingle_hashes, spans_of
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
@@ -80,6 +80,7 @@ def signatures(texts: DataFrame) -> DataFrame:
     add = rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             h, off = _hashes(b.column("sh"))
             n = np.zeros(b.num_rows, np.int64)
@@ -168,6 +169,7 @@ def _links(cells: DataFrame, threshold: float) -> DataFrame:
     least = _least_matches(threshold, TOLERANCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, cell = [], None
 
         def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:

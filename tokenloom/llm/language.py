@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import lean, parts, slices
+
 DIMS = 1024
 GRAM = 3
 SLOTS = 128            # letter vectors; a-z have one each, other letters share the rest by code point
 SEED = 20_011
+CHUNK = 1 << 20         # bytes of text that are decoded together
 KNOWN = 1 << 14        # n-gram vectors that a task keeps ready
 
 
@@ -89,11 +92,13 @@ def _bundle(counts: np.ndarray, codes: np.ndarray, letters: np.ndarray) -> np.nd
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Prototype of every language of the (distributed) training rows."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         letters, table = _letter_vectors(), _slot_table()
         for b in batches:
             langs, codes = b.column("lang").to_pylist(), {}
-            for lang, text in zip(langs, b.column("text").to_pylist(), strict=True):
-                codes.setdefault(lang, []).append(np.unique(_grams(text, table), return_counts=True))
+            for i, texts in slices(b, "text", CHUNK):
+                for lang, text in zip(langs[i:i + len(texts)], texts, strict=True):
+                    codes.setdefault(lang, []).append(np.unique(_grams(text, table), return_counts=True))
             out = []
             for lang, got in codes.items():
                 u, inv = np.unique(np.concatenate([g for g, _ in got]), return_inverse=True)
@@ -122,12 +127,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     schema = src.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         letters, table, proto = _letter_vectors(), _slot_table(), shared.value
         at = np.full(SLOTS**GRAM, -1, np.int32)                 # row of an n-gram among the vectors made so far
         vecs, made = np.empty((KNOWN, DIMS), np.float32), 0
-        for b in batches:
+        for b in parts(batches, "_text"):
             lang, sc = [], []
-            for text in b.column("_text").to_pylist():
+            for text in (t for _, texts in slices(b, "_text", CHUNK) for t in texts):
                 codes = _grams(text, table) if text and len(proto) else np.zeros(0, np.int32)
                 if not len(codes):
                     lang.append("und")

@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import lean, parts, slices
+
 MAX_DOCS = 6_000
 MAX_LINES = 400
 STEPS = 250
-CHUNK = 1 << 20            # characters whose features are computed together
+CHUNK = 1 << 18            # bytes of text whose features are computed together
 
 N_BASE = 16                # features of one line (see _line_features)
 UPPER, LOWER, DIGIT, SPACE, STOP, OTHER = range(6)
@@ -191,13 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     src = src.join(F.broadcast(sample), "doc_id").select("_label", "_text")      # at most max_docs small rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         table = _class_table()
         for b in batches:
-            if b.num_rows:
-                f, lines, n = _line_features(b.column("_text").to_pylist(), table)
+            for i, texts in slices(b, "_text", CHUNK):
+                f, lines, n = _line_features(texts, table)
                 cut = np.cumsum(lines)[:-1]
                 yield pa.RecordBatch.from_pydict({
-                    "label": b.column("_label"), "f": [v.ravel() for v in np.split(f, cut)], "n": np.split(n, cut)})
+                    "label": b.column("_label").slice(i, len(texts)), "f": [v.ravel() for v in np.split(f, cut)], "n": np.split(n, cut)})
 
     got = src.mapInArrow(features, "label int, f array<double>, n array<double>").toArrow()
     label = np.array(got.column("label").to_pylist(), int)
@@ -214,17 +217,10 @@ def score(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataF
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         table = _class_table()
-        for b in batches:
-            texts = b.column(text_col).to_pylist()
-            out, i = [], 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") <= CHUNK):
-                    size += len(texts[j] or "")
-                    j += 1
-                out.append(field.quality(texts[i:j], table) if field else np.full(j - i, 0.5))
-                i = j
+        for b in parts(batches, text_col):
+            out = [field.quality(texts, table) if field else np.full(len(texts), 0.5) for _, texts in slices(b, text_col, CHUNK)]
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=schema.names)
 

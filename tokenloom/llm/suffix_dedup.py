@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.llm import bloom
-from tokenloom.llm.common import Rolling, chunks, materialize, mix, spans_of
+from tokenloom.llm.common import Rolling, chunks, lean, materialize, mix, spans_of
 
 LENGTH = 400
 GRAM = 24
@@ -127,6 +127,7 @@ def anchors(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = _schema(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         one, two = Rolling(1, PIECE + length), Rolling(2, PIECE + length)
         for b in batches:
             data, off = spans_of(b.column("bytes"))
@@ -141,6 +142,7 @@ def blocks(texts: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
     schema = _schema(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         one, two = Rolling(1, PIECE), Rolling(2, PIECE)
         for b in batches:
             data, off = spans_of(b.column("bytes"))
@@ -240,6 +242,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text", with_ke
                           + ([T.StructField("kept", T.BinaryType())] if with_kept else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             if not b.num_rows:
                 continue

@@ -17,13 +17,12 @@ the default; only the named columns of the input are read, so further columns do
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bloom
-from tokenloom.llm.common import materialize
+from tokenloom.llm.common import lean, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +78,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
             .withColumn("block", bloom.block_of("key", log2_blocks)))
 
     def possible(batches):
+        lean()
         b = shared.value
         for batch in batches:
             hit = bloom.probe(b, batch.column("block").to_numpy(), batch.column("key").to_numpy())

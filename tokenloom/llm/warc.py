@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import lean
+
 CRAWL_DATE = "2026-01-01T00:00:00Z"
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|header|footer|nav|main|aside|blockquote|pre|title|head|body|form|dl|dt|dd)\b[^>]*|[bh]r\b[^>]*)>", re.I)
@@ -108,6 +110,7 @@ def derive(source: DataFrame, id_col: str = "page_id") -> DataFrame:
     types = {"content_length": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "http_headers", "payload")]
             for i in range(0, b.num_rows, 500):
