@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from tokenloom.llm.common import shared_dir, table
-from tokenloom.llm.queries import MIX_TARGETS, label_domains
+from tokenloom.llm.queries import label_domains
+
+# Shares of tokens after the quality stage, which leaves next to no document of the domain low.
+TARGETS = {"good": 0.98, "toxic": 0.02}
 
 
 def _with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
@@ -52,8 +55,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: doc_id, n_tokens, domain, posteriors and rate of every document."""
-    out = mixing.mix(docs, label_domains(table(spark, sf_dir, "labels")), MIX_TARGETS)
-    return out.select("doc_id", "n_tokens", "domain", *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(sorted(MIX_TARGETS))], "rate")
+    out = mixing.mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return out.select("doc_id", "n_tokens", "domain", *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(sorted(TARGETS))], "rate")
 
 
 STAGES = [

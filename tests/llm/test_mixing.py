@@ -8,11 +8,13 @@ from tokenloom.llm import mixing, queries
 
 
 def gradient(n, p, goal, steps):
-    rate, gram = np.ones(len(n)), (p * n[:, None]).T @ p
+    rate, gram, before = np.ones(len(n)), (p * n[:, None]).T @ p, None
     for _ in range(steps):
-        off = (rate[:, None] * n[:, None] * p).sum(0) - goal
-        if np.abs(off).max() <= mixing.TOLERANCE * n.sum():
+        total = (rate[:, None] * n[:, None] * p).sum(0)
+        off = total - goal
+        if min(np.abs(off).max(), n.sum() if before is None else np.abs(total - before).max()) <= mixing.TOLERANCE * n.sum():
             break
+        before = total
         rate = np.maximum(0, rate - p @ np.linalg.solve(gram, off))
     return rate
 
@@ -27,38 +29,47 @@ def test_rates_equal_plain_projected_gradient(spark):
     out, steps = mixing.rates(df, targets)
     got = np.array([r["rate"] for r in out.orderBy("i").collect()])
     want = gradient(n.astype(float), p, np.array(targets) * n.sum(), mixing.ITERATIONS)
-    assert np.allclose(got, want, atol=1e-9) and (got >= 0).all() and (got == 0).any()
+    assert np.allclose(got, want, atol=1e-7) and (got >= 0).all() and (got == 0).any()
     totals = (got[:, None] * n[:, None] * p).sum(0) / n.sum()
-    assert np.allclose(totals, targets, atol=1e-2) and len(steps) > 1
+    assert np.allclose(totals, targets, atol=2e-2) and len(steps) > 1
 
 
 def test_posteriors_equal_plain_naive_bayes(spark):
     rng = np.random.default_rng(5)
     docs, labels = [], []
-    for k in range(300):
+    for k in range(900):
         domain = ("a", "b")[k % 3 == 0]
-        w = [f"w{x}" for x in rng.integers(0, 30, 20)] + ([f"{domain}{x}" for x in rng.integers(0, 4, 3)])
+        w = [f"w{x}" for x in rng.integers(0, 30, 20)] + ([f"{domain}{x}" for x in rng.integers(0, 4, 3)] if k % 5 else [])
         docs.append((k, " ".join(w)))
         if k % 2 == 0:
             labels.append((k, domain))
     lab = spark.createDataFrame(labels, "doc_id long, domain string")
-    model, prior = mixing.learn(frame(spark, docs), lab, ["a", "b"])
-    weight = {r["word"]: r["w"] for r in model.collect()}
-    assert weight and all(w.startswith(("a", "b")) for w in weight)
-    own, size = {}, {k: sum(d == k for _, d in labels) for k in "ab"}
-    text = dict(docs)
-    for k, d in labels:
-        for w in set(text[k].split()):
-            own.setdefault(w, {"a": 0, "b": 0})[d] += 1
-    share = {w: [(own[w][d] + 0.5) / (size[d] + 1) for d in "ab"] for w in weight}
-    got = {r["doc_id"]: r["p"] for r in mixing.posteriors(frame(spark, docs), model, prior).collect()}
+    model = mixing.learn(frame(spark, docs), lab, ["a", "b"])
+    weight = {r["word"]: r["w"] for r in model.words.collect()}
+    assert weight and all(w.startswith(("a", "b")) for w in weight)      # none of the words that both domains have
+    held = {r["doc_id"] for r in lab.where(F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).collect()}
+    fit, text = [(k, d) for k, d in labels if k not in held], dict(docs)
+    size = {k: sum(d == k for _, d in fit) for k in "ab"}
+    own = {w: [sum(d == x and w in text[k].split() for k, d in fit) for x in "ab"] for w in weight}
+    share = {w: [(c + 0.5) / (size[d] + 1) for c, d in zip(own[w], "ab", strict=True)] for w in weight}
+    assert all(np.allclose(weight[w], np.log(share[w])) for w in weight)
+
+    def cell(t):
+        z = [math.log((size[d] + 1) / (len(fit) + 2)) + sum(math.log(q[i]) for w, q in share.items() if w in set(t.split())) for i, d in enumerate("ab")]
+        top = int(np.argmax(z))
+        return top, min(int((z[top] - z[1 - top]) // mixing.MARGIN), mixing.STEPS - 1)
+
+    base = [(size[d] + 1) / (len(fit) + 2) for d in "ab"]
+    cells = [(cell(text[k]), d) for k, d in labels if k in held]
+    got = {r["doc_id"]: r["p"] for r in mixing.posteriors(frame(spark, docs), model).collect()}
     for k, t in docs:
-        z = [math.log((size[d] + 1) / (len(labels) + 2)) + sum(math.log(q[i] if w in set(t.split()) else 1 - q[i]) for w, q in share.items())
-             for i, d in enumerate("ab")]
-        e = [math.exp(x - max(z)) for x in z]
-        assert np.allclose(got[k], [x / sum(e) for x in e], atol=1e-9)
-    right = sum((got[k][1] > 0.5) == (k % 3 == 0) for k, _ in docs)
-    assert right > 280
+        c = cell(t)
+        mine = [sum(x[0] == c[0] and d == e for x, d in cells) for e in "ab"]
+        first = [(m + mixing.SMOOTH * q) / (sum(mine) + mixing.SMOOTH) for m, q in zip(mine, base, strict=True)]
+        here = [sum(x == c and d == e for x, d in cells) for e in "ab"]
+        assert np.allclose(got[k], [(h + mixing.SMOOTH * q) / (sum(here) + mixing.SMOOTH) for h, q in zip(here, first, strict=True)])
+    right = sum((got[k][1] > 0.5) == (k % 3 == 0) for k, _ in docs if k % 5)
+    assert right > 700
 
 
 def test_awkward_rows(spark, tmp_path):
@@ -74,5 +85,5 @@ def test_awkward_rows(spark, tmp_path):
 def test_without_labels_or_documents(spark):
     lab = spark.createDataFrame([], "doc_id long, domain string")
     out = mixing.mix(frame(spark, corpus()), lab, {"a": 1.0, "b": 1.0})
-    assert {round(r["p"][0], 6) for r in out.collect()} == {0.5}
+    assert {round(r["p"][0], 6) for r in out.collect()} == {0.5}     # also without a label that the targets name
     assert mixing.mix(frame(spark, corpus()).limit(0), lab, {"a": 1.0, "b": 1.0}).count() == 0

@@ -5,10 +5,12 @@ nonnegative rates (expected copies) so that the expected tokens T_k of each doma
 rate * tokens * posterior, match target totals t_k in the least-squares sense: projected gradient descent,
 started at rate 1, on (T - t)' A^-1 (T - t), where A_kl is the sum of tokens * p_k * p_l.
 
-* Classifier: Bernoulli naive Bayes on the presence of the words that tell domains apart best, at most
+* Classifier: naive Bayes on the words that a text has among those that tell domains apart best, at most
   FEATURES of them, each with a likelihood ratio (against the same share in all domains) of at least GAIN nats
-  and RATIO times as frequent in one domain's documents as in the others'.
-  It learns from at most MAX_LABELLED labelled rows (smallest hash of their id).
+  and RATIO times as frequent in one domain's documents as in the others'. It learns from at most
+  MAX_LABELLED labelled rows (smallest hash of their id); a quarter of them is held back to calibrate it: the
+  posterior of a text is the smoothed share of each domain among held-back texts with the same likeliest
+  domain and the same margin (in steps of MARGIN nats, STEPS of them).
 * In the metric that weighs a document by its tokens the step is rate_d - p_d' A^-1 (T - t), and the step
   length 1 is safe whatever the data (the matrix of the quadratic form is a projection, with eigenvalues 0 and 1).
   An iteration is one aggregate of K sums; the driver holds K numbers. Rates are a fold over the last
@@ -22,6 +24,7 @@ is left out; all-zero targets or an empty table give no iterations and rate 1 or
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import log
 
 import numpy as np
@@ -33,59 +36,96 @@ from tokenloom.llm.common import let, materialize, words
 FEATURES = 1_000
 GAIN = 12.0
 RATIO = 4.0
+MARGIN, STEPS, SMOOTH = 2.0, 8, 2.0
 MAX_LABELLED = 20_000
 MIN_DOCS = 5
 ITERATIONS = 60
 CHAIN = 8
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4            # of all tokens
 
 
 def features(tokens: Column) -> Column:
-    """Distinct words of a text and one word for its share of distinct ones."""
-    d = F.array_distinct(tokens)
-    return F.concat(d, F.array(F.concat(F.lit("\n"), F.floor(F.lit(10) * F.size(d) / F.greatest(F.size(tokens), F.lit(1))).cast("string"))))
+    """Distinct words of a text, and three words for the tenths of its words that are distinct, that repeat
+    the word before, and that end in a sign other than a letter, digit or stop."""
+    n = F.greatest(F.size(tokens), F.lit(1))
+    same = F.size(F.filter(F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n), lambda a, b: a == b), lambda x: x))
+    odd = F.size(F.filter(tokens, lambda w: w.rlike(r"[^\p{L}\p{N}.,;:?]$")))
+
+    def tenth(name: str, k: Column) -> Column:
+        return F.concat(F.lit("\n" + name), F.floor(F.lit(10) * k / n).cast("string"))
+
+    return let(F.array_distinct(tokens), lambda d: F.concat(d, F.array(tenth("distinct", F.size(d)), tenth("same", same), tenth("odd", odd))))
+
+
+@dataclass
+class Model:
+    domains: list[str]
+    words: DataFrame               # word, w: log share of each domain's documents that have it
+    prior: list[float]             # log priors
+    table: list[list[float]]       # posterior by likeliest domain and margin step (len(domains) * STEPS rows)
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], text_col: str = "text",
-          max_labelled: int = MAX_LABELLED, n_features: int = FEATURES) -> tuple[DataFrame, list[float]]:
-    """(word, w: weight per domain) and the log odds of a text without any of the words, from ``labelled`` (doc_id, domain)."""
+          max_labelled: int = MAX_LABELLED, n_features: int = FEATURES) -> Model:
+    """A model from ``labelled`` (doc_id, domain)."""
+    K = len(domains)
     sample = materialize(labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
                          .groupBy("doc_id").agg(F.min("domain").alias("domain"))
-                         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled")
+                         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+                         .withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0), "labelled")
     rows = docs.select("doc_id", F.coalesce(text_col, F.lit("")).alias("_t")).join(F.broadcast(sample), "doc_id")   # bounded rows
-    own = rows.select("domain", F.explode(let(words(F.col("_t")), features)).alias("word"))
+    fit = rows.where("not held")
+    own = fit.select("domain", F.explode(let(words(F.col("_t")), features)).alias("word"))
     each = [F.sum((F.col("domain") == k).cast("int")).alias(f"c{i}") for i, k in enumerate(domains)]
     counts = own.groupBy("word").agg(F.count(F.lit(1)).alias("c"), *each).where(F.col("c") >= MIN_DOCS)
-    size = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row a domain
+    size = {r["domain"]: r["n"] for r in fit.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}   # one row a domain
     n, total = [size.get(k, 0) for k in domains], sum(size.values())
-    if not total:
-        return materialize(counts.limit(0).select("word", F.array(*[F.lit(0.0)] * len(domains)).alias("w")), "features"), [0.0] * len(domains)
     gain = F.lit(0.0)
     for i, k in enumerate(n):
         if k:
             gain = gain + F.when(F.col(f"c{i}") > 0, F.col(f"c{i}") * F.ln(F.col(f"c{i}") * (total / k) / F.col("c"))).otherwise(0.0)
     share = [(F.col(f"c{i}") + 0.5) / (k + 1.0) for i, k in enumerate(n)]
     ratio = [(F.col(f"c{i}") / max(k, 1)) / ((F.col("c") - F.col(f"c{i}") + 0.5) / (total - k + 1.0)) for i, k in enumerate(n)]
-    best = counts.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.greatest(*ratio, F.lit(0.0)) >= RATIO)).orderBy(F.desc("gain"), "word").limit(n_features)
-    model = materialize(best.select("word", F.array(*[F.ln(q / (1 - q)) for q in share]).alias("w"),
-                                    F.array(*[F.ln(1 - q) for q in share]).alias("absent")), "features")
-    absent = model.agg(*[F.sum(F.col("absent")[i]).alias(f"a{i}") for i in range(len(domains))]).first()
-    return model.select("word", "w"), [log((k + 1) / (total + len(domains))) + (absent[f"a{i}"] or 0.0) for i, k in enumerate(n)]
-
-
-def posteriors(docs: DataFrame, model: DataFrame, prior: list[float], text_col: str = "text") -> DataFrame:
+    best = counts.withColumn("gain", gain).where((F.col("gain") >= GAIN) & (F.greatest(*ratio, F.lit(0.0)) >= RATIO))
+    best = best.orderBy(F.desc("gain"), "word").limit(n_features)
+    model = Model(domains, materialize(best.select("word", F.array(*[F.ln(q) for q in share]).alias("w")), "features"),
+                  [log((k + 1) / (total + K)) for k in n], [])
+    held = evidence(rows.where("held").select("doc_id", F.col("_t").alias("text"), "domain"), model, "text", ("domain",))
+    seen = {(r["cell"], r["domain"]): r["n"] for r in
+            held.groupBy(_cell(F.col("z")).alias("cell"), "domain").agg(F.count(F.lit(1)).alias("n")).collect()}   # K * K * STEPS rows at most
+    base = [(k + 1) / (total + K) for k in n]
+    for i in range(K):
+        mine = [sum(seen.get((i * STEPS + s, d), 0) for s in range(STEPS)) for d in domains]
+        share_i = [(m + SMOOTH * b) / (sum(mine) + SMOOTH) for m, b in zip(mine, base, strict=True)]
+        for s in range(STEPS):
+            here = [seen.get((i * STEPS + s, d), 0) for d in domains]
+            model.table.append([(h + SMOOTH * b) / (sum(here) + SMOOTH) for h, b in zip(here, share_i, strict=True)])
+    return model
+
+
+def _cell(z: Column) -> Column:
+    """Number of the likeliest domain and of the margin step to the next one."""
+    def of(s: Column) -> Column:
+        margin = F.when(F.size(s) > 1, s[0] - F.get(s, F.lit(1))).otherwise(0.0)
+        return ((F.array_position(z, s[0]) - 1) * STEPS + F.least(F.floor(margin / MARGIN), F.lit(STEPS - 1))).cast("int")
+    return let(F.sort_array(z, asc=False), of)
+
+
+def evidence(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, th, n_tokens, z, ``keep``) of every row; z is the log joint weight of every domain."""
+    src = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *keep, F.coalesce(text_col, F.lit("")).alias("_t"))
+    src = src.select("row", "doc_id", *keep, F.xxhash64("_t").alias("th"), words(F.col("_t")).alias("ws"))
+    src = src.select("row", "doc_id", *keep, "th", F.size("ws").cast("bigint").alias("n_tokens"), F.explode(features(F.col("ws"))).alias("word"))
+    hits = src.join(F.broadcast(model.words), "word", "left")                 # at most FEATURES rows
+    sums = hits.groupBy("row", "doc_id", *keep, "th", "n_tokens").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(model.prior))])
+    z = F.array(*[F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(p) for k, p in enumerate(model.prior)])
+    return sums.select("doc_id", "th", "n_tokens", z.alias("z"), *keep)
+
+
+def posteriors(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(doc_id, th, n_tokens, p) of every row; p is an array with one probability a domain."""
-    K = len(prior)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(text_col, F.lit("")).alias("_t"))
-    src = src.select("row", "doc_id", F.xxhash64("_t").alias("th"), words(F.col("_t")).alias("ws"))
-    src = src.select("row", "doc_id", "th", F.size("ws").cast("bigint").alias("n_tokens"), F.explode(features(F.col("ws"))).alias("word"))
-    hits = src.join(F.broadcast(model), "word", "left")                 # at most FEATURES rows
-    sums = hits.groupBy("row", "doc_id", "th", "n_tokens").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(K)])
-    z = [F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(prior[k]) for k in range(K)]
-    top = F.greatest(*z) if K > 1 else z[0]
-    e = F.transform(F.array(*z), lambda v: F.exp(v - top))
-    p = let(e, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, b: a + b)))
-    return sums.select("doc_id", "th", "n_tokens", p.alias("p"))
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in model.table])
+    return evidence(docs, model, text_col).select("doc_id", "th", "n_tokens", table[_cell(F.col("z"))].alias("p"))
 
 
 def rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -> tuple[DataFrame, list[dict]]:
@@ -116,7 +156,8 @@ def rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -
         got = base.agg(*[F.sum(current() * n * F.col("p")[k]).alias(f"t{k}") for k in live]).first()
         off = {k: float(got[f"t{k}"]) - goal[k] for k in live}
         log_.append({k: float(got[f"t{k}"]) for k in live})
-        if max(abs(x) for x in off.values()) <= TOLERANCE * everything:
+        moved = max(abs(log_[-1][k] - log_[-2][k]) for k in live) if len(log_) > 1 else everything
+        if min(max(abs(x) for x in off.values()), moved) <= TOLERANCE * everything:      # met, or as near as it gets
             break
         pending.append(dict(zip(live, (inverse @ [off[k] for k in live]).tolist(), strict=True)))
         if len(pending) == CHAIN:
@@ -127,8 +168,7 @@ def rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text") -> DataFrame:
     """doc_id, th, n_tokens, domain (likeliest), p and rate of every row of ``docs``."""
     domains = sorted(targets)
-    model, prior = learn(docs, labelled, domains, text_col)
-    rows = posteriors(docs, model, prior, text_col)
+    rows = posteriors(docs, learn(docs, labelled, domains, text_col), text_col)
     out, _ = rates(rows, [targets[k] for k in domains])
     names = F.array(*[F.lit(k) for k in domains])
     return out.withColumn("domain", names[(F.array_position("p", F.array_max("p")) - 1).cast("int")])
