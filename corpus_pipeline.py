@@ -35,7 +35,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: later copies of repeated line runs go, and documents of which nothing is left."""
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, every_length=True)
     out = out.where(~((F.col("n_removed") > 0) & (F.trim("kept") == "")))
     return _with_text(out, F.col("kept"), docs.columns)
 

@@ -53,3 +53,10 @@ def test_whole_pipeline(spark):
     assert 0 < len(ids) <= 200 and len(set(ids)) == len(ids) and all(r["rate"] >= 0 for r in out)
     assert [n for n, _ in P.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination",
                                         "mixing sources to target weights"]
+
+
+def test_line_dedup_stage_takes_the_end_of_a_repeated_run(spark, tmp_path):
+    passage = "\n".join(" ".join([f"{c}{i}" for i in range(n)]) for c, n in (("a", 60), ("b", 10), ("c", 10)))
+    rows = [(1, passage), (2, f"before\n{passage}\nafter"), (3, passage)]
+    kept = P.line_dedup_stage(spark, frame(spark, rows), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: passage, 2: "before\nafter"}
