@@ -36,7 +36,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: later copies of repeated line runs go, and documents of which nothing is left."""
     out = line_dedup.dedup(docs, every_length=True)
-    out = out.where(~((F.col("n_removed") > 0) & (F.trim("kept") == "")))
+    out = out.where(~((F.col("n_removed") > 0) & ~F.col("kept").rlike(r"\S")))
     return _with_text(out, F.col("kept"), docs.columns)
 
 
@@ -49,7 +49,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Operator 10: words inside occurrences of benchmark windows go, and documents of which nothing is left."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
     out = found.withColumn("text", decontaminate.without_spans("text", "ranges"))
-    out = out.where(~((F.size("ranges") > 0) & (F.trim("text") == "")))
+    out = out.where(~((F.size("ranges") > 0) & ~F.col("text").rlike(r"\S")))
     return _with_text(out, F.col("text"), docs.columns)
 
 

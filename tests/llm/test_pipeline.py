@@ -60,3 +60,13 @@ def test_line_dedup_stage_takes_the_end_of_a_repeated_run(spark, tmp_path):
     rows = [(1, passage), (2, f"before\n{passage}\nafter"), (3, passage)]
     kept = P.line_dedup_stage(spark, frame(spark, rows), str(tmp_path)).collect()
     assert {r["doc_id"]: r["text"] for r in kept} == {1: passage, 2: "before\nafter"}
+
+
+def test_documents_of_which_only_white_space_is_left_go(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(25))
+    copy = "\n".join(" ".join([f"{c}{i}" for i in range(20)]) for c in "abc") + "\n\n\n"
+    rows = [(1, copy), (2, copy), (3, f"\n\n{item}\n\t\n"), (4, " \n\n")]
+    sf = tables(spark, tmp_path, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    docs = frame(spark, rows)
+    assert sorted(r["doc_id"] for r in P.line_dedup_stage(spark, docs, sf).collect()) == [1, 3, 4]      # 4 was not changed
+    assert sorted(r["doc_id"] for r in P.benchmark_decontamination(spark, docs, sf).collect()) == [1, 2, 4]
