@@ -1,11 +1,11 @@
-"""Operator 1: exact substring dedup by distributed prefix doubling.
+"""Operator 1: exact substring dedup by content-defined anchors and fingerprint refinement.
 
 Every byte that lies in a string of ``length`` bytes which also starts anywhere else (in any text,
 the same one included) is removed; matches never cross texts, overlaps count, and all strings are
 judged on the input.
 
-Prefix doubling ranks suffixes by prefixes of growing length and needs a rank for every byte, which
-at 100 TB cannot be shuffled. The ranks here are kept for a sparse set of suffixes that is enough:
+This stands in place of prefix doubling, which ranks suffixes by prefixes of growing length and needs a rank for every byte, which
+at 100 TB cannot be shuffled. Ranks here are fingerprints of content, kept for a sparse set of suffixes that is enough:
 
 * Anchors. For every position p whose string lies in its text, m(p) is the position in
   [p, p + W) whose GRAM-byte hash is smallest (leftmost on ties). Equal strings choose equal places,
