@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import decontaminate, fingerprints, jaccard_join, language, line_dedup, mixing, quality, suffix_dedup, url_filter, warc
-from tokenloom.llm.common import fold, table
+from tokenloom.llm import (byte_bpe, conversation_repair, decontaminate, fingerprints, jaccard_join, language, line_dedup, mixing, quality,
+                           suffix_dedup, treap_search, url_filter, warc)
+from tokenloom.llm.common import fold, materialize, table
 
 # ---- operator 1 ---------------------------------------------------------------------------------
 
@@ -182,6 +183,47 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+# ---- operator 11 --------------------------------------------------------------------------------
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The damage that the query repairs: by crc32 of conversation and turn, modulo 20."""
+    one = F.lit(" ")
+    rows = rows.select("conv_id", "turn", F.coalesce("role", one).alias("role"), F.coalesce("text", one).alias("text"),
+                       conversation_repair.chance(F.col("conv_id"), F.col("turn"), 20).alias("kind")).where("kind <> 0")
+    text = (F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = rows.withColumn("copy", F.explode(copies))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    rows = damaged(given)
+    found = materialize(conversation_repair.repair(rows, given), "repairs")
+    sha = conversation_repair.digest(conversation_repair.apply(rows, found)).withColumnRenamed("conv_id", "id")
+    out = found.join(sha, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    return out.select("conv_id", *conversation_repair.RESULT, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# ---- operator 12 --------------------------------------------------------------------------------
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    both = byte_bpe.decode(coded, ranks)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---- operator 13 --------------------------------------------------------------------------------
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -193,6 +235,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_treap_search": op13_treap_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
