@@ -205,6 +205,55 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *conversation_repair.RESULT, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def _op11_sql() -> str:
+    """A value is eight digits of cost, the audit, a separator and the repaired lines; of two values of equal cost no audit is the
+    beginning of the other, so their order as strings is the order by cost and audit."""
+    def add(v: str, cost: str, edit: str, line: str = "''") -> str:
+        at = f"strpos({v}, chr(1))"
+        return f"(lpad(CAST(CAST(substr({v}, 1, 8) AS INT) + {cost} AS VARCHAR), 8, '0') || substr({v}, 9, {at} - 9) || '{edit}' || substr({v}, {at}) || {line})"
+
+    def move(p: int, role: str) -> str:
+        """From s[p], row x kept or rerolled into a turn of the role."""
+        keep = add(f"s[{p}]", "CAST(x[5] AS INT)", "K", "chr(10) || x[3] || ':' || x[4]")
+        change = add(f"s[{p}]", "CAST(x[5] AS INT) + 3", "R", f"chr(10) || '{role}:' || x[4]")
+        return f"CASE WHEN x[2] = 'fault' THEN NULL WHEN x[1] = '{role[0]}' THEN {keep} ELSE {change} END"
+
+    user, bot = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    kept = add("s[1]", "CAST(x[5] AS INT)", "K", "chr(10) || x[3] || ':' || x[4]")
+    taken = (f"[{add('s[1]', '4', 'D')}, least({add('s[2]', '4', 'D')}, CASE WHEN x[2] <> 'fault' AND x[1] = 's' THEN {kept} END), "
+             f"least({add('s[3]', '4', 'D')}, {move(1, 'user')}, {move(2, 'user')}, {move(4, 'user')}), least({add('s[4]', '4', 'D')}, {move(3, 'assistant')})]")
+    with_user = f"[s[1], s[2], least(s[3], {add('s[1]', '3', 'I', user)}, {add('s[2]', '3', 'I', user)}, {add('s[4]', '3', 'I', user)}), s[4]]"
+    with_bot = f"[s[1], s[2], s[3], least(s[4], {add('s[3]', '3', 'I', bot)})]"
+    step = f"CASE x[2] WHEN 'user' THEN {with_user} WHEN 'bot' THEN {with_bot} ELSE {taken} END"
+    return f"""
+WITH g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  xor(list_reduce(list_prepend(4294967295, flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]
+                      for c in string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')])),
+                      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS kind
+           FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM g WHERE kind <> 0),
+o AS (SELECT *, rtrim(text, {" || ".join(f"chr({ord(c)})" for c in conversation_repair.BLANKS)}) AS body,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN substr(body, -1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+             count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             list([substr(role, 1, 1), CASE WHEN fault IN ('blank', 'duplicate') THEN 'fault' ELSE '' END, role, text, CASE WHEN fault = 'truncated' THEN '3' ELSE '0' END]
+                  ORDER BY i) AS rows FROM f GROUP BY conv_id),
+s AS (SELECT * EXCLUDE rows, list_reduce(list_prepend(['00000000' || chr(1), NULL, NULL, NULL, NULL],
+                 flatten([[['', 'user'], ['', 'bot'], ['', 'user'], x, ['', 'user'], ['', 'bot'], ['', 'user']] for x in rows])),
+                 lambda s, x: {step}) AS s FROM c),
+v AS (SELECT * EXCLUDE s, least(s[1], s[4]) AS v FROM s)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(substr(v, 1, 8), '0') AS BIGINT) AS cost, coalesce(substr(v, 9, strpos(v, chr(1)) - 9), '') AS audit,
+       sha256(coalesce(substr(v, strpos(v, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN v ON a.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+
 # ---- operator 12 --------------------------------------------------------------------------------
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +273,19 @@ def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
 
 
+OP13_SQL = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * (SELECT docs FROM g) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT q.item_id, tf.doc_id, CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * n.n * (SELECT docs FROM g)) // (SELECT len FROM g))))) AS BIGINT) AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id) GROUP BY q.item_id, tf.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -243,4 +305,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op6_url_filter": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op11_conversation_repair": _op11_sql(),
+    "op13_treap_search": OP13_SQL,
 }
