@@ -190,13 +190,14 @@ def _rows(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFr
 def _flagged(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """One row for equal rows of a turn (n of them), with what the search needs; a row with n = 0 for each listed conversation."""
     body = F.rtrim(F.col("text"), F.lit(BLANKS))
-    slim = rows.select("conv", "turn", "role", "k", (body == "").alias("blank"), (~F.substring(body, -1, 1).isin(".", "!", "?")).alias("truncated"), F.lit(1).alias("n"))
-    none = listed.select("conv", F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("binary").alias("k"),
-                         F.lit(False).alias("blank"), F.lit(False).alias("truncated"), F.lit(0).alias("n"))
-    slim = materialize(slim.unionByName(none).groupBy("conv", "turn", "role", "k", "blank", "truncated").agg(F.sum("n").alias("n")), "turns")
+    slim = materialize(rows.groupBy("conv", "turn", "role", "k", (body == "").alias("blank"),
+                                    (~F.substring(body, -1, 1).isin(".", "!", "?")).alias("truncated")).agg(F.count(F.lit(1)).alias("n")), "turns")
     place = F.struct(F.col("turn").isNotNull().alias("has"), "turn")
-    first = slim.where("k is not null and not blank").groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    return slim.join(first, "k", "left").withColumn("repeated", F.coalesce(place > F.col("first"), F.lit(False))).drop("first")
+    first = slim.where("not blank").groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    flagged = slim.join(first, "k", "left").withColumn("repeated", F.coalesce(place > F.col("first"), F.lit(False))).drop("first")
+    empty = {"turn": None, "role": None, "k": None, "blank": False, "truncated": False, "n": 0, "repeated": False}
+    none = listed.select("conv").distinct().select("conv", *(F.lit(v).cast(flagged.schema[c].dataType).alias(c) for c, v in empty.items()))
+    return flagged.unionByName(none)
 
 
 def _pieces(flagged: DataFrame) -> DataFrame:
