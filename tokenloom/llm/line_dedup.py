@@ -5,10 +5,9 @@ these sequences are ranked by prefix doubling: the rank of 2h lines is the pair
 an offset of h, suffixes whose rank is unique are dropped after every round, and doubling stops once the
 threshold is passed. Suffixes with the same rank share a common prefix of at least that many lines (an LCP
 interval). A run counts as a repeat from ``min_lines`` lines, or fewer with ``min_words`` words together; such
-runs that start at consecutive lines join into maximal ones. Of every repeat the first copy by (doc_id, text
-hash, line) stays and the later ones are deleted, those inside the same text too. With ``every_length`` each line
-is judged as the start of every length that counts, so a maximal repeated run goes up to its end; without, as
-OP3_SQL states it, of the shortest length only, and lines at the end of a repeated run can stay.
+runs that start at consecutive lines join into maximal ones: each line is judged as the start of every length that counts,
+up to ``min_lines``, and a longer run is the union of those, so a maximal repeated run goes up to its end. Of every
+repeat the first copy by (doc_id, text hash, line) stays and the later ones are deleted, those inside the same text too.
 
 Defined results: a null text is empty and stays as it is; blank lines have no id, and go only where they
 lie inside a deleted run; rows that repeat id and text are one text (each gets the same result, none is
@@ -29,9 +28,9 @@ MIN_LINES, MIN_WORDS = 3, 50
 _RUNS = "array<struct<first:int,last:int>>"
 
 
-def _positions(texts: DataFrame, min_lines: int, min_words: int, every_length: bool) -> DataFrame:
+def _positions(texts: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     """(doc_id, th, i, line_no, need, a, b): lines that are not blank, with the lengths of the runs from
-    there that count (none: the text ends before), or with the shortest one only."""
+    there that count (none: the text ends before)."""
     lines = F.transform(F.split("body", "\n"), lambda x, i: F.struct(
         i.alias("line_no"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("w"),
         F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
@@ -44,7 +43,7 @@ def _positions(texts: DataFrame, min_lines: int, min_words: int, every_length: b
                 total = total + F.get(arr, i + (m - 1))["w"]          # null past the end of the text
                 out.append(F.when(total >= (min_words if m < min_lines else 0), m))
             need = F.filter(F.array(*out), lambda m: m.isNotNull())
-            return F.struct(s["line_no"].alias("line_no"), (need if every_length else F.slice(need, 1, 1)).alias("need"),
+            return F.struct(s["line_no"].alias("line_no"), need.alias("need"),
                             s["a"].alias("a"), s["b"].alias("b"))
         return F.transform(arr, one)
 
@@ -57,11 +56,11 @@ def _not_unique(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(many, ["a", "b"])
 
 
-def repeated_runs(texts: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, every_length: bool = False) -> DataFrame:
+def repeated_runs(texts: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs): maximal runs of lines (line numbers, both ends included) to delete."""
     text = ["doc_id", "th"]
     order = Window.partitionBy(*text).orderBy("i")
-    pos = materialize(_positions(texts, min_lines, min_words, every_length), "lines")
+    pos = materialize(_positions(texts, min_lines, min_words), "lines")
     cur = _not_unique(pos, "ranks1").groupBy(*text, "i").agg(
         *[F.first(c).alias(c) for c in ("line_no", "need", "a", "b")])       # repeated rows are one text
     cur, h, final = materialize(cur, "survivors1"), 1, []
@@ -93,14 +92,13 @@ def repeated_runs(texts: DataFrame, min_lines: int = MIN_LINES, min_words: int =
     return runs.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, text_col: str = "text",
-          every_length: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
     """``docs`` with n_lines, removed_runs (line numbers), n_removed and the text that stays in ``kept``."""
     own = [c for c in docs.columns if c not in ("n_lines", "removed_runs", "n_removed", "kept")]
     docs = docs.select(*own)
     keyed = docs.withColumns({"_body": F.coalesce(text_col, F.lit(""))}).withColumn("_th", F.xxhash64("_body"))
     texts = keyed.select("doc_id", F.col("_th").alias("th"), F.col("_body").alias("body"))
-    runs = materialize(repeated_runs(texts, min_lines, min_words, every_length).select(
+    runs = materialize(repeated_runs(texts, min_lines, min_words).select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th2"), F.col("runs").alias("_runs")), "runs")
     # texts without a repeat are held back by a filter of fixed size; only the others are shuffled
     may_hold = bloom.native(runs.select(F.xxhash64("_id", "_th2").alias("key")), "key")

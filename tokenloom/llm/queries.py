@@ -48,12 +48,13 @@ al AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no
 l AS (SELECT doc_id, line, line_no, len([x for x in regexp_split_to_array(line, '\\s+') if x <> '']) AS w FROM al),
 q AS (SELECT doc_id, line, line_no, w, row_number() OVER d AS i, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3,
              lead(w, 1) OVER d AS w2, lead(w, 2) OVER d AS w3 FROM l WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line_no)),
-n AS (SELECT doc_id, i, line_no, CASE WHEN w >= {line_dedup.MIN_WORDS} THEN 1 WHEN w + w2 >= {line_dedup.MIN_WORDS} THEN 2 WHEN l3 IS NOT NULL THEN 3 END AS need, line, l2, l3 FROM q),
+n AS (SELECT doc_id, i, line_no, unnest([1, 2, 3]) AS need, line, l2, l3, w, w2 FROM q),
+k AS (SELECT * FROM n WHERE (need = 1 AND w >= {line_dedup.MIN_WORDS}) OR (need = 2 AND w + w2 >= {line_dedup.MIN_WORDS}) OR (need = 3 AND l3 IS NOT NULL)),
 f AS (SELECT doc_id, i, need, row_number() OVER (PARTITION BY need, line, CASE WHEN need > 1 THEN l2 END, CASE WHEN need > 2 THEN l3 END ORDER BY doc_id, i) AS nth
-      FROM n WHERE need IS NOT NULL),
+      FROM k),
 g AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(need)) AS k FROM f WHERE nth > 1)),
 isl AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM g),
-runs AS (SELECT isl.doc_id, grp, min(line_no) AS lo, max(line_no) AS hi FROM isl JOIN n ON n.doc_id = isl.doc_id AND n.i = isl.i GROUP BY isl.doc_id, grp),
+runs AS (SELECT isl.doc_id, grp, min(line_no) AS lo, max(line_no) AS hi FROM isl JOIN q ON q.doc_id = isl.doc_id AND q.i = isl.i GROUP BY isl.doc_id, grp),
 gone AS (SELECT DISTINCT al.doc_id, al.line_no FROM al JOIN runs ON runs.doc_id = al.doc_id AND al.line_no BETWEEN lo AND hi),
 kept AS (SELECT al.doc_id, string_agg(al.line, chr(10) ORDER BY al.line_no) AS kept FROM al ANTI JOIN gone ON gone.doc_id = al.doc_id AND gone.line_no = al.line_no GROUP BY al.doc_id)
 """
