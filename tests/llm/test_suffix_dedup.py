@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -55,3 +56,25 @@ def test_kept_bytes(spark):
     rows = [(1, "a" * 10 + "é" * 300), (2, "b" + "é" * 300)]
     got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup(frame(spark, rows), 400, with_kept=True).collect()}
     assert got == {1: b"a" * 10, 2: b"b"}
+
+
+def test_shared_passages_too_short_to_be_removed(spark):
+    """Passages of 360 bytes in two documents, anywhere in them, show in both; repeats inside one document and short ones do not."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    rows, want = [], {}
+    for k in range(30):
+        passage = text(360)
+        for side in (0, 1):
+            rows.append((10 * k + side, text(rng.randint(0, 900)) + passage + text(rng.randint(0, 900))))
+            want[10 * k + side] = 360
+        own = text(600)
+        rows.append((10 * k + 2, text(500) + own + text(300) + own))
+        want[10 * k + 2] = 0
+    short = text(100)
+    rows += [(1000, text(700) + short), (1001, short + text(800))]
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup(frame(spark, rows)).collect()}
+    for k, n in want.items():
+        assert (128 <= got[k]["longest_shared"] <= n) if n else got[k]["longest_shared"] == 0
+        assert (got[k]["n_removed"] > 0) == (n == 0)
+    assert got[1000]["longest_shared"] == got[1001]["longest_shared"] == 0

@@ -15,7 +15,7 @@ from tokenloom.llm.common import fold, materialize, table
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "longest_shared")
 
 
 # ---- operator 2 ---------------------------------------------------------------------------------

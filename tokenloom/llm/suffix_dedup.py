@@ -11,12 +11,16 @@ at 100 TB cannot be shuffled. Ranks here are fingerprints of content, kept for a
   [p, p + W) whose GRAM-byte hash is smallest (leftmost on ties). Equal strings choose equal places,
   so two equal strings meet at a pair of anchors. About one byte in W / 2 is an anchor.
 * A block is a run of positions with one anchor, at most ``size`` of them. All its strings share
-  length - size + 1 bytes; the fingerprint of these is the block's first rank. The fingerprint of all
-  bytes that its strings cover is its second.
+  length - size + 1 bytes; the fingerprint of these (of the first SHARED of them in the first round) is the block's
+  first rank. The fingerprint of all bytes that its strings cover is its second.
 * A round deals blocks out by rank. A block with a unique first rank is done: nothing of it occurs
   elsewhere. Blocks with equal second ranks cover all of their strings; one of them goes on for its class
   where a block with the same first rank is still open, and so does that one. The next round cuts
-  them smaller, so that the ranked prefix grows (209, 385 and 400 bytes) until it passes ``length``.
+  them smaller, so that the ranked prefix grows (128, 385 and 400 bytes) until it passes ``length``.
+* The first ranks also tell passages too short to be removed: ``longest_shared`` is the length of the text's longest run of
+  neighbouring anchors (none further from the next than a window) whose SHARED bytes also start in another document,
+  from the first anchor to the end of the last one's bytes. Every passage of window + SHARED + GRAM bytes that two documents share
+  holds such an anchor in both; the figure is a lower bound of the passage's length where one document holds it all.
 
 A rank is a fingerprint, so equal ranks need no renumbering between rounds; second ranks have 128 bits.
 Ranks are counted with map-side aggregation, and the counts are materialised before they are joined
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +48,7 @@ from tokenloom.llm.common import Rolling, chunks, lean, materialize, mix, spans_
 
 LENGTH = 400
 GRAM = 24
+SHARED = 128                    # bytes at an anchor that the first round ranks
 PIECE = 1 << 20                 # bytes looked at together
 LOCAL = np.uint64((1 << 24) - 1)
 SIZES = (16, 1)                 # block sizes after the first round
@@ -75,7 +80,7 @@ def _pieces(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
 def _anchors(data: np.ndarray, off: np.ndarray, length: int, one: Rolling, two: Rolling) -> Iterator[tuple]:
     """(row, lo, hi, anchor, first rank, two halves of the second rank) arrays; lo..hi are start positions."""
     w = window(length)
-    core = length - w + 1
+    core = min(length - w + 1, SHARED)
     for i, j, s, e in _pieces(off):
         end = min(e + length, int(off[j]))
         d = data[s:end]
@@ -186,8 +191,8 @@ def blocks(texts: DataFrame, size: int, length: int = LENGTH) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _round(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks covered as a whole, blocks to cut further) of one round's ranked blocks."""
+def _round(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks covered as a whole, blocks to cut further, all blocks that may have a repeated first rank) of one round's ranked blocks."""
     rows = materialize(rows, f"blocks{name}")
     held = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n > 1 and need")
     held = materialize(held.select("c"), f"ranks{name}")
@@ -200,7 +205,22 @@ def _round(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     judged = materialize(left.join(classes, ["c", "f1", "f2"]).select(
         "doc_id", "th", "lo", "hi", "at", (F.col("need") & (F.col("n") > 1)).alias("copy"), (F.col("need") & (F.col("n") == 1)).alias("need"),
         (F.col("open").isNotNull() & ((F.col("n") == 1) | (F.col("tag") == F.col("first")))).alias("further")), f"round{name}")
-    return judged.where("copy"), judged.where("further")
+    return judged.where("copy"), judged.where("further"), left
+
+
+def _shared(left: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, longest_shared) of texts with an anchor whose first rank another document has too."""
+    left = left.select("doc_id", "th", "at", "c", F.xxhash64("doc_id", "th").alias("doc"))
+    many = materialize(left.groupBy("c").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("c"), "shared")
+    places = left.join(many, "c").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    start = F.struct(F.get("at", F.lit(0)).alias("first"), F.get("at", F.lit(0)).alias("last"), F.lit(0).alias("best"))
+
+    def go_on(run: Column, at: Column) -> Column:
+        first = F.when(at - run["last"] > window(length), at).otherwise(run["first"])
+        return F.struct(first.alias("first"), at.alias("last"), F.greatest(run["best"], at - first).alias("best"))
+
+    reach = min(length - window(length) + 1, SHARED)
+    return places.select("doc_id", "th", (F.aggregate("at", start, go_on)["best"] + reach).cast("bigint").alias("longest_shared"))
 
 
 def _touched(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -215,30 +235,32 @@ def _same_text(texts: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
     return texts.join(other, texts["doc_id"].eqNullSafe(other["_id"]) & (texts["th"] == other["_th"]), how).drop("_id", "_th")
 
 
-def repeated(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, th, lo, end): byte ranges (not merged) covered by strings that occur twice."""
-    covered, further = _round(anchors(texts, length), "0")
+def repeated(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, lo, end): byte ranges (not merged) covered by strings that occur twice; and (doc_id, th, longest_shared)."""
+    covered, further, first = _round(anchors(texts, length), "0")
     for k, size in enumerate(SIZES, 1):
         parts = materialize(further.groupBy("doc_id", "th").agg(
             F.collect_list(F.struct("lo", "hi", "at", "need")).alias("parts")), f"parts{k}")
         touched, _ = _touched(texts, parts)
-        more, further = _round(blocks(_same_text(touched, parts, "inner"), size, length), str(k))
+        more, further, _ = _round(blocks(_same_text(touched, parts, "inner"), size, length), str(k))
         covered = covered.unionByName(more)
-    return covered.select("doc_id", "th", "lo", (F.col("hi") + length).alias("end"))
+    return covered.select("doc_id", "th", "lo", (F.col("hi") + length).alias("end")), _shared(first, length)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text", with_kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end; merged) of every row;
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end; merged) and longest_shared of every row;
     ``with_kept`` adds the bytes that stay."""
     texts = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
     texts = texts.withColumn("th", F.xxhash64("bytes"))
-    spans = materialize(repeated(texts, length).groupBy("doc_id", "th")
-                        .agg(F.collect_list(F.struct("lo", "end")).alias("parts")), "spans")
+    ranges, shared = repeated(texts, length)
+    per_text = ranges.select("doc_id", "th", F.struct("lo", "end").alias("part"), F.lit(0).cast("bigint").alias("longest_shared")).unionByName(
+        shared.withColumn("part", F.lit(None).cast("struct<lo:int,end:int>")))
+    spans = materialize(per_text.groupBy("doc_id", "th").agg(F.collect_list("part").alias("parts"), F.max("longest_shared").alias("longest_shared")), "spans")
     hit, clean = _touched(texts, spans)
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([texts.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),
-                           T.StructField("spans", span_type)]
+                           T.StructField("spans", span_type), T.StructField("longest_shared", T.LongType())]
                           + ([T.StructField("kept", T.BinaryType())] if with_kept else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +286,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text", with_ke
                 cols["n_removed"].append(len(d) - len(kept))
                 cols["n_spans"].append(len(s))
                 cols["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                cols["longest_shared"].append(b.column("longest_shared")[r].as_py())
                 cols["spans"].append([{"start": int(x), "end": int(y)} for x, y in zip(s, e, strict=True)])
                 if with_kept:
                     cols["kept"].append(kept)
@@ -272,10 +295,11 @@ def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text", with_ke
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, types.get(c, pa.int64())) for c, v in cols.items())],
                                              names=schema.names)
 
-    marked = _same_text(hit, spans, "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<lo:int,end:int>>")))
-    done = marked.select("doc_id", "bytes", "parts").mapInArrow(run, schema)
+    marked = _same_text(hit, spans, "left").withColumns({
+        "parts": F.coalesce("parts", F.array().cast("array<struct<lo:int,end:int>>")), "longest_shared": F.coalesce("longest_shared", F.lit(0).cast("bigint"))})
+    done = marked.select("doc_id", "bytes", "parts", "longest_shared").mapInArrow(run, schema)
     zero = F.lit(0).cast("bigint")
     rest = clean.select("doc_id", F.octet_length("bytes").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
-                        F.sha2("bytes", 256).alias("kept_sha256"), F.array().cast(span_type).alias("spans"),
+                        F.sha2("bytes", 256).alias("kept_sha256"), F.array().cast(span_type).alias("spans"), zero.alias("longest_shared"),
                         *([F.col("bytes").alias("kept")] if with_kept else []))
     return done.unionByName(rest)
