@@ -21,8 +21,10 @@ from tokenloom.operators import vectors as V
 from tokenloom.operators import tree as TR
 from tokenloom.operators import config as CF
 from tokenloom.operators import outline as O
+from tokenloom.operators import postings as PO
 from tokenloom.plans import code_corpus as CC
 from tokenloom.plans import domain
+from tokenloom.session import scratch, stored
 
 # Parameters of the registered queries (also used by plans/oracle.py).
 ADMISSION_LIMIT = 5_000          # global daily limit for the admission query
@@ -88,10 +90,12 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.count(F.lit(1)).alias("turns")))
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = R.line_table(domain.corpus(spark, sf_dir))
-    syms = domain.symbol_queries(spark, sf_dir)
-    return R.match_lines(lines, syms), syms
+def _matches(spark: SparkSession, sf_dir: str, word: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Matches of all symbols, written once: the files are scanned into a posting index, which is then searched."""
+    root = scratch(spark, "postings")
+    PO.build(domain.corpus(spark, sf_dir), root)
+    syms = stored(domain.symbol_queries(spark, sf_dir), "symbols")
+    return stored(PO.search(spark, root, 0, syms, word), "matches"), syms
 
 
 def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +103,9 @@ def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole answers with whole lines; what the search tool would show is a label."""
     m, syms = _matches(spark, sf_dir)
-    return R.result_rows(m, syms, cap=R.RESULT_CAP, display_max=T.DISPLAY_MAX)
+    return R.result_rows(m, syms, cap=R.RESULT_CAP)
 
 
 def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +114,16 @@ def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-word form of the reference search, matches per file."""
-    lines = R.line_table(domain.corpus(spark, sf_dir))
-    return R.per_file(R.match_lines(lines, domain.symbol_queries(spark, sf_dir), word=True))
+    return R.per_file(_matches(spark, sf_dir, word=True)[0])
+
+
+def references_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches per file in an index that was built over the corpus and brought up to date by the change feed."""
+    root = scratch(spark, "postings")
+    PO.build(domain.corpus(spark, sf_dir), root)
+    last = domain.change_texts(spark, sf_dir)(CH.latest_change(domain.change_keys(spark, sf_dir)))
+    PO.apply_changes(last, root, 1)
+    return R.per_file(stored(PO.search(spark, root, 1, stored(domain.symbol_queries(spark, sf_dir), "symbols")), "matches"))
 
 
 def index_cols() -> list:
@@ -288,6 +301,7 @@ QUERIES: dict[str, Query] = {
     "budget_status_as_of": budget_status_as_of,
     "budget_limits": budget_limits,
     "reference_words": reference_words,
+    "references_after_sync": references_after_sync,
     "knn_index_l2sq": _knn_index("l2sq"),
     "knn_index_cosine": _knn_index("cosine"),
     "knn_index_ip": _knn_index("ip"),

@@ -59,10 +59,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark -> symbol queries: every distinct word of five or more word characters; a symbol is
-    its own query id."""
+    """benchmark -> symbol queries: every distinct word; a symbol is its own query id."""
     b = read_table(spark, sf_dir, "benchmark")
-    return (b.select(F.explode(F.regexp_extract_all("text", F.lit(r"\w{5,}"), 0)).alias("symbol")).distinct()
+    return (b.select(F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), 0)).alias("symbol")).distinct()
             .select(F.col("symbol").alias("query_id"), "symbol"))
 
 

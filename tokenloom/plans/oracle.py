@@ -222,15 +222,11 @@ def py_strip(x: str) -> str:
     return f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 
 
-def display(x: str) -> str:
-    s = py_strip(x)
-    return f"(CASE WHEN length({s}) > 120 THEN substring({s}, 1, 117) || '...' ELSE {s} END)"
-
-
-REF_CTE = f"""
-{CORPUS_CTE.strip()},
+def ref_tail(files: str) -> str:
+    """Lines, symbols and matches over a table (path, content)."""
+    return f"""
 scanned AS (
-  SELECT path, {splitlines('content')} AS l FROM corpus
+  SELECT path, {splitlines('content')} AS l FROM {files}
   WHERE NOT list_has_any(string_split(path, '/'),
                          ['.git', 'node_modules', '__pycache__', 'venv', '.venv', 'dist', 'build'])
     AND lower(regexp_extract(string_split(path, '/')[-1], '(?s)^.+(\\.[^./]+)$', 1)) NOT IN
@@ -239,13 +235,16 @@ scanned AS (
 lines AS (
   SELECT path, CAST(generate_subscripts(l, 1) AS INTEGER) AS n, unnest(l) AS line FROM scanned
 ),
-syms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\w{{5,}}')) AS symbol FROM benchmark),
+syms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\w+')) AS symbol FROM benchmark),
 m AS (
   SELECT s.symbol AS query_id, s.symbol, l.path, l.n, l.line
   FROM lines l JOIN syms s ON contains(l.line, s.symbol)
 )
 """
 
+
+REF_CTE = f"{CORPUS_CTE.strip()},{ref_tail('corpus')}"
+
 ORACLE_SQL["reference_lines"] = f"""
 WITH {REF_CTE}
 SELECT query_id, path, n, {py_strip('line')} AS display, length({py_strip('line')}) > 120 AS is_long FROM m
@@ -276,18 +275,18 @@ runs AS (
   FROM files
 ),
 rows_out AS (
-  SELECT query_id, path, 0 AS n, 'File: ' || path AS text, excl <= 100 AS within_cap FROM runs
+  SELECT query_id, path, 0 AS n, 'File: ' || path AS text, false AS is_long, excl <= 100 AS within_cap FROM runs
   UNION ALL
-  SELECT m.query_id, m.path, m.n, printf('  Line %d: %s', m.n, {display('m.line')}) AS text, r.excl <= 100
+  SELECT m.query_id, m.path, m.n, printf('  Line %d: %s', m.n, {py_strip('m.line')}) AS text, length({py_strip('m.line')}) > 120, r.excl <= 100
   FROM m JOIN runs r ON m.query_id = r.query_id AND m.path = r.path
   UNION ALL
-  SELECT query_id, NULL, 0, '... [Too many results, truncated] ...', true
+  SELECT query_id, NULL, 0, '... [Too many results, truncated] ...', false, true
   FROM runs WHERE excl <= 100 GROUP BY query_id HAVING max(excl + c + 1) > 100
   UNION ALL
-  SELECT symbol, NULL, 0, printf('No references found for ''%s''.', symbol), true
+  SELECT symbol, NULL, 0, printf('No references found for ''%s''.', symbol), false, true
   FROM syms WHERE symbol NOT IN (SELECT query_id FROM files)
 )
-SELECT query_id, path, CAST(n AS INTEGER) AS n, text, {tokens('text')} AS tokens, within_cap FROM rows_out
+SELECT query_id, path, CAST(n AS INTEGER) AS n, text, {tokens('text')} AS tokens, is_long, within_cap FROM rows_out
 """
 
 # --- vector index and change feed ------------------------------------------------------------
@@ -334,6 +333,22 @@ last_change AS (
 )
 """
 
+PER_FILE = f"""
+SELECT query_id, path, COUNT(*) AS n_matches, CAST(min(n) AS INTEGER) AS first_line,
+       CAST(max(n) AS INTEGER) AS last_line,
+       CAST(SUM({tokens("printf('  Line %d: %s', n, " + py_strip('line') + ")")}) AS BIGINT) AS tokens
+FROM m GROUP BY query_id, path
+"""
+ORACLE_SQL["references_after_sync"] = f"""
+WITH {VEC_CTE.strip()},
+merged AS (
+  SELECT c.path, CASE WHEN l.path IS NULL THEN c.content WHEN l.op <> 'deleted' THEN l.content END AS content
+  FROM corpus c LEFT JOIN last_change l ON c.path = l.path
+),
+{ref_tail('merged').strip()}
+{PER_FILE}
+"""
+
 INDEX_OUT = ("project, doc_id, path, sha256(content) AS content_sha, CAST(COALESCE(label, -1) AS INTEGER) AS label, "
              "embedding IS NOT NULL AS has_embedding")
 

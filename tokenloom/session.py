@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +66,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows into the number of partitions that the session asks for (see INPUT_PARTITIONS)."""
     n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
     return df.repartition(int(n), *keys) if n else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back: computed once, with measured sizes and no lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
