@@ -91,11 +91,11 @@ def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str, word: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Matches of all symbols, written once: the files are scanned into a posting index, which is then searched."""
+    """Matches of all symbols: the files are scanned once into a posting index, which is then searched."""
     root = scratch(spark, "postings")
     PO.build(domain.corpus(spark, sf_dir), root)
     syms = stored(domain.symbol_queries(spark, sf_dir), "symbols")
-    return stored(PO.search(spark, root, 0, syms, word), "matches"), syms
+    return PO.search(spark, root, 0, syms, word, attach=R.shown_columns()), syms
 
 
 def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole answers with whole lines; what the search tool would show is a label."""
     m, syms = _matches(spark, sf_dir)
-    return R.result_rows(m, syms, cap=R.RESULT_CAP)
+    return R.result_rows(stored(m, "matches"), syms, cap=R.RESULT_CAP)
 
 
 def multi_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def references_after_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     PO.build(domain.corpus(spark, sf_dir), root)
     last = domain.change_texts(spark, sf_dir)(CH.latest_change(domain.change_keys(spark, sf_dir)))
     PO.apply_changes(last, root, 1)
-    return R.per_file(stored(PO.search(spark, root, 1, stored(domain.symbol_queries(spark, sf_dir), "symbols")), "matches"))
+    return R.per_file(PO.search(spark, root, 1, stored(domain.symbol_queries(spark, sf_dir), "symbols"), attach=R.shown_columns()))
 
 
 def index_cols() -> list:
