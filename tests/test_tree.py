@@ -45,3 +45,43 @@ def test_numbers_are_complete_on_many_paths(spark):
     order = [r.line.split("── ")[-1] for r in out.where("line_no > 0").orderBy("line_no").where(F.col("line").rlike("^[├└]")).collect()]
     assert order == sorted(order, key=str.lower)
     out.unpersist()
+
+
+def _locked(names):
+    """Entries of a folder, but for folders that may not be listed."""
+    def entries(fs, folder):
+        import pyarrow.fs as pafs
+
+        for name, error in names.items():
+            if folder.endswith(name):
+                raise error
+        return fs.get_file_info(pafs.FileSelector(folder))
+    return entries
+
+
+def test_status_of_folders_that_cannot_be_listed(spark, tmp_path):
+    from tokenloom.operators import tree
+    from tokenloom.sources import files
+
+    root = tmp_path / "site"
+    for name in ("b/locked/x.py", "b/open/y.py", "a.py", "node_modules/z.py", "gone/w.py", "B2/v.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1\n")
+    look = _locked({"/locked": PermissionError("no"), "/gone": FileNotFoundError("no")})
+    found = files.tree_entries(spark, str(root), entries=look)
+    status = {(r.path, r.status) for r in found.where("status <> 'ok'").collect()}
+    assert status == {("b/locked", "denied"), ("gone", "missing")}
+    assert sorted(r.path for r in files.list_tree(spark, str(root), entries=look).collect()) == ["B2/v.py", "a.py", "b/open/y.py", "node_modules/z.py"]
+    rows = [r.line for r in tree.listing_of(found, "site").orderBy("line_no").collect()]
+    assert rows == ["site/", "├── b", "│   ├── locked", "│   │   └── [Permission Denied]", "│   └── open", "│       └── y.py",
+                    "├── B2", "│   └── v.py", "├── gone", "└── a.py"]
+
+
+def test_roots_that_cannot_be_listed(spark, tmp_path):
+    from tokenloom.operators import tree
+    from tokenloom.sources import files
+
+    bad = files.tree_entries(spark, str(tmp_path / "nothing"))
+    assert [tuple(r) for r in tree.listing_of(bad, "nothing").collect()] == [(0, "# Error: nothing is not a valid directory.")]
+    shut = files.tree_entries(spark, str(tmp_path), entries=_locked({str(tmp_path): PermissionError("no")}))
+    assert [r.line for r in tree.listing_of(shut, "shut").orderBy("line_no").collect()] == ["shut/", "└── [Permission Denied]"]

@@ -23,6 +23,8 @@ BRANCH = "├── "
 LAST_BRANCH = "└── "
 PIPE_INDENT = "│   "
 BLANK_INDENT = "    "
+DENIED = "[Permission Denied]"
+BAD_ROOT = "# Error: %s is not a valid directory."
 # ---------------------------------------------------------------------------------------
 
 
@@ -109,3 +111,17 @@ def listing(paths: DataFrame, root_name: str, ignore: Sequence[str] = P.TREE_IGN
     root = paths.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"),
                                               F.lit(root_name + "/").alias("line"))
     return root.unionByName(numbered.select("line_no", "line"))
+
+
+def listing_of(entries: DataFrame, root_name: str, ignore: Sequence[str] = P.TREE_IGNORE_DIRS) -> DataFrame:
+    """The listing of a scan with its status rows (``sources.files.tree_entries``): a folder without permission has one
+    row below it that says so, and a root that is no folder gives that error alone.
+
+    The status travels as a child of the folder, so it is sorted, indented and numbered with the other rows.
+    """
+    marked = entries.where("status = 'denied'").select(F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), F.lit(DENIED)).alias("path"),
+                                                       F.lit(False).alias("is_dir"))
+    paths = entries.where("status = 'ok'").select("path", "is_dir").unionByName(marked)
+    if not entries.where("path = '' and status = 'missing'").isEmpty():
+        return entries.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"), F.lit(BAD_ROOT % root_name).alias("line"))
+    return listing(paths, root_name, ignore)

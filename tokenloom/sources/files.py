@@ -27,36 +27,63 @@ def _open(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), root
 
 
-def list_tree(spark: SparkSession, root: str, enter: Callable[[Column], Column] | None = None) -> DataFrame:
+def entries(fs: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
+    """What lies directly in a folder."""
+    return fs.get_file_info(pafs.FileSelector(folder))
+
+
+def list_tree(spark: SparkSession, root: str, enter: Callable[[Column], Column] | None = None,
+              entries: Callable[[pafs.FileSystem, str], list[pafs.FileInfo]] = entries) -> DataFrame:
     """(path, length) of every regular file below ``root``, paths relative to it. Folders for which
-    ``enter(path)`` is false are not listed."""
+    ``enter(path)`` is false are not listed; a folder that cannot be listed has no files (see ``tree_entries``)."""
+    return tree_entries(spark, root, enter, entries).where("not is_dir and status = 'ok'").select("path", "length")
+
+
+def tree_entries(spark: SparkSession, root: str, enter: Callable[[Column], Column] | None = None,
+                 entries: Callable[[pafs.FileSystem, str], list[pafs.FileInfo]] = entries) -> DataFrame:
+    """(path, is_dir, length, status) of every file and folder below ``root``, and of folders that could not be listed.
+
+    The scan goes on past such a folder: it has a second row with the status ``denied`` (no permission), ``missing`` (gone since
+    its parent was listed, or not a folder) or ``unreadable``; the root's own row has an empty path.
+    """
     root = root.rstrip("/")
     checkpoint_dir(spark)
+    schema = "path string, is_dir boolean, length bigint, status string"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         for b in batches:
             for folder in b.column("path").to_pylist():
                 at = f"{base}/{folder}" if folder else base
-                found = fs.get_file_info(pafs.FileSelector(at))
+                try:
+                    found, failed = entries(fs, at), None
+                except PermissionError:
+                    found, failed = [], "denied"
+                except (FileNotFoundError, NotADirectoryError):
+                    found, failed = [], "missing"
+                except OSError:
+                    found, failed = [], "unreadable"
+                if failed:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([folder]), "is_dir": pa.array([True]), "length": pa.array([0], pa.int64()),
+                                                      "status": pa.array([failed])})
                 for i in range(0, len(found), 10_000):
                     part = found[i:i + 10_000]
                     yield pa.RecordBatch.from_pydict({
                         "path": pa.array([f"{folder}/{f.base_name}" if folder else f.base_name for f in part], pa.string()),
                         "is_dir": pa.array([f.type == pafs.FileType.Directory for f in part], pa.bool_()),
-                        "length": pa.array([f.size or 0 for f in part], pa.int64())})
+                        "length": pa.array([f.size or 0 for f in part], pa.int64()),
+                        "status": pa.array(["ok"] * len(part), pa.string())})
 
-    level, files = spark.range(1).select(F.lit("").alias("path")), None
+    level, out = spark.range(1).select(F.lit("").alias("path")), None
     n = spark.sparkContext.defaultParallelism
     while True:
-        found = level.repartition(n, "path").mapInArrow(look, "path string, is_dir boolean, length bigint").checkpoint()
-        here = found.filter("not is_dir").select("path", "length")
-        files = here if files is None else files.unionByName(here)
-        level = found.filter("is_dir").select("path")
+        found = level.repartition(n, "path").mapInArrow(look, schema).checkpoint()
+        out = found if out is None else out.unionByName(found)
+        level = found.filter("is_dir and status = 'ok'").select("path")
         if enter is not None:
             level = level.filter(enter(F.col("path")))
         if level.isEmpty():
-            return files
+            return out
 
 
 def read_tree(spark: SparkSession, root: str, keep: Callable[[Column], Column] | None = None,
