@@ -92,3 +92,29 @@ def test_admission_stream_equals_batch(spark):
         want = {r.event_id: (r.used_before, r.admitted) for r in
                 ledger.admission(domain.usage(spark, SF001), limit, scope, exempt_sources=exempt).collect()}
         assert got == want and len(got) == 1000
+
+
+def test_late_rows_are_kept_and_merged(spark, tmp_path):
+    """Usage in shuffled files, one a batch: closed days, open days and late rows together are the batch totals."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tokenloom.streaming import jobs
+
+    rng = random.Random(3)
+    rows = [(i, f"2024-01-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:00:00", rng.randint(-5, 90)) for i in range(400)]
+    for k in range(4):
+        part = spark.createDataFrame(rows[100 * k:100 * k + 100], "event_id long, ts string, tokens long").withColumn("ts", F.col("ts").cast("timestamp"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp, tokens long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    root = str(tmp_path / "out")
+    jobs.start_daily_usage(stream, root, str(tmp_path / "check"), trigger_once=True).awaitTermination()
+    got = {str(r.day): (r.tokens_used, r.requests) for r in jobs.daily_usage(spark, root, 4).collect()}
+    want = {}
+    for _, ts, tokens in rows:
+        if tokens > 0:
+            used, n = want.get(ts[:10], (0, 0))
+            want[ts[:10]] = (used + tokens, n + 1)
+    assert got == want
+    assert jobs.daily_usage(spark, root, 4).agg(F.sum("late_tokens")).first()[0] > 0
+    assert spark.read.parquet(f"{root}/open/v000000004").count() <= 3                 # a batch rewrites open days only

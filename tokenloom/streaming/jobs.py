@@ -5,6 +5,8 @@
   per bucket says which version counts; batch ``b`` reads manifest ``b`` and writes manifest ``b + 1`` last, so a
   replayed batch rewrites the same folders.
 * ``daily_usage_stream``: tumbling UTC-day totals with a one-day watermark.
+* ``start_daily_usage``: the same totals with nothing lost: rows for days that the watermark has closed go to a side table,
+  and ``daily_usage`` merges closed days, open days and late rows. A batch rewrites the open days only.
 * ``start_admission``: the order-aware gate as ``foreachBatch``: the batch job's prefix sums on top of a small
   table of totals per (scope, day), versioned like the index. No request is too late for a decision.
 """
@@ -98,6 +100,53 @@ def daily_usage_stream(usage_stream: DataFrame, watermark: str = "1 day") -> Dat
             .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "tokens_used", "requests"))
 
 
+TOTALS = "day date, tokens_used bigint, requests bigint"
+
+
+def start_daily_usage(usage_stream: DataFrame, root: str, checkpoint: str, delay_days: int = 1, trigger_once: bool = False):
+    """Recorded tokens per UTC day below ``root``. Batch ``b`` reads the open days of version ``b`` and writes those of
+    ``b + 1``; days that end ``delay_days`` or more before the latest moment seen are closed and written once (``closed/batch=b``). Rows
+    for a day that an earlier batch closed are summed up in ``late/batch=b``. A replayed batch rewrites its own folders."""
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where("tokens > 0 and ts is not null").select(F.to_date("ts").alias("day"), "tokens", "ts")
+        old, mark = spark.createDataFrame([], TOTALS), None
+        if batch_id:
+            old = spark.read.schema(TOTALS).parquet(f"{root}/open/v{batch_id:09d}")
+            mark = spark.read.schema("mark date").parquet(f"{root}/mark/v{batch_id:09d}").first()["mark"]
+        end = F.date_add("day", 1 + delay_days)                         # the last day on which a row is in time
+        late = (end <= F.lit(mark)) if mark is not None else F.lit(False)
+        sums = rows.groupBy("day").agg(F.sum("tokens").alias("tokens_used"), F.count(F.lit(1)).alias("requests"), F.max("day").alias("seen"))
+        sums = sums.withColumn("late", late).persist()                  # one row a day
+        try:
+            seen = [d for d in (mark, sums.agg(F.max("seen")).first()[0]) if d is not None]
+            now = max(seen) if seen else None
+            columns = [c.split()[0] for c in TOTALS.split(", ")]
+            sums.where("late").select(*columns).write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+            days = old.unionByName(sums.where("not late").select(*columns)).groupBy("day").agg(
+                F.sum("tokens_used").cast("bigint").alias("tokens_used"), F.sum("requests").cast("bigint").alias("requests"))
+            shut = (end <= F.lit(now)) if now is not None else F.lit(False)
+            days.where(shut).write.mode("overwrite").parquet(f"{root}/closed/batch={batch_id}")
+            days.where(~shut).write.mode("overwrite").parquet(f"{root}/open/v{batch_id + 1:09d}")
+            spark.createDataFrame([(now,)], "mark date").write.mode("overwrite").parquet(f"{root}/mark/v{batch_id + 1:09d}")
+        finally:
+            sums.unpersist()
+
+    w = usage_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 second")
+    return w.start()
+
+
+def daily_usage(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """(day, tokens_used, requests, late_tokens) after the first ``version`` batches."""
+    def past(part: str) -> DataFrame:
+        return spark.read.schema(TOTALS + ", batch int").parquet(f"{root}/{part}").where(F.col("batch") < version).drop("batch")
+
+    on_time = past("closed").unionByName(spark.read.schema(TOTALS).parquet(f"{root}/open/v{version:09d}")).withColumn("late_tokens", F.lit(0))
+    return on_time.unionByName(past("late").withColumn("late_tokens", F.col("tokens_used"))).groupBy("day").agg(
+        *(F.sum(c).cast("bigint").alias(c) for c in ("tokens_used", "requests", "late_tokens")))
+
+
 # ----------------------------------------------------------------------------- admission gate
 
 
