@@ -104,3 +104,14 @@ def test_index_modes_and_count(spark):
     assert up == {"a.py": ("x = 1", [5.0]), "gone.py": ("z", None)}
     assert {r.path for r in C.index_files(old, scan, mode="sync").collect()} == {"a.py"}
     assert tuple(C.indexed_count(scan).first()) == (1, 1, 1)
+
+
+def test_counts_are_taken_on_the_write(spark, tmp_path):
+    from tokenloom.operators import corpus as C
+
+    rows = [("a.py", "x", "ok"), ("b/c.md", "y", "ok"), ("d.png", "z", "ok"), ("node_modules/e.py", "x", "ok"), ("f.txt", None, "undecodable")]
+    scan = spark.createDataFrame(rows, "path string, content string, status string").repartition(3)
+    got = C.write_index_rows(scan, str(tmp_path / "rows"))
+    assert got == C.indexed_count(scan).first().asDict() == {"indexed": 2, "unreadable": 1, "skipped": 2}
+    assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["a.py", "b/c.md"]
+    assert C.write_index_rows(scan.limit(0), str(tmp_path / "none")) == {"indexed": 0, "unreadable": 0, "skipped": 0}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tokenloom.functions import paths as P
@@ -99,8 +99,21 @@ def index_files(current: DataFrame, corpus: DataFrame, mode: str = "upsert", pro
     return current.join(batch.select("doc_id"), "doc_id", "left_anti").unionByName(batch)
 
 
-def indexed_count(corpus: DataFrame) -> DataFrame:
-    """How many files of a scan are indexed, and how many are left out by path or as unreadable."""
+def _counts() -> list[Column]:
     fits, ok = indexable("path"), F.col("status") == "ok"
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
-    return corpus.agg(n(fits & ok).alias("indexed"), n(fits & ~ok).alias("unreadable"), n(~fits).alias("skipped"))
+    return [n(fits & ok).alias("indexed"), n(fits & ~ok).alias("unreadable"), n(~fits).alias("skipped")]
+
+
+def indexed_count(corpus: DataFrame) -> DataFrame:
+    """How many files of a scan are indexed, and how many are left out by path or as unreadable."""
+    return corpus.agg(*_counts())
+
+
+def write_index_rows(corpus: DataFrame, path: str, project: Column | str | None = None, embed=None) -> dict[str, int]:
+    """Write the index rows of a scan and return the counts of ``indexed_count``, taken while the scan is written:
+    files are read once."""
+    seen = Observation()
+    rows = index_rows(corpus.observe(seen, *_counts()).filter(indexable("path")), project, embed)
+    rows.write.mode("overwrite").parquet(path)
+    return seen.get
