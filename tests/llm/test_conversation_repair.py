@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from tests.llm.small import tables
+from small import tables
 from tokenloom.llm import conversation_repair as cr
 from tokenloom.llm import queries
 

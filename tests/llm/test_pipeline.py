@@ -8,7 +8,7 @@ from small import corpus, frame, tables
 from test_decontaminate import brute as hits
 from test_jaccard_join import brute as links
 from test_jaccard_join import near_group
-from test_line_dedup import brute as deduped
+from test_line_dedup import kept as deduped
 
 
 def test_stages_against_plain_python(spark, tmp_path):
