@@ -77,6 +77,47 @@ def test_limits_on_one_shared_total(spark):
             used[ts.date()] = u + n
 
 
+def shared_loop(rows, own, default):
+    """Check and record, one request after another, on one total a day."""
+    used, out = {}, {}
+    for i, ts, n, p, src in sorted(rows, key=lambda r: (r[1], r[0])):
+        u = used.get(ts.date(), 0)
+        ok = src == "map" or u < own.get(p, default)
+        out[i] = (u, ok)
+        if ok and src != "map" and (n or 0) > 0:
+            used[ts.date()] = u + n
+    return out
+
+
+def test_many_limits_take_as_many_jobs_as_few(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(11)
+    jobs = {}
+    for n_limits, n_rows, seconds in [(3, 400, 600), (10_000, 6_000, 60), (40, 2_000, 1), (40, 2_000, 86_400)]:
+        own = {f"p{k}": rng.randrange(-1, 20_000) for k in range(n_limits)}
+        t0 = dt.datetime(2024, 1, 1)
+        rows = [(i, t0 + dt.timedelta(seconds=rng.randrange(3 * 86_400)), rng.choice([-3, None, 0, 1, 5, 20, 60, 700]), f"p{rng.randrange(n_limits + 2)}",
+                 rng.choice(["x", "y", "z", "map"])) for i in range(n_rows)]
+        df = ledger.as_usage(spark.createDataFrame(rows, "event_id long, ts timestamp, tokens long, project string, source string"))
+        limits = spark.createDataFrame(list(own.items()), "project string, daily_limit long")
+        group = f"limits-{n_limits}-{seconds}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.event_id: (r.used_before, r.admitted) for r in
+               ledger.admission_shared(df, limits, default_limit=450, bucket_seconds=seconds, exempt_sources=["map"]).collect()}
+        jobs[n_limits, seconds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        assert got == shared_loop(rows, own, 450)
+    assert jobs[10_000, 60] <= jobs[3, 600] + 2, jobs      # adaptive execution may split a stage off
+
+
+def test_limits_on_a_shared_total_without_rows(spark):
+    df = ledger.as_usage(spark.createDataFrame([], "event_id long, ts timestamp, tokens long, project string, source string"))
+    limits = spark.createDataFrame([], "project string, daily_limit long")
+    assert ledger.admission_shared(df, limits).count() == 0
+
+
 def test_status_as_of_now_and_a_past_moment(spark):
     df = ledger.as_usage(spark.sql("select 1L as event_id, timestamp'2024-01-02 10:00:00' as ts, 30L as tokens, 'p' as project union all "
                                    "select 2L, timestamp'2024-01-02 12:00:00', 50L, 'q'"))

@@ -8,12 +8,13 @@ that one busy day or project never lands in a single window partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.session import checkpoint_dir
+from tokenloom.session import stored
 
 # ---------------------------------------------------------------------------------------
 # Fixed values
@@ -187,44 +188,114 @@ def admission(requests: DataFrame, limit=5_000, scope: Sequence[str] = (),
     )
 
 
+def _mark_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a (day, bucket) from its (limit, sum, largest) rows in ascending order: the least total at its start, whether a limit of
+    the bucket may be passed inside it (``limits`` names those), and the sum that surely counts where none is."""
+    day, low, high = None, 0, 0
+    bucket, classes = None, []
+
+    def close() -> dict:
+        nonlocal low, high
+        open_ = [c for c in classes if c[0] > low]
+        top = high
+        if open_:      # whoever is admitted last stood below its limit
+            top = min(high + sum(c[1] for c in open_), max(high, max(c[0] - 1 + c[2] for c in open_)))
+        between = [c[0] for c in open_ if c[0] <= top]
+        sure = sum(c[1] for c in open_ if c[0] > top)
+        out = {"day": day, "bucket": bucket, "low": low, "limits": between, "sure": sure}
+        least, rest = low + sure, sum(c[1] for c in open_)
+        for limit, total, _ in open_:      # the total reaches the limit, or all requests of at least this limit count
+            least = max(least, min(limit, low + rest))
+            rest -= total
+        low, high = least, top
+        return out
+
+    for b in batches:
+        out = []
+        for d, k, limit, total, largest in zip(*(b.column(c).to_pylist() for c in ("day", "bucket", "limit", "total", "largest"))):
+            if (d, k) != (day, bucket):
+                if bucket is not None:
+                    out.append(close())
+                if d != day:
+                    low = high = 0
+                day, bucket, classes = d, k, []
+            classes.append((limit, total, largest))
+        yield pa.RecordBatch.from_pylist(out, _MARKS_ARROW)
+    if bucket is not None:
+        yield pa.RecordBatch.from_pylist([close()], _MARKS_ARROW)
+
+
+def _walk_day(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact total at the start of every bucket (a row without a limit), and the request that passes a limit inside a bucket."""
+    day, used, pending = None, 0, []
+    for b in batches:
+        out = []
+        for d, k, limits, sure, at, event, limit, t in zip(*(b.column(c).to_pylist() for c in
+                                                             ("day", "bucket", "limits", "sure", "at", "event_id", "limit", "t"))):
+            if limits is not None:
+                used = used if d == day else 0
+                day, pending = d, limits[::-1]
+                while pending and pending[-1] <= used:
+                    pending.pop()
+                out.append({"day": d, "bucket": k, "limit": None, "at": None, "event_id": None, "used": used})
+                # with limits in reach the requests follow one by one, those that surely count included
+                used += 0 if limits else sure
+            elif used < limit:
+                used += t
+                while pending and pending[-1] <= used:
+                    out.append({"day": d, "bucket": k, "limit": pending.pop(), "at": at, "event_id": event, "used": used})
+        yield pa.RecordBatch.from_pylist(out, _POINTS_ARROW)
+
+
+_MARKS_ARROW = pa.schema([("day", pa.date32()), ("bucket", pa.int64()), ("low", pa.int64()), ("limits", pa.list_(pa.int64())), ("sure", pa.int64())])
+_MARKS = "day date, bucket bigint, low bigint, limits array<bigint>, sure bigint"
+_POINTS_ARROW = pa.schema([("day", pa.date32()), *((c, pa.int64()) for c in ("bucket", "limit", "at", "event_id", "used"))])
+_POINTS = "day date, bucket bigint, limit bigint, at bigint, event_id bigint, used bigint"
+
+
 def admission_shared(requests: DataFrame, limits: DataFrame, by: str = "project", default_limit: int = DEFAULT_DAILY_LIMIT,
                      bucket_seconds: int = 60, exempt_sources: Sequence[str] = ()) -> DataFrame:
     """Admission where every project has its own limit (``by``, daily_limit) on one shared daily total.
 
-    A request that a small limit blocks must not count against a larger one, so one prefix sum does not do.
-    The shared total never falls, so it passes the limits in ascending order: in round k only projects with
-    at least the k-th limit are still admitted, and a prefix sum over their requests from the point where the
-    (k-1)-th limit was passed finds where the k-th is. A request is admitted up to and including the
-    point at which its own limit is passed. There is one round per distinct limit.
+    A request that a small limit blocks must not count against a larger one, so one prefix sum does not do. The
+    shared total never falls, and a day passes each limit once, so nearly all time buckets pass none: there the requests
+    of the limits above the total count, and a sum a bucket says all. Three passes, whatever the number of limits:
+
+    1. sums by (day, bucket, limit), walked in order with a lower and an upper bound of the total, tell the buckets inside
+       which a limit may be passed;
+    2. the other buckets' sums and those buckets' requests (without those of limits passed before), in order, give the exact total at
+       each bucket's start and the request that passes a limit;
+    3. every request is judged and its total before it summed inside its bucket.
+
+    The first two walk a day in one task, in sorted batches: it holds a bucket's limits, and reads buckets times
+    limits rows and the requests of the marked buckets. The third is dealt out by (day, bucket). ``event_id`` is unique; a request without a
+    time has no day and is left out; null, zero and negative tokens count 0.
     """
     own = limits.groupBy(by).agg(F.min("daily_limit").cast("bigint").alias("_own"))
     t, exempt = _counted(exempt_sources)
-    rows = requests.withColumn("_t", t).withColumn("_exempt", exempt).join(own, by, "left") \
-        .withColumn("_lim", F.coalesce("_own", F.lit(default_limit).cast("bigint"))).drop("_own")
-    levels = sorted(r[0] for r in rows.select("_lim").distinct().collect())       # distinct limits
-    place = F.struct("ts", "event_id")
-    checkpoint_dir(rows.sparkSession)
-    # per day: where the last limit was passed and the total then; null place: from the day's start
-    state = rows.select("day").distinct().select("day", F.lit(None).cast(rows.select(place.alias("p")).schema["p"].dataType).alias("_at"),
-                                                 F.lit(0).cast("bigint").alias("_used"))
-    passed = None
-    for level in levels:
-        open_ = rows.where((F.col("_lim") >= level) & ~F.col("_exempt")).join(state, "day").where(F.col("_at").isNull() | (place > F.col("_at")))
-        sums = _prefix_sums(open_.withColumn("_place", place), ["day"], "_t", "_before", bucket_seconds)
-        total = F.col("_used") + F.col("_before") + F.col("_t")
-        hit = sums.where(total >= level).groupBy("day").agg(F.min(F.struct(F.col("_place").alias("at"), total.alias("used"))).alias("h"))
-        # a total that is already past this limit passes it at the same point; at a limit of 0 at the start
-        now = state.join(hit, "day", "left")
-        done = F.col("_used") >= level
-        state = now.select("day", F.when(done, F.col("_at")).otherwise(F.col("h.at")).alias("_at"),
-                           F.when(done, F.col("_used")).otherwise(F.col("h.used")).alias("_used"),
-                           (done | F.col("h").isNotNull()).alias("_passed")).where("_passed").drop("_passed").checkpoint()
-        here = state.select("day", F.lit(level).alias("_lim"), F.col("_at").alias("_end"), F.lit(True).alias("_ends"))
-        passed = here if passed is None else passed.unionByName(here)
-    rows = rows.join(passed, ["day", "_lim"], "left") if passed is not None else rows.withColumns({"_end": F.lit(None), "_ends": F.lit(None)})
-    rows = rows.withColumn("admitted", F.col("_exempt") | F.col("_ends").isNull() | F.coalesce(place <= F.col("_end"), F.lit(False)))
-    out = _prefix_sums(rows.withColumn("_a", F.when(F.col("admitted"), F.col("_t")).otherwise(F.lit(0).cast("bigint"))), ["day"], "_a", "used_before",
-                       bucket_seconds)
+    rows = (requests.where(F.col("day").isNotNull()).withColumns({"_t": t, "_exempt": exempt}).join(own, by, "left")
+            .withColumn("_lim", F.coalesce("_own", F.lit(default_limit).cast("bigint"))).drop("_own")
+            .withColumn("_bucket", F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).cast("bigint")))
+    # exempt requests stand under a limit of 0, which never counts, so that their buckets have a start too
+    judged = rows.select("day", F.col("_bucket").alias("bucket"), F.when(F.col("_exempt"), F.lit(0)).otherwise(F.col("_lim")).cast("bigint").alias("limit"),
+                         F.unix_micros("ts").alias("at"), "event_id", F.col("_t").alias("t"))
+    sums = judged.groupBy("day", "bucket", "limit").agg(F.sum("t").alias("total"), F.max("t").alias("largest"))
+    marks = stored(sums.repartition("day").sortWithinPartitions("day", "bucket", "limit").mapInArrow(_mark_buckets, _MARKS), "marks")
+
+    near = marks.where(F.size("limits") > 0).select("day", "bucket", "low")
+    close = judged.where("t > 0").join(near, ["day", "bucket"]).where("`limit` > low").drop("low")
+    stops = marks.select("day", "bucket", "limits", "sure").unionByName(close, allowMissingColumns=True)
+    points = stored(stops.repartition("day").sortWithinPartitions("day", "bucket", F.col("at").asc_nulls_first(), "event_id")
+                    .select("day", "bucket", "limits", "sure", "at", "event_id", "limit", "t").mapInArrow(_walk_day, _POINTS), "points")
+
+    starts = points.where("`limit` is null").select("day", F.col("bucket").alias("_bucket"), F.col("used").alias("_start"))
+    passed = points.where("`limit` is not null").select("day", F.col("bucket").alias("_bucket"), F.col("limit").alias("_lim"),
+                                                        F.struct("at", "event_id").alias("_end"))
+    open_ = (F.col("_lim") > F.col("_start")) & F.coalesce(F.struct(F.unix_micros("ts").alias("at"), "event_id") <= F.col("_end"), F.lit(True))
+    earlier = Window.partitionBy("day", "_bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.sum(F.when(F.col("admitted"), F.col("_t")).otherwise(F.lit(0).cast("bigint"))).over(earlier)
+    out = (rows.join(starts, ["day", "_bucket"]).join(passed, ["day", "_bucket", "_lim"], "left").withColumn("admitted", F.col("_exempt") | open_)
+           .withColumn("used_before", (F.col("_start") + F.coalesce(inside, F.lit(0))).cast("bigint")))
     return out.select("event_id", by, F.date_format("day", "yyyy-MM-dd").alias("day"), "tokens", "used_before",
                       F.col("_lim").alias("daily_limit"), "admitted")
 
