@@ -115,3 +115,51 @@ def test_counts_are_taken_on_the_write(spark, tmp_path):
     assert got == C.indexed_count(scan).first().asDict() == {"indexed": 2, "unreadable": 1, "skipped": 2}
     assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == ["a.py", "b/c.md"]
     assert C.write_index_rows(scan.limit(0), str(tmp_path / "none")) == {"indexed": 0, "unreadable": 0, "skipped": 0}
+
+
+def test_files_of_any_size_have_a_digest(spark):
+    import hashlib
+
+    root = _tree()
+    big = bytes(range(256)) * 20_000 + b"end"
+    for name, data in (("src/big.py", big), ("src/edge.py", b"x" * 4096), ("src/over.py", b"x" * 4097)):
+        with open(f"{root}/{name}", "wb") as fh:
+            fh.write(data)
+    os.chmod(f"{root}/README.md", 0o000)
+    hashed = {r.path: (r.length, r.content_sha, r.status) for r in files.hash_tree(spark, root).collect()}
+    locked = not os.access(f"{root}/README.md", os.R_OK)
+    for path, (n, sha, status) in hashed.items():
+        if path == "README.md" and locked:
+            assert (n, sha, status) == (None, None, "unreadable")
+            continue
+        with open(f"{root}/{path}", "rb") as fh:
+            data = fh.read()
+        assert (n, sha, status) == (len(data), hashlib.sha256(data).hexdigest(), "ok")
+    assert hashed["pkg/__init__.py"][0] == 0 and len(hashed) == 17
+    got = {r.path: r for r in files.read_tree(spark, root, keep=C.indexable, max_bytes=4096).collect()}
+    assert got["src/edge.py"].status == "ok" and len(got["src/edge.py"].content) == 4096
+    for name in ("src/big.py", "src/over.py"):
+        assert (got[name].status, got[name].content, got[name].content_sha) == ("oversize", None, hashed[name][1])
+    assert {r.path for r in C.index_rows(files.read_tree(spark, root, max_bytes=4096)).collect()}.isdisjoint({"src/big.py", "src/over.py"})
+    parts = files.read_chunks(spark, root, keep=C.indexable, over=4096, chunk_bytes=1_000_000)
+    rows = sorted(parts.collect(), key=lambda r: (r.path, r.chunk))
+    assert [(r.path, r.chunk, len(r.raw)) for r in rows] == [("src/big.py", i, min(1_000_000, len(big) - i * 1_000_000)) for i in range(6)] + \
+        [("src/over.py", 0, 4097)]
+    assert b"".join(r.raw for r in rows if r.path == "src/big.py") == big
+    assert files.read_chunks(spark, root, over=len(big)).count() == 0
+
+
+def test_the_digest_holds_one_block():
+    import hashlib
+    import io
+
+    asked = []
+
+    class Blocks(io.BytesIO):
+        def read(self, n=-1):
+            asked.append(n)
+            return super().read(n)
+
+    data = b"a" * (3 * files.BLOCK + 5)
+    assert files._stream(Blocks(data), 10) == (None, len(data), hashlib.sha256(data).hexdigest())
+    assert set(asked) == {files.BLOCK} and files._stream(Blocks(b""), 0) == (b"", 0, hashlib.sha256(b"").hexdigest())
