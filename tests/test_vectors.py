@@ -70,3 +70,26 @@ def test_repeated_key_needs_an_order(spark):
     assert {r.content for r in V.upsert(cur, batch, "v").collect()} == {"old", "two"}
     with pytest.raises(Exception, match="repeated key"):
         V.upsert(cur, batch).collect()
+
+
+def test_hits_show_todays_view_or_the_stored_text(spark):
+    """Keys with a path, without one (short, long, null content), and with a path whose file is gone."""
+    long = "word " * 200
+    rows = [("a", "src/a.py", "old text of a", [0.0, 0.0]), ("b", None, "note of b", [1.0, 0.0]), ("c", None, long, [2.0, 0.0]),
+            ("d", "src/gone.py", "old text of d", [3.0, 0.0]), ("e", None, None, [4.0, 0.0]), ("f", "src/a.py", "another key of a", [5.0, 0.0]),
+            ("g", None, "far away", [900.0, 0.0])]
+    index = spark.createDataFrame(rows, "doc_id string, path string, content string, embedding array<double>")
+    queries = spark.createDataFrame([(7, [0.0, 0.0]), (8, [5.0, 0.0])], "query_id long, embedding array<double>")
+    hits = V.knn_batch(index, queries, 6)
+    views = spark.createDataFrame([("src/a.py", "def f(): ...", "py_outline", 6), ("src/other.py", "x", "stripped", 1)],
+                                  "path string, text string, stage string, tokens long")
+    got = {(r.query_id, r.doc_id): r for r in V.retrieve(hits, index, views).collect()}
+    assert len(got) == 12 and "g" not in {k for _, k in got}
+    want = {"a": ("def f(): ...", "py_outline", 6, False), "b": ("note of b", "snippet", 0, False), "c": (long, "snippet", 0, True),
+            "d": (None, "missing", 0, False), "e": (None, "snippet", 0, False), "f": ("def f(): ...", "py_outline", 6, False)}
+    for (_, key), r in got.items():
+        assert (r.text, r.stage, r.tokens, r.is_long) == want[key] and r.query_tokens == 12
+    assert [got[7, k].rank for k in "abcdef"] == [1, 2, 3, 4, 5, 6] and [got[7, k].within_max for k in "ef"] == [True, False]
+    cut = {r.doc_id: r.text for r in V.retrieve(hits, index, views, 500).collect()}
+    assert cut["c"] == long[:500] + "\n...[Content Truncated]" and cut["b"] == "note of b" and cut["a"] == "def f(): ..."
+    assert V.retrieve(hits.limit(0), index, views).count() == 0

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenloom.functions import text as X
+
 # ---------------------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------------------
@@ -159,6 +161,28 @@ def knn_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric:
                     F.round("_d", 6).alias("distance")))
 
 
+def retrieve(hits: DataFrame, index: DataFrame, views: DataFrame, limit: int | None = None) -> DataFrame:
+    """The hits (query_id, rank, doc_id, path, ...) with text, stage, tokens, is_long, query_tokens and within_max.
+
+    A hit with a path shows its file's view of today (``views``: path, text, stage, tokens; null text, stage ``missing`` and 0 tokens
+    where the file is gone). A hit without a path shows the content stored with its key in the ``index``, whole or
+    with a ``limit`` cut to it; such a text counts 0 tokens. ``is_long`` tells stored texts that the search tool would cut. A hit
+    whose key is gone from the index has a null text. Texts are fetched for the hits only, each from one place.
+    """
+    found, bare = F.col("path").isNotNull(), hits.where("path is null").select("doc_id").distinct()
+    stored = (index.join(bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("content").alias("_stored")))
+    seen = views.join(hits.where(found).select("path").distinct(), "path", "left_semi").select(
+        "path", F.col("text").alias("_view"), F.col("stage").alias("_stage"), F.col("tokens").alias("_tokens"))
+    own = [F.col(c) for c in hits.columns]
+    j = (hits.join(seen, "path", "left").join(stored.withColumnRenamed("doc_id", "_id"), ~found & (F.col("doc_id") == F.col("_id")), "left"))
+    out = j.select(*own, F.when(found, F.col("_view")).otherwise(X.snippet("_stored", "path", limit)).alias("text"),
+                   F.when(found, F.coalesce("_stage", F.lit("missing"))).otherwise(F.lit("snippet")).alias("stage"),
+                   F.when(found, F.coalesce("_tokens", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("tokens"),
+                   (~found & F.coalesce(F.length("_stored") > X.SNIPPET_MAX, F.lit(False))).alias("is_long"),
+                   (F.col("rank") <= MAX_K).alias("within_max"))
+    return out.withColumn("query_tokens", F.sum("tokens").over(Window.partitionBy("query_id")).cast("bigint"))
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """Mean vector per ``key`` — dimension-wise partial/final aggregation (no collect per group)."""
     exploded = vectors.select(key, F.posexplode("embedding").alias("i", "x"))

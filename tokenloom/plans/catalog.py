@@ -244,19 +244,12 @@ def knn_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     vec = domain.vector_keys(spark, sf_dir)
     queries = V.centroids(vec, "label").withColumnRenamed("label", "query_id")
     hits = V.knn_batch(vec, queries, RETRIEVAL_K)
-    files = domain.corpus(spark, sf_dir).join(hits.select("path").distinct(), "path", "left_semi")
-    j = hits.join(O.reduced_view(files).drop("balanced"), "path", "left")
-    found = F.col("path").isNotNull()
-    out = j.select("query_id", "rank", "doc_id", "path", F.coalesce("stage", F.lit("snippet")).alias("stage"),
-                   F.sha2(F.when(found, F.col("text")), 256).alias("content_sha"),
-                   F.when(found, F.col("tokens")).otherwise(F.lit(0)).cast("bigint").alias("tokens"),
-                   (F.col("rank") <= V.MAX_K).alias("within_max"))
-    return out.withColumn("query_tokens", F.sum("tokens").over(Window.partitionBy("query_id")).cast("bigint"))
+    files = domain.corpus(spark, sf_dir).join(hits.select("path").distinct(), "path", "left_semi")     # before the views are made
+    out = V.retrieve(hits, domain.vectors(spark, sf_dir), O.reduced_view(files))
+    return out.select("query_id", "rank", "doc_id", "path", "stage", F.sha2("text", 256).alias("content_sha"), "tokens", "within_max", "query_tokens")
 
 
 def retrieval_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
