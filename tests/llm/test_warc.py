@@ -1,4 +1,8 @@
 import hashlib
+import random
+import re
+import time
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -56,3 +60,97 @@ def test_reruns_agree_and_empty_table(spark):
     a, b = (sorted(map(tuple, warc.derive(warc.responses(frame(spark))).select("warc_id", "block_digest").collect())) for _ in range(2))
     assert a == b
     assert warc.derive(warc.responses(frame(spark).limit(0))).count() == 0
+
+
+class Reader(HTMLParser):
+    """Text and links as Python's own parser sees them."""
+
+    LINES = set("p div h1 h2 h3 h4 h5 h6 li ul ol table tr article section header footer nav main aside blockquote pre title head body form dl dt dd".split())
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.links, self.hidden, self.title, self.in_title = [], [], None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            return
+        if tag in ("script", "style", "noscript", "template"):
+            self.hidden = tag
+            self.out.append(" ")
+        elif tag in self.LINES or tag in ("br", "hr"):
+            self.out.append("\n")
+        if tag == "a" and dict(attrs).get("href"):
+            self.links.append(dict(attrs)["href"])
+        if tag == "title" and self.title is None:
+            self.title, self.in_title = "", True
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            self.hidden = None if tag == self.hidden else self.hidden
+        elif tag in self.LINES:
+            self.out.append("\n")
+        if tag == "title":
+            self.in_title = False
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.hidden is None:
+            self.out.append(re.sub(r"\s+", " ", data))
+            if self.in_title:
+                self.title += data
+
+
+def read(page):
+    r = Reader()
+    r.feed(page)
+    r.close()
+    return r.title, r.links, re.sub(r"\s*\n\s*", "\n", re.sub(r"[^\S\n]+", " ", "".join(r.out))).strip()
+
+
+def test_text_title_and_links_equal_those_of_an_html_parser(spark):
+    rng = random.Random(2)
+    pieces = ["word", " ", "\n", "&amp;", "&#233;", "&lt;i&gt;", "<p>", "</p>", "<P CLASS='x'>", "<br/>", "<b>", "</b>", "<a href='/u?a=1&amp;b=2'>", "</a>",
+              "<a class=k href=/plain>", "<a data-href='no'>", "<!-- <p>c</p> -->", "<script>if (a < b) { x = '<p>'; }</script>", "<style>p { }</style>",
+              "<li>", "<hr>", "5 < 6", "ü", "<td>", "<noscript>off</noscript>", "<h2>", "</h2>"]
+    for _ in range(400):
+        page = "<html lang=de><head><title>T &amp; <!-- --> u</title></head><body>" * rng.randrange(2) + "".join(rng.choices(pieces, k=rng.randrange(40)))
+        if "<title>" in page:
+            page = page.replace(" <!-- -->", "")       # a parser takes titles for text only
+        title, lang, links, text = warc.facts(page)
+        assert (title, links, text) == read(page), page
+        assert lang == ("de" if title else None)
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect() if r[0]]
+    assert pages and all((x[0], x[2], x[3]) == read(p) for p in pages for x in [warc.facts(p)])
+
+
+def test_hostile_pages_take_linear_time():
+    for piece in ("<a ", "<script>", "<script", "<!--", "<title>", "<p ", "<a href='", '<a href="', "</script ", "<html lang", "<", "&#9", "&#", " ", "\n ", "<a href=", "<!-- -->"):
+        for end in ("", ">", "'>", "-->"):
+            page = piece * (1_000_000 // len(piece)) + end
+            t0 = time.perf_counter()
+            warc.facts(page)
+            assert time.perf_counter() - t0 < 3, (piece, end)      # about 0.3 s on an idle core
+    assert warc.facts("&#" + "9" * 10_000 + "; &#" + "0" * 10_000 + "65;")[3] == "\ufffd A"
+
+
+def test_unended_constructs():
+    assert warc.plain_text("a <!-- b <p>c</p>") == "a" and warc.plain_text("a<p>b <script>c <p>d") == "a\nb"
+    assert warc.plain_text("a <b c") == "a <b c" and warc.plain_text("a <p>b <!-- c") == "a\nb"
+    assert warc.facts("<title>no end <p>x")[0] is None
+    assert warc.facts("<!-- <a href=x>in a comment</a> --><a href=y>z</a>")[2] == ["y"]
+
+
+def test_headers_of_the_source_are_kept(spark):
+    rows = [(1, "<urn:uuid:1>", "http://a.org/", "2020-02-03T04:05:06Z", "HTTP/1.0 404 Not Found\r\nX-A: 1\r\nServer: s: t\r\nx-a: 2\r\nbroken\r\n", "gone"),
+            (2, "<urn:uuid:2>", None, None, None, None), (None, None, "u", "d", "HTTP/1.1 301 Moved\r\nLocation: /n\r\n", "")]
+    src = spark.createDataFrame([(*r, "z") for r in rows],
+                                "page_id long, record_id string, target_uri string, date string, http_headers string, payload string, block string")
+    made = {(r["page_id"], r["record_type"]): r for r in warc.derive(src).collect()}
+    assert len(made) == 6
+    block = made[1, "metadata"]["block"]
+    assert "source-status: HTTP/1.0 404 Not Found\r\n" in block and "source-header-server: s: t\r\n" in block
+    assert block.count("source-header-x-a: ") == 2 and "broken" not in block and made[1, "conversion"]["warc_date"] == "2020-02-03T04:05:06Z"
+    assert "source-status" not in made[2, "metadata"]["block"] and "WARC-Target-URI" not in made[2, "metadata"]["header"]
+    assert "source-header-location: /n\r\n" in made[None, "metadata"]["block"] and made[None, "conversion"]["block"] == ""

@@ -11,7 +11,12 @@ which is the writer's line separator, so any file system that Spark reaches will
 
 Defined results: a null or empty payload is an empty document (both records are made, with the digest of no
 bytes); a null URI or date gives records without that header; line breaks inside header values become
-spaces; repeated responses with the same id give equal records; only the named columns are read.
+spaces; repeated responses with the same id give equal records; only the named columns are read, in a table with any others.
+Pages may be long or hostile: every step takes time linear in the page. A tag ends at its first ``>``, one without it is
+text; a comment or script without an end runs to the end of the page; titles, languages and links inside either do not count.
+
+The given ``pages`` hold no HTTP responses: ``responses`` makes the status line, the headers and the date up (constants, with the true
+length). ``derive`` takes whatever status and headers its rows have.
 """
 
 from __future__ import annotations
@@ -28,21 +33,65 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import lean
 
 CRAWL_DATE = "2026-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|header|footer|nav|main|aside|blockquote|pre|title|head|body|form|dl|dt|dd)\b[^>]*|[bh]r\b[^>]*)>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
+_DROPPED = re.compile(r"<!--|<(script|style|noscript|template)\b[^>]*+>", re.I)
+_ENDS = {k: re.compile(rf"</{k}\s*+>", re.I) for k in ("script", "style", "noscript", "template")}
+_BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|table|tr|article|section|header|footer|nav|main|aside|blockquote|pre|title|head|body|form|dl|dt|dd)\b[^>]*+|[bh]r\b[^>]*+)>", re.I)
+_TAG = re.compile(r"<[a-zA-Z/!?][^>]*+>")
 _GAP = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^>]*+>", re.I), re.compile(r"</title", re.I)
+_HTML, _LANG = re.compile(r"<html\b[^>]*+>", re.I), re.compile(r"(?<![\w-])lang\s*+=\s*+[\"']?([A-Za-z0-9-]+)", re.I)
+_A = re.compile(r"<a\b[^>]*+>", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}+;?")
+
+
+def _resolve(text: str) -> str:
+    """Entities resolved; a number beyond all code points is U+FFFD, however long."""
+    return entities.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text)))
+
+
+def _shown(page: str) -> tuple[str, str]:
+    """The page without comments and scripts, cut behind its last ``>``: in the first part every tag that opens
+    also ends, so a search never runs to the end of the page more than once."""
+    parts, i, last = [], 0, page.rfind(">") + 1
+    while m := _DROPPED.search(page, i, last):
+        parts.append(page[i:m.start()])
+        if m[1]:
+            end = _ENDS[m[1].lower()].search(page, m.end())
+            i = end.end() if end else len(page)
+        else:
+            end = page.find("-->", m.end())
+            i = end + 3 if end >= 0 else len(page)
+        if i == len(page):
+            break
+    rest = page[i:]
+    lone = rest.find("<!--", max(last - i, 0))      # a comment that opens behind the last tag
+    whole = " ".join([*parts, rest if lone < 0 else rest[:lone]])
+    cut = whole.rfind(">") + 1
+    return whole[:cut], whole[cut:]
+
+
+def _text(tags: str, tail: str) -> str:
+    flat = [_GAP.sub(" ", x.replace("\n", " ").replace("\r", " ")) for x in (tags, tail)]
+    t = _resolve(_TAG.sub("", _BREAK.sub("\n", flat[0])) + flat[1])
+    return _LINES.sub("\n", _GAP.sub(" ", t)).strip()
 
 
 def plain_text(page: str) -> str:
     """Visible text of a page: a line per block, white space collapsed, entities resolved."""
-    t = _BREAK.sub("\n", _GAP.sub(" ", _DROP.sub(" ", page).replace("\n", " ").replace("\r", " ")))
-    t = entities.unescape(_TAG.sub("", t))
-    return _LINES.sub("\n", _GAP.sub(" ", t)).strip()
+    return _text(*_shown(page))
+
+
+def facts(page: str) -> tuple[str | None, str | None, list[str], str]:
+    """(title, language, links, visible text) of a page."""
+    tags, tail = _shown(page)
+    title = None
+    if (m := _TITLE.search(tags)) and (end := _TITLE_END.search(tags, m.end())):
+        title = _resolve(tags[m.end():end.start()])
+    lang = next((x[1] for m in _HTML.finditer(tags) if (x := _LANG.search(m[0]))), None)
+    hrefs = (_HREF.search(m[0]) for m in _A.finditer(tags))
+    return title, lang, [x for h in hrefs if h and (x := _resolve(h[1] or h[2] or h[3] or ""))], _text(tags, tail)
 
 
 def _digest(data: bytes) -> str:
@@ -75,16 +124,13 @@ def _records(rid: str, uri: str | None, date: str | None, http: str | None, page
     page = page or ""
     payload = _digest(page.encode("utf-8", "replace"))
     status, _, rest = (http or "").partition("\r\n")
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [entities.unescape(next(x for x in m if x is not None and x != "") if any(m) else "") for m in _LINK.findall(page)]
-    text = plain_text(page)
+    title, lang, links, text = facts(page)
     fields = [("source-record-id", rid), ("source-payload-digest", payload), ("source-status", status or None)]
     for line in rest.split("\r\n"):
         if ":" in line:
             name, value = line.split(":", 1)
             fields.append((f"source-header-{name.strip().lower()}", value))
-    fields += [("title", entities.unescape(title[1]) if title else None), ("language", lang[1] if lang else None),
-               *[("outlink", x) for x in links if x]]
+    fields += [("title", title), ("language", lang), *[("outlink", x) for x in links]]
     ids = {k: _uuid(rid, k) for k in ("metadata", "conversion")}
     out = []
     for kind, ctype, block in (("metadata", "application/warc-fields", _head(fields)), ("conversion", "text/plain; charset=utf-8", text)):
