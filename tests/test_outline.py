@@ -4,7 +4,7 @@ import ast
 import glob
 import os
 
-
+from pyspark.sql import functions as F
 from tokenloom.operators import outline as O
 
 PY_SAMPLE = '''import os
@@ -233,3 +233,79 @@ def test_reduced_view_chain(spark):
     assert got["c.md"] == ("stripped", "text")
     assert got["d.PY"] == ("stripped", "def g(): pass")
     assert got["e.py"][0] == "unreadable"
+
+
+GO = """package main
+
+import "fmt"
+
+// func Hidden() {
+type Shape struct {
+\tName string
+}
+
+func (s *Shape) Area(w int, h int) int {
+\tif w > 0 {
+\t\treturn w * h
+\t}
+\tf := func(x int) int { return x }
+\treturn f(0)
+}
+
+func main() { fmt.Println("func Fake() {") }
+"""
+NIM = """import os
+# proc hidden() =
+type Point = object
+  x: int
+
+proc area(w,
+          h: int): int =
+  proc inner(): int =
+    w
+  inner() * h
+
+func twice(x: int): int =
+  x * 2
+echo area(1, 2)
+"""
+
+
+def test_other_languages_by_rows_alone(spark):
+    """A brace language and an indentation language as rows of the rule table."""
+    word = r"([A-Za-z_]\w*)"
+    go = [("type", rf"type\s+{word}\s+struct\s*\{{", rf"(?m)^type\s+{word}\s+struct\s*\{{", rf"^type\s+{word}", r"^type\s+", True, False),
+          ("func", rf"func\s+(?:\([^()]*\)\s*)?{word}\([^()]*\)[^{{\n]*\{{", rf"(?m)^func\s+(?:\([^()]*\)\s*)?{word}\([^()]*\)[^{{\n]*\{{",
+           rf"^func\s+(?:\([^()]*\)\s*)?{word}", None, True, True)]
+    nim = [("type", rf"^\s*type\s+{word}", None, None, None, True, False),
+           ("proc", rf"^\s*(?:proc|func)\s+{word}", None, rf"^\s*(?:proc|func)\s+{word}", None, True, True)]
+    rows = [(".go", "go_outline", "brace", r'//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|`[^`]*+`', "//", "/*", go, r"[;\n]", None, None, True, False),
+            (".nim", "nim_outline", "indent", r'#[^\n]*|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', "#", None, nim, None, None, None, False, False)]
+    table = O.languages(O.rule_rows(spark).unionByName(spark.createDataFrame(rows, O.RULE_SCHEMA)))
+    assert {k: table[k] for k in O.LANGUAGES} == O.LANGUAGES and set(table) - set(O.LANGUAGES) == {".go", ".nim"}
+    files = spark.createDataFrame([("a.go", GO, "ok"), ("b.nim", NIM, "ok"), ("c.py", "def f():\n    return 1\n", "ok"), ("d.rs", "fn x() {} # no\n", "ok"),
+                                   ("e.go", "package x\n", "ok"), ("f.go", None, "unreadable"), ("g.JS", "function k() { }", "ok"), ("h.GO", GO, "ok")],
+                                  "path string, content string, status string")
+    view = {r.path: (r.stage, r.text, r.balanced) for r in O.reduced_view(files, table=table).collect()}
+    assert view["a.go"] == ("go_outline", "type Shape struct { ...\nfunc (s *Shape) Area(w int, h int) int { ...\nfunc main() { fmt.Println(\"func Fake() {\") } ...", True)
+    assert view["b.nim"] == ("nim_outline", "type Point = object ...\nproc area(w, ...\nfunc twice(x: int): int = ...", True)
+    assert view["c.py"][:2] == ("py_outline", "def f(): ...") and view["g.JS"][0] == "js_outline" and view["f.go"][0] == "unreadable"
+    assert {view[k][0] for k in ("d.rs", "e.go", "h.GO")} == {"stripped"}
+    asked = spark.createDataFrame([("a.go", "Area"), ("a.go", "Shape"), ("a.go", "Fake"), ("b.nim", "area"), ("b.nim", "Point"), ("b.nim", "twice"), ("c.py", "f"),
+                                   ("d.rs", "x")], "path string, name string")
+    got = {(r.path, r.name): r.text if r.found else None for r in O.function_blocks(files, asked, table=table).collect()}
+    assert got["a.go", "Area"] == GO[GO.index("func (s"):GO.index("\n\nfunc main")] and got["a.go", "Shape"] == "Shape struct {\n\tName string\n}"
+    assert got["b.nim", "area"] == NIM[NIM.index("proc area"):NIM.index("\n\nfunc twice")] and got["b.nim", "twice"] == "func twice(x: int): int =\n  x * 2"
+    assert got["c.py", "f"] == "def f():\n    return 1" and [got[k] for k in (("a.go", "Fake"), ("b.nim", "Point"), ("d.rs", "x"))] == [None] * 3
+
+
+def test_rule_tables_that_cannot_be_used(spark):
+    import pytest
+
+    one = O.rule_rows(spark).where("ext = '.py'")
+    with pytest.raises(ValueError, match="repeated"):
+        O.languages(one.unionAll(one))
+    with pytest.raises(ValueError, match="block style"):
+        O.languages(one.withColumn("block", F.lit("columns")))
+    with pytest.raises(ValueError, match="at most"):
+        O.languages(spark.range(O.MAX_RULES + 1).select(F.concat(F.lit("."), F.col("id").cast("string")).alias("ext")).crossJoin(one.drop("ext")))

@@ -6,7 +6,9 @@ its place), then cut into lines (Python) or into heads, brackets and separators
 expression, and one fold over that list tracks bracket depth and the definition that covers the
 current place. Only requests for single blocks are joined with their files.
 
-Rules by language are a table (``LANGUAGES``), so another brace or indentation language needs its patterns only.
+Rules by language are a table (``LANGUAGES``, as rows ``rule_rows``), read by every function here: another brace or indentation
+language is rows with its patterns (``languages``). The patterns become part of the plan, where they are compiled once; they are not
+compared with texts as columns.
 
 Known limits: syntax errors are not followed, but a file whose brackets do not balance is flagged
 (``balanced``); JS/TS regex literals are recognised heuristically; parentheses are followed five levels deep
@@ -16,9 +18,10 @@ types with an arrow inside a declarator's annotation are not.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import paths as P
@@ -39,7 +42,7 @@ PY_MASK = (r'#[^\n]*'
            r"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''"
            r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
            r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+')")
-PY_DEF = r"^\s*(class|def|async\s+def)\s+([\p{L}_][\p{L}\p{N}_]*)"
+_PY_NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
 
 JS_MASK = (r"//[^\n]*|/\*[\s\S]*?\*/"
            r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
@@ -90,21 +93,96 @@ JS_BEFORE = {
 }
 # a line end that ends a statement: nothing is left open before it and a new statement begins after it
 _LINE_END = r"(?=[ \t\n])(?<![-=>,(+*/&|?:\[{.<\s])[ \t]*+\n(?=\s*[\w$@\[{])"
-JS_EVENT = "|".join([*JS_HEADS.values(), r"[(\[{]", r"[)\]}]", "[;,]", _LINE_END])
+JS_SEPARATOR = rf"[;,]|{_LINE_END}"
 OPENING, CLOSING = r"[\(\[\{]", r"[\)\]\}]"
 
 
+@dataclass(frozen=True)
+class Head:
+    """How a definition begins. ``cut`` finds it in a text and may look at what stands before it, ``tell`` recognises the cut
+    text (a whole line in an indentation language); ``name`` has the name as its first group, a head without one is no block;
+    ``before`` is what of the head stands before the node. ``shown`` heads are lines of an outline, those that ``cover`` hide
+    what lies inside them."""
+
+    kind: str
+    tell: str
+    cut: str | None = None
+    name: str | None = None
+    before: str | None = None
+    shown: bool = True
+    cover: bool = True
+
+
 @dataclass(frozen=True)
 class Language:
+    """Rules of one language. The first head that fits counts. ``above`` and ``continues`` are lines of an indentation
+    language that belong to the next definition, and that go on in the next line; ``separator`` ends a statement of a brace
+    language. With ``or_else`` a file without definitions has no outline, and the next view is taken."""
+
+    stage: str
+    block: str                    # 'indent' or 'brace'
     mask: str                     # comments and literals
     line_comment: str
     block_comment: str | None
-    block: str                    # 'indent' or 'brace'
+    heads: tuple[Head, ...]
+    separator: str = "[;,]"
+    above: str | None = None
+    continues: str | None = None
+    or_else: bool = False
+    any_case: bool = False        # of the suffix
+
+
+PYTHON = Language("py_outline", "indent", PY_MASK, "#", None, (
+    Head("class", rf"^\s*class\s+{_PY_NAME}", cover=False),
+    Head("function", rf"^\s*(?:def|async\s+def)\s+{_PY_NAME}", name=rf"^\s*(?:def|async\s+def)\s+{_PY_NAME}")), above=r"^\s*@", continues=r"\\\s*$")
+JAVASCRIPT = Language("js_outline", "brace", JS_MASK, "//", "/*", tuple(
+    # what stood before a head was checked when it was cut out
+    Head(k, p.replace(_STATEMENT, "").replace(_MEMBER, ""), p, JS_NAME.get(k), JS_BEFORE.get(k),
+         k in ("function", "class", "arrow_declarator", "method", "arrow"), k not in ("class", "type"))
+    for k, p in JS_HEADS.items()), JS_SEPARATOR, or_else=True, any_case=True)
+# in the order of the views
+LANGUAGES: dict[str, Language] = {".js": JAVASCRIPT, ".jsx": JAVASCRIPT, ".ts": JAVASCRIPT, ".tsx": JAVASCRIPT, ".py": PYTHON}
+
+MAX_RULES = 1_000        # rows of a rule table: they become part of the plan
+RULE_SCHEMA = ("ext string, stage string, block string, mask string, line_comment string, block_comment string, "
+               "heads array<struct<kind:string,tell:string,cut:string,name:string,before:string,shown:boolean,cover:boolean>>, "
+               "separator string, above string, continues string, or_else boolean, any_case boolean")
+
+
+def rule_rows(spark: SparkSession, table: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """The language table as rows, one a suffix."""
+    return spark.createDataFrame([{"ext": e, **asdict(r)} for e, r in table.items()], RULE_SCHEMA)
+
+
+def languages(rules: DataFrame) -> dict[str, Language]:
+    """Rules by suffix from such rows. A repeated suffix, an unknown block style or more than MAX_RULES rows are errors."""
+    out: dict[str, Language] = {}
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"a rule table has at most {MAX_RULES} rows")
+    for r in rows:
+        row = r.asDict(recursive=True)
+        ext = row.pop("ext")
+        if ext in out or row["block"] not in ("indent", "brace"):
+            raise ValueError(f"rule for {ext!r} is repeated or has an unknown block style")
+        heads = tuple(Head(**{**h, "shown": h["shown"] is not False, "cover": h["cover"] is not False}) for h in row.pop("heads"))
+        out[ext] = Language(**{**row, "heads": heads, "separator": row["separator"] or "[;,]", "or_else": bool(row["or_else"]),
+                               "any_case": bool(row["any_case"])})
+    return out
 
 
-PYTHON = Language(PY_MASK, "#", None, "indent")
-JAVASCRIPT = Language(JS_MASK, "//", "/*", "brace")
-LANGUAGES = {".py": PYTHON, ".js": JAVASCRIPT, ".jsx": JAVASCRIPT, ".ts": JAVASCRIPT, ".tsx": JAVASCRIPT}
+def _by_language(table: Mapping[str, Language]) -> list[tuple[Language, list[str]]]:
+    """Every language once, with its suffixes."""
+    out: dict[Language, list[str]] = {}
+    for ext, lang in table.items():
+        out.setdefault(lang, []).append(ext)
+    return list(out.items())
+
+
+def _written_in(lang: Language, exts: list[str]) -> Column:
+    if lang.any_case:
+        return F.lower(P.suffix(P.name("path"))).isin([e.lower() for e in exts])
+    return F.greatest(*[F.col("path").endswith(e) for e in [*exts, exts[0]]])
 
 
 def mask(content: Column, lang: Language) -> Column:
@@ -133,18 +211,28 @@ def _delta(s: Column) -> Column:
 # ------------------------------------------------------------------------------- Python
 
 
-def _py_lines(content: Column) -> Column:
+def _py_lines(content: Column, lang: Language = PYTHON) -> Column:
     """One struct a line: what the fold needs of it, computed once."""
+    def first(m: Column, value, default: Column) -> Column:
+        out = default
+        for h in reversed(lang.heads):
+            out = F.when(m.rlike(h.tell), value(h, m)).otherwise(out)
+        return out
+
+    def fits(m: Column, pattern: str | None) -> Column:
+        return m.rlike(pattern) if pattern else F.lit(False)
+
     def of(masked: Column) -> Column:
         breaks = F.regexp_extract_all(masked, F.lit(f"[\n{INNER_BREAK}]"), 0)
         return T.let(breaks, lambda br: F.transform(F.split(masked, f"[\n{INNER_BREAK}]", -1), lambda m, i: F.struct(
             i.alias("i"), (~m.rlike(r"\S")).alias("blank"),
             F.when(i > 0, F.get(br, i - 1) == INNER_BREAK).otherwise(False).alias("inside"),
-            _delta(m).alias("delta"), m.rlike(r"\\\s*$").alias("goes_on"),
+            _delta(m).alias("delta"), fits(m, lang.continues).alias("goes_on"),
             F.length(F.regexp_extract(m, r"^[ \t]*", 0)).alias("indent"),
-            F.regexp_extract(m, PY_DEF, 1).alias("kind"), F.regexp_extract(m, PY_DEF, 2).alias("name"),
-            m.rlike(r"^\s*@").alias("at"))))
-    return T.let(mask(content, PYTHON), of)
+            first(m, lambda h, _: F.lit(h.kind), F.lit("")).alias("kind"),
+            first(m, lambda h, x: F.regexp_extract(x, h.name, 1) if h.name else F.lit(""), F.lit("")).alias("name"),
+            fits(m, lang.above).alias("at"))))
+    return T.let(mask(content, lang), of)
 
 
 def _py_statement(acc: Column, s: Column) -> Column:
@@ -158,17 +246,20 @@ def _py_decorated(acc: Column, s: Column, begins: Column) -> Column:
             .when(begins, F.lit(-1)).otherwise(acc["first"]))
 
 
-def _py_rows(lines: Column) -> Column:
+def _py_rows(lines: Column, lang: Language = PYTHON) -> Column:
     """(i, signature) of every outline line, and the bracket depth at the end of the file."""
+    shown, covering = [h.kind for h in lang.heads if h.shown], [h.kind for h in lang.heads if h.cover]
+
     def step(acc: Column, s: Column) -> Column:
         begins = _py_statement(acc, s)
         cover = F.when(begins & (s["indent"] <= acc["cover"]), F.lit(-1)).otherwise(acc["cover"])
-        kept = begins & (s["kind"] != "") & (cover < 0)
+        head = begins & (s["kind"] != "") & (cover < 0)
+        kept = head & s["kind"].isin(shown)
         own = F.struct(s["i"].alias("i"), F.lit(True).alias("signature"))
         above = F.when((acc["first"] >= 0), F.transform(F.sequence(acc["first"], s["i"] - 1), lambda i: F.struct(
             i.alias("i"), F.lit(False).alias("signature")))).otherwise(F.array().cast("array<struct<i:int,signature:boolean>>"))
         return F.struct((acc["depth"] + s["delta"]).alias("depth"), s["goes_on"].alias("goes_on"),
-                        F.when(kept & (s["kind"] != "class"), s["indent"]).otherwise(cover).alias("cover"),
+                        F.when(head & s["kind"].isin(covering), s["indent"]).otherwise(cover).alias("cover"),
                         _py_decorated(acc, s, begins).alias("first"),
                         F.when(kept, F.concat(acc["rows"], above, F.array(own))).otherwise(acc["rows"]).alias("rows"))
 
@@ -187,7 +278,7 @@ def _py_span(lines: Column, name: Column) -> Column:
     """(start, end) lines of the last function of that name, start -1 without one."""
     def step(acc: Column, s: Column) -> Column:
         begins = _py_statement(acc, s)
-        match = begins & (s["kind"] != "") & (s["kind"] != "class") & (s["name"] == name)
+        match = begins & (s["name"] != "") & (s["name"] == name)
         closes = begins & (acc["start"] >= 0) & (acc["end"] < 0) & (s["indent"] <= acc["indent"])
         return F.struct(
             (acc["depth"] + s["delta"]).alias("depth"), s["goes_on"].alias("goes_on"), _py_decorated(acc, s, begins).alias("first"),
@@ -202,10 +293,10 @@ def _py_span(lines: Column, name: Column) -> Column:
         acc["start"].alias("start"), F.when(acc["end"] < 0, acc["full"]).otherwise(acc["end"]).alias("end")))
 
 
-def python_outline(code: DataFrame) -> DataFrame:
+def python_outline(code: DataFrame, lang: Language = PYTHON) -> DataFrame:
     """(path, text, tokens, balanced): signature lines of definitions not inside a function, each with
     its decorator lines; a file without definitions has an empty outline."""
-    res = code.select("path", "content", _py_rows(_py_lines(F.col("content"))).alias("o"))
+    res = code.select("path", "content", _py_rows(_py_lines(F.col("content"), lang), lang).alias("o"))
     res = res.select("path", _text(F.col("content"), F.col("o.rows")).alias("text"), F.col("o.balanced").alias("balanced"))
     return res.select("path", "text", T.token_estimate("text").alias("tokens"), "balanced")
 
@@ -215,10 +306,10 @@ def _asked(code: DataFrame, requests: DataFrame) -> DataFrame:
     return code.select("path", "content").join(requests.groupBy("path").agg(F.collect_set("name").alias("names")), "path")
 
 
-def python_blocks(code: DataFrame, requests: DataFrame) -> DataFrame:
+def python_blocks(code: DataFrame, requests: DataFrame, lang: Language = PYTHON) -> DataFrame:
     """(path, name, text) for requested function names: the last match in file order; classes never
     match; decorators are included."""
-    got = _asked(code, requests).select("path", "content", "names", _py_lines(F.col("content")).alias("l"))
+    got = _asked(code, requests).select("path", "content", "names", _py_lines(F.col("content"), lang).alias("l"))
     got = got.select("path", "content", "l", F.explode("names").alias("name")).select(
         "path", "name", "content", F.explode(F.filter(F.array(_py_span(F.col("l"), F.col("name"))), lambda s: s["start"] >= 0)).alias("s"))
     return got.select("path", "name", F.array_join(F.slice(
@@ -228,34 +319,36 @@ def python_blocks(code: DataFrame, requests: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------- JS / TS
 
 
-def _js_events(content: Column) -> Column:
+def _js_events(content: Column, lang: Language = JAVASCRIPT) -> Column:
     """Heads, brackets and separators in order, with kind, name, line breaks and characters."""
+    event = "|".join([*(h.cut or h.tell for h in lang.heads), r"[(\[{]", r"[)\]}]", lang.separator])
+
     def of(masked: Column) -> Column:
         def one(e: Column, before: Column) -> Column:
             kind = F.when(e.rlike(r"^[(\[{]$"), "open").when(e.rlike(r"^[)\]}]$"), "close").when(e.rlike(r"^[;,]$"), "sep") \
                 .when(e.rlike(r"^[ \t]*\n$"), "sep")
-            for k, p in JS_HEADS.items():
-                # a head is told by its own words; what stood before it was checked when it was cut out
-                kind = kind.when(e.rlike("^(?:" + p.replace(_STATEMENT, "").replace(_MEMBER, "") + ")$"), k)
+            for h in lang.heads:
+                kind = kind.when(e.rlike("^(?:" + h.tell + ")$"), h.kind)
             name, lead = F.lit(""), F.lit(0)
             return F.struct(kind.alias("kind"), e.alias("text"), _delta(e).alias("delta"), e.endswith("{").alias("braced"),
                             F.regexp_count(before, F.lit(f"[\n{INNER_BREAK}]")).cast("int").alias("breaks"),
                             F.regexp_count(e, F.lit(f"[\n{INNER_BREAK}]")).cast("int").alias("own_breaks"),
                             F.length(before).alias("gap"), F.length(e).alias("size"), name.alias("name"), lead.alias("lead"))
-        parts = F.split(masked, JS_EVENT, -1)
-        events = F.regexp_extract_all(masked, F.lit(JS_EVENT), 0)
+        parts = F.split(masked, event, -1)
+        events = F.regexp_extract_all(masked, F.lit(event), 0)
         return F.zip_with(events, F.slice(parts, 1, F.size(parts) - 1), one)
-    return T.let(mask(content, JAVASCRIPT), of)
+    return T.let(mask(content, lang), of)
 
 
-def _js_named(events: Column) -> Column:
+def _js_named(events: Column, lang: Language = JAVASCRIPT) -> Column:
     """Events with the name of the node and the length of what stands before it in its head."""
     def one(e: Column) -> Column:
         name, lead = F.lit(""), F.lit(0)
-        for k, p in JS_NAME.items():
-            name = F.when(e["kind"] == k, F.regexp_extract(e["text"], p, 1)).otherwise(name)
-        for k, p in JS_BEFORE.items():
-            lead = F.when(e["kind"] == k, F.length(F.regexp_extract(e["text"], p, 0))).otherwise(lead)
+        for h in lang.heads:
+            if h.name:
+                name = F.when(e["kind"] == h.kind, F.regexp_extract(e["text"], h.name, 1)).otherwise(name)
+            if h.before:
+                lead = F.when(e["kind"] == h.kind, F.length(F.regexp_extract(e["text"], h.before, 0))).otherwise(lead)
         return e.withField("name", name).withField("lead", lead)
     return F.transform(events, one)
 
@@ -268,22 +361,20 @@ def _js_over(acc: Column, e: Column, level: str, braced: str) -> Column:
         ((e["kind"] == "sep") & (acc["depth"] <= acc[level])) | ((e["kind"] == "close") & (after < acc[level])))
 
 
-_HEADS = ["function", "class", "interface", "type", "arrow_declarator", "declarator", "method", "arrow"]
-_SHOWN = ["function", "class", "arrow_declarator", "method", "arrow"]
-
+def _js_rows(events: Column, lang: Language = JAVASCRIPT) -> Column:
+    """(i, signature) of every outline line; a covering head hides what lies inside it."""
+    kinds, shown, covering = ([h.kind for h in lang.heads if x(h)] for x in (lambda h: True, lambda h: h.shown, lambda h: h.cover))
 
-def _js_rows(events: Column) -> Column:
-    """(i, signature) of every outline line; every head but a class covers what lies inside it."""
     def step(acc: Column, e: Column) -> Column:
         line = acc["line"] + e["breaks"]
         over = (acc["cover"] >= 0) & _js_over(acc, e, "cover", "braced")
         cover = F.when(over, F.lit(-1)).otherwise(acc["cover"])
-        head = e["kind"].isin(_HEADS) & (cover < 0)
-        hides = head & ~e["kind"].isin("class", "type")
+        head = e["kind"].isin(kinds) & (cover < 0)
+        hides = head & e["kind"].isin(covering)
         return F.struct(
             (line + e["own_breaks"]).alias("line"), (acc["depth"] + e["delta"]).alias("depth"),
             F.when(hides, acc["depth"]).otherwise(cover).alias("cover"), F.when(hides, e["braced"]).otherwise(acc["braced"]).alias("braced"),
-            F.when(head & e["kind"].isin(_SHOWN), F.concat(acc["rows"], F.array(F.struct(line.alias("i"), F.lit(True).alias("signature")))))
+            F.when(head & e["kind"].isin(shown), F.concat(acc["rows"], F.array(F.struct(line.alias("i"), F.lit(True).alias("signature")))))
              .otherwise(acc["rows"]).alias("rows"))
 
     zero = F.struct(F.lit(0).alias("line"), F.lit(0).alias("depth"), F.lit(-1).alias("cover"), F.lit(False).alias("braced"),
@@ -295,7 +386,7 @@ def _js_span(events: Column, name: Column) -> Column:
     """(start, end) characters of the first function, method or declarator of that name, start -1 without one."""
     def step(acc: Column, e: Column) -> Column:
         at = acc["at"] + e["gap"]
-        match = (acc["start"] < 0) & e["kind"].isin(*JS_NAME) & (e["name"] == name)
+        match = (acc["start"] < 0) & (e["name"] != "") & (e["name"] == name)
         over = (acc["start"] >= 0) & (acc["end"] < 0) & _js_over(acc, e, "level", "braced")
         return F.struct(
             (at + e["size"]).alias("at"), (acc["depth"] + e["delta"]).alias("depth"),
@@ -308,19 +399,19 @@ def _js_span(events: Column, name: Column) -> Column:
     return F.aggregate(events, zero, step, lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
 
 
-def js_outline(code: DataFrame) -> DataFrame:
+def js_outline(code: DataFrame, lang: Language = JAVASCRIPT) -> DataFrame:
     """(path, text, tokens, balanced): one line per kept definition in file order; files without a
     definition are left out (the chain goes on to the next view)."""
-    found = T.let(_js_rows(_js_events(F.col("content"))), lambda o: F.when(F.size(o["rows"]) > 0, F.array(F.struct(
+    found = T.let(_js_rows(_js_events(F.col("content"), lang), lang), lambda o: F.when(F.size(o["rows"]) > 0, F.array(F.struct(
         _text(F.col("content"), o["rows"]).alias("text"), o["balanced"].alias("balanced")))))
     res = code.select("path", F.explode(found).alias("o")).select("path", "o.text", "o.balanced")   # a filter would run it twice
     return res.select("path", "text", T.token_estimate("text").alias("tokens"), "balanced")
 
 
-def js_blocks(code: DataFrame, requests: DataFrame) -> DataFrame:
+def js_blocks(code: DataFrame, requests: DataFrame, lang: Language = JAVASCRIPT) -> DataFrame:
     """(path, name, text): first match in file order, from the definition's first character to the
     bracket that closes it or to the end of its expression."""
-    got = _asked(code, requests).select("path", "content", "names", _js_named(_js_events(F.col("content"))).alias("e"))
+    got = _asked(code, requests).select("path", "content", "names", _js_named(_js_events(F.col("content"), lang), lang).alias("e"))
     got = got.select("path", "content", "e", F.explode("names").alias("name")).select(
         "path", "name", "content", F.explode(F.filter(F.array(_js_span(F.col("e"), F.col("name"))), lambda s: s["start"] >= 0)).alias("s"))
     end = F.when(F.col("s.end") < 0, F.length("content")).otherwise(F.col("s.end"))
@@ -330,8 +421,8 @@ def js_blocks(code: DataFrame, requests: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------- chains
 
 
-def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(path, text, tokens, stage, balanced) and the ``keep`` columns: JS/TS outline -> Python outline ->
+def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[str, ...] = (), table: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """(path, text, tokens, stage, balanced) and the ``keep`` columns: the outline of the suffix's language ->
     comment strip.
 
     One projection per row, no join. Unreadable files give the sentinel text with 0 tokens.
@@ -340,12 +431,15 @@ def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[st
     content = F.col("content")
     ok = F.col("status") == "ok"
     none = F.struct(F.array().cast("array<struct<i:int,signature:boolean>>").alias("rows"), F.lit(True).alias("balanced"))
-    views = corpus.select(
-        "path", *keep, "status", "content", P.is_python("path").alias("_py"),
-        F.when(ok & P.brace_lang("path").isNotNull(), _js_rows(_js_events(content)))
-         .when(ok & P.is_python("path"), _py_rows(_py_lines(content))).otherwise(none).alias("o"))
-    stage = (F.when(~ok, "unreadable").when(F.col("_py"), "py_outline")
-             .when(F.size("o.rows") > 0, "js_outline").otherwise("stripped"))
+    outline, stage = F.when(~ok, none), F.when(~ok, "unreadable")
+    for lang, exts in _by_language(table):
+        here = _written_in(lang, exts)
+        rows = _js_rows(_js_events(content, lang), lang) if lang.block == "brace" else _py_rows(_py_lines(content, lang), lang)
+        outline = outline.when(here, rows)
+        stage = stage.when((F.col("_lang") == lang.stage) & ((F.size("o.rows") > 0) if lang.or_else else F.lit(True)), lang.stage)
+    spoken = F.coalesce(*[F.when(_written_in(lang, exts), lang.stage) for lang, exts in _by_language(table)], F.lit(""))
+    views = corpus.select("path", *keep, "status", "content", spoken.alias("_lang"), outline.otherwise(none).alias("o"))
+    stage = stage.otherwise("stripped")
     views = views.select("path", *keep, "status", "content", "o", stage.alias("stage"))
     text = (F.when(F.col("stage") == "unreadable", F.concat(F.lit(UNREADABLE_PREFIX), F.col("status")))
             .when(F.col("stage") == "stripped", T.strip_hash_comments("content"))
@@ -355,13 +449,16 @@ def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[st
                         .otherwise(token_count("text")).alias("tokens"), "stage", "balanced")
 
 
-def function_blocks(corpus: DataFrame, requests: DataFrame, token_count=T.token_estimate) -> DataFrame:
-    """(path, name, text, tokens, found): JS/TS block or Python block, else a message with 0 tokens."""
+def function_blocks(corpus: DataFrame, requests: DataFrame, token_count=T.token_estimate, table: Mapping[str, Language] = LANGUAGES) -> DataFrame:
+    """(path, name, text, tokens, found): the block in its file's language, else a message with 0 tokens."""
     ok = corpus.filter(F.col("status") == "ok").select("path", "content")
     req = requests.select("path", "name").distinct()
-    js = js_blocks(ok.filter(P.brace_lang("path").isNotNull()), req.filter(P.brace_lang("path").isNotNull()))
-    py = python_blocks(ok.filter(P.is_python("path")), req.filter(P.is_python("path")))
-    out = req.join(js.unionByName(py).withColumnRenamed("text", "block"), ["path", "name"], "left")
+    blocks = None
+    for lang, exts in _by_language(table):
+        here = _written_in(lang, exts)
+        one = (js_blocks if lang.block == "brace" else python_blocks)(ok.filter(here), req.filter(here), lang)
+        blocks = one if blocks is None else blocks.unionByName(one)
+    out = req.join(blocks.withColumnRenamed("text", "block"), ["path", "name"], "left")
     block = F.col("block")
     text = F.coalesce(block, F.format_string(NOT_EXTRACTED, F.col("name")))
     tokens = F.when(block.isNotNull(), token_count(block)).otherwise(F.lit(0)).cast("bigint")
