@@ -93,3 +93,12 @@ def test_hits_show_todays_view_or_the_stored_text(spark):
     cut = {r.doc_id: r.text for r in V.retrieve(hits, index, views, 500).collect()}
     assert cut["c"] == long[:500] + "\n...[Content Truncated]" and cut["b"] == "note of b" and cut["a"] == "def f(): ..."
     assert V.retrieve(hits.limit(0), index, views).count() == 0
+
+
+def test_blocks_without_queries(spark, monkeypatch):
+    """More blocks of queries than queries that hash into them."""
+    monkeypatch.setattr(V, "QUERY_BLOCK", 1)
+    index = spark.createDataFrame([(f"k{i}", None, [float(i)]) for i in range(9)], "doc_id string, path string, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "query_id long, embedding array<double>")
+    got = {(r.query_id, r.doc_id) for r in V.knn_batch(index, queries, 1).collect()}
+    assert got == {(i, f"k{i}") for i in range(6)}

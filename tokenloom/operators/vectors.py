@@ -101,7 +101,7 @@ def _block_topk(k: int, metric: str):
         import pandas as pd
 
         out = []
-        asked = asked[[e is not None and len(e) > 0 for e in asked["embedding"]]]
+        asked = asked[np.array([e is not None and len(e) > 0 for e in asked["embedding"]], dtype=bool)]      # a block may have no queries
         dims = rows["embedding"].map(len).to_numpy(int) if len(rows) else np.zeros(0, int)
         for dim in sorted({len(e) for e in asked["embedding"]}):
             own = rows[dims == dim]
@@ -155,7 +155,7 @@ def knn_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric:
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.StringType()),
                            T.StructField("path", T.StringType()), T.StructField("_d", T.DoubleType())])
     cand = rows.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInPandas(_block_topk(k, metric), schema)
-    w = Window.partitionBy("query_id").orderBy("_d", "doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.col("_d").asc_nulls_last(), "doc_id")      # a distance that is no number comes last
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "doc_id", "path",
                     F.round("_d", 6).alias("distance")))

@@ -16,6 +16,7 @@ from tokenloom.functions import text as T
 from tokenloom.operators import corpus as C
 from tokenloom.operators import ledger
 from tokenloom.operators import references as R
+from tokenloom.operators import cells as CE
 from tokenloom.operators import changes as CH
 from tokenloom.operators import vectors as V
 from tokenloom.operators import tree as TR
@@ -144,6 +145,15 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.knn_batch(vec, queries, V.DEFAULT_K)
 
 
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from the index stored by cells, of which only those in reach are read."""
+    vec = domain.vectors(spark, sf_dir)
+    path = scratch(spark, "vector-cells")
+    CE.build(vec, path)
+    hits, _ = CE.search(spark, path, V.centroids(vec, "label").withColumnRenamed("label", "query_id"), V.DEFAULT_K)
+    return hits
+
+
 def _knn_index(metric: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         idx = domain.mirrored_index(spark, sf_dir)
@@ -289,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "function_blocks": function_blocks,
     "reduction_report": reduction_report,
     "corpus_views": corpus_views,
+    "knn_pruned": knn_pruned,
     "knn_retrieval": knn_retrieval,
     "retrieval_admitted": retrieval_admitted,
     "budget_status_as_of": budget_status_as_of,

@@ -378,6 +378,7 @@ SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, doc_
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS rank FROM d)
 WHERE rank <= 5
 """
+ORACLE_SQL["knn_pruned"] = ORACLE_SQL["knn_batch"]
 
 _DOT = "list_sum(list_transform(generate_series(1, len({a})), lambda j: CAST({a}[j] AS DOUBLE) * {b}[j]))"
 _METRICS = {
