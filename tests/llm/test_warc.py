@@ -131,7 +131,7 @@ def test_hostile_pages_take_linear_time():
             page = piece * (1_000_000 // len(piece)) + end
             t0 = time.perf_counter()
             warc.facts(page)
-            assert time.perf_counter() - t0 < 3, (piece, end)      # about 0.3 s on an idle core
+            assert time.perf_counter() - t0 < 3, (piece, end)      # at most 0.75 s measured
     assert warc.facts("&#" + "9" * 10_000 + "; &#" + "0" * 10_000 + "65;")[3] == "\ufffd A"
 
 
