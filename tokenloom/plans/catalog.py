@@ -26,6 +26,7 @@ from tokenloom.operators import postings as PO
 from tokenloom.plans import code_corpus as CC
 from tokenloom.plans import domain
 from tokenloom.session import scratch, stored
+from tokenloom.sources import index_store as IS
 
 # Parameters of the registered queries (also used by plans/oracle.py).
 ADMISSION_LIMIT = 5_000          # global daily limit for the admission query
@@ -178,6 +179,23 @@ def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.delete(idx, gone).select(*index_cols())
 
 
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of the stored index, read after the last one was written: vectors, the batch upserted, deleted paths gone."""
+    root = scratch(spark, "index-versions")
+    index = domain.vectors(spark, sf_dir)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+    IS.replace(index, root)
+    IS.upsert(domain.index_batch(spark, sf_dir).select(*index.columns), root, schema)
+    gone = (CH.latest_change(domain.change_keys(spark, sf_dir)).filter(F.col("op") == "deleted")
+            .select(F.sha2("path", 256).alias("doc_id")))
+    IS.delete(IS.read(spark, root, schema).join(gone, "doc_id", "left_semi"), root, schema)
+    out = None
+    for v in IS.versions(spark, root):
+        one = IS.read(spark, root, schema, v).select(F.lit(v).alias("version"), *index_cols())
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = domain.change_texts(spark, sf_dir)(CH.latest_change(domain.change_keys(spark, sf_dir)))
     return last.select("path", "op", "seq", F.sha2("content", 256).alias("content_sha"))
@@ -288,6 +306,7 @@ QUERIES: dict[str, Query] = {
     "knn_batch": knn_batch,
     "index_upsert": index_upsert,
     "index_delete": index_delete,
+    "index_versions": index_versions,
     "latest_change": latest_change,
     "index_sync": index_sync,
     "tree_nodes": tree_nodes,

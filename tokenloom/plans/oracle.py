@@ -410,6 +410,15 @@ SELECT {INDEX_OUT} FROM upserted
 WHERE doc_id NOT IN (SELECT sha256(path) FROM last_change WHERE op = 'deleted')
 """
 
+ORACLE_SQL["index_versions"] = f"""
+WITH {VEC_CTE}
+SELECT 0 AS version, {INDEX_OUT} FROM vec
+UNION ALL
+SELECT 1 AS version, {INDEX_OUT} FROM upserted
+UNION ALL
+SELECT 2 AS version, {INDEX_OUT} FROM upserted WHERE doc_id NOT IN (SELECT sha256(path) FROM last_change WHERE op = 'deleted')
+"""
+
 ORACLE_SQL["latest_change"] = f"""
 WITH {VEC_CTE}
 SELECT path, op, seq, sha256(content) AS content_sha FROM last_change
