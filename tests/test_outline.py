@@ -309,3 +309,111 @@ def test_rule_tables_that_cannot_be_used(spark):
         O.languages(one.withColumn("block", F.lit("columns")))
     with pytest.raises(ValueError, match="at most"):
         O.languages(spark.range(O.MAX_RULES + 1).select(F.concat(F.lit("."), F.col("id").cast("string")).alias("ext")).crossJoin(one.drop("ext")))
+
+
+MODES = r"""const a = `x ${ok ? `in ${deep(`}`)} {` : "}"} y {`;
+function one(b): { n: number; s: string } {
+  return { n: 1, s: `${b.map((q) => `<${q}>`).join(`,`)} it's {` };
+}
+const two: (x: number) => string = (x) => `${x}`;
+const three = (x: number): { n: Map<string, { k: number }> } => {
+  return x; // don't {
+};
+class W {
+  four(a: string): Promise<{ n: number }[]> {
+    return a.replace(/[/"'`{]/g, "}").split(/\{/);
+  }
+  five(cb: (e: { m: string }) => void): { ok: boolean } | null {
+    /* `${ ' " */
+    return <p>Don't {cb} stop, it's {a}</p>;
+  }
+}
+const six = `line {
+  ${list.map((i) => { return `${i}
+  }`; })}
+  function hidden() {`;
+function seven() { return 'it\'s { \
+ }' + "\"{"; }
+"""
+
+
+def test_js_modes_follow_nested_literals_and_types(spark):
+    df = spark.createDataFrame([("a.ts", MODES)], "path string, content string")
+    got = O.js_outline(df).collect()[0]
+    assert got.balanced
+    assert got.text.split("\n") == [
+        "function one(b): { n: number; s: string } { ...", "const two: (x: number) => string = (x) => `${x}`; ...",
+        "const three = (x: number): { n: Map<string, { k: number }> } => { ...", "class W { ...",
+        "four(a: string): Promise<{ n: number }[]> { ...", "five(cb: (e: { m: string }) => void): { ok: boolean } | null { ...",
+        "function seven() { return 'it\\'s { \\ ..."]
+    names = ["one", "two", "three", "four", "five", "six", "seven", "hidden"]
+    req = spark.createDataFrame([("a.ts", n) for n in names], "path string, name string")
+    blocks = {r.name: r.text for r in O.js_blocks(df, req).collect()}
+    src = MODES
+    assert blocks["one"] == src[src.index("function one"):src.index("\nconst two")]
+    assert blocks["two"] == "two: (x: number) => string = (x) => `${x}`"
+    assert blocks["three"] == src[src.index("three ="):src.index(";\nclass W")]
+    assert blocks["four"] == src[src.index("four("):src.index("\n  five(")]
+    assert blocks["five"] == src[src.index("five("):src.index("\n}\nconst six")]
+    assert blocks["six"] == src[src.index("six ="):src.index(";\nfunction seven")]
+    assert blocks["seven"] == src[src.index("function seven"):].rstrip()
+    assert "hidden" not in blocks
+
+
+def test_mask_keeps_every_character_in_place(spark):
+    import random
+
+    rng, marks = random.Random(3), ["`", "${", "}", "{", "'", '"', "/", "//", "/*", "*/", "\\", "\n", "=", "(", "a", "é", " ", "[", "]", "x=>", "𝒳"]
+    texts = [MODES, "", None] + ["".join(rng.choice(marks) for _ in range(rng.randrange(60))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", O.mask(F.col("t"), O.JAVASCRIPT).alias("m")).collect():
+        assert (r.m is None) == (r.t is None)
+        if r.t is not None:
+            assert len(r.m) == len(r.t), r
+            assert [i for i, c in enumerate(r.t) if c == "\n"] == [i for i, c in enumerate(r.m) if c in "\n" + O.INNER_BREAK]
+
+
+def _masked_by_hand(t):
+    '''Nested templates without other literals: text is filler, code and the braces around it stay.'''
+    out, stack, i = [], [], 0
+    while i < len(t):
+        c = t[i]
+        if stack and stack[-1] == "t":
+            if t.startswith("${", i):
+                out.append("x{")
+                stack.append("e")
+                i += 2
+                continue
+            if c == "`":
+                stack.pop()
+            out.append(O.INNER_BREAK if c == "\n" else "x")
+        elif c == "`":
+            stack.append("t")
+            out.append("x")
+        else:
+            if c == "{":
+                stack.append("b")
+            elif c == "}" and stack:
+                stack.pop()
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def test_templates_of_any_depth(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def code(d):
+        kinds = [rng.choice(["a", " + ", "{b}", "\n", "`" if d else "c"]) for _ in range(rng.randrange(5))]
+        return "".join(f"`{text(d - 1)}`" if k == "`" else k for k in kinds)
+
+    def text(d):
+        kinds = [rng.choice(["t", "{", "}", "'", '"', "//", "/*", "\n", "$t", "${", "${"]) for _ in range(rng.randrange(6))]
+        return "".join("${" + code(d) + "}" if k == "${" else k for k in kinds)
+
+    texts = [code(12) for _ in range(200)] + ["`${" * 40 + "x" + "}`" * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", O.mask(F.col("t"), O.JAVASCRIPT).alias("m")).collect():
+        assert r.m == _masked_by_hand(r.t)

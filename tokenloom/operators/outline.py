@@ -12,8 +12,8 @@ compared with texts as columns.
 
 Known limits: syntax errors are not followed, but a file whose brackets do not balance is flagged
 (``balanced``); JS/TS regex literals are recognised heuristically; parentheses are followed five levels deep
-inside a head, type arguments three; a return type with braces, nested template literals and function
-types with an arrow inside a declarator's annotation are not.
+inside a head, type arguments and braces in types three. Template literals are followed to any depth, code inside them is code; an
+apostrophe in JSX text is told by the letters around it, other single quotes there end with their line.
 """
 
 from __future__ import annotations
@@ -44,11 +44,15 @@ PY_MASK = (r'#[^\n]*'
            r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+')")
 _PY_NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
 
-JS_MASK = (r"//[^\n]*|/\*[\s\S]*?\*/"
-           r'|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-           r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-           r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-           r"|(?<=[=(,:!&|?{};]\s{0,3})/(?![*/])(?:[^/\\\n\[]|\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])+/[a-z]*")
+# marks that can change what the text after them is; a slash that may begin a regex is cut with the sign before it, and an
+# apostrophe inside a word with the letter after it
+JS_MARKS = (r"\\\n|\\[^\n*]|//|/\*|\*/|\$\{|[=(,:!&|?;][ \t]{0,3}/(?![*/])(?=[^\n]*/)"
+            r"|(?<=\p{L})(?<!\b(?:return|case|typeof|in|of|else|import|from|export|default|as))'\p{L}"
+            r"""|["'`{}\[\]\n/]""")
+# Modes: q s strings, t template text, e code inside a template, b braces in code, l k comments, r regex, i class in a regex.
+# Classes of marks: the mark itself, L K D // /* */, $ the braces in a template, O slash of a regex, A apostrophe, n line break, N escaped one.
+_OPENS, _OPENED, _OPENED_AS = "\"'`LKO{$", "qstlkrbb", "XXXCCRcc"
+_CLOSES = " q\" qn s' sA sn t` ln lN kD r/ rL rK rD rO rn i] in e} b} "
 
 
 def _nested(open_: str, close: str, levels: int, stop: str = "") -> str:
@@ -61,22 +65,26 @@ def _nested(open_: str, close: str, levels: int, stop: str = "") -> str:
 
 
 _PARENS = _nested("(", ")", 6)
+_BRACES = _nested("{", "}", 4)
+_ANGLES = rf"<(?:[^<>(){{}};]++|{_BRACES}|<(?:[^<>(){{}};]++|{_BRACES}|<[^<>(){{}};]*+>)*+>)*+>"
+# after the colon of a result: a brace is part of the type if something other than the body follows it on the line
+_RESULT = rf"(?:\s*:(?:[^{{}};=]++|=>|{_BRACES}(?=[ \t]*[\[|&>{{,]))*+)?"
 _TYPES = rf"(?:\s*{_nested('<', '>', 3, '(){};')})?"
 _NAME = r"#?[\w$]+"
 _STATEMENT = r"(?<![=(,:?&|!+\-*/%<>.\w$\[]\s{0,20})"            # not inside an expression
 _MEMBER = r"(?<=[{};,\n][ \t]{0,99})"                            # begins a member or a statement
-_ARROW = rf"(?:async\s*+)?(?:(?:{_nested('<', '>', 3, '(){};')}\s*)?{_PARENS}(?:\s*:[^=(){{}};,]++)?|(?<![\w$])[\w$]++)\s*+=>\s*+\{{?"
+_ARROW = rf"(?:async\s*+)?(?:(?:{_nested('<', '>', 3, '(){};')}\s*)?{_PARENS}(?:\s*:(?:[^=(){{}};,<]++|{_ANGLES}|{_BRACES})*+)?|(?<![\w$])[\w$]++)\s*+=>\s*+\{{?"
 _KEYWORDS = r"(?!(?:if|for|while|switch|catch|with|function|return|do|else|await|typeof|new|super)\b)"
 _MODIFIERS = r"(?:(?:static|async|get|set|public|private|protected|readonly|override|accessor)\s+|\*\s*)*"
 # kind -> pattern; the order decides. A head may span lines.
 JS_HEADS = {
-    "function": rf"(?=export|async|function){_STATEMENT}(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+{_NAME}{_TYPES}\s*{_PARENS}(?:\s*:[^{{;=]++)?\s*\{{",
+    "function": rf"(?=export|async|function){_STATEMENT}(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+{_NAME}{_TYPES}\s*{_PARENS}{_RESULT}\s*\{{",
     "class": rf"(?=export|class){_STATEMENT}(?:export\s+(?:default\s+)?)?class\s+{_NAME}[^{{;]*+\{{",
     "interface": rf"(?=export|declare|interface){_STATEMENT}(?:export\s+(?:default\s+)?)?(?:declare\s+)?interface\s+{_NAME}[^{{;]*+\{{",
     "type": rf"(?=export|type){_STATEMENT}(?:export\s+)?type\s+{_NAME}{_TYPES}\s*=(?:[^;{{}}()\n]++|{_PARENS})*+",
-    "arrow_declarator": rf"(?=export|const|let|var)(?<![\w$.])(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*(?::[^=;]++)?=\s*{_ARROW}",
+    "arrow_declarator": rf"(?=export|const|let|var)(?<![\w$.])(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*(?::(?:[^=;{{}}]++|=>|{_BRACES})*+)?=\s*{_ARROW}",
     "declarator": rf"(?=const|let|var)(?<![\w$.])(?:const|let|var)\s+(?:{_NAME})?",
-    "method": rf"(?=[\w$#*])(?<![\w$#.]){_MEMBER}{_MODIFIERS}{_KEYWORDS}{_NAME}{_TYPES}\s*{_PARENS}(?:\s*:[^{{}};=]++)?\s*\{{",
+    "method": rf"(?=[\w$#*])(?<![\w$#.]){_MEMBER}{_MODIFIERS}{_KEYWORDS}{_NAME}{_TYPES}\s*{_PARENS}{_RESULT}\s*\{{",
     "arrow": _ARROW,
 }
 JS_NAME = {
@@ -113,14 +121,18 @@ class Head:
     cover: bool = True
 
 
+BLOCKS = ("indent", "brace", "brace_modes")
+
+
 @dataclass(frozen=True)
 class Language:
     """Rules of one language. The first head that fits counts. ``above`` and ``continues`` are lines of an indentation
     language that belong to the next definition, and that go on in the next line; ``separator`` ends a statement of a brace
-    language. With ``or_else`` a file without definitions has no outline, and the next view is taken."""
+    language. With ``or_else`` a file without definitions has no outline, and the next view is taken. In a ``brace_modes``
+    language literals may hold code: ``mask`` cuts marks, and a stack of modes tells what each of them means."""
 
     stage: str
-    block: str                    # 'indent' or 'brace'
+    block: str                    # one of BLOCKS
     mask: str                     # comments and literals
     line_comment: str
     block_comment: str | None
@@ -135,7 +147,7 @@ class Language:
 PYTHON = Language("py_outline", "indent", PY_MASK, "#", None, (
     Head("class", rf"^\s*class\s+{_PY_NAME}", cover=False),
     Head("function", rf"^\s*(?:def|async\s+def)\s+{_PY_NAME}", name=rf"^\s*(?:def|async\s+def)\s+{_PY_NAME}")), above=r"^\s*@", continues=r"\\\s*$")
-JAVASCRIPT = Language("js_outline", "brace", JS_MASK, "//", "/*", tuple(
+JAVASCRIPT = Language("js_outline", "brace_modes", JS_MARKS, "//", "/*", tuple(
     # what stood before a head was checked when it was cut out
     Head(k, p.replace(_STATEMENT, "").replace(_MEMBER, ""), p, JS_NAME.get(k), JS_BEFORE.get(k),
          k in ("function", "class", "arrow_declarator", "method", "arrow"), k not in ("class", "type"))
@@ -163,7 +175,7 @@ def languages(rules: DataFrame) -> dict[str, Language]:
     for r in rows:
         row = r.asDict(recursive=True)
         ext = row.pop("ext")
-        if ext in out or row["block"] not in ("indent", "brace"):
+        if ext in out or row["block"] not in BLOCKS:
             raise ValueError(f"rule for {ext!r} is repeated or has an unknown block style")
         heads = tuple(Head(**{**h, "shown": h["shown"] is not False, "cover": h["cover"] is not False}) for h in row.pop("heads"))
         out[ext] = Language(**{**row, "heads": heads, "separator": row["separator"] or "[;,]", "or_else": bool(row["or_else"]),
@@ -185,16 +197,25 @@ def _written_in(lang: Language, exts: list[str]) -> Column:
     return F.greatest(*[F.col("path").endswith(e) for e in [*exts, exts[0]]])
 
 
+def _filler(literal: Column) -> Column:
+    return F.translate(F.regexp_replace(literal, r"[^\n]", "x"), "\n", INNER_BREAK)
+
+
+def _blank(comment: Column) -> Column:
+    return F.regexp_replace(comment, r"[^\n]", " ")
+
+
 def mask(content: Column, lang: Language) -> Column:
     """The text with comments blanked and literals filled, character for character."""
+    if lang.block == "brace_modes":
+        return _mask_by_modes(content, lang)
     lits = F.regexp_extract_all(content, F.lit(lang.mask), 0)
 
     def one(lit: Column) -> Column:
-        filler = F.translate(F.regexp_replace(lit, r"[^\n]", "x"), "\n", INNER_BREAK)
         out = F.when(lit.startswith(lang.line_comment), F.repeat(F.lit(" "), F.length(lit)))
         if lang.block_comment:
-            out = out.when(lit.startswith(lang.block_comment), F.regexp_replace(lit, r"[^\n]", " "))
-        return out.otherwise(filler)
+            out = out.when(lit.startswith(lang.block_comment), _blank(lit))
+        return out.otherwise(_filler(lit))
 
     def whole(parts: Column) -> Column:
         rest = F.zip_with(F.transform(lits, one), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
@@ -204,6 +225,51 @@ def mask(content: Column, lang: Language) -> Column:
     return T.let(F.split(content, lang.mask, -1), whole)
 
 
+def _mark_class(m: Column) -> Column:
+    """One sign a mark (see JS_MARKS)."""
+    return (F.when(m == "\n", "n").when(m == "//", "L").when(m == "/*", "K").when(m == "*/", "D").when(m == "${", "$").when(m == "\\\n", "N")
+            .when(m.startswith("\\"), "\\").when(F.length(m) == 1, m).when(m.startswith("'"), "A").otherwise("O"))
+
+
+def _modes(classes: Column) -> Column:
+    """A fold over marks with a stack of modes (a string, its top first): what becomes of the text before each mark and of the
+    mark (one sign a mark, see ``_mask_by_modes``), and the stack at the end."""
+    def step(acc: Column, c: Column) -> Column:
+        def of(top: Column) -> Column:
+            stack, code = acc["stack"], top.isin("", "e", "b")
+            opens = F.when(code, F.instr(F.lit(_OPENS), c)).otherwise(0)
+            closes = F.instr(F.lit(_CLOSES), F.concat(F.lit(" "), top, c, F.lit(" "))) > 0
+            after = (F.when(closes & (top == "i") & (c == "n"), F.substring(stack, 3, 1 << 30)).when(closes, F.substring(stack, 2, 1 << 30))
+                     .when(opens > 0, F.concat(F.substring(F.lit(_OPENED), opens, F.lit(1)), stack))
+                     .when((top == "t") & (c == "$"), F.concat(F.lit("e"), stack)).when((top == "r") & (c == "["), F.concat(F.lit("i"), stack))
+                     .otherwise(stack))
+            sign = (F.when(opens > 0, F.substring(F.lit(_OPENED_AS), opens, F.lit(1))).when(code, "c").when(top.isin("l", "k"), "k")
+                    .when((top == "t") & (c == "$"), "E").when((top != "t") & (c == "n"), "n").otherwise("x"))
+            return F.struct(F.concat(acc["signs"], sign).alias("signs"), after.alias("stack"))
+        return T.let(F.substring(acc["stack"], 1, 1), of)
+    return F.aggregate(classes, F.struct(F.lit("").alias("signs"), F.lit("").alias("stack")), step)
+
+
+def _mask_by_modes(content: Column, lang: Language) -> Column:
+    """Code inside a template stays code, between the braces that hold it. Signs: c all stays, C the mark begins a comment, X a literal,
+    R a regex, E code in a template; x and k lie inside a literal and a comment, n is the line break that ends an open literal."""
+    def whole(parts: Column, marks: Column, modes: Column) -> Column:
+        def one(m: Column, i: Column, signs: Column) -> Column:
+            k, p = F.get(signs, i), F.get(parts, i)
+            before = F.when(k.isin("c", "C", "X", "R"), p).when(k == "k", _blank(p)).otherwise(_filler(p))
+            own = (F.when(k.isin("c", "n"), m).when(k.isin("C", "k"), _blank(m)).when(k == "E", F.lit("x{"))
+                   .when(k == "R", F.concat(F.substring(m, F.lit(1), F.length(m) - 1), F.lit("x"))).otherwise(_filler(m)))
+            return F.concat(before, own)
+        top, rest = F.substring(modes["stack"], 1, 1), F.element_at(parts, -1)
+        last = F.when(top.isin("", "e", "b"), rest).when(top.isin("l", "k"), _blank(rest)).otherwise(_filler(rest))
+        body = T.let(F.split(modes["signs"], "", -1), lambda signs: F.array_join(F.transform(marks, lambda m, i: one(m, i, signs)), ""))
+        return F.concat(body, last)
+
+    marks = F.regexp_extract_all(content, F.lit(lang.mask), 0)
+    return T.let(F.split(content, lang.mask, -1), lambda parts: T.let(marks, lambda found: T.let(
+        _modes(F.transform(found, _mark_class)), lambda modes: whole(parts, found, modes))))
+
+
 def _delta(s: Column) -> Column:
     return (F.regexp_count(s, F.lit(OPENING)) - F.regexp_count(s, F.lit(CLOSING))).cast("int")
 
@@ -434,7 +500,7 @@ def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[st
     outline, stage = F.when(~ok, none), F.when(~ok, "unreadable")
     for lang, exts in _by_language(table):
         here = _written_in(lang, exts)
-        rows = _js_rows(_js_events(content, lang), lang) if lang.block == "brace" else _py_rows(_py_lines(content, lang), lang)
+        rows = _py_rows(_py_lines(content, lang), lang) if lang.block == "indent" else _js_rows(_js_events(content, lang), lang)
         outline = outline.when(here, rows)
         stage = stage.when((F.col("_lang") == lang.stage) & ((F.size("o.rows") > 0) if lang.or_else else F.lit(True)), lang.stage)
     spoken = F.coalesce(*[F.when(_written_in(lang, exts), lang.stage) for lang, exts in _by_language(table)], F.lit(""))
@@ -456,7 +522,7 @@ def function_blocks(corpus: DataFrame, requests: DataFrame, token_count=T.token_
     blocks = None
     for lang, exts in _by_language(table):
         here = _written_in(lang, exts)
-        one = (js_blocks if lang.block == "brace" else python_blocks)(ok.filter(here), req.filter(here), lang)
+        one = (python_blocks if lang.block == "indent" else js_blocks)(ok.filter(here), req.filter(here), lang)
         blocks = one if blocks is None else blocks.unionByName(one)
     out = req.join(blocks.withColumnRenamed("text", "block"), ["path", "name"], "left")
     block = F.col("block")
