@@ -63,3 +63,48 @@ def test_filters_have_no_false_negatives(spark):
     assert df.where(may(F.col("key"))).count() == 5000
     others = spark.range(100_000).select((F.col("id") * 7 + 1).alias("key"))
     assert others.where(may(F.col("key"))).count() < 5_000
+
+
+def plain_canonical(host, path):
+    """Canonical url by a plain loop over signs and segments."""
+    for port in (":443", ":80", ":"):
+        if host.endswith(port):
+            host = host[:-len(port)]
+            break
+    host = host[:-1] if host.endswith(".") else host
+    out, i = "", 0
+    while i < len(path):
+        two = path[i + 1:i + 3]
+        if path[i] == "%" and len(two) == 2 and all(c in "0123456789abcdefABCDEF" for c in two):
+            c = chr(int(two, 16))
+            out += c if c.isascii() and (c.isalnum() or c in "-._~") else "%" + two.upper()
+            i += 3
+        else:
+            out += path[i]
+            i += 1
+    segments, kept = out.split("/")[1:], []
+    for s in segments:
+        if s == "..":
+            kept = kept[:-1]
+        elif s != ".":
+            kept.append(s)
+    return host + "/" + "/".join(kept) + ("/" if kept and segments[-1] in (".", "..") else "")
+
+
+def test_canonical_urls_equal_plain_python(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    hosts = ["bad.org", "bad.org.", "bad.org:80", "bad.org:443", "bad.org:8080", "bad.org.:80", "bad.org:"]
+    bits = ["/", "/", "a", ".", "..", "%2e", "%41", "%2f", "%c3%bc", "%", "%4", "%zz", "ü", "~", "/./", "/../", "b"]
+    urls = [f"https://{rng.choice(hosts)}{p and '/'}{p}" for p in ("".join(rng.choice(bits) for _ in range(rng.randrange(7))) for _ in range(400))]
+    host, path = url_filter.url_parts(F.col("url"))
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for r in df.select("url", url_filter.canonical(host, path).alias("c")).collect():
+        assert r["c"] == plain_canonical(*parts(r["url"])), r["url"]
+    spellings = ["http://BAD.org:80/a/b", "https://bad.org./a/./b#x", "http://bad.org/a/c/../b?q", "http://bad.org/%61/b", "http://bad.org/a/%2E%2e/a/b"]
+    others = ["http://bad.org:8080/a/b", "http://bad.org/a/b/", "http://bad.org/a%2Fb", "http://bad.org/A/b"]
+    got = run(spark, [], ["bad.org/a/b"], spellings + others)
+    assert [got[i][3] for i in range(9)] == ["block"] * 5 + ["allow"] * 4

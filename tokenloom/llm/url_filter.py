@@ -5,7 +5,10 @@ the false ones. Two kinds of entries are listed:
 
 * rules (host, path, verdict): fit the host and its subdomains where the url's path starts with the
   rule's path; the longest fitting rule (host and path together, then the host) decides;
-* canonical urls (scheme, query and fragment removed, host lower-cased): block that page.
+* canonical urls: block every page with that canonical url. Scheme, query and fragment are removed, A-Z of the host lower-cased;
+  a dot at the host's end and the ports 80 and 443 go; an escape (%41) of a letter, digit or one of ``-._~`` becomes that sign, other
+  escapes get upper-case digits; the segments ``.`` and ``..`` are resolved; an empty path is ``/``. Rules see host and path
+  as they are, so none of this changes which rule fits.
 
 A url is expanded into the keys under which it could be listed: every host suffix joined with every
 path prefix of a length that some rule has, and its own canonical form. The work is linear in urls.
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bloom
-from tokenloom.llm.common import lean, materialize
+from tokenloom.llm.common import lean, let, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,8 +39,37 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1)
 
 
+def _unescaped(path: Column) -> Column:
+    """Escapes of unreserved signs decoded, the digits of others in upper case."""
+    escape = "%[0-9A-Fa-f]{2}"
+
+    def one(e: Column) -> Column:
+        sign = F.char(F.conv(F.substring(e, 2, 2), 16, 10).cast("int"))
+        return F.when(sign.rlike(r"\A[A-Za-z0-9\-._~]\z"), sign).otherwise(F.translate(e, LOWER[:6], UPPER[:6]))
+
+    found = F.transform(F.regexp_extract_all(path, F.lit(escape), 0), one)
+    # one part more than escapes
+    return F.array_join(F.zip_with(F.split(path, escape, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _resolved(path: Column) -> Column:
+    """The path without its ``.`` and ``..`` segments; one of them at the end leaves a slash."""
+    def step(acc: Column, s: Column) -> Column:
+        return (F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+                .otherwise(F.concat(acc, F.array(s))))
+
+    segments = F.split(path, "/", -1)            # the first is what stands before the first slash: nothing
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def canonical(host: Column, path: Column) -> Column:
-    return F.when(host != "", F.concat(host, path))
+    """The canonical url of a host and a path of ``url_parts``, null without a host."""
+    bare = F.regexp_replace(host, r"\.?(?::(?:80|443)?)?\z", "")
+    plain = F.when(F.contains(path, F.lit("%")), _unescaped(path)).otherwise(path)
+    whole = let(plain, lambda p: F.when(p == "", "/").when(F.contains(p, F.lit("/.")), _resolved(p)).otherwise(p))
+    return F.when(host != "", F.concat(bare, whole))
 
 
 def _key(kind: str, *parts: Column) -> Column:
@@ -71,10 +103,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
         lambda p: p.isNotNull()))
     cand = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(
         _key("rule", s, p).alias("key"), s.alias("rule_host"), p.alias("rule_path")))))
-    own = F.array(F.struct(_key("url", F.concat("host", "path")).alias("key"),
+    own = F.array(F.struct(_key("url", F.col("url")).alias("key"),
                            F.lit(None).cast("string").alias("rule_host"), F.lit(None).cast("string").alias("rule_path")))
-    urls = pages.select("host", "path").where("host != ''").distinct()
-    keys = (urls.select("host", "path", F.explode(F.concat(cand, own)).alias("c")).select("host", "path", "c.*")
+    urls = pages.select("host", "path").where("host != ''").distinct().withColumn("url", canonical(F.col("host"), F.col("path")))
+    keys = (urls.select("host", "path", "url", F.explode(F.concat(cand, own)).alias("c")).select("host", "path", "url", "c.*")
             .withColumn("block", bloom.block_of("key", log2_blocks)))
 
     def possible(batches):
@@ -95,7 +127,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
                .select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"),
                        F.lit(False).alias("on_list")))
     by_url = (keys.where("rule_host is null")
-              .join(listed.select("key", "url"), "key").where(F.concat("host", "path") == F.col("url"))
+              .join(listed.select("key", "url"), ["key", "url"])
               .select("host", "path", F.lit(None).cast("string").alias("rule"),
                       F.lit(None).cast("string").alias("rule_verdict"), F.lit(True).alias("on_list")))
     hits = materialize(by_rule.union(by_url).groupBy("host", "path")
