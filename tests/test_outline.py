@@ -417,3 +417,29 @@ def test_templates_of_any_depth(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", O.mask(F.col("t"), O.JAVASCRIPT).alias("m")).collect():
         assert r.m == _masked_by_hand(r.t)
+
+
+def test_heavy_rows_are_dealt_out_without_the_setting(spark):
+    from tokenloom.plans import code_corpus, domain
+
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (
+        code_corpus.code_files(spark, "/root/testdata/sf0.001"), domain.corpus(spark, "/root/testdata/sf0.001", heavy=True))]
+    assert all("RepartitionByExpression" in p for p in plans)
+
+
+def test_blocks_are_joined_without_a_broadcast(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    return 1\n", "ok"), ("b.js", "function g() { return 2; }\n", "ok")], "path string, content string, status string")
+    asked = spark.createDataFrame([("a.py", "f"), ("b.js", "g"), ("b.js", "h")], "path string, name string")
+    got = O.function_blocks(files, asked)
+    assert sorted((r.path, r.name, r.found) for r in got.collect()) == [("a.py", "f", True), ("b.js", "g", True), ("b.js", "h", False)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_without_brackets_or_arrows_are_not_folded(spark):
+    from dataclasses import replace
+
+    texts = ["plain; text, 'it''s", "a class of its own", "const a = 1\nlet b", "x => y", "`${a}`", "", "class A {", ")", "'(' \"", "type A = b;\nfunction f", "/* ( */"]
+    files = spark.createDataFrame([(f"{i}.js", t, "ok") for i, t in enumerate(texts)], "path string, content string, status string")
+    slow = {e: replace(x, needs=None) for e, x in O.LANGUAGES.items()}
+    rows = lambda table: sorted(tuple(r) for r in O.reduced_view(files, table=table).collect())
+    assert rows(O.LANGUAGES) == rows(slow)

@@ -142,6 +142,7 @@ class Language:
     continues: str | None = None
     or_else: bool = False
     any_case: bool = False        # of the suffix
+    needs: str | None = None      # a brace language's text without this has no shown head and no bracket: it is not masked
 
 
 PYTHON = Language("py_outline", "indent", PY_MASK, "#", None, (
@@ -151,14 +152,14 @@ JAVASCRIPT = Language("js_outline", "brace_modes", JS_MARKS, "//", "/*", tuple(
     # what stood before a head was checked when it was cut out
     Head(k, p.replace(_STATEMENT, "").replace(_MEMBER, ""), p, JS_NAME.get(k), JS_BEFORE.get(k),
          k in ("function", "class", "arrow_declarator", "method", "arrow"), k not in ("class", "type"))
-    for k, p in JS_HEADS.items()), JS_SEPARATOR, or_else=True, any_case=True)
+    for k, p in JS_HEADS.items()), JS_SEPARATOR, or_else=True, any_case=True, needs=r"[(\[{)\]}]|=>")
 # in the order of the views
 LANGUAGES: dict[str, Language] = {".js": JAVASCRIPT, ".jsx": JAVASCRIPT, ".ts": JAVASCRIPT, ".tsx": JAVASCRIPT, ".py": PYTHON}
 
 MAX_RULES = 1_000        # rows of a rule table: they become part of the plan
 RULE_SCHEMA = ("ext string, stage string, block string, mask string, line_comment string, block_comment string, "
                "heads array<struct<kind:string,tell:string,cut:string,name:string,before:string,shown:boolean,cover:boolean>>, "
-               "separator string, above string, continues string, or_else boolean, any_case boolean")
+               "separator string, above string, continues string, or_else boolean, any_case boolean, needs string")
 
 
 def rule_rows(spark: SparkSession, table: Mapping[str, Language] = LANGUAGES) -> DataFrame:
@@ -369,7 +370,8 @@ def python_outline(code: DataFrame, lang: Language = PYTHON) -> DataFrame:
 
 def _asked(code: DataFrame, requests: DataFrame) -> DataFrame:
     """Files with the names that are asked of them: texts travel once, before anything is derived."""
-    return code.select("path", "content").join(requests.groupBy("path").agg(F.collect_set("name").alias("names")), "path")
+    asked = requests.groupBy("path").agg(F.collect_set("name").alias("names"))
+    return code.select("path", "content").hint("merge").join(asked, "path")      # sizes of derived texts are guessed far too low to broadcast by
 
 
 def python_blocks(code: DataFrame, requests: DataFrame, lang: Language = PYTHON) -> DataFrame:
@@ -385,20 +387,28 @@ def python_blocks(code: DataFrame, requests: DataFrame, lang: Language = PYTHON)
 # ------------------------------------------------------------------------------- JS / TS
 
 
+def _no_rows() -> Column:
+    return F.struct(F.array().cast("array<struct<i:int,signature:boolean>>").alias("rows"), F.lit(True).alias("balanced"))
+
+
 def _js_events(content: Column, lang: Language = JAVASCRIPT) -> Column:
     """Heads, brackets and separators in order, with kind, name, line breaks and characters."""
     event = "|".join([*(h.cut or h.tell for h in lang.heads), r"[(\[{]", r"[)\]}]", lang.separator])
 
     def of(masked: Column) -> Column:
+        def breaks(x: Column) -> Column:
+            return F.length(x) - F.length(F.translate(x, f"\n{INNER_BREAK}", ""))
+
         def one(e: Column, before: Column) -> Column:
-            kind = F.when(e.rlike(r"^[(\[{]$"), "open").when(e.rlike(r"^[)\]}]$"), "close").when(e.rlike(r"^[;,]$"), "sep") \
+            sign = F.length(e) == 1                      # most events are one sign, which needs no pattern
+            kind = F.when(sign & e.isin("(", "[", "{"), "open").when(sign & e.isin(")", "]", "}"), "close").when(sign & e.isin(";", ",", "\n"), "sep") \
                 .when(e.rlike(r"^[ \t]*\n$"), "sep")
             for h in lang.heads:
                 kind = kind.when(e.rlike("^(?:" + h.tell + ")$"), h.kind)
+            delta = F.when(sign, F.when(e.isin("(", "[", "{"), 1).when(e.isin(")", "]", "}"), -1).otherwise(0)).otherwise(_delta(e))
             name, lead = F.lit(""), F.lit(0)
-            return F.struct(kind.alias("kind"), e.alias("text"), _delta(e).alias("delta"), e.endswith("{").alias("braced"),
-                            F.regexp_count(before, F.lit(f"[\n{INNER_BREAK}]")).cast("int").alias("breaks"),
-                            F.regexp_count(e, F.lit(f"[\n{INNER_BREAK}]")).cast("int").alias("own_breaks"),
+            return F.struct(kind.alias("kind"), e.alias("text"), delta.alias("delta"), e.endswith("{").alias("braced"),
+                            breaks(before).alias("breaks"), breaks(e).alias("own_breaks"),
                             F.length(before).alias("gap"), F.length(e).alias("size"), name.alias("name"), lead.alias("lead"))
         parts = F.split(masked, event, -1)
         events = F.regexp_extract_all(masked, F.lit(event), 0)
@@ -448,6 +458,12 @@ def _js_rows(events: Column, lang: Language = JAVASCRIPT) -> Column:
     return F.aggregate(events, zero, step, lambda acc: F.struct(acc["rows"].alias("rows"), (acc["depth"] == 0).alias("balanced")))
 
 
+def _js_outlined(content: Column, lang: Language = JAVASCRIPT) -> Column:
+    """``_js_rows`` of a text. One that lacks what every shown head and every bracket needs has no rows and is balanced."""
+    rows = _js_rows(_js_events(content, lang), lang)
+    return F.when(~content.rlike(lang.needs), _no_rows()).otherwise(rows) if lang.needs else rows
+
+
 def _js_span(events: Column, name: Column) -> Column:
     """(start, end) characters of the first function, method or declarator of that name, start -1 without one."""
     def step(acc: Column, e: Column) -> Column:
@@ -468,7 +484,7 @@ def _js_span(events: Column, name: Column) -> Column:
 def js_outline(code: DataFrame, lang: Language = JAVASCRIPT) -> DataFrame:
     """(path, text, tokens, balanced): one line per kept definition in file order; files without a
     definition are left out (the chain goes on to the next view)."""
-    found = T.let(_js_rows(_js_events(F.col("content"), lang), lang), lambda o: F.when(F.size(o["rows"]) > 0, F.array(F.struct(
+    found = T.let(_js_outlined(F.col("content"), lang), lambda o: F.when(F.size(o["rows"]) > 0, F.array(F.struct(
         _text(F.col("content"), o["rows"]).alias("text"), o["balanced"].alias("balanced")))))
     res = code.select("path", F.explode(found).alias("o")).select("path", "o.text", "o.balanced")   # a filter would run it twice
     return res.select("path", "text", T.token_estimate("text").alias("tokens"), "balanced")
@@ -496,11 +512,11 @@ def reduced_view(corpus: DataFrame, token_count=T.token_estimate, keep: tuple[st
     """
     content = F.col("content")
     ok = F.col("status") == "ok"
-    none = F.struct(F.array().cast("array<struct<i:int,signature:boolean>>").alias("rows"), F.lit(True).alias("balanced"))
+    none = _no_rows()
     outline, stage = F.when(~ok, none), F.when(~ok, "unreadable")
     for lang, exts in _by_language(table):
         here = _written_in(lang, exts)
-        rows = _py_rows(_py_lines(content, lang), lang) if lang.block == "indent" else _js_rows(_js_events(content, lang), lang)
+        rows = _py_rows(_py_lines(content, lang), lang) if lang.block == "indent" else _js_outlined(content, lang)
         outline = outline.when(here, rows)
         stage = stage.when((F.col("_lang") == lang.stage) & ((F.size("o.rows") > 0) if lang.or_else else F.lit(True)), lang.stage)
     spoken = F.coalesce(*[F.when(_written_in(lang, exts), lang.stage) for lang, exts in _by_language(table)], F.lit(""))
@@ -524,7 +540,7 @@ def function_blocks(corpus: DataFrame, requests: DataFrame, token_count=T.token_
         here = _written_in(lang, exts)
         one = (python_blocks if lang.block == "indent" else js_blocks)(ok.filter(here), req.filter(here), lang)
         blocks = one if blocks is None else blocks.unionByName(one)
-    out = req.join(blocks.withColumnRenamed("text", "block"), ["path", "name"], "left")
+    out = req.join(blocks.withColumnRenamed("text", "block").hint("merge"), ["path", "name"], "left")
     block = F.col("block")
     text = F.coalesce(block, F.format_string(NOT_EXTRACTED, F.col("name")))
     tokens = F.when(block.isNotNull(), token_count(block)).otherwise(F.lit(0)).cast("bigint")
