@@ -258,7 +258,7 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reduced view of every file of the given corpus (prose: outlines are empty or fall through)."""
-    view = O.reduced_view(domain.corpus(spark, sf_dir))
+    view = O.reduced_view(domain.corpus(spark, sf_dir, heavy=True))
     return view.select("path", "stage", F.sha2("text", 256).alias("text_sha"), "tokens")
 
 

@@ -143,7 +143,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(part_key, path, content, status) — two files per part."""
     from tokenloom.session import spread
 
-    part = spread(read_table(spark, sf_dir, "part"), "p_partkey")
+    part = spread(read_table(spark, sf_dir, "part"), "p_partkey", heavy=True)
     k = F.col("p_partkey")
     py = part.select(k.alias("part_key"),
                      F.concat(F.lit("code/"), brand_dir(), F.lit("/part_"), k.cast("string"), F.lit(".py")).alias("path"),

@@ -41,13 +41,13 @@ def corpus_path(doc_id, source, lang):
     return F.concat_ws("/", source, lang, d, F.concat(F.lit("doc"), doc_id.cast("string"), e))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> corpus(project, path, content, status): one file per document."""
+def corpus(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """documents -> corpus(project, path, content, status): one file per document; ``heavy`` as in ``session.spread``."""
     from tokenloom.functions import text as T
 
     from tokenloom.session import spread
 
-    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id", heavy=heavy)
     content = T.normalize_newlines("text")
     return docs.select(
         F.col("doc_id").alias("src_id"),
