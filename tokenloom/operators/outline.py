@@ -103,6 +103,7 @@ JS_BEFORE = {
 _LINE_END = r"(?=[ \t\n])(?<![-=>,(+*/&|?:\[{.<\s])[ \t]*+\n(?=\s*[\w$@\[{])"
 JS_SEPARATOR = rf"[;,]|{_LINE_END}"
 OPENING, CLOSING = r"[\(\[\{]", r"[\)\]\}]"
+JS_NEEDS = r"[(\[{)\]}]|=>"   # a text without this has no bracket and none of the shown JS_HEADS
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,6 @@ class Language:
     continues: str | None = None
     or_else: bool = False
     any_case: bool = False        # of the suffix
-    needs: str | None = None      # a brace language's text without this has no shown head and no bracket: it is not masked
 
 
 PYTHON = Language("py_outline", "indent", PY_MASK, "#", None, (
@@ -152,14 +152,14 @@ JAVASCRIPT = Language("js_outline", "brace_modes", JS_MARKS, "//", "/*", tuple(
     # what stood before a head was checked when it was cut out
     Head(k, p.replace(_STATEMENT, "").replace(_MEMBER, ""), p, JS_NAME.get(k), JS_BEFORE.get(k),
          k in ("function", "class", "arrow_declarator", "method", "arrow"), k not in ("class", "type"))
-    for k, p in JS_HEADS.items()), JS_SEPARATOR, or_else=True, any_case=True, needs=r"[(\[{)\]}]|=>")
+    for k, p in JS_HEADS.items()), JS_SEPARATOR, or_else=True, any_case=True)
 # in the order of the views
 LANGUAGES: dict[str, Language] = {".js": JAVASCRIPT, ".jsx": JAVASCRIPT, ".ts": JAVASCRIPT, ".tsx": JAVASCRIPT, ".py": PYTHON}
 
 MAX_RULES = 1_000        # rows of a rule table: they become part of the plan
 RULE_SCHEMA = ("ext string, stage string, block string, mask string, line_comment string, block_comment string, "
                "heads array<struct<kind:string,tell:string,cut:string,name:string,before:string,shown:boolean,cover:boolean>>, "
-               "separator string, above string, continues string, or_else boolean, any_case boolean, needs string")
+               "separator string, above string, continues string, or_else boolean, any_case boolean")
 
 
 def rule_rows(spark: SparkSession, table: Mapping[str, Language] = LANGUAGES) -> DataFrame:
@@ -459,9 +459,9 @@ def _js_rows(events: Column, lang: Language = JAVASCRIPT) -> Column:
 
 
 def _js_outlined(content: Column, lang: Language = JAVASCRIPT) -> Column:
-    """``_js_rows`` of a text. One that lacks what every shown head and every bracket needs has no rows and is balanced."""
+    """``_js_rows`` of a text. With the heads of JS/TS, one that lacks what each of them needs has no rows and is balanced."""
     rows = _js_rows(_js_events(content, lang), lang)
-    return F.when(~content.rlike(lang.needs), _no_rows()).otherwise(rows) if lang.needs else rows
+    return F.when(~content.rlike(JS_NEEDS), _no_rows()).otherwise(rows) if lang.heads == JAVASCRIPT.heads else rows
 
 
 def _js_span(events: Column, name: Column) -> Column:
