@@ -3,6 +3,8 @@
 import ast
 import glob
 import os
+import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 from tokenloom.operators import outline as O
@@ -445,3 +447,20 @@ def test_texts_without_brackets_or_arrows_are_not_folded(spark):
     assert [r.i for r in got.collect() if r.short != r.whole] == []
     plan = got.select("short")._jdf.queryExecution().optimizedPlan().toString()
     assert "NOT RLIKE(content" in plan
+
+
+def test_a_text_is_cut_in_one_search(spark):
+    texts = ["", "a1b22c", "1", "11a", "x\u00021y2", "no digits", "é1\n2", "$0\\1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.c.gaps, r.c.found) for r in df.select("t", O._cut(F.col("t"), r"\d+", lambda g, f: F.struct(g.alias("gaps"), f.alias("found"))).alias("c")).collect()}
+    assert got == {t: (re.split(r"\d+", t), re.findall(r"\d+", t)) for t in texts}
+    assert spark.range(1).select(O._cut(F.lit(None).cast("string"), "x", lambda g, f: g).alias("c")).first().c is None
+
+
+def test_events_inside_words_are_skipped_without_a_difference(spark):
+    text = "let a = myasync (x) => x;\nfoo\u0002(b)\nif (q) { get z() { return 'it' } } // it's {\nxfunction f() {}\n$async\n(y) => {}\n"
+    every = replace(O.JAVASCRIPT, separator=O.JS_SEPARATOR + "|(?!)")        # the same events, looked for at every place
+    assert "(?!async)" in str(O._js_events(F.col("t"))) and "(?!async)" not in str(O._js_events(F.col("t"), every))
+    for t in (text, text.replace("\u0002", "")):
+        got = spark.createDataFrame([(t,)], "t string").select(O._js_events(F.col("t")).alias("e"), O._js_events(F.col("t"), every).alias("all")).first()
+        assert got.e == got["all"] and "async (x) => " in [e.text for e in got.e] and len(got.e) > 12

@@ -36,6 +36,7 @@ UNREADABLE_PREFIX = "# could not read file: "
 # ---------------------------------------------------------------------------------------
 
 INNER_BREAK = "\u0001"       # a line break inside a literal
+CUT = "\u0002"               # stands around what a pattern cuts out
 
 PY_MASK = (r'#[^\n]*'
            r'|(?:\b[rRbBuUfF]{1,2})?(?:"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
@@ -46,9 +47,10 @@ _PY_NAME = r"([\p{L}_][\p{L}\p{N}_]*)"
 
 # marks that can change what the text after them is; a slash that may begin a regex is cut with the sign before it, and an
 # apostrophe inside a word with the letter after it
-JS_MARKS = (r"\\\n|\\[^\n*]|//|/\*|\*/|\$\{|[=(,:!&|?;][ \t]{0,3}/(?![*/])(?=[^\n]*/)"
+JS_MARKS = (r"(?=[\\/*$=(,:!&|?;'\"`{}\[\]\n])(?:"          # the first sign of a mark, so that most places are left at once
+            r"\\\n|\\[^\n*]|//|/\*|\*/|\$\{|[=(,:!&|?;][ \t]{0,3}/(?![*/])(?=[^\n]*/)"
             r"|(?<=\p{L})(?<!\b(?:return|case|typeof|in|of|else|import|from|export|default|as))'\p{L}"
-            r"""|["'`{}\[\]\n/]""")
+            r"""|["'`{}\[\]\n/])""")
 # Modes: q s strings, t template text, e code inside a template, b braces in code, l k comments, r regex, i class in a regex.
 # Classes of marks: the mark itself, L K D // /* */, $ the braces in a template, O slash of a regex, A apostrophe, n line break, N escaped one.
 _OPENS, _OPENED, _OPENED_AS = "\"'`LKO{$", "qstlkrbb", "XXXCCRcc"
@@ -103,6 +105,7 @@ JS_BEFORE = {
 _LINE_END = r"(?=[ \t\n])(?<![-=>,(+*/&|?:\[{.<\s])[ \t]*+\n(?=\s*[\w$@\[{])"
 JS_SEPARATOR = rf"[;,]|{_LINE_END}"
 OPENING, CLOSING = r"[\(\[\{]", r"[\)\]\}]"
+JS_INSIDE = r"(?<=[\w$])(?!async)[\w$]"       # inside a word, where no event begins
 JS_NEEDS = r"[(\[{)\]}]|=>"   # a text without this has no bracket and none of the shown JS_HEADS
 
 
@@ -206,11 +209,20 @@ def _blank(comment: Column) -> Column:
     return F.regexp_replace(comment, r"[^\n]", " ")
 
 
+def _cut(text: Column, pattern: str, body) -> Column:
+    """``body(gaps, found)``: what the pattern finds in a text, and what stands before each find and after the last. The text is searched once,
+    by a pattern that is compiled once (``split`` compiles its pattern for every text)."""
+    def of(pieces: Column) -> Column:
+        return F.struct(F.filter(pieces, lambda x, i: i % 2 == 0).alias("gaps"), F.filter(pieces, lambda x, i: i % 2 == 1).alias("found"))
+    once = T.let(F.split(F.regexp_replace(text, pattern, f"{CUT}$0{CUT}"), CUT, -1), of)
+    twice = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    return T.let(F.when(text.contains(CUT), twice).otherwise(once), lambda c: body(c["gaps"], c["found"]))
+
+
 def mask(content: Column, lang: Language) -> Column:
     """The text with comments blanked and literals filled, character for character."""
     if lang.block == "brace_modes":
         return _mask_by_modes(content, lang)
-    lits = F.regexp_extract_all(content, F.lit(lang.mask), 0)
 
     def one(lit: Column) -> Column:
         out = F.when(lit.startswith(lang.line_comment), F.repeat(F.lit(" "), F.length(lit)))
@@ -218,12 +230,12 @@ def mask(content: Column, lang: Language) -> Column:
             out = out.when(lit.startswith(lang.block_comment), _blank(lit))
         return out.otherwise(_filler(lit))
 
-    def whole(parts: Column) -> Column:
+    def whole(parts: Column, lits: Column) -> Column:
         rest = F.zip_with(F.transform(lits, one), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
                           lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
         return F.concat(parts[0], F.array_join(rest, ""))
 
-    return T.let(F.split(content, lang.mask, -1), whole)
+    return _cut(content, lang.mask, whole)
 
 
 def _mark_class(m: Column) -> Column:
@@ -246,7 +258,9 @@ def _modes(classes: Column) -> Column:
                      .otherwise(stack))
             sign = (F.when(opens > 0, F.substring(F.lit(_OPENED_AS), opens, F.lit(1))).when(code, "c").when(top.isin("l", "k"), "k")
                     .when((top == "t") & (c == "$"), "E").when((top != "t") & (c == "n"), "n").otherwise("x"))
-            return F.struct(F.concat(acc["signs"], sign).alias("signs"), after.alias("stack"))
+            turned = F.struct(F.concat(acc["signs"], sign).alias("signs"), after.alias("stack"))
+            # most marks are line breaks in code, which change nothing
+            return F.when((c == "n") & code, F.struct(F.concat(acc["signs"], F.lit("c")).alias("signs"), stack.alias("stack"))).otherwise(turned)
         return T.let(F.substring(acc["stack"], 1, 1), of)
     return F.aggregate(classes, F.struct(F.lit("").alias("signs"), F.lit("").alias("stack")), step)
 
@@ -266,9 +280,7 @@ def _mask_by_modes(content: Column, lang: Language) -> Column:
         body = T.let(F.split(modes["signs"], "", -1), lambda signs: F.array_join(F.transform(marks, lambda m, i: one(m, i, signs)), ""))
         return F.concat(body, last)
 
-    marks = F.regexp_extract_all(content, F.lit(lang.mask), 0)
-    return T.let(F.split(content, lang.mask, -1), lambda parts: T.let(marks, lambda found: T.let(
-        _modes(F.transform(found, _mark_class)), lambda modes: whole(parts, found, modes))))
+    return _cut(content, lang.mask, lambda parts, found: T.let(_modes(F.transform(found, _mark_class)), lambda modes: whole(parts, found, modes)))
 
 
 def _delta(s: Column) -> Column:
@@ -394,6 +406,8 @@ def _no_rows() -> Column:
 def _js_events(content: Column, lang: Language = JAVASCRIPT) -> Column:
     """Heads, brackets and separators in order, with kind, name, line breaks and characters."""
     event = "|".join([*(h.cut or h.tell for h in lang.heads), r"[(\[{]", r"[)\]}]", lang.separator])
+    if lang.heads == JAVASCRIPT.heads and lang.separator == JS_SEPARATOR:
+        event = rf"(?!{JS_INSIDE})(?:{event})"
 
     def of(masked: Column) -> Column:
         def breaks(x: Column) -> Column:
@@ -410,9 +424,7 @@ def _js_events(content: Column, lang: Language = JAVASCRIPT) -> Column:
             return F.struct(kind.alias("kind"), e.alias("text"), delta.alias("delta"), e.endswith("{").alias("braced"),
                             breaks(before).alias("breaks"), breaks(e).alias("own_breaks"),
                             F.length(before).alias("gap"), F.length(e).alias("size"), name.alias("name"), lead.alias("lead"))
-        parts = F.split(masked, event, -1)
-        events = F.regexp_extract_all(masked, F.lit(event), 0)
-        return F.zip_with(events, F.slice(parts, 1, F.size(parts) - 1), one)
+        return _cut(masked, event, lambda gaps, found: F.zip_with(found, F.slice(gaps, 1, F.size(found)), one))
     return T.let(mask(content, lang), of)
 
 
