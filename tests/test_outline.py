@@ -464,3 +464,14 @@ def test_events_inside_words_are_skipped_without_a_difference(spark):
     for t in (text, text.replace("\u0002", "")):
         got = spark.createDataFrame([(t,)], "t string").select(O._js_events(F.col("t")).alias("e"), O._js_events(F.col("t"), every).alias("all")).first()
         assert got.e == got["all"] and "async (x) => " in [e.text for e in got.e] and len(got.e) > 12
+
+
+def test_only_names_that_a_file_has_are_looked_for(spark):
+    df = spark.createDataFrame([(["f", "g", "h"], [("g",), ("",), ("g",), ("f",)])], "names array<string>, l array<struct<name:string>>")
+    assert df.select(O._defined("names", "l.name").alias("n")).first().n == ["f", "g"]
+    files = spark.createDataFrame([("a.js", "function f() { g(); }\nfunction g() { return 1; }\nconst f = 2;", "ok"), ("a.py", "def f():\n    pass\ndef f(x):\n    return x\n", "ok")],
+                                  "path string, content string, status string")
+    asked = spark.createDataFrame([(p, n) for p in ("a.js", "a.py") for n in ("f", "g", "h")], "path string, name string")
+    got = {(r.path, r.name): r.text if r.found else None for r in O.function_blocks(files, asked).collect()}
+    assert got == {("a.js", "f"): "function f() { g(); }", ("a.js", "g"): "function g() { return 1; }", ("a.js", "h"): None,
+                   ("a.py", "f"): "def f(x):\n    return x", ("a.py", "g"): None, ("a.py", "h"): None}

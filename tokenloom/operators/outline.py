@@ -386,11 +386,16 @@ def _asked(code: DataFrame, requests: DataFrame) -> DataFrame:
     return code.select("path", "content").hint("merge").join(asked, "path")      # sizes of derived texts are guessed far too low to broadcast by
 
 
+def _defined(names: str, own: str) -> Column:
+    """The names that a file's lines or events have: only these are looked for in it."""
+    return T.let(F.array_distinct(own), lambda o: F.filter(names, lambda n: F.array_contains(o, n)))
+
+
 def python_blocks(code: DataFrame, requests: DataFrame, lang: Language = PYTHON) -> DataFrame:
     """(path, name, text) for requested function names: the last match in file order; classes never
     match; decorators are included."""
     got = _asked(code, requests).select("path", "content", "names", _py_lines(F.col("content"), lang).alias("l"))
-    got = got.select("path", "content", "l", F.explode("names").alias("name")).select(
+    got = got.select("path", "content", "l", F.explode(_defined("names", "l.name")).alias("name")).select(
         "path", "name", "content", F.explode(F.filter(F.array(_py_span(F.col("l"), F.col("name"))), lambda s: s["start"] >= 0)).alias("s"))
     return got.select("path", "name", F.array_join(F.slice(
         F.split("content", "\n", -1), F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), "\n").alias("text"))
@@ -480,13 +485,15 @@ def _js_span(events: Column, name: Column) -> Column:
     """(start, end) characters of the first function, method or declarator of that name, start -1 without one."""
     def step(acc: Column, e: Column) -> Column:
         at = acc["at"] + e["gap"]
-        match = (acc["start"] < 0) & (e["name"] != "") & (e["name"] == name)
-        over = (acc["start"] >= 0) & (acc["end"] < 0) & _js_over(acc, e, "level", "braced")
-        return F.struct(
-            (at + e["size"]).alias("at"), (acc["depth"] + e["delta"]).alias("depth"),
-            F.when(match, at + e["lead"]).otherwise(acc["start"]).alias("start"), F.when(match, acc["depth"]).otherwise(acc["level"]).alias("level"),
-            F.when(match, e["braced"]).otherwise(acc["braced"]).alias("braced"),
-            F.when(over, F.when(acc["braced"], at + 1).otherwise(at)).otherwise(acc["end"]).alias("end"))
+
+        def after(start: Column, level: Column, braced: Column, end: Column) -> Column:
+            return F.struct((at + e["size"]).alias("at"), (acc["depth"] + e["delta"]).alias("depth"), start.alias("start"), level.alias("level"),
+                            braced.alias("braced"), end.alias("end"))
+        same = acc["start"], acc["level"], acc["braced"]
+        match = (e["name"] != "") & (e["name"] == name)
+        before = F.when(match, after(at + e["lead"], acc["depth"], e["braced"], acc["end"])).otherwise(after(*same, acc["end"]))
+        inside = F.when(_js_over(acc, e, "level", "braced"), after(*same, F.when(acc["braced"], at + 1).otherwise(at))).otherwise(after(*same, acc["end"]))
+        return F.when(acc["end"] >= 0, acc).when(acc["start"] < 0, before).otherwise(inside)
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("start"), F.lit(0).alias("level"),
                     F.lit(False).alias("braced"), F.lit(-1).alias("end"))
@@ -506,7 +513,7 @@ def js_blocks(code: DataFrame, requests: DataFrame, lang: Language = JAVASCRIPT)
     """(path, name, text): first match in file order, from the definition's first character to the
     bracket that closes it or to the end of its expression."""
     got = _asked(code, requests).select("path", "content", "names", _js_named(_js_events(F.col("content"), lang), lang).alias("e"))
-    got = got.select("path", "content", "e", F.explode("names").alias("name")).select(
+    got = got.select("path", "content", "e", F.explode(_defined("names", "e.name")).alias("name")).select(
         "path", "name", "content", F.explode(F.filter(F.array(_js_span(F.col("e"), F.col("name"))), lambda s: s["start"] >= 0)).alias("s"))
     end = F.when(F.col("s.end") < 0, F.length("content")).otherwise(F.col("s.end"))
     return got.select("path", "name", F.rtrim(F.substring(F.col("content"), F.col("s.start") + 1, end - F.col("s.start"))).alias("text"))
